@@ -10,11 +10,13 @@ Targets: the sources by code point, null last, weigh ``weights`` in turn and sha
 
 Only sums per pattern reach the driver (at most ``max_patterns`` rows, checked). The seeded part is found by a
 histogram of hashes per pattern, so that no source, however large, is sorted in one task: only the documents of the one
-histogram cell where the quota ends are put in order.
+histogram cell where the quota ends are put in order. The decision is a threshold and a few single documents per pattern,
+so that documents themselves are never shuffled.
 
 Nulls and odd input: a null or blank text has size 0 and is taken as often as its pattern's floor, which adds 0 words; a
 null source is a source of its own; repeated rows are separate documents; an empty table gives an empty result; other
-columns are kept. Documents are taken whole: a source's words miss its target by half of one document at most.
+columns are kept. Documents are taken whole: a source's words miss its target by less than one document, and by
+less than the smallest one left after the last fill.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 CELLS = 1 << 12
+#: Times that a remaining gap is given to the largest document that fits.
+FILLS = 4
 
 
 def n_words(text: Column) -> Column:
@@ -97,6 +103,7 @@ def route(patterns: dict[tuple, int], quotas: dict, max_repeats: int = MAX_REPEA
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships: Column | None = None, seed: int = 7, max_patterns: int = 20_000, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """docs and the columns size, source_size, target (of the first membership), repeats and taken."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "mixing")
     member = F.array(F.col("source")) if memberships is None else memberships
     rows = docs.withColumns({"size": n_words(F.col(text)), "__m": F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("z")))))})
     rows = rows.withColumns({"__p": F.array_join("__m", "\u0001"), "__h": F.xxhash64(F.lit(seed), F.col(id_col))})
@@ -120,20 +127,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     plan = [(code[p], given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0, sizes[p[0]], float(quota[p[0]])) for p, n in patterns.items()]
     schema = T.StructType([T.StructField(n, t) for n, t in (("__p", T.StringType()), ("__floor", T.LongType()), ("__rest", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()))])
     plan_rows = F.broadcast(spark.createDataFrame(plan, schema))  # one row per pattern: at most max_patterns
-    # The cell in which a pattern's rest ends, and the words before it: at most CELLS rows per pattern.
+    # The cell in which a pattern's rest ends, and the room in it: at most CELLS rows per pattern are looked at.
     running = W.partitionBy("__p").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = cells.withColumn("__upto", F.sum("words").over(running)).join(plan_rows, "__p")
     ends = ends.filter((F.col("__upto") > F.col("__rest")) & (F.col("__upto") - F.col("words") <= F.col("__rest")))
-    ends = ends.groupBy("__p").agg(F.min(F.struct(F.col("__cell").alias("cell"), (F.col("__rest") - (F.col("__upto") - F.col("words"))).alias("room"))).alias("__end"))
-    rows = rows.join(plan_rows, "__p").join(F.broadcast(ends), "__p", "left")  # ends: one row per pattern
-    at_end = F.coalesce(F.col("__cell") == F.col("__end.cell"), F.lit(False))
-    # Rows outside the last cell get groups of their own, so that only that cell is sorted.
-    group = F.when(at_end, F.lit(-1)).otherwise(F.col("__h"))
-    order = W.partitionBy("__p", group).orderBy("__h", "size", id_col).rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.sum("size").over(order)
-    near = 2 * (F.col("__end.room") - (F.col("__sum") - F.col("size"))) >= F.col("size")
-    rows = rows.withColumn("__sum", upto)
-    extra = F.when(at_end, (F.col("__sum") - F.col("size") < F.col("__end.room")) & near).otherwise(F.coalesce(F.col("__cell") < F.col("__end.cell"), F.lit(False)))
+    ends = ends.groupBy("__p").agg(F.min(F.struct("__cell", (F.col("__rest") - (F.col("__upto") - F.col("words"))).alias("__room"))).alias("__e")).select("__p", "__e.*")
+    # Inside that cell, documents in order as long as they fit: the last of them is the threshold for the whole pattern.
+    in_order = F.struct("__cell", "__h", "size", F.col(id_col).alias("__id"))
+    small = scratch.keep(rows.select("__p", in_order.alias("__at")), "sizes")
+    order = W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = small.withColumn("__cell", F.col("__at.__cell")).join(F.broadcast(ends), ["__p", "__cell"]).withColumn("__upto", F.sum("__at.size").over(order))
+    last = last.groupBy("__p").agg(F.max(F.when(F.col("__upto") <= F.col("__room"), F.col("__at"))).alias("__last"), F.coalesce(F.max(F.when(F.col("__upto") <= F.col("__room"), F.col("__upto"))), F.lit(0)).alias("__used"))
+    cut = ends.join(last, "__p", "left").select("__p", F.col("__cell").alias("__end"), "__last", (F.col("__room") - F.coalesce("__used", F.lit(0))).alias("__gap"))
+    # What is still missing goes to the largest document that fits, a few times over.
+    for i in range(FILLS):
+        cut = scratch.keep(cut, f"cut{i}")  # one row per pattern
+        left = small.join(F.broadcast(cut), "__p").filter(~_before(F.col("__at")) & (F.col("__at.size") > 0) & (F.col("__at.size") <= F.col("__gap")))
+        for k in range(i):
+            left = left.filter(F.col(f"__fill{k}").isNull() | (F.col("__at") != F.col(f"__fill{k}")))
+        fill = left.groupBy("__p").agg(F.max(F.struct(F.col("__at.size").alias("n"), F.col("__at").alias("at"))).alias("f")).select("__p", F.col("f.at").alias(f"__fill{i}"))
+        cut = cut.join(fill, "__p", "left").withColumn("__gap", F.col("__gap") - F.coalesce(F.col(f"__fill{i}.size"), F.lit(0)))
+    cut = scratch.keep(cut, "cut")
+    rows = rows.withColumn("__at", in_order).join(plan_rows, "__p").join(F.broadcast(cut), "__p", "left")  # cut: one row per pattern
+    extra = _before(F.col("__at"))
+    for i in range(FILLS):
+        extra = extra | F.coalesce(F.col("__at") == F.col(f"__fill{i}"), F.lit(False))
     rows = rows.withColumn("repeats", F.col("__floor") + F.when(extra, 1).otherwise(0))
     rows = rows.withColumn("taken", F.col("repeats") * F.col("size"))
     return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+
+
+def _before(at: Column) -> Column:
+    """Whether a document comes before the threshold of its pattern; where no quota ends, nothing does."""
+    return F.coalesce((at["__cell"] < F.col("__end")) | (at <= F.col("__last")), F.lit(False))

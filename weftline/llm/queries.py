@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, url_filter, warc_archive
+from . import chat_format, decontaminate, language_id, mixing, telephony, url_filter, warc_archive
 from .common import Scratch, table
 
 #: The rules of the url query.
@@ -23,6 +23,19 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.learn(docs.filter(~held_out).select("text", "lang"))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,7 +47,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(chat_format.conversation_events(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc_archive, op8_mixing, op9_chat_format)}
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "telephony")
+    stored = scratch.keep(telephony.store_audio(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    return telephony.read_audio(stored)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc_archive, op4_language_id, op6_decontaminate, op8_mixing, op9_chat_format, op10_telephony)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -70,4 +89,20 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_url_filter": _URL_SQL, "op3_warc_archive": _WARC_SQL, "op9_chat_format": _CHAT_SQL}
+_LEAK_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM iw WHERE len(w) > 0)),
+at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
+m AS (SELECT DISTINCT at.doc_id, at.i, ks.k, array_to_string(at.w[at.i:at.i + ks.k - 1], ' ') AS s
+      FROM at JOIN (SELECT DISTINCT k FROM win) ks ON at.i + ks.k - 1 <= len(at.w)),
+f AS (SELECT m.doc_id, m.i, m.k, win.item_id FROM m JOIN win ON m.k = win.k AND m.s = win.s),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM f) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM f) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL = {"op6_decontaminate": _LEAK_SQL, "op1_url_filter": _URL_SQL, "op3_warc_archive": _WARC_SQL, "op9_chat_format": _CHAT_SQL}
