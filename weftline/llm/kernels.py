@@ -89,14 +89,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lowered: a polynomial over random values of bytes, by prefix sums."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a polynomial over random values of bytes, by prefix sums."""
+    value = _BYTE if fold is None else _BYTE[fold]
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[LOWERED][data] * powers(_BASE, len(data)), out=sums[1:])
+    np.cumsum(value[data] * powers(_BASE, len(data)), out=sums[1:])
     inverse = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z lowered."""
+    return span_hashes(data, starts, ends, LOWERED)
+
+
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every k words in a row."""
     n = max(0, len(words) - k + 1)

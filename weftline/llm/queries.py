@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, telephony, url_filter, warc_archive
+from . import chat_format, decontaminate, language_id, mixing, telephony, token_file, url_filter, warc_archive
 from .common import Scratch, table
 
 #: The rules of the url query.
@@ -36,6 +36,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
+def byte_bpe() -> str:
+    """The public byte-level vocabulary's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("ids")
+    token_file.write_tokens(table(spark, sf_dir, "documents"), path, byte_bpe())
+    return token_file.read_tokens(spark, path)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +66,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_audio(stored)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc_archive, op4_language_id, op6_decontaminate, op8_mixing, op9_chat_format, op10_telephony)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc_archive, op4_language_id, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -94,9 +107,9 @@ WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABC
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM iw WHERE len(w) > 0)),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
-m AS (SELECT DISTINCT at.doc_id, at.i, ks.k, array_to_string(at.w[at.i:at.i + ks.k - 1], ' ') AS s
-      FROM at JOIN (SELECT DISTINCT k FROM win) ks ON at.i + ks.k - 1 <= len(at.w)),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
+m AS (SELECT DISTINCT pos.doc_id, pos.i, ks.k, array_to_string(pos.w[pos.i:pos.i + ks.k - 1], ' ') AS s
+      FROM pos JOIN (SELECT DISTINCT k FROM win) ks ON pos.i + ks.k - 1 <= len(pos.w)),
 f AS (SELECT m.doc_id, m.i, m.k, win.item_id FROM m JOIN win ON m.k = win.k AND m.s = win.s),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM f) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM f) GROUP BY doc_id)
