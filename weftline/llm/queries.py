@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, telephony, token_file, url_filter, warc_archive
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, telephony, token_file, url_filter, warc_archive
 from .common import Scratch, table
 
 #: The rules of the url query.
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     warc_archive.write_archive(table(spark, sf_dir, "pages"), path)
@@ -66,7 +70,7 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_audio(stored)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_warc_archive, op4_language_id, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
