@@ -1,5 +1,68 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to token ids: five stages, each a table of its own.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, jaccard_join, language_id, mixing, token_file
+from weftline.llm.common import Scratch, table
+from weftline.llm.queries import byte_bpe
+from weftline.session import ship_package
+
+#: A text is rejected where no language is likelier than this, or where it has no letter.
+MIN_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. The model learns from the labelled ones."""
+    model = language_id.learn(docs.select("text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id; of repeated rows one."""
+    classes = jaccard_join.jaccard_classes(docs.select("doc_id", "text"))
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").withColumn("__text", F.xxhash64("text"))
+    return once.dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken."""
+    mixed = mixing.mix(docs).filter("repeats > 0")
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))).select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file's documents, read back."""
+    path = Scratch(spark, "pipeline-tokens").path("ids")
+    token_file.write_tokens(docs, path, byte_bpe())
+    return token_file.read_tokens(spark, path)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
+
+#: The stages learn, join and count beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written as Parquet to the shared folder and read again."""
+    ship_package(spark)
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
+    return docs
