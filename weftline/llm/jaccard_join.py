@@ -43,7 +43,7 @@ SHINGLE = 5
 #: Similarity as a fraction of whole numbers: 3 / 4.
 OVER, UNDER = 3, 4
 HEAVY_SHARE = 0.004
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 TILE = 1500
 U = np.uint64
 
@@ -146,7 +146,7 @@ def _column(t: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
 
 
-def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int = 4_000_000) -> DataFrame:
+def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int = 1_500_000) -> DataFrame:
     """(token, cid): the classes that need a partner on one of their rarest shingles, under those shingles.
 
     Two shuffles of packed arrays: shingles to hash buckets of about ``per_bucket`` shingles, where they are counted; those that
