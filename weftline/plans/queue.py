@@ -1,2 +1,111 @@
+"""Queries of the task queue and the document table."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import context, documents, taskqueue
+from ..streaming import progress
+from .views import Data, register
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+query = register(QUERIES, SQL)
+
+
+@query("SELECT task_id, priority, created_at FROM {tasks} WHERE status = 'Pending' ORDER BY priority, created_at, task_id LIMIT 1")
+def queue_next(d: Data) -> DataFrame:
+    return taskqueue.next_task(d.tasks).select("task_id", "priority", "created_at")
+
+
+@query("SELECT task_id, priority, CAST(row_number() OVER (ORDER BY priority, created_at, task_id) - 1 AS INT) AS pos FROM {tasks}")
+def queue_list(d: Data) -> DataFrame:
+    return taskqueue.list_tasks(d.tasks).select("task_id", "priority", "pos")
+
+
+@query("""WITH RECURSIVE e AS (SELECT task_id, op, arg, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS n FROM {task_log}),
+s(task_id, n, status, progress, priority, retries) AS (
+ SELECT DISTINCT task_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT) FROM e
+ UNION ALL SELECT s.task_id, e.n,
+  CASE WHEN op = 'enqueue' AND status IS NULL OR op = 'retry' AND status = 'Failed' AND retries < 3 THEN 'Pending' WHEN op = 'start' AND status = 'Pending' THEN 'Processing' WHEN op = 'complete' AND status = 'Processing' THEN 'Completed'
+       WHEN op = 'fail' AND status = 'Processing' OR op = 'stop' AND status IN ('Pending', 'Processing') THEN 'Failed' ELSE status END,
+  CASE WHEN op = 'enqueue' AND status IS NULL OR op = 'retry' AND status = 'Failed' AND retries < 3 THEN 0 WHEN op = 'complete' AND status = 'Processing' THEN 100 WHEN op = 'progress' AND status = 'Processing' THEN greatest(0, least(100, arg)) ELSE progress END,
+  CASE WHEN op = 'enqueue' AND status IS NULL OR op = 'reorder' AND status IS NOT NULL THEN arg ELSE priority END,
+  CASE WHEN op = 'enqueue' AND status IS NULL THEN 0 WHEN op = 'retry' AND status = 'Failed' AND retries < 3 THEN retries + 1 ELSE retries END
+ FROM s JOIN e ON e.task_id = s.task_id AND e.n = s.n + 1)
+SELECT task_id, status, progress, priority, retries FROM s WHERE n = (SELECT max(n) FROM e WHERE e.task_id = s.task_id) AND status IS NOT NULL""")
+def queue_state_fold(d: Data) -> DataFrame:
+    return taskqueue.fold_events(d.task_log)
+
+
+@query("SELECT task_id, CASE WHEN status = 'Processing' THEN 'Pending' ELSE status END AS status FROM {tasks}")
+def queue_recover(d: Data) -> DataFrame:
+    return taskqueue.recover(d.tasks).select("task_id", "status")
+
+
+_PROGRESS = """WITH p AS (SELECT *, CASE WHEN total > 0 THEN greatest(0, least(100, CAST(trunc(current * 100.0::DOUBLE / total) AS INT))) END AS pct FROM {state_events})
+SELECT doc_id, arg_max(stage, seq) AS stage, CAST(coalesce(arg_max(pct, seq) FILTER (pct IS NOT NULL), 0) AS INT) AS progress FROM p GROUP BY doc_id"""
+
+
+@query(_PROGRESS)
+def task_progress(d: Data) -> DataFrame:
+    return taskqueue.progress(d.state_events)
+
+
+@query(_PROGRESS)
+def task_progress_stream(d: Data) -> DataFrame:
+    """The same fold over a stream of the events' file, run until it is read."""
+    spark = d.spark
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-stream-")
+    run = f"{base}/weftline-progress-{spark.sql('SELECT uuid()').first()[0]}"
+    source = f"{run}/events"
+    d.state_events.repartition(4).write.parquet(source)
+    events = progress.read_events(spark, source, d.state_events.schema, 1)
+    job = progress.run_to_table(events, f"{run}/table", f"{run}/checkpoint")
+    job.awaitTermination()
+    return progress.read_progress(spark, f"{run}/table")
+
+
+@query("""WITH t AS (SELECT document_id, max(status) AS status, max(current_stage) AS current_stage, max(progress) AS progress FROM {live} GROUP BY document_id)
+SELECT m.id, coalesce(t.status, rag_status) AS rag_status, CASE WHEN t.current_stage = 'MergingEntities' THEN t.progress ELSE rag_progress END AS rag_progress, is_in_rag_system OR coalesce(t.status = 'Completed', FALSE) AS is_in_rag_system
+FROM {markdown} m LEFT JOIN t ON t.document_id = m.id""")
+def task_status_apply(d: Data) -> DataFrame:
+    docs = d.markdown.withColumn("rag_added_time", F.lit(None).cast("timestamp"))
+    tasks = d.live.groupBy("document_id").agg(*(F.max(c).alias(c) for c in ("status", "current_stage", "progress")))
+    out = taskqueue.apply_status(docs, tasks, F.lit("2024-01-01").cast("timestamp"))
+    return out.select("id", "rag_status", "rag_progress", "is_in_rag_system")
+
+
+@query("""SELECT m.id, CASE WHEN rag_status IN ('Pending', 'Processing') THEN coalesce(t.status, rag_status) ELSE rag_status END AS rag_status, CASE WHEN rag_status IN ('Pending', 'Processing') THEN coalesce(t.progress, rag_progress) ELSE rag_progress END AS rag_progress,
+(SELECT count(*) FROM {markdown}) AS total, CAST(ceil((SELECT count(*) FROM {markdown}) / 25) AS BIGINT) AS pages
+FROM (SELECT * FROM {markdown} ORDER BY CASE rag_status WHEN 'Processing' THEN 0 WHEN 'Pending' THEN 1 WHEN 'Failed' THEN 2 ELSE 3 END, upload_time DESC, id LIMIT 25 OFFSET 50) m LEFT JOIN {live} t ON t.document_id = m.id""")
+def docs_paged(d: Data) -> DataFrame:
+    rows, totals = documents.page(d.markdown, 3, 25, d.live)
+    total = totals.first()
+    return rows.select("id", "rag_status", "rag_progress", F.lit(total["total"]).alias("total"), F.lit(total["pages"]).alias("pages"))
+
+
+_FILES = "SELECT doc_id AS seq, 'f' || CAST(doc_id % 900 AS STRING) || CASE WHEN doc_id % 11 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.MD' ELSE '.markdown' END AS file_name, text FROM {documents}"
+
+
+@query(f"""WITH f AS (SELECT *, octet_length(encode(text)) AS file_size, sha256(text) AS file_hash, CASE WHEN NOT regexp_matches(lower(file_name), '\\.(md|markdown)$') THEN 'type' WHEN octet_length(encode(text)) > 30000 THEN 'size' WHEN text = '' THEN 'empty' END AS bad FROM ({_FILES}) x),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_name, bad IS NULL ORDER BY seq) > 1 AS again FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY file_hash, bad IS NULL AND NOT again ORDER BY seq) > 1 AS same FROM n)
+SELECT seq, file_size, file_hash, coalesce(bad, CASE WHEN again THEN 'name exists' WHEN same THEN 'content exists' END) AS reason FROM h""")
+def doc_upload_validate(d: Data) -> DataFrame:
+    files = d.spark.sql(_FILES, documents=d.documents).withColumn("content", F.encode("text", "UTF-8")).drop("text")
+    return documents.validate_uploads(files, None, 30000).select("seq", "file_size", "file_hash", "reason")
+
+
+@query("""SELECT seq, '{"type":"text_chunk","content":"' || replace(text, '"', '\\"') || '"}' AS data FROM {answers} WHERE text <> '' UNION ALL SELECT max(seq) + 1, '{"type":"done"}' FROM {answers}""")
+def sse_events(d: Data) -> DataFrame:
+    return context.sse_events(d.answers.withColumn("error", F.lit(None).cast("string")))
+
+
+@query("SELECT md5(string_agg(text, '' ORDER BY seq)) AS answer FROM {answers}")
+def sse_fold(d: Data) -> DataFrame:
+    events = context.sse_events(d.answers.withColumn("error", F.lit(None).cast("string")))
+    return context.fold_sse(events).select(F.md5("answer").alias("answer"))

@@ -38,7 +38,7 @@ FROM (SELECT 'nation:' || CAST(n_nationkey AS STRING) AS a, 'region:' || CAST(n_
     # Ranked lists, as a search would give them: the first 40 by some order.
     "rank_a": "SELECT * FROM (SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM {customer}) r WHERE pos < 40",
     "rank_b": "SELECT * FROM (SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM {customer} WHERE c_acctbal > 6000) r WHERE pos < 40",
-    "rank_rel_a": "SELECT * FROM (SELECT src, tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY source_id, src, tgt) - 1 AS INT) AS pos FROM {tree_edges}) r WHERE pos < 40",
+    "rank_rel_a": "SELECT * FROM (SELECT src, tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY description, src, tgt) - 1 AS INT) AS pos FROM {tree_edges}) r WHERE pos < 40",
     "rank_rel_b": "SELECT * FROM (SELECT tgt AS src, src AS tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY source_id DESC, src, tgt) - 1 AS INT) AS pos FROM {tree_edges} WHERE keywords <> 'lives in' OR source_id < 'd2') r WHERE pos < 40",
     "rank_ent": "SELECT * FROM (SELECT entity_id, entity_type, description, source_id, CAST(row_number() OVER (ORDER BY source_id, entity_id) - 1 AS INT) AS pos FROM {kg_nodes} WHERE entity_type <> 'part') r WHERE pos < 40",
     "rank_chunk": "SELECT * FROM (SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS INT) AS pos FROM {documents}) r WHERE pos < 40",
@@ -84,7 +84,7 @@ SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || '
 
 
 def _names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 class Data:
@@ -115,7 +115,7 @@ def oracle(sql: str) -> str:
                 order.append(n)
 
     visit(sql)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{([a-z]\w*)\}", r"\1", s)
     heads = [f"{n} AS ({plain(VIEWS[n])})" for n in order]
     body = plain(sql).strip()
     if not heads:
