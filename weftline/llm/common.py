@@ -23,6 +23,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator is about to add, whatever their case."""
+    new = {n.lower() for n in names}
+    return df.drop(*(c for c in df.columns if c.lower() in new))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

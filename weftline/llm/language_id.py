@@ -10,7 +10,8 @@ models. Prediction reads whole texts.
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; rows without a label are not learned
 from; with a single language the answer is that language, with none it is ``und``; repeated rows are predicted alike;
-an empty table gives an empty result; other columns are kept and never used.
+an empty table gives an empty result; other columns are kept and never used, but
+for columns named like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import without
 
 UNKNOWN = "und"
 WIDTH = 1 << 13
@@ -109,16 +111,23 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit: int = MAX_FIT) -> Model:
-    """Fit on at most ``max_fit`` labelled documents, those of smallest text hash."""
-    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    # substr cuts the sample that the classifier is fitted on; prediction reads whole texts.
-    sample = known.select(F.col(label).alias("label"), F.xxhash64(text).alias("h"), F.substring(text, 1, FIT_BYTES).alias("text"))
-    rows = sample.orderBy("h", "label", "text").limit(max_fit).collect()
+    """Fit on at most ``max_fit`` labelled documents with different texts, those of smallest text hash.
+
+    A threshold on the hash, from the number of labelled documents, leaves about 1.5 times ``max_fit`` rows before they are
+    put in order, so that what reaches the driver does not grow with the corpus.
+    """
+    known = labelled.filter(F.col(label).isNotNull())
+    share = min(1.0, 1.5 * max_fit / max(1, known.count()))
+    h = F.pmod(F.xxhash64(text), F.lit(1 << 40))
+    # substring cuts the sample that the classifier is fitted on; prediction reads whole texts.
+    sample = known.filter(F.col(text).isNotNull() & (h < int(share * (1 << 40)))).select(F.col(label).alias("label"), h.alias("h"), F.substring(text, 1, FIT_BYTES).alias("text"))
+    rows = sample.dropDuplicates(["h", "label"]).orderBy("h", "label").limit(max_fit).collect()
     return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", min_gap: float = 0.2) -> DataFrame:
     """docs and the columns lang_pred, score (0 to 1) and ambiguous (the two nearest codewords are less than min_gap apart)."""
+    docs = without(docs, "lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH x bits, a few hundred kB
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     at = docs.columns.index(text)
