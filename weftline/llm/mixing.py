@@ -15,7 +15,7 @@ so that documents themselves are never shuffled.
 
 Nulls and odd input: a null or blank text has size 0 and is taken as often as its pattern's floor, which adds 0 words; a
 null source is a source of its own; repeated rows are separate documents; an empty table gives an empty result; other
-columns are kept. Documents are taken whole: a source's words miss its target by less than one document, and by
+columns are kept, but for columns named like the new ones, which are replaced. Documents are taken whole: a source's words miss its target by less than one document, and by
 less than the smallest one left after the last fill.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Scratch, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -104,17 +104,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     """docs and the columns size, source_size, target (of the first membership), repeats and taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
+    docs = without(docs, "source_size", "target", "repeats", "taken")
     member = F.array(F.col("source")) if memberships is None else memberships
-    rows = docs.withColumns({"size": n_words(F.col(text)), "__m": F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("z")))))})
-    rows = rows.withColumns({"__p": F.array_join("__m", "\u0001"), "__h": F.xxhash64(F.lit(seed), F.col(id_col))})
-    rows = rows.withColumn("__cell", F.pmod(F.shiftright("__h", 20), F.lit(CELLS)))
-    cells = rows.groupBy("__p", "__m", "__cell").agg(F.sum("size").alias("words"))
-    totals = cells.groupBy("__m").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
+    rows = docs.withColumns({"size": n_words(F.col(text)), "__weft_m": F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("z")))))})
+    rows = rows.withColumns({"__weft_p": F.array_join("__weft_m", "\u0001"), "__weft_h": F.xxhash64(F.lit(seed), F.col(id_col))})
+    rows = rows.withColumn("__weft_cell", F.pmod(F.shiftright("__weft_h", 20), F.lit(CELLS)))
+    in_order = F.struct("__weft_cell", "__weft_h", "size", F.col(id_col).alias("__weft_id"))
+    small = scratch.keep(rows.select("__weft_p", "__weft_m", in_order.alias("__weft_at")), "sizes")
+    cells = small.groupBy("__weft_p", "__weft_m", F.col("__weft_at.__weft_cell").alias("__weft_cell")).agg(F.sum("__weft_at.size").alias("words"))
+    small = small.drop("__weft_m")
+    totals = cells.groupBy("__weft_m").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
     if len(totals) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     name = lambda m: None if m == "z" else m[1:]
-    patterns = {tuple(name(m) for m in r["__m"]): r["words"] for r in totals}
-    code = {tuple(name(m) for m in r["__m"]): "\u0001".join(r["__m"]) for r in totals}
+    patterns = {tuple(name(m) for m in r["__weft_m"]): r["words"] for r in totals}
+    code = {tuple(name(m) for m in r["__weft_m"]): "\u0001".join(r["__weft_m"]) for r in totals}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
@@ -125,38 +129,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     quota = {s: q * scale for s, q in quota.items()}
     given = route({p: n for p, n in patterns.items() if n}, quota, max_repeats)
     plan = [(code[p], given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0, sizes[p[0]], float(quota[p[0]])) for p, n in patterns.items()]
-    schema = T.StructType([T.StructField(n, t) for n, t in (("__p", T.StringType()), ("__floor", T.LongType()), ("__rest", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()))])
+    schema = T.StructType([T.StructField(n, t) for n, t in (("__weft_p", T.StringType()), ("__weft_floor", T.LongType()), ("__weft_rest", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()))])
     plan_rows = F.broadcast(spark.createDataFrame(plan, schema))  # one row per pattern: at most max_patterns
     # The cell in which a pattern's rest ends, and the room in it: at most CELLS rows per pattern are looked at.
-    running = W.partitionBy("__p").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = cells.withColumn("__upto", F.sum("words").over(running)).join(plan_rows, "__p")
-    ends = ends.filter((F.col("__upto") > F.col("__rest")) & (F.col("__upto") - F.col("words") <= F.col("__rest")))
-    ends = ends.groupBy("__p").agg(F.min(F.struct("__cell", (F.col("__rest") - (F.col("__upto") - F.col("words"))).alias("__room"))).alias("__e")).select("__p", "__e.*")
+    running = W.partitionBy("__weft_p").orderBy("__weft_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = cells.withColumn("__weft_upto", F.sum("words").over(running)).join(plan_rows, "__weft_p")
+    ends = ends.filter((F.col("__weft_upto") > F.col("__weft_rest")) & (F.col("__weft_upto") - F.col("words") <= F.col("__weft_rest")))
+    ends = ends.groupBy("__weft_p").agg(F.min(F.struct("__weft_cell", (F.col("__weft_rest") - (F.col("__weft_upto") - F.col("words"))).alias("__weft_room"))).alias("__weft_e")).select("__weft_p", "__weft_e.*")
     # Inside that cell, documents in order as long as they fit: the last of them is the threshold for the whole pattern.
-    in_order = F.struct("__cell", "__h", "size", F.col(id_col).alias("__id"))
-    small = scratch.keep(rows.select("__p", in_order.alias("__at")), "sizes")
-    order = W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = small.withColumn("__cell", F.col("__at.__cell")).join(F.broadcast(ends), ["__p", "__cell"]).withColumn("__upto", F.sum("__at.size").over(order))
-    last = last.groupBy("__p").agg(F.max(F.when(F.col("__upto") <= F.col("__room"), F.col("__at"))).alias("__last"), F.coalesce(F.max(F.when(F.col("__upto") <= F.col("__room"), F.col("__upto"))), F.lit(0)).alias("__used"))
-    cut = ends.join(last, "__p", "left").select("__p", F.col("__cell").alias("__end"), "__last", (F.col("__room") - F.coalesce("__used", F.lit(0))).alias("__gap"))
+    order = W.partitionBy("__weft_p").orderBy("__weft_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = small.withColumn("__weft_cell", F.col("__weft_at.__weft_cell")).join(F.broadcast(ends), ["__weft_p", "__weft_cell"]).withColumn("__weft_upto", F.sum("__weft_at.size").over(order))
+    last = last.groupBy("__weft_p").agg(F.max(F.when(F.col("__weft_upto") <= F.col("__weft_room"), F.col("__weft_at"))).alias("__weft_last"), F.coalesce(F.max(F.when(F.col("__weft_upto") <= F.col("__weft_room"), F.col("__weft_upto"))), F.lit(0)).alias("__weft_used"))
+    cut = ends.join(last, "__weft_p", "left").select("__weft_p", F.col("__weft_cell").alias("__weft_end"), "__weft_last", (F.col("__weft_room") - F.coalesce("__weft_used", F.lit(0))).alias("__weft_gap"))
     # What is still missing goes to the largest document that fits, a few times over.
     for i in range(FILLS):
         cut = scratch.keep(cut, f"cut{i}")  # one row per pattern
-        left = small.join(F.broadcast(cut), "__p").filter(~_before(F.col("__at")) & (F.col("__at.size") > 0) & (F.col("__at.size") <= F.col("__gap")))
+        left = small.join(F.broadcast(cut), "__weft_p").filter(~_before(F.col("__weft_at")) & (F.col("__weft_at.size") > 0) & (F.col("__weft_at.size") <= F.col("__weft_gap")))
         for k in range(i):
-            left = left.filter(F.col(f"__fill{k}").isNull() | (F.col("__at") != F.col(f"__fill{k}")))
-        fill = left.groupBy("__p").agg(F.max(F.struct(F.col("__at.size").alias("n"), F.col("__at").alias("at"))).alias("f")).select("__p", F.col("f.at").alias(f"__fill{i}"))
-        cut = cut.join(fill, "__p", "left").withColumn("__gap", F.col("__gap") - F.coalesce(F.col(f"__fill{i}.size"), F.lit(0)))
+            left = left.filter(F.col(f"__weft_fill{k}").isNull() | (F.col("__weft_at") != F.col(f"__weft_fill{k}")))
+        fill = left.groupBy("__weft_p").agg(F.max(F.struct(F.col("__weft_at.size").alias("n"), F.col("__weft_at").alias("at"))).alias("f")).select("__weft_p", F.col("f.at").alias(f"__weft_fill{i}"))
+        cut = cut.join(fill, "__weft_p", "left").withColumn("__weft_gap", F.col("__weft_gap") - F.coalesce(F.col(f"__weft_fill{i}.size"), F.lit(0)))
     cut = scratch.keep(cut, "cut")
-    rows = rows.withColumn("__at", in_order).join(plan_rows, "__p").join(F.broadcast(cut), "__p", "left")  # cut: one row per pattern
-    extra = _before(F.col("__at"))
+    rows = rows.withColumn("__weft_at", in_order).join(plan_rows, "__weft_p").join(F.broadcast(cut), "__weft_p", "left")  # cut: one row per pattern
+    extra = _before(F.col("__weft_at"))
     for i in range(FILLS):
-        extra = extra | F.coalesce(F.col("__at") == F.col(f"__fill{i}"), F.lit(False))
-    rows = rows.withColumn("repeats", F.col("__floor") + F.when(extra, 1).otherwise(0))
+        extra = extra | F.coalesce(F.col("__weft_at") == F.col(f"__weft_fill{i}"), F.lit(False))
+    rows = rows.withColumn("repeats", F.col("__weft_floor") + F.when(extra, 1).otherwise(0))
     rows = rows.withColumn("taken", F.col("repeats") * F.col("size"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+    return rows.drop(*[c for c in rows.columns if c.startswith("__weft_")])
 
 
 def _before(at: Column) -> Column:
     """Whether a document comes before the threshold of its pattern; where no quota ends, nothing does."""
-    return F.coalesce((at["__cell"] < F.col("__end")) | (at <= F.col("__last")), F.lit(False))
+    return F.coalesce((at["__weft_cell"] < F.col("__weft_end")) | (at <= F.col("__weft_last")), F.lit(False))
