@@ -12,7 +12,8 @@ of them is refused before it is read, and has to be given in parts.
 
 Nulls and odd input: a null or wordless text has no words, no hits and no items; null item texts give no windows; items
 with equal windows all count; repeated rows are judged alike; an empty documents table gives an empty result, an empty
-benchmark marks nothing. Further columns are kept.
+benchmark marks nothing. Further columns are kept, but for columns named
+like the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import without
 
 SIZE = 10
 #: A-Z belong to words as well: they are lowered.
@@ -121,7 +123,7 @@ def _find(data: np.ndarray, offsets: np.ndarray, index: Windows) -> list[tuple[i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, max_windows: int = 2_000_000) -> DataFrame:
     """docs and the columns n_words, n_hit, items (sorted strings) and contaminated."""
-    spark = docs.sparkSession
+    docs = without(docs, "n_words", "n_hit", "items", "contaminated")
     words = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     if words > 64 * max_windows:
         raise ValueError(f"the benchmark has {words} bytes; call once for each part of at most {64 * max_windows}")
@@ -148,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     if len(vocabulary):
         counted = docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         counts = {r["word"] & (2**64 - 1): r["n"] for r in counted.collect()}  # at most the benchmark's vocabulary
-    index = spark.sparkContext.broadcast(index_windows(windows, counts, size))  # bounded by max_windows
+    index = docs.sparkSession.sparkContext.broadcast(index_windows(windows, counts, size))  # bounded by max_windows
     schema = T.StructType([*docs.schema.fields])
     for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType())):
         schema = schema.add(name, kind)

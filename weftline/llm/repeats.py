@@ -355,8 +355,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([figures(pending[0], *pending[2:])])
 
 
-#: Keys that may be broadcast to pick documents, about 16 bytes each; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Keys that may be broadcast to pick documents, about 200 bytes each in a hash table; more are joined by a shuffle.
+MAX_BROADCAST = 300_000
 
 
 def _pick(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -6,7 +6,8 @@ block (numpy works on all blocks at once, sample after sample), resampled to 16
 
 The codecs are pure functions of bytes, so equal payloads have equal media and features. Nulls and odd input: a null text
 is an empty one; a payload is padded with byte 255 to a positive multiple of 576, so it is never empty; damaged media
-raise ValueError; an empty table gives an empty result; other columns are kept.
+raise ValueError; an empty table gives an empty result; other columns are kept, but for
+columns named like the new ones, which are replaced.
 
 Memory: a batch of documents is worked off one document at a time; a document needs about 60 times its own size.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import without
 
 PAD, UNIT = 255, 576
 RATE, TARGET_RATE = 8000, 16000
@@ -140,7 +142,8 @@ def features(pcm: np.ndarray) -> str:
 
 
 def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, and the columns n_bytes, media (AU, mu-law) and pcm (resampled to 16 kHz, little-endian)."""
+    """docs without the text, and the columns n_bytes, media (AU, mu-law)."""
+    docs = without(docs, "n_bytes", "media")
     fields = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     at = docs.columns.index(text)
@@ -162,6 +165,7 @@ def read_audio(stored: DataFrame, media: str = "media", keep_pcm: bool = False)
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (of the mu-law samples and of the same
     bytes as ADPCM blocks, both resampled), and with ``keep_pcm`` the resampled mu-law samples as ``pcm``.
     """
+    stored = without(stored, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
     new += [("pcm", T.BinaryType())] * keep_pcm
     schema = T.StructType([*(f for f in stored.schema.fields if f.name != media), *(T.StructField(*n) for n in new)])

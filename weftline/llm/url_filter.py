@@ -13,7 +13,8 @@ A list whose filter would pass ``max_filter_bytes`` is matched by a shuffled sem
 
 Nulls and odd input: a null url, or one without ``://``, has empty host and path, no rule and the verdict ``allow``;
 an empty table gives an empty result; repeated urls are judged alike; columns besides ``url`` are kept as they are,
-and internal columns start with ``__``. Of two fitting rules of one length the one with the longer host wins, and
+but for columns named like the new ones, which
+are replaced. Of two fitting rules of one length the one with the longer host wins, and
 a rule on both lists blocks.
 """
 
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, without
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -68,7 +69,7 @@ class Cascade:
 
     def with_filters(self, df: DataFrame, prefix: str) -> DataFrame:
         for i, level in enumerate(self.levels):
-            df = df.withColumn(f"__{prefix}{i}", level.scalar())
+            df = df.withColumn(f"__weft_{prefix}{i}", level.scalar())
         return df
 
     def passes(self, key: Column, bits: Column, level: int) -> Column:
@@ -83,7 +84,7 @@ class Cascade:
         n = len(self.levels)
         out = F.lit(n % 2 == 1)
         for i in reversed(range(n)):
-            out = F.when(~self.passes(key, F.col(f"__{prefix}{i}"), i), F.lit(i % 2 == 1)).otherwise(out)
+            out = F.when(~self.passes(key, F.col(f"__weft_{prefix}{i}"), i), F.lit(i % 2 == 1)).otherwise(out)
         return out if n else F.lit(False)
 
 
@@ -118,8 +119,8 @@ def build_cascade(universe: DataFrame, scratch: Scratch, label: str, bits_per_ke
         row = scratch.keep(_filter_row(inside, n_bits, n_hashes, level), f"{label}-bits{level}")
         cascade.levels.append(row)
         cascade.sizes.append(n_bits)
-        probed = outside.withColumn("__bits", row.scalar())
-        wrong = scratch.keep(probed.filter(cascade.passes(F.col("key"), F.col("__bits"), level)).select("key"), f"{label}-wrong{level}")
+        probed = outside.withColumn("__weft_bits", row.scalar())
+        wrong = scratch.keep(probed.filter(cascade.passes(F.col("key"), F.col("__weft_bits"), level)).select("key"), f"{label}-wrong{level}")
         inside, outside = wrong, inside
     raise ValueError(f"{max_levels} levels of the cascade were not enough")
 
@@ -132,9 +133,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", **options) -> Da
     rules = rules.select(F.col("rule"), F.col("verdict")).filter(F.col("rule").isNotNull()).distinct()
     # A rule's path is short and there are few lengths: one row of at most 4096 integers.
     lengths = sorted(r[0] for r in rules.select((F.char_length("rule") - F.char_length(F.substring_index("rule", "/", 1))).alias("n")).distinct().limit(4096).collect())
-    judged = pages.withColumns({"host": host, "path": path})
-    judged = judged.withColumn("__keys", candidates(F.col("host"), F.col("path"), lengths))
-    keys = judged.select(F.explode("__keys").alias("key"), F.lit(False).alias("blocked"), F.lit(False).alias("allowed"))
+    judged = without(pages, "host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    judged = judged.withColumn("__weft_keys", candidates(F.col("host"), F.col("path"), lengths))
+    keys = judged.select(F.explode("__weft_keys").alias("key"), F.lit(False).alias("blocked"), F.lit(False).alias("allowed"))
     listed = rules.select(F.col("rule").alias("key"), (F.col("verdict") == BLOCK).alias("blocked"), (F.col("verdict") == ALLOW).alias("allowed"))
     universe = keys.unionByName(listed).groupBy("key").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
     universe = scratch.keep(universe, "universe")
@@ -145,20 +146,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", **options) -> Da
         return _judge_by_join(judged, rules)
     for name, cascade in cascades.items():
         judged = cascade.with_filters(judged, name)
-    hit = lambda name: F.get(F.filter("__keys", lambda k: cascades[name].listed(k, name)), F.lit(0))
-    judged = judged.withColumns({"__b": hit("blocked"), "__a": hit("allowed")})
+    hit = lambda name: F.get(F.filter("__weft_keys", lambda k: cascades[name].listed(k, name)), F.lit(0))
+    judged = judged.withColumns({"__weft_b": hit("blocked"), "__weft_a": hit("allowed")})
     # Both are candidates of one url, longest first: the earlier in the list wins, the block list at a tie.
-    first_b, first_a = F.array_position("__keys", F.col("__b")), F.array_position("__keys", F.col("__a"))
-    blocks = F.col("__b").isNotNull() & (F.col("__a").isNull() | (first_b <= first_a))
-    judged = judged.withColumns({"rule": F.when(blocks, F.col("__b")).otherwise(F.col("__a")), "verdict": F.when(blocks, F.lit(BLOCK)).otherwise(F.lit(ALLOW))})
-    return judged.drop(*[c for c in judged.columns if c.startswith("__")])
+    first_b, first_a = F.array_position("__weft_keys", F.col("__weft_b")), F.array_position("__weft_keys", F.col("__weft_a"))
+    blocks = F.col("__weft_b").isNotNull() & (F.col("__weft_a").isNull() | (first_b <= first_a))
+    judged = judged.withColumns({"rule": F.when(blocks, F.col("__weft_b")).otherwise(F.col("__weft_a")), "verdict": F.when(blocks, F.lit(BLOCK)).otherwise(F.lit(ALLOW))})
+    return judged.drop(*[c for c in judged.columns if c.startswith("__weft_")])
 
 
 def _judge_by_join(judged: DataFrame, rules: DataFrame) -> DataFrame:
     """For lists beyond the filters' size: candidates meet the rules in a shuffled join, one row per hit comes back."""
-    judged = judged.withColumn("__row", F.monotonically_increasing_id())
+    judged = judged.withColumn("__weft_row", F.monotonically_increasing_id())
     merged = rules.groupBy("rule").agg(F.max((F.col("verdict") == BLOCK).cast("int")).alias("blocks"))
-    found = judged.select("__row", F.posexplode("__keys").alias("i", "key")).join(merged.hint("shuffle_hash"), F.col("key") == F.col("rule"))
-    best = found.groupBy("__row").agg(F.min(F.struct("i", "rule", "blocks")).alias("__best"))
-    out = judged.join(best, "__row", "left").withColumns({"rule": F.col("__best.rule"), "verdict": F.when(F.col("__best.blocks") == 1, BLOCK).otherwise(ALLOW)})
-    return out.drop("__row", "__keys", "__best")
+    found = judged.select("__weft_row", F.posexplode("__weft_keys").alias("i", "key")).join(merged.hint("shuffle_hash"), F.col("key") == F.col("rule"))
+    best = found.groupBy("__weft_row").agg(F.min(F.struct("i", "rule", "blocks")).alias("__weft_best"))
+    out = judged.join(best, "__weft_row", "left").withColumns({"rule": F.col("__weft_best.rule"), "verdict": F.when(F.col("__weft_best.blocks") == 1, BLOCK).otherwise(ALLOW)})
+    return out.drop("__weft_row", "__weft_keys", "__weft_best")
