@@ -17,11 +17,22 @@ from weftline.session import ship_package
 MIN_SCORE = 0.4
 
 
+def set_aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns that an operator would replace under other names."""
+    return docs.withColumnsRenamed({c: f"__aside_{c}" for c in docs.columns if c.lower() in names})
+
+
+def take_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return rows.withColumnsRenamed({f"__aside_{c}": c for c in docs.columns}).select(docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. The model learns from the labelled ones."""
     model = language_id.learn(docs.select("text", "lang"))
-    found = language_id.identify(docs, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    found = language_id.identify(set_aside(docs, "lang_pred", "score", "ambiguous"), model)
+    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return take_back(kept.drop("lang_pred", "score", "ambiguous"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +45,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(docs.columns)
+    found = decontaminate.decontaminate(set_aside(docs, "n_words", "n_hit", "items", "contaminated"), table(spark, sf_dir, "benchmark"))
+    return take_back(found.filter("not contaminated").drop("n_words", "n_hit", "items", "contaminated"), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken."""
-    mixed = mixing.mix(docs).filter("repeats > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))).select(docs.columns)
+    new = ("size", "source_size", "target", "repeats", "taken")
+    mixed = mixing.mix(set_aside(docs, *new)).filter("repeats > 0")
+    return take_back(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))).drop("__copy", *new), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
