@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors of one batch; they travel with the tasks.
 MAX_QUERIES = 4096
@@ -20,13 +21,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector has no length."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def normalize(v: Column) -> Column:
     """The vector with length 1, so that a cosine is one dot product."""
     length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return F.transform(v, lambda x: F.try_divide(x.cast("double"), length))
 
 
 def top_k(corpus: DataFrame, query: list[float], k: int, threshold: float = THRESHOLD, vector: str = "vector", tie: str = "id") -> DataFrame:
@@ -55,6 +57,8 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
     block = block / np.where(length > 0, length, np.nan)
     id_type, query_type = corpus.schema[tie].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
 
+    query_arrow = to_arrow_type(queries.schema[query_id].dataType)
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.filter(batch.column(1).is_valid())
@@ -68,7 +72,7 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
                 # Equal scores at the end of the k stay in: the window decides.
                 if len(at) > k:
                     at = at[s[at] >= np.partition(s[at], -k)[-k]]
-                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(at)), own.column(0).take(pa.array(at)), pa.array(s[at])], names=[query_id, tie, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(at), query_arrow), own.column(0).take(pa.array(at)), pa.array(s[at])], names=[query_id, tie, "score"])
 
     found = corpus.select(tie, vector).mapInArrow(nearest, f"{query_id} {query_type}, {tie} {id_type}, score double")
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), tie)) - 1

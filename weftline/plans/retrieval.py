@@ -233,7 +233,7 @@ def context_string(d: Data) -> DataFrame:
     return context.context_string(d.rank_ent, d.rank_rel_a, chunks, refs).select(F.md5("context").alias("context"))
 
 
-_VCHUNKS = f"vc AS (SELECT h.pos, t.* FROM (SELECT CAST(row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) - 1 AS INT) AS pos, 'd' || CAST(e.vec_id AS STRING) AS chunk_id FROM {{embeddings}} e, (SELECT embedding FROM {{embeddings}} WHERE vec_id = 2) q WHERE {_COS} >= 0.2 ORDER BY {_COS} DESC, e.vec_id LIMIT 20) h JOIN {{text_chunks}} t USING (chunk_id))"
+_VCHUNKS = f"vc AS (SELECT CAST(row_number() OVER (ORDER BY h.pos) - 1 AS INT) AS pos, t.* FROM (SELECT CAST(row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) - 1 AS INT) AS pos, 'd' || CAST(e.vec_id AS STRING) AS chunk_id FROM {{embeddings}} e, (SELECT embedding FROM {{embeddings}} WHERE vec_id = 2) q WHERE {_COS} >= 0.2 ORDER BY {_COS} DESC, e.vec_id LIMIT 20) h JOIN {{text_chunks}} t USING (chunk_id))"
 
 
 def _contents(d: Data) -> DataFrame:

@@ -44,7 +44,7 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_folders(spark: SparkSession, path: str, name: str = "SKILL.md") -> DataFrame:
     """(file_path, content): each sub-folder's file, named after the folder."""
-    files = spark.read.option("wholetext", "true").text(f"{path}/*/{name}")
+    files = spark.read.text(f"{path}/*/{name}", wholetext=True)
     return files.select(F.concat(F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1), F.lit(".md")).alias("file_path"), F.col("value").alias("content"))
 
 
