@@ -49,8 +49,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = (), small: bool = False) -> DataFrame:
+        """Write and read a table. ``small``: not more files than a few for each core, whatever the number of partitions."""
         schema = df.schema
+        if small:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))

@@ -26,10 +26,10 @@ def components(links: DataFrame, scratch: Scratch, label: str, max_rounds: int =
     Each round is written to the shared folder and read again, so that a lost executor costs one round at most. A node's
     links are reduced to the smallest one before the shuffle and never gathered.
     """
-    now = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
+    now = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0", small=True)
     mark = None
     for i in range(1, max_rounds + 1):
-        now = scratch.keep(_to_smallest(_to_smallest(now, True), False), f"{label}-{i}")
+        now = scratch.keep(_to_smallest(_to_smallest(now, True), False), f"{label}-{i}", small=True)
         scratch.drop(f"{label}-{i - 1}")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:

@@ -370,7 +370,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     found = scratch.keep(found, "tiles")
     least = found.groupBy("token").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("top > b")
     groups = components(found.join(least, "token").select(F.col("cid").alias("a"), "b"), scratch, "groups").withColumnRenamed("node", "cid")
-    links = scratch.keep(link_candidates(docs, groups, scratch), "links")
+    links = scratch.keep(link_candidates(docs, groups, scratch), "links", small=True)
     scratch.drop("tiles", "sets")
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
     labelled = classes.join(roots, "cid", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "cid")))

@@ -143,13 +143,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     cut = ends.join(last, "__weft_p", "left").select("__weft_p", F.col("__weft_cell").alias("__weft_end"), "__weft_last", (F.col("__weft_room") - F.coalesce("__weft_used", F.lit(0))).alias("__weft_gap"))
     # What is still missing goes to the largest document that fits, a few times over.
     for i in range(FILLS):
-        cut = scratch.keep(cut, f"cut{i}")  # one row per pattern
+        cut = scratch.keep(cut, f"cut{i}", small=True)  # one row per pattern
         left = small.join(F.broadcast(cut), "__weft_p").filter(~_before(F.col("__weft_at")) & (F.col("__weft_at.size") > 0) & (F.col("__weft_at.size") <= F.col("__weft_gap")))
         for k in range(i):
             left = left.filter(F.col(f"__weft_fill{k}").isNull() | (F.col("__weft_at") != F.col(f"__weft_fill{k}")))
         fill = left.groupBy("__weft_p").agg(F.max(F.struct(F.col("__weft_at.size").alias("n"), F.col("__weft_at").alias("at"))).alias("f")).select("__weft_p", F.col("f.at").alias(f"__weft_fill{i}"))
         cut = cut.join(fill, "__weft_p", "left").withColumn("__weft_gap", F.col("__weft_gap") - F.coalesce(F.col(f"__weft_fill{i}.size"), F.lit(0)))
-    cut = scratch.keep(cut, "cut")
+    cut = scratch.keep(cut, "cut", small=True)
     rows = rows.withColumn("__weft_at", in_order).join(plan_rows, "__weft_p").join(F.broadcast(cut), "__weft_p", "left")  # cut: one row per pattern
     extra = _before(F.col("__weft_at"))
     for i in range(FILLS):

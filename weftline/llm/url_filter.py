@@ -120,7 +120,7 @@ def build_cascade(universe: DataFrame, scratch: Scratch, label: str, bits_per_ke
         cascade.levels.append(row)
         cascade.sizes.append(n_bits)
         probed = outside.withColumn("__weft_bits", row.scalar())
-        wrong = scratch.keep(probed.filter(cascade.passes(F.col("key"), F.col("__weft_bits"), level)).select("key"), f"{label}-wrong{level}")
+        wrong = scratch.keep(probed.filter(cascade.passes(F.col("key"), F.col("__weft_bits"), level)).select("key"), f"{label}-wrong{level}", small=True)
         inside, outside = wrong, inside
     raise ValueError(f"{max_levels} levels of the cascade were not enough")
 
@@ -156,10 +156,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", **options) -> Da
 
 
 def _judge_by_join(judged: DataFrame, rules: DataFrame) -> DataFrame:
-    """For lists beyond the filters' size: candidates meet the rules in a shuffled join, one row per hit comes back."""
-    judged = judged.withColumn("__weft_row", F.monotonically_increasing_id())
+    """For lists beyond the filters' size: candidates of each host and path meet the rules in a shuffled join."""
     merged = rules.groupBy("rule").agg(F.max((F.col("verdict") == BLOCK).cast("int")).alias("blocks"))
-    found = judged.select("__weft_row", F.posexplode("__weft_keys").alias("i", "key")).join(merged.hint("shuffle_hash"), F.col("key") == F.col("rule"))
-    best = found.groupBy("__weft_row").agg(F.min(F.struct("i", "rule", "blocks")).alias("__weft_best"))
-    out = judged.join(best, "__weft_row", "left").withColumns({"rule": F.col("__weft_best.rule"), "verdict": F.when(F.col("__weft_best.blocks") == 1, BLOCK).otherwise(ALLOW)})
-    return out.drop("__weft_row", "__weft_keys", "__weft_best")
+    asked = judged.select("host", "path", "__weft_keys").dropDuplicates(["host", "path"])
+    found = asked.select("host", "path", F.posexplode("__weft_keys").alias("i", "key")).join(merged.hint("shuffle_hash"), F.col("key") == F.col("rule"))
+    best = found.groupBy("host", "path").agg(F.min(F.struct("i", "rule", "blocks")).alias("__weft_best"))
+    out = judged.join(best, ["host", "path"], "left").withColumns({"rule": F.col("__weft_best.rule"), "verdict": F.when(F.col("__weft_best.blocks") == 1, BLOCK).otherwise(ALLOW)})
+    return out.select(*(c for c in judged.columns if c != "__weft_keys"), "rule", "verdict")
