@@ -41,3 +41,35 @@ def test_progress_stream(spark, tmp_path):
     job.processAllAvailable()
     job.stop()
     assert sum(seen) == 3
+
+
+def test_work(spark, tmp_path):
+    from weftline import schema
+
+    e, path = Engine(spark, str(tmp_path / "kb"), workspace="w"), str(tmp_path / "tasks")
+    row = lambda i, p, text: (i, 1, None, text, f"{i}.md", "Pending", None, 0, None, None, None, None, p, 0, 3)
+    spark.createDataFrame([row("a", 1, "Ann met Bea."), row("b", 0, "Cid met Dan.")], schema.TASKS).write.parquet(path)
+    assert e.work(path) == 1
+    state = lambda: {r["task_id"]: r["status"] for r in spark.read.parquet(path).collect()}
+    assert state() == {"a": "Pending", "b": "Completed"} and e.table("full_docs").count() == 1
+    e.model = None
+    assert e.work(path, 5) == 1
+    assert state() == {"a": "Failed", "b": "Completed"}
+    assert Engine(spark, str(tmp_path / "kb"), workspace="other").table("nodes").count() == 0
+
+
+def test_prompts_and_attempts(spark):
+    from weftline import models, prompts
+
+    df = spark.createDataFrame([("q", ["a", "b"])], "x string, p array<string>")
+    said = df.select(prompts.extraction(F.col("x")), prompts.keywords(F.col("x")), prompts.summary(F.col("x"), F.col("p")), prompts.answer(F.col("x"), F.col("x"), "List")).first()
+    assert said[0].endswith("Text:\nq") and said[2].endswith('{"description":"a"}\n{"description":"b"}') and all(said)
+    tries = []
+
+    def fails(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise OSError
+        return x
+
+    assert models.with_attempts(fails, 3, 0)(7) == 7 and len(tries) == 3

@@ -241,3 +241,9 @@ def test_events(spark):
     pieces = spark.createDataFrame([(0, "a", None), (1, "", None), (2, "b", None)], "seq int, text string, error string")
     assert rows(context.fold_sse(context.sse_events(pieces)), "answer") == [("ab",)]
     assert context.sse_events(pieces.filter("false")).count() == 1
+
+
+def test_delete_documents(spark):
+    docs = spark.createDataFrame([(1, True), (2, False), (3, False)], "id int, is_in_rag_system boolean")
+    left, refused = documents.delete(docs, spark.createDataFrame([(1,), (2,), (9,)], "id int"))
+    assert sorted(rows(left, "id")) == [(1,), (3,)] and rows(refused, "id") == [(1,)]

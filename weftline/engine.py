@@ -13,7 +13,7 @@ from . import models, schema
 from .functions.ids import prefixed_md5
 from .functions.text import sanitize_encoding
 from .functions.text import pack
-from .operators import chunking, context, extract, graph, kv, merge, retrieve, vector
+from .operators import chunking, context, extract, graph, kv, merge, retrieve, taskqueue, vector
 
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
 NO_CONTEXT = "There is nothing in the knowledge base that answers this question."
@@ -78,8 +78,9 @@ class Engine:
         "chunk_vectors": schema.VECTORS, "entity_vectors": schema.VECTORS, "relation_vectors": f"{schema.VECTORS}, src string, tgt string", "llm_cache": "chunk_id string, response string",
     }
 
-    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, model: models.LanguageModel | None = None):
-        self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
+    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, model: models.LanguageModel | None = None, workspace: str = "_"):
+        # Every workspace has its own folder: a query never reads another one's files.
+        self.spark, self.path, self.options = spark, f"{path.rstrip('/')}/workspace={workspace}", options or Options()
         self.embedder, self.reranker, self.model = embedder or models.HashingEmbedder(), reranker or models.OverlapReranker(), model or models.RuleModel()
 
     def table(self, name: str) -> DataFrame:
@@ -217,6 +218,24 @@ class Engine:
             return
         yield from (piece for piece in self.model.generate("\n\n".join(text for _, text in self.prompt(question, p, said))) if piece.strip())
 
+    def work(self, tasks_path: str, most: int = 1, now: str = "1970-01-01 00:00:00") -> int:
+        """Take up to ``most`` pending tasks, one after the other, insert their documents and record how they ended."""
+        done = 0
+        while done < most:
+            tasks = self.spark.read.schema(schema.TASKS).parquet(tasks_path)
+            row = taskqueue.next_task(tasks).first()
+            if row is None:
+                break
+            kv.replace_table(taskqueue.update(tasks, row["task_id"], taskqueue.PROCESSING, now), tasks_path)
+            tasks, error = self.spark.read.schema(schema.TASKS).parquet(tasks_path), None
+            try:
+                self.insert_documents(self.spark.createDataFrame([(row["content"], row["file_path"])], "content string, file_path string"))
+            except Exception as e:  # the task carries the error; the queue goes on
+                error = str(e)[:2000]
+            kv.replace_table(taskqueue.update(tasks, row["task_id"], taskqueue.FAILED if error else taskqueue.COMPLETED, now, error), tasks_path)
+            done += 1
+        return done
+
     def subgraph(self, label: str = "*", depth: int = 3, max_nodes: int = 1000, mode: str = "reachability") -> tuple[DataFrame, DataFrame, bool]:
         return graph.subgraph(self.table("nodes"), self.table("edges"), label, depth, max_nodes, mode)
 

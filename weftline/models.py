@@ -6,9 +6,10 @@ The stand-ins are deterministic and make the engine run without a network; they
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -86,6 +87,21 @@ class RuleModel:
         yield prompt[-500:]
 
 
+def with_attempts(call: Callable, attempts: int = 3, wait: float = 0.5) -> Callable:
+    """A call to a service that is tried again, each time after a longer wait; the last failure is raised."""
+
+    def tried(*args):
+        for k in range(1, attempts + 1):
+            try:
+                return call(*args)
+            except Exception:
+                if k == attempts:
+                    raise
+                time.sleep(wait * k)
+
+    return tried
+
+
 def embed_column(model: Embedder, batch: int = 10) -> Column:
     """A function of a text column. ``batch`` texts go to the model at a time."""
 
@@ -93,7 +109,8 @@ def embed_column(model: Embedder, batch: int = 10) -> Column:
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:
             values = series.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(values), batch) for v in model.embed(values[i : i + batch])], dtype=object)
+            embed_some = with_attempts(model.embed)
+            yield pd.Series([v for i in range(0, len(values), batch) for v in embed_some(values[i : i + batch])], dtype=object)
 
     return embed
 

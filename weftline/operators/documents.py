@@ -34,6 +34,13 @@ def validate_uploads(files: DataFrame, stored: DataFrame | None = None, max_byte
     return rows.withColumn("reason", reason).drop("bad", "__n", "__h", "__name", "__hash")
 
 
+def delete(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents without the ids (id), ids that were refused): an indexed document stays."""
+    asked = ids.select("id").distinct()
+    refused = documents.filter("is_in_rag_system").select("id").join(asked, "id", "left_semi")
+    return documents.join(asked.join(refused, "id", "left_anti"), "id", "left_anti"), refused
+
+
 def status_bucket(status: Column) -> Column:
     """Running first, then waiting, then failed, then the others (fixed order)."""
     return F.when(status == "Processing", 0).when(status == "Pending", 1).when(status == "Failed", 2).otherwise(3)

@@ -34,20 +34,25 @@ def has_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(known, (low == F.col("__a")) & (high == F.col("__b")), "left").select("src", "tgt", F.coalesce("__yes", F.lit(False)).alias("has_edge"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(entity_id, degree) of all nodes with edges. Ends are counted before the shuffle."""
+def degrees(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(entity_id, degree) of all nodes with edges, or of those ``of`` (entity_id) names. Ends are counted before the shuffle.
+
+    A short list of nodes is best given: then only their ends are counted, and a broadcast join picks them.
+    """
     ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_id"))
+    if of is not None:
+        ends = ends.join(of.select("entity_id").distinct(), "entity_id", "left_semi")
     return ends.groupBy("entity_id").agg(F.count("*").alias("degree"))
 
 
-def node_degrees(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Degrees of the given ids (entity_id), 0 where there is no edge."""
-    return ids.select("entity_id").distinct().join(degrees(edges), "entity_id", "left").select("entity_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+def node_degrees(edges: DataFrame, ids: DataFrame, few: bool = False) -> DataFrame:
+    """Degrees of the given ids (entity_id), 0 where there is no edge. ``few``: the ids are a short list."""
+    return ids.select("entity_id").distinct().join(degrees(edges, ids if few else None), "entity_id", "left").select("entity_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def edge_degrees(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (src, tgt) with rank, the sum of both ends' degrees."""
-    deg = degrees(edges)
+def edge_degrees(edges: DataFrame, pairs: DataFrame, few: bool = False) -> DataFrame:
+    """pairs (src, tgt) with rank, the sum of both ends' degrees. ``few``: the pairs are a short list."""
+    deg = degrees(edges, pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id")) if few else None)
     out = pairs.join(deg.withColumnsRenamed({"entity_id": "src", "degree": "__a"}), "src", "left").join(deg.withColumnsRenamed({"entity_id": "tgt", "degree": "__b"}), "tgt", "left")
     return out.select("src", "tgt", (F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).alias("rank"))
 

@@ -25,7 +25,7 @@ def weight(c: Column) -> Column:
 def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """hits (pos, entity_id) of the entity store with their node and degree (rank); hits without a node or id fall out."""
     found = hits.filter(F.length("entity_id") > 0).select("pos", "entity_id").join(nodes, "entity_id")
-    deg = graph.node_degrees(edges, found)
+    deg = graph.node_degrees(edges, found, few=True)
     return found.join(deg, "entity_id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
@@ -34,7 +34,7 @@ def local_relations(entities: DataFrame, edges: DataFrame, limit: int | None = N
     ids = entities.select("entity_id").distinct()
     at = edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").select("src", "tgt")
     near = at.unionByName(edges.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt", "left_semi").select("src", "tgt")).distinct()
-    ranks = graph.edge_degrees(edges, near)
+    ranks = graph.edge_degrees(edges, near, few=True)
     out = ranks.join(edges, ["src", "tgt"]).withColumn("weight", weight(F.col("weight")))
     out = out.orderBy(F.desc("rank"), F.desc("weight"), "src", "tgt")
     return ranked(out.limit(limit) if limit else out, F.desc("rank"), F.desc("weight"), "src", "tgt")

@@ -29,6 +29,19 @@ def recover(tasks: DataFrame) -> DataFrame:
     return out.withColumn("started_at", F.when(running, F.lit(None).cast("timestamp")).otherwise(F.col("started_at"))) if "started_at" in tasks.columns else out
 
 
+def update(tasks: DataFrame, task_id: str, status: str, now: str, error: str | None = None) -> DataFrame:
+    """tasks with the status of one of them, its times and error."""
+    own = F.col("task_id") == task_id
+    at = F.lit(now).cast("timestamp")
+    return tasks.withColumns({
+        "status": F.when(own, status).otherwise(F.col("status")),
+        "progress": F.when(own, 100 if status == COMPLETED else 0).otherwise(F.col("progress")),
+        "started_at": F.when(own & F.lit(status == PROCESSING), at).otherwise(F.col("started_at")),
+        "completed_at": F.when(own & F.lit(status in (COMPLETED, FAILED)), at).otherwise(F.col("completed_at")),
+        "error_message": F.when(own, F.lit(error)).otherwise(F.col("error_message")),
+    })
+
+
 def _step(s: Column, e: Column) -> Column:
     """The state after an event. Events that are not allowed in a state change nothing; terminal tasks stay, so that retries find them."""
     status, op = s["status"], e["op"]

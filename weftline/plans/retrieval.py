@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..operators import context, retrieve, vector
+from ..session import settle
 from .stores import query_vector
 from .views import Data, register
 
@@ -45,13 +46,13 @@ _MIX = f"""{_LOCAL}, {_GLOBAL}, me AS ({_rr_sql(["le", "ge"], "entity_id", _EC)}
 
 def _local(d: Data) -> tuple[DataFrame, DataFrame]:
     hits = vector.top_k(d.ent_vec, query_vector(d), 20, vector="embedding", tie="vec_id").select("pos", "entity_id")
-    entities = retrieve.local_entities(hits, d.kg_nodes, d.kg_edges)
+    entities = settle(retrieve.local_entities(settle(hits, "hits"), d.kg_nodes, d.kg_edges), "entities")
     return entities, retrieve.local_relations(entities, d.kg_edges)
 
 
 def _global(d: Data) -> tuple[DataFrame, DataFrame]:
     hits = vector.top_k(d.rel_vec, query_vector(d, 1), 20, vector="embedding", tie="vec_id").select("pos", "src", "tgt")
-    relations = retrieve.global_relations(hits, d.kg_edges)
+    relations = settle(retrieve.global_relations(settle(hits, "hits"), d.kg_edges), "relations")
     return retrieve.global_entities(relations, d.kg_nodes), relations
 
 
@@ -152,11 +153,11 @@ _R_CHUNKS = f"""{_polling_sql("{rank_rel_a}", "b", "WHERE s[nth] NOT IN (SELECT
 
 
 def _entity_chunks(d: Data) -> DataFrame:
-    return retrieve.related_chunks_entities(d.rank_ent, d.text_chunks)
+    return settle(retrieve.related_chunks_entities(settle(d.rank_ent, "ranked"), d.text_chunks), "chunks")
 
 
 def _relation_chunks(d: Data) -> DataFrame:
-    return retrieve.related_chunks_relations(d.rank_rel_a, d.text_chunks, _entity_chunks(d))
+    return retrieve.related_chunks_relations(settle(d.rank_rel_a, "ranked"), d.text_chunks, _entity_chunks(d))
 
 
 @query(f"WITH {_E_CHUNKS} SELECT pos, chunk_id, md5(content) AS content, file_path FROM ec")
@@ -239,8 +240,8 @@ _VCHUNKS = f"vc AS (SELECT CAST(row_number() OVER (ORDER BY h.pos) - 1 AS INT) A
 def _contents(d: Data) -> DataFrame:
     store = d.spark.sql(_VC, embeddings=d.embeddings)
     near = retrieve.with_content(vector.top_k(store, query_vector(d, 2), 20, vector="embedding", tie="vec_id").select("pos", "chunk_id"), d.text_chunks)
-    merged = retrieve.merge_chunks(near, _entity_chunks(d), _relation_chunks(d))
-    return retrieve.token_budget(merged, F.col("content"), 16000)
+    merged = retrieve.merge_chunks(settle(near, "chunks"), _entity_chunks(d), settle(_relation_chunks(d), "chunks"))
+    return settle(retrieve.token_budget(merged, F.col("content"), 16000), "chunks")
 
 
 _MERGED = f"""{_E_CHUNKS}, {_R_CHUNKS}, {_VCHUNKS}, mc AS ({_rr_sql(["vc", "ec", "rc"], "chunk_id", "chunk_id, content, file_path")}), bc AS ({_budget_sql("content", "mc", "pos, chunk_id, content, file_path", 16000)})"""

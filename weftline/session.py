@@ -1,13 +1,29 @@
-"""Sending the package to the executors of a session."""
+"""Sending the package to the executors of a session, and short lists in its shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+def settle(rows: DataFrame, label: str) -> DataFrame:
+    """A short list as a table in the cluster's shared folder, so that what follows does not compute it again."""
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, base, True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/weftline-{label}-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
 
 _shipped: set[str] = set()
 
