@@ -39,6 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what operators have left in the shared folder. Results that were not written elsewhere can't be read afterwards."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = base.getFileSystem(conf)
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(base, "weftline-*")) or []:
+        fs.delete(status.getPath(), True)
+
+
 class Scratch:
     """Intermediate tables of one run of an operator. A table cuts the lineage: a lost executor's tasks start from files."""
 

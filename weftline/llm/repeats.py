@@ -17,7 +17,7 @@ of anchors, segments and cores, fringes byte by byte.
 
 Nulls and odd input: a null text is empty; texts of fewer than 100 bytes lose nothing; of rows repeated with id and text the
 first keeps its bytes; different texts under one id are told apart by 18 bits of their hash; an empty table gives an
-empty result; other columns are ignored. No group is gathered: tasks stream sorted rows, and a core with more than
+empty result; a text may have up to 1 GB; other columns are ignored. No group is gathered: tasks stream sorted rows, and a core with more than
 ``CHUNK`` rows is worked off in pieces that pass on hashes of the windows seen.
 """
 
