@@ -29,6 +29,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.lower() in new))
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of a few MB, unless the session says otherwise: a task's memory then does not depend on how long texts are."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch
+from .common import Scratch, bounded_batches
 from .components import components
 
 SHINGLE = 5
@@ -146,7 +146,7 @@ def _column(t: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
 
 
-def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int = 1_500_000) -> DataFrame:
+def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
     """(token, cid): the classes that need a partner on one of their rarest shingles, under those shingles.
 
     Two shuffles of packed arrays: shingles to hash buckets of about ``per_bucket`` shingles, where they are counted; those that
@@ -359,6 +359,7 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, tile:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per document."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     classes, common = classify(docs, scratch)
@@ -373,7 +374,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = scratch.keep(link_candidates(docs, groups, scratch), "links", small=True)
     scratch.drop("tiles", "sets")
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
-    labelled = classes.join(roots, "cid", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("root", "cid")))
-    smallest = labelled.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = labelled.join(smallest, "group", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Smallest ids by class, then by component of linked classes; a class with a third of all documents is summed up before it
+    # is shuffled, and documents meet their class in a plain join, whose large keys Spark can split.
+    least = classes.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    linked = scratch.keep(least.join(roots, "cid"), "linked")
+    components_least = scratch.keep(linked.groupBy("root").agg(F.min("least").alias("component")), "component-ids")
+    by_class = least.join(linked.select("cid", "root").join(components_least, "root"), "cid", "left").select("cid", F.coalesce("component", "least").alias("component"))
+    by_class = scratch.keep(by_class, "class-ids")
+    key = F.when(F.col("n") > 0, F.col("cid"))
+    out = classes.withColumn("cid", key).join(by_class, "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
