@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import without
+from .common import bounded_batches, without
 
 SIZE = 10
 #: A-Z belong to words as well: they are lowered.
@@ -123,6 +123,7 @@ def _find(data: np.ndarray, offsets: np.ndarray, index: Windows) -> list[tuple[i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, max_windows: int = 2_000_000) -> DataFrame:
     """docs and the columns n_words, n_hit, items (sorted strings) and contaminated."""
+    bounded_batches(docs.sparkSession)
     docs = without(docs, "n_words", "n_hit", "items", "contaminated")
     words = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     if words > 64 * max_windows:

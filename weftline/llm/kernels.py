@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def byte_class(chars: bytes) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import without
+from .common import bounded_batches, without
 
 UNKNOWN = "und"
 WIDTH = 1 << 13
@@ -127,6 +127,7 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
 
 def identify(docs: DataFrame, model: Model, text: str = "text", min_gap: float = 0.2) -> DataFrame:
     """docs and the columns lang_pred, score (0 to 1) and ambiguous (the two nearest codewords are less than min_gap apart)."""
+    bounded_batches(docs.sparkSession)
     docs = without(docs, "lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH x bits, a few hundred kB
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])

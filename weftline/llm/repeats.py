@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bwt_merge import repeated
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
 LENGTH = 100
 GRAM = 16
@@ -372,6 +372,7 @@ def _sorted_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     least = -(2**63)
     text = F.coalesce("text", F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import without
+from .common import bounded_batches, without
 
 PAD, UNIT = 255, 576
 RATE, TARGET_RATE = 8000, 16000
@@ -143,6 +143,7 @@ def features(pcm: np.ndarray) -> str:
 
 def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, and the columns n_bytes, media (AU, mu-law)."""
+    bounded_batches(docs.sparkSession)
     docs = without(docs, "n_bytes", "media")
     fields = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])

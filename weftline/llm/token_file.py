@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import simple8b
+from .common import bounded_batches
 
 END_ID = 2
 SEGMENT_IDS = 1 << 17
@@ -34,6 +35,9 @@ SCHEMA = "part int, seq int, before bigint, doc_ids array<bigint>, n_tokens arra
 #: What the vectorised pre-tokenizer knows: ASCII but for control characters, apostrophes and special tokens' marks, and
 #: Latin letters of two bytes. Other texts go to the library whole.
 _ODD = rb"[\x00-\x08\x0b\x0c\x0e-\x1f'\x7f\xc2\xca-\xff]|\xc3[\x97\xb7]|<\|"
+#: Byte-level vocabularies write bytes as printable signs: those of Latin-1 that are printable stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _LETTER, _DIGIT, _OTHER, _SPACE = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
@@ -80,6 +84,12 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.fromiter((i for ids in found for i in ids), np.uint32), np.array([len(ids) for ids in found], np.int64)
 
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens, which go straight to the library's merges."""
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(p.decode("latin-1").translate(_SIGNS))] for p in pieces]
+        return np.fromiter((i for ids in found for i in ids), np.uint32), np.array([len(ids) for ids in found], np.int64)
+
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = piece_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
@@ -93,7 +103,7 @@ class Encoder:
             where = np.empty(len(known), np.int64)
             where[place] = np.arange(len(codes))
             raw = data.tobytes()
-            ids, sizes = self._library([raw[starts[k] : ends[k]].decode() for k in where[new]])
+            ids, sizes = self._pieces([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
             self.row = np.insert(self.row, at[new], len(self.row) + np.arange(len(new)))
             self.keys = np.insert(self.keys, at[new], known[new])
             self.ids, self.first = np.concatenate([self.ids, ids]), np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
@@ -134,6 +144,7 @@ def encoder(path: str) -> Encoder:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Write ``docs`` as a token dataset at ``path``. tokenizer: path of a tokenizers file that every executor has."""
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
