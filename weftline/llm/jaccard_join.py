@@ -314,7 +314,7 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, tile:
 
     sets = docs.select("text").mapInArrow(arrays, "cid bigint, shingles binary, n bigint").dropDuplicates(["cid"]).join(groups, "cid")
     sets = scratch.keep(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(UNDER / OVER)) + 1e-9).cast("int")), "sets")
-    per_group = sets.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("words"))
+    per_group = scratch.keep(sets.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("words")), "group-sizes", small=True)
     small = per_group.filter((F.col("k") <= tile) & (F.col("words") <= 4 * pack_words))
     large = per_group.join(small, "root", "left_anti").select("root")
     # Small groups share tasks of about pack_words shingles.
