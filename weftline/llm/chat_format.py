@@ -8,7 +8,7 @@ Event kinds: ``message`` (the whole text), ``delta`` (appended), ``edit`` (repla
 
 Template: each turn is ``<s>`` + url-encoded role + newline + text + newline + ``</s>`` + newline. Control strings inside
 a text get a backslash before them, and reading back takes one away, so every text survives. The loss mask covers the
-texts of the role ``assistant``.
+texts of the role ``assistant``; a span says which turn it lies in, so that reading it does not scan the whole conversation.
 
 Nulls and odd input: null roles and texts count as empty, a null conversation id is a conversation of its own; messages
 with the same position stay separate, in the order of role and text; an empty log gives an empty result; further
@@ -53,27 +53,39 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, message, role, text) -> one row per conversation: formatted, loss_spans (start, length)."""
+    """messages (conv_id, message, role, text) -> one row per conversation: formatted, loss_spans (start, length, turn)."""
     turn_head = F.concat(F.lit("<s>"), F.url_encode("role"), F.lit("\n"))
     body = escape(F.col("text"))
     turns = messages.select("conv_id", "message", "role", turn_head.alias("head"), body.alias("body"))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit(TURN_END)))
-    before = W.partitionBy("conv_id").orderBy("message").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("conv_id").orderBy("message")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)) + F.char_length("head"))
-    span = F.when(F.col("role") == LOSS_ROLE, F.struct("start", F.char_length("body").cast("bigint").alias("length")))
+    turns = turns.withColumn("turn", F.row_number().over(order) - 1)
+    span = F.when(F.col("role") == LOSS_ROLE, F.struct("start", F.char_length("body").cast("bigint").alias("length"), "turn"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("message", "piece"))).alias("pieces"), F.array_sort(F.collect_list(span)).alias("loss_spans"))
     return rows.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns of a rendered conversation: array of (role, text)."""
+def split_turns(formatted: Column) -> Column:
+    """The turns of a rendered conversation as they stand in it, head and body, without their ends."""
     pieces = F.split(formatted, TURN_END, -1)
-    pieces = F.slice(pieces, 1, F.size(pieces) - 1)
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def read_turns(pieces: Column) -> Column:
+    """From split turns: array of (role, text)."""
     head_end = lambda p: F.locate("\n", p)
     role = lambda p: F.url_decode(F.substr(p, F.lit(4), head_end(p) - F.lit(4)))
     return F.transform(pieces, lambda p: F.struct(role(p).alias("role"), unescape(F.substr(p, head_end(p) + F.lit(1))).alias("text")))
 
 
+def read_masked(pieces: Column, loss_spans: Column) -> Column:
+    """From split turns, the texts under the loss mask, unescaped: a span is the end of its turn."""
+    piece = lambda span: F.get(pieces, span["turn"])
+    return F.transform(loss_spans, lambda s: unescape(F.substr(piece(s), F.char_length(piece(s)) - s["length"].cast("int") + F.lit(1))))
+
+
 def conversation_events(rows: DataFrame) -> DataFrame:
     """Logged turns (conv_id, turn, role, text) as events: one message event each, rows of one turn kept apart."""
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -87,10 +99,10 @@ def format_conversations(events: DataFrame) -> DataFrame:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Figures of the rendered conversations, all read back from the rendered text."""
-    rows = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    rows = formatted.select("conv_id", "formatted", "loss_spans", split_turns(F.col("formatted")).alias("pieces"))
+    rows = rows.select("conv_id", "formatted", read_turns(F.col("pieces")).alias("turns"), read_masked(F.col("pieces"), F.col("loss_spans")).alias("masked"))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
-    rows = rows.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), every.alias("every"), loss.alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    rows = rows.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), every.alias("every"), F.array_join("masked", "").alias("loss"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
     return rows.select(
         "conv_id",
         "n_turns",
