@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
+#: Fixed value: the format's name for a record whose payload is that of another.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _header(version: str = "WARC/1.1") -> Column:
+def _header(date: str, version: str = "WARC/1.1") -> Column:
     one = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -32,16 +34,17 @@ def _header(version: str = "WARC/1.1") -> Column:
         F.lit(version + CRLF),
         one("WARC-Type", F.col("record_type")),
         one("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
+        one("WARC-Date", F.lit(date)),
         one("WARC-Target-URI", uri),
         one("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(one("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), one("WARC-Profile", F.lit("identical-payload-digest")))).otherwise(""),
+        F.when(revisit, F.concat(one("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), one("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(""),
         one("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string"))),
         F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisit: int = 1000) -> None:
-    """pages (page_id, url, <payload> string) -> ``path``/payloads and ``path``/records."""
+def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisit: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
+    """pages (page_id, url, <payload> string) -> ``path``/payloads and ``path``/records. ``date``: when they were captured."""
     raw = pages.select("page_id", "url", F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
     raw = raw.withColumns({"address": F.sha2("payload", 256), "sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("bigint")})
     once = raw.groupBy("address", "sha1", "n_bytes").agg(F.first("payload").alias("payload"))
@@ -53,7 +56,7 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisi
     records = raw.select("page_id", "url", "address", "sha1", "n_bytes", shares.alias("key")).join(owners.withColumnRenamed("address", "key"), "key", "left")
     revisits = F.coalesce(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.lit(False))
     records = records.withColumns({"record_type": F.when(revisits, "revisit").otherwise("response"), "refers_to": F.when(revisits, F.col("owner"))})
-    records.select("address", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
+    records.select("address", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
