@@ -96,6 +96,16 @@ def test_language(spark, docs, empty):
     assert {r[0] for r in L.identify(train, L.learn(train.filter("false"))).select("lang_pred").distinct().collect()} == {"und"}
 
 
+def test_rare_labels_are_learned(spark):
+    assert L.rooms({"a": 1000, "b": 3, "c": 500}, 100) == {"b": 3, "c": 48, "a": 49}
+    assert L.rooms({"a": 5, "b": 3}, 100) == {"a": 5, "b": 3} and L.rooms({}, 100) == {}
+    rows = [(f"the house of cats number {chr(97 + k % 26)} {k}", "en") for k in range(2000)] + [(f"perché gli zoccoli {chr(97 + k)}", "it") for k in range(6)]
+    model = L.learn(spark.createDataFrame(rows, "text string, lang string"), max_fit=40)
+    assert model.labels == ["en", "it"]
+    with pytest.raises(ValueError, match="labels"):
+        L.learn(spark.createDataFrame(rows, "text string, lang string"), max_labels=1)
+
+
 def test_long_text_is_read_whole():
     model = L.fit([b"aaaa", b"bbbb"] * 10, ["a", "b"] * 10)
     x = L._vector(np.frombuffer(b"a" * 100 + b"b" * 4000, np.uint8))

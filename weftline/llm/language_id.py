@@ -5,8 +5,8 @@ loss-weighted distance to each codeword decides, and a small gap between the two
 
 Features: the share of each hashed 1-, 2- and 3-gram of letters (lower-cased ASCII, other bytes as they are; digits,
 punctuation and blanks count as one separator), square-rooted. Classifiers: logistic regression on at most ``max_fit``
-labelled documents of at most ``fit_bytes`` bytes each, chosen by a hash of the text, so that equal corpora give equal
-models. Prediction reads whole texts.
+labelled documents of at most ``FIT_BYTES`` bytes each, equally many of each label where there are enough, chosen by a hash
+of the text, so that equal corpora give equal models. Prediction reads whole texts.
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; rows without a label are not learned
 from; with a single language the answer is that language, with none it is ``und``; repeated rows are predicted alike;
@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import kernels as K
 from .common import bounded_batches, without
@@ -110,21 +111,37 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, score, second - loss.min(1)
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit: int = MAX_FIT) -> Model:
-    """Fit on at most ``max_fit`` labelled documents with different texts, those of smallest text hash.
+def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit: int = MAX_FIT, max_labels: int = 1000) -> Model:
+    """Fit on at most ``max_fit`` labelled documents with different texts, for each label those of smallest text hash.
 
-    A threshold on the hash, from the number of labelled documents, leaves about 1.5 times ``max_fit`` rows before they are
-    put in order, so that what reaches the driver does not grow with the corpus.
+    Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. A
+    threshold on the hash, from each label's number of documents, leaves about 1.5 times the room before rows are put in
+    order, so that what reaches the driver does not grow with the corpus.
     """
-    known = labelled.filter(F.col(label).isNotNull())
-    share = min(1.0, 1.5 * max_fit / max(1, known.count()))
-    h = F.pmod(F.xxhash64(text), F.lit(1 << 40))
+    known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    room = rooms(counts, max_fit)
+    bound = [(name, int(min(1.0, 1.5 * room[name] / n) * (1 << 40)), room[name]) for name, n in counts.items()]
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "label string, bound bigint, room int"))  # at most max_labels rows
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     # substring cuts the sample that the classifier is fitted on; prediction reads whole texts.
-    sample = known.filter(F.col(text).isNotNull() & (h < int(share * (1 << 40)))).select(F.col(label).alias("label"), h.alias("h"), F.substring(text, 1, FIT_BYTES).alias("text"))
-    rows = sample.dropDuplicates(["h", "label"]).orderBy("h", "label").limit(max_fit).collect()
+    sample = known.withColumn("h", h).join(bounds, "label").filter("h < bound").select("label", "h", "room", F.substring("text", 1, FIT_BYTES).alias("text"))
+    place = F.row_number().over(W.partitionBy("label").orderBy("h", "text"))
+    rows = sample.dropDuplicates(["h", "label"]).withColumn("place", place).filter("place <= room").orderBy("h", "label").collect()
     return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
+def rooms(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many documents of each label fit into ``total``: all of a rare one's, and equal parts of what is left."""
+    out, left = {}, total
+    for i, name in enumerate(sorted(counts, key=lambda c: (counts[c], c))):
+        out[name] = min(counts[name], left // (len(counts) - i))
+        left -= out[name]
+    return out
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", min_gap: float = 0.2) -> DataFrame:
     """docs and the columns lang_pred, score (0 to 1) and ambiguous (the two nearest codewords are less than min_gap apart)."""
     bounded_batches(docs.sparkSession)
