@@ -87,7 +87,8 @@ def test_warc(spark, tmp_path):
         body = b"" if r["record_type"] == "revisit" else bytes(r["payload"])
         record = bytes(r["record"])
         assert record == r["header"].encode() + body + b"\r\n\r\n" and f"Content-Length: {len(body)}\r\n".encode() in record
-        assert record.startswith(b"WARC/1.1\r\n") and record.count(b"WARC-Target-URI") == 1
+        assert record.startswith(b"WARC/1.1\r\n") and record.count(b"WARC-Target-URI") == 1 and record.count(b"WARC-Date: 1970-01-01T00:00:00Z\r\n") == 1
+        assert (b"\r\nWARC-Profile: http://netpreserve.org/" in record) == (r["record_type"] == "revisit")
     W.write_archive(pages.filter("false"), str(tmp_path / "none"))
     assert W.read_archive(spark, str(tmp_path / "none")).count() == 0
 
