@@ -106,6 +106,20 @@ def test_rare_labels_are_learned(spark):
         L.learn(spark.createDataFrame(rows, "text string, lang string"), max_labels=1)
 
 
+def test_language_of_many_copies_is_learned(spark):
+    # 3000 rows of one language are copies of three texts: its threshold comes from the three, not from the rows.
+    rows = [(f"the quick fox and that dog number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(300)]
+    rows += [(f"le renard brun et les chiens de la maison {'abc'[i % 3]}", "fr") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = L.learn(docs, max_fit=40)
+    assert model.labels == ["en", "fr"]
+    assert L.identify(docs, model).filter("lang_pred <> lang").count() == 0
+    # Only copies: every label is there, and a label with little room among many texts too.
+    assert L.learn(spark.createDataFrame([(t, la) for t, la in (("eins zwei", "de"), ("one two", "en")) for _ in range(5000)], "text string, lang string"), max_fit=10).labels == ["de", "en"]
+    many = [(f"{name} text {i}", name) for name in (f"l{k:02d}" for k in range(40)) for i in range(120)]
+    assert len(L.learn(spark.createDataFrame(many, "text string, lang string"), max_fit=80).labels) == 40
+
+
 def test_long_text_is_read_whole():
     model = L.fit([b"aaaa", b"bbbb"] * 10, ["a", "b"] * 10)
     x = L._vector(np.frombuffer(b"a" * 100 + b"b" * 4000, np.uint8))

@@ -34,6 +34,7 @@ UNKNOWN = "und"
 WIDTH = 1 << 13
 MAX_FIT = 4000
 FIT_BYTES = 4000
+SPARE = 30  # hashes below a threshold vary in number; with so many more, fewer than the room are as good as never left
 _CLASS = K.LOWERED.copy()
 _CLASS[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 0
 
@@ -115,17 +116,19 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
     """Fit on at most ``max_fit`` labelled documents with different texts, for each label those of smallest text hash.
 
     Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. A
-    threshold on the hash, from each label's number of documents, leaves about 1.5 times the room before rows are put in
-    order, so that what reaches the driver does not grow with the corpus.
+    threshold on the hash, from each label's number of different texts, leaves about 1.5 times the room and ``SPARE`` more
+    before rows are put in order, so that what reaches the driver does not grow with the corpus. Copies count once: they are
+    kept or left together.
     """
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
+    different = known.select("label", h.alias("h")).distinct()
+    counts = {r["label"]: r["n"] for r in different.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
     room = rooms(counts, max_fit)
-    bound = [(name, int(min(1.0, 1.5 * room[name] / n) * (1 << 40)), room[name]) for name, n in counts.items()]
+    bound = [(name, int(min(1.0, (1.5 * room[name] + SPARE) / n) * (1 << 40)), room[name]) for name, n in counts.items()]
     bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "label string, bound bigint, room int"))  # at most max_labels rows
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     # substring cuts the sample that the classifier is fitted on; prediction reads whole texts.
     sample = known.withColumn("h", h).join(bounds, "label").filter("h < bound").select("label", "h", "room", F.substring("text", 1, FIT_BYTES).alias("text"))
     place = F.row_number().over(W.partitionBy("label").orderBy("h", "text"))
