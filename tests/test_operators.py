@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftline import plans
 from weftline.operators import chunking, context, documents, extract, graph, kv, merge, retrieve, taskqueue, vector
 
 
@@ -247,3 +248,21 @@ def test_delete_documents(spark):
     docs = spark.createDataFrame([(1, True), (2, False), (3, False)], "id int, is_in_rag_system boolean")
     left, refused = documents.delete(docs, spark.createDataFrame([(1,), (2,), (9,)], "id int"))
     assert sorted(rows(left, "id")) == [(1,), (3,)] and rows(refused, "id") == [(1,)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_missing_endpoints_of_the_whole_graph(spark):
+    edges = plans.views.Data(spark, SMALL).kg_edges.collect()
+    want = {}
+    for e in sorted(edges, key=lambda e: (e["src"], e["tgt"])):
+        for end in (e["src"], e["tgt"]):
+            if not end.startswith("customer:"):
+                want.setdefault(end, ([], []))
+                for have, new in zip(want[end], (e["description"], e["source_id"]), strict=True):
+                    if new not in have:
+                        have.append(new)
+    got = rows(plans.QUERIES["merge_missing_endpoints_all"](spark, SMALL), "entity_id", "description", "source_id")
+    assert sorted(got) == sorted((k, "<SEP>".join(d), "<SEP>".join(s)) for k, (d, s) in want.items())
+    assert {k.split(":")[0] for k, _, _ in got} == {"region", "nation", "supplier", "part"}

@@ -168,6 +168,16 @@ def merge_missing_endpoints(d: Data) -> DataFrame:
     return merge.missing_endpoints(edges, d.kg_nodes.filter("entity_type = 'customer'")).select("entity_id", "entity_type", "description", "source_id")
 
 
+@query("""WITH e AS (SELECT src, tgt, source_id, description, unnest([src, tgt]) AS entity_id FROM {kg_edges}),
+m AS (SELECT * FROM e WHERE entity_id NOT IN (SELECT entity_id FROM {kg_nodes} WHERE entity_type = 'customer')),
+d AS (SELECT entity_id, string_agg(description, '<SEP>' ORDER BY o) AS description FROM (SELECT entity_id, description, min((src, tgt)) AS o FROM m GROUP BY 1, 2) x GROUP BY 1),
+s AS (SELECT entity_id, string_agg(source_id, '<SEP>' ORDER BY o) AS source_id FROM (SELECT entity_id, source_id, min((src, tgt)) AS o FROM m GROUP BY 1, 2) x GROUP BY 1)
+SELECT entity_id, 'UNKNOWN' AS entity_type, description, source_id FROM d JOIN s USING (entity_id)""")
+def merge_missing_endpoints_all(d: Data) -> DataFrame:
+    # merge_missing_endpoints over the whole graph: its own SQL sees a part of the edges only.
+    return merge.missing_endpoints(d.kg_edges, d.kg_nodes.filter("entity_type = 'customer'")).select("entity_id", "entity_type", "description", "source_id")
+
+
 _STORE = "SELECT 'rel--' || md5(CASE WHEN k % 2 = 0 THEN src || tgt ELSE tgt || src END) AS id, k FROM (SELECT src, tgt, row_number() OVER (ORDER BY src, tgt) AS k FROM {tree_edges}) x"
 
 
