@@ -266,3 +266,40 @@ def test_missing_endpoints_of_the_whole_graph(spark):
     got = rows(plans.QUERIES["merge_missing_endpoints_all"](spark, SMALL), "entity_id", "description", "source_id")
     assert sorted(got) == sorted((k, "<SEP>".join(d), "<SEP>".join(s)) for k, (d, s) in want.items())
     assert {k.split(":")[0] for k, _, _ in got} == {"region", "nation", "supplier", "part"}
+
+
+def trails(edges, seeds, depth):
+    """(start, end) -> fewest edges, over all trails; brute force."""
+    found, at = {}, [(s, s, ()) for s in seeds]
+    for level in range(1, depth + 1):
+        at = [(s, b if a == x else a, (*used, k)) for s, x, used in at for k, (a, b) in enumerate(edges) if x in (a, b) and k not in used]
+        for s, x, _ in at:
+            found.setdefault((s, x), level)
+    return found
+
+
+def test_subgraph_of_a_graph_with_cycles(spark):
+    edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "f"), ("a", "f"), ("f", "g")]
+    nodes = spark.createDataFrame([(x, "t") for x in "abcdefg"], "entity_id string, entity_type string")
+    for depth in (1, 2, 3, 4, 5):
+        got = graph.subgraph_pairs(nodes, spark.createDataFrame(edges, "src string, tgt string"), "*", depth, 1000)
+        assert {(r["start"], r["connected"]): r["depth"] for r in got.collect()} == trails(edges, "abcdefg", depth)
+
+
+def test_subgraph_of_the_whole_graph(spark):
+    got = {(r["start"], r["connected"]): r["depth"] for r in plans.QUERIES["graph_subgraph_all"](spark, SMALL).collect()}
+    edges = plans.views.Data(spark, SMALL).kg_edges.collect()
+    near = {}
+    for e in edges:
+        near.setdefault(e["src"], set()).add(e["tgt"])
+        near.setdefault(e["tgt"], set()).add(e["src"])
+    want = {}
+    for start in (x for x in near if x.startswith("region:")):
+        seen, front = {start}, {start}
+        for level in (1, 2, 3):
+            front = {y for x in front for y in near[x]} - seen
+            seen |= front
+            want |= {(start, y): level for y in front}
+    first = sorted((depth, *pair) for pair, depth in want.items())[:1000]
+    assert got == {(a, b): depth for depth, a, b in first}
+    assert any(b.startswith("part:") for _, b in got)

@@ -189,3 +189,37 @@ def graph_subgraph(d: Data) -> DataFrame:
 FROM {{kg_nodes}} n LEFT JOIN ({_DEG}) g USING (entity_id)""")
 def graph_view(d: Data) -> DataFrame:
     return graph.view(d.kg_nodes, d.kg_edges).select("entity_id", "label", "entity_type", F.round("size", 6).alias("size"))
+
+
+# The queries above whose SQL leaves out the edges of kind 'ships' (or the parts), over the whole graph.
+
+
+@query(f"SELECT t.src, t.tgt, a.degree + b.degree AS rank FROM {{kg_edges}} t JOIN ({_DEG}) a ON a.entity_id = t.src JOIN ({_DEG}) b ON b.entity_id = t.tgt")
+def graph_edge_degrees_all(d: Data) -> DataFrame:
+    return graph.edge_degrees(d.kg_edges, d.kg_edges.select("src", "tgt"))
+
+
+@query("SELECT n.entity_id, e.neighbour FROM {kg_nodes} n LEFT JOIN (SELECT src AS entity_id, tgt AS neighbour FROM {kg_edges} UNION ALL SELECT tgt, src FROM {kg_edges}) e USING (entity_id)")
+def graph_node_edges_all(d: Data) -> DataFrame:
+    return graph.node_edges(d.kg_edges, d.kg_nodes)
+
+
+@query("""WITH c AS (SELECT least(a, b) AS src, greatest(a, b) AS tgt, max(w) AS weight FROM (SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS a, 'nation:' || CAST(c_nationkey + 1 AS VARCHAR) AS b, c_acctbal AS w FROM {customer}) x GROUP BY 1, 2)
+SELECT coalesce(e.src, c.src) AS src, coalesce(e.tgt, c.tgt) AS tgt, coalesce(c.weight, e.weight) AS weight, e.keywords FROM {kg_edges} e FULL OUTER JOIN c ON e.src = c.src AND e.tgt = c.tgt""")
+def graph_upsert_edges_all(d: Data) -> DataFrame:
+    changes = d.customer.select(F.concat(F.lit("nation:"), (F.col("c_nationkey") + 1).cast("string")).alias("src"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("tgt"), F.col("c_acctbal").alias("weight"))
+    return graph.upsert_edges(_nodes(d), d.kg_edges, changes)[1].select("src", "tgt", "weight", "keywords")
+
+
+@query("SELECT src, tgt, keywords FROM {kg_edges} WHERE src NOT IN ('nation:3', 'supplier:5') AND tgt NOT IN ('nation:3', 'supplier:5')")
+def graph_delete_node_all(d: Data) -> DataFrame:
+    ids = d.kg_nodes.filter(F.col("entity_id").isin("nation:3", "supplier:5"))
+    return graph.delete_nodes(d.kg_nodes, d.kg_edges, ids)[1].select("src", "tgt", "keywords")
+
+
+@query("""WITH RECURSIVE b AS (SELECT src AS a, tgt AS b, src || '|' || tgt AS e FROM {kg_edges} UNION ALL SELECT tgt, src, src || '|' || tgt FROM {kg_edges}),
+w(start, connected, depth, used) AS (SELECT entity_id, entity_id, 0, CAST([] AS VARCHAR[]) FROM {kg_nodes} WHERE contains(entity_id, 'region') OR entity_type = 'region'
+ UNION ALL SELECT start, b.b, depth + 1, list_append(used, b.e) FROM w JOIN b ON w.connected = b.a WHERE depth < 3 AND NOT list_contains(used, b.e))
+SELECT start, connected, CAST(min(depth) AS INT) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 1000""")
+def graph_subgraph_all(d: Data) -> DataFrame:
+    return graph.subgraph_pairs(d.kg_nodes, d.kg_edges, "region", 3, 1000)
