@@ -37,7 +37,7 @@ def judge(url, rules):
     return host, path, *(best or (None, "allow"))
 
 
-@pytest.mark.parametrize("options", [{}, {"bits_per_key": 1, "n_hashes": 1}, {"max_filter_bytes": 4}])
+@pytest.mark.parametrize("options", [{}, {"bits_per_key": 1, "n_hashes": 1}, {"max_filter_bytes": 4, "resident_bytes": 8}])
 def test_urls(spark, options):
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)], "page_id int, url string, host string, __keys string").repartition(3)
     got = U.judge(pages, spark.createDataFrame(RULES, "rule string, verdict string"), **options)
@@ -51,19 +51,49 @@ def test_urls(spark, options):
 def test_cascade_is_exact(spark):
     """Thousands of keys and filters so small that many levels are needed."""
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = U.build_cascade(keys, Scratch(spark, "t"), "t", bits_per_key=3, n_hashes=2)
+    (cascade,) = U.build_cascades(keys, Scratch(spark, "t"), "t", bits_per_key=3, n_hashes=2, max_filter_bytes=1 << 20, max_levels=60)
     assert len(cascade.levels) > 3
     probed = cascade.with_filters(keys, "c").withColumn("found", cascade.listed(F.col("key"), "c"))
     assert probed.filter("found <> listed").count() == 0
 
 
-def test_no_python_on_native_paths(spark):
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id int, url string")
-    rules = spark.createDataFrame(RULES, "rule string, verdict string")
-    chat = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
-    for df in (U.judge(pages, rules), C.digest(C.format_conversations(C.conversation_events(chat)))):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+def test_lists_beyond_one_filter(spark):
+    """Shards with a cascade each, and urls judged in several passes, give what one filter gives."""
+    rules = [(f"h{k}.com/{'p' * (k % 5)}", "block" if k % 3 else "allow") for k in range(30)]
+    urls = [f"http://{'a.' * (k % 2)}h{k % 45}.com/{'p' * (k % 7)}" for k in range(90)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string").repartition(3)
+    got = U.judge(pages, spark.createDataFrame(rules, "rule string, verdict string"), max_filter_bytes=24, resident_bytes=50)
+    assert [tuple(r) for r in got.orderBy("page_id").select("host", "path", "rule", "verdict").collect()] == [judge(u, rules) for u in urls]
+
+
+def test_many_path_lengths(spark):
+    """Rules of more than 4096 different path lengths all match."""
+    rules = [("x.com/" + "p" * n, "block" if n % 2 else "allow") for n in range(0, 4300)]
+    urls = ["http://x.com/" + "p" * n + t for n, t in ((0, ""), (1, "q"), (4095, ""), (4097, "q"), (4299, ""), (4299, "pp"))]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    got = U.judge(pages, spark.createDataFrame(rules, "rule string, verdict string"))
+    assert [tuple(r) for r in got.orderBy("page_id").select("host", "path", "rule", "verdict").collect()] == [judge(u, rules) for u in urls]
+
+
+def lineage(df):
+    return df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_no_python_on_native_paths(spark, tmp_path, monkeypatch):
+    """Neither the plans nor what is executed for the two native queries holds a Python worker, a join without keys or an RDD of rows."""
+    from weftline.llm import common, queries
+
+    base = spark.range(20).select(F.col("id").alias("page_id"), F.concat(F.lit("http://b.com/en/"), "id").alias("url"))
+    base.write.parquet(str(tmp_path / "pages.parquet"))
+    base.select(F.col("page_id").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.col("url").alias("text")).write.parquet(str(tmp_path / "conversations.parquet"))
+    kept = []
+    whole = common.Scratch.keep
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, *a, **k: kept.append(df) or whole(self, df, *a, **k))
+    made = [queries.op1_url_filter(spark, str(tmp_path)), queries.op9_chat_format(spark, str(tmp_path))]
+    assert len(kept) > 3
+    for df in kept + made:
+        plan = df._jdf.queryExecution().executedPlan().toString() + lineage(df)
+        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 # WARC

@@ -35,10 +35,19 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals of the plan, without a Python worker."""
+    fields = spark.range(0).selectExpr(*(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (f.split() for f in schema.split(", ")))).schema.fields
+    made = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors see. A temporary one only where the cluster names none and runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
