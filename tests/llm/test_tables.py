@@ -187,6 +187,66 @@ def test_mix_near_targets(spark):
         assert abs(r["n"] - r["t"]) <= 2
 
 
+@pytest.mark.parametrize("copies", [1000, 7])
+def test_mix_repeated_rows(spark, copies):
+    """Of equal rows as many are taken as the target has room for."""
+    rows = [(5, " ".join(["w"] * 10), "a")] * copies + [(k, " ".join(["w"] * 10), "b") for k in range(100, 500)] + [(None, "x y z", None)] * 3
+    got = M.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)).cache()
+    assert got.count() == len(rows) and got.filter("taken > 3 * size").count() == 0
+    want = by_hand({"a": 10 * copies, "b": 4000, None: 9})
+    for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t")).collect():
+        assert r["t"] == pytest.approx(want[r["source"]]) and abs(r["n"] - r["t"]) < (3 if r["source"] is None else 10)
+
+
+def test_mix_by_brute_force(spark):
+    """The taken documents are those that a plain walk in seeded order takes."""
+    rows = [(k, " ".join(["w"] * (1 + k * k % 90)), f"s{k % 3}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in M.mix(df).collect()}
+    hashed = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64(F.lit(7), "doc_id")).collect()}
+    for source in ("s0", "s1", "s2"):
+        own = [k for k, _, s in rows if s == source]
+        n = {k: 1 + k * k % 90 for k in own}
+        rest = round(got[own[0]]["target"])
+        floor, rest = divmod(rest, sum(n.values()))
+        own.sort(key=lambda k: ((hashed[k] >> 20) % M.CELLS, hashed[k], n[k], k))
+        more, i = set(), 0
+        while i < len(own) and n[own[i]] <= rest:
+            more.add(own[i])
+            rest -= n[own[i]]
+            i += 1
+        by_size: dict = {}
+        for k in own[i + 1 :]:
+            by_size.setdefault((n[k], hashed[k] % M.SPARES), k)
+        for k in sorted(by_size.values(), key=lambda k: (n[k], (hashed[k] >> 20) % M.CELLS, hashed[k], k), reverse=True):
+            if n[k] <= rest:
+                more.add(k)
+                rest -= n[k]
+        assert {k: got[k]["repeats"] for k in own} == {k: floor + (k in more) for k in own}
+
+
+def test_mix_of_more_patterns_than_are_held(spark):
+    rows = [(k, " ".join(["w"] * 5), [f"s{j}" for j in range(4) if (k >> j) & 1] or ["s0"]) for k in range(320)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, own array<string>")
+    for most in (3, 1000):
+        got = M.mix(df, memberships=F.col("own"), max_patterns=most).collect()
+        assert len(got) == 320 and abs(sum(r["taken"] for r in got) - 1600) <= 40 and all(r["taken"] <= 15 for r in got)
+
+
+def test_route_of_many_patterns():
+    """Thousands of patterns are routed in about their number of steps, and every quota that can be met is."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    patterns = {tuple(sorted(rng.sample(range(40), rng.choice([1, 2, 3])))): rng.randrange(1, 500) for _ in range(20_000)}
+    total = sum(patterns.values())
+    started = time.time()
+    given = M.route(patterns, {s: total / 40 for s in range(40)})
+    assert abs(sum(given.values()) - total) <= 40 and time.time() - started < 60
+    assert max(given[p] / n for p, n in patterns.items()) <= 3
+
+
 # Chat
 
 

@@ -8,19 +8,22 @@ a seeded part of them once more.
 Targets: the sources by code point, null last, weigh ``weights`` in turn and share all words; none gets more than
 ``max_repeats`` times its own words, and the excess is shared again by weight.
 
-Only sums per pattern reach the driver (at most ``max_patterns`` rows, checked). The seeded part is found by a
-histogram of hashes per pattern, so that no source, however large, is sorted in one task: only the documents of the one
-histogram cell where the quota ends are put in order. The decision is a threshold and a few single documents per pattern,
-so that documents themselves are never shuffled.
+Only sums per pattern reach the driver. Of more than ``max_patterns`` patterns the smaller ones are routed as documents of
+their first source alone. The seeded part is found by a histogram of hashes per pattern, so that no source, however large, is
+sorted in one task: only the different documents of the one histogram cell where the quota ends are put in order. The decision
+is a threshold, and for the room left after it a few single documents per pattern, largest first; documents themselves are
+never shuffled, but for rows equal to one of those few.
 
 Nulls and odd input: a null or blank text has size 0 and is taken as often as its pattern's floor, which adds 0 words; a
-null source is a source of its own; repeated rows are separate documents; an empty table gives an empty result; other
-columns are kept, but for columns named like the new ones, which are replaced. Documents are taken whole: a source's words miss its target by less than one document, and by
-less than the smallest one left after the last fill.
+null source is a source of its own; rows of one id and size are separate documents, of which as many are taken as fit
+(which of them, where they differ otherwise, depends on how the table is partitioned); an empty table gives an empty result; other
+columns are kept, but for columns named like the new ones, which are replaced. Documents are taken whole: a source's words
+miss its target by less than one document; up to ``SPARES`` documents of each size are tried on the room that is left.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 CELLS = 1 << 12
-#: Times that a remaining gap is given to the largest document that fits.
-FILLS = 4
+#: Documents of one size that may fill the room after the threshold.
+SPARES = 8
 
 
 def n_words(text: Column) -> Column:
@@ -59,63 +62,76 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ma
 
 
 def route(patterns: dict[tuple, int], quotas: dict, max_repeats: int = MAX_REPEATS) -> dict[tuple, int]:
-    """Words each pattern gives. Successive cheapest augmenting paths; the k-th repetition of a pattern costs k - 1."""
+    """Words each pattern gives. Successive cheapest augmenting paths; the k-th repetition of a pattern costs k - 1.
+
+    Steps between patterns and sources are free, so a path's cost is that of the repetition it starts with. Where a search
+    finds no source with room, all it reached stays without: no later search enters it again.
+    """
     quota = {s: round(q) for s, q in quotas.items()}
-    sent = {(p, s): 0 for p in patterns for s in p}
     given, got = dict.fromkeys(patterns, 0), dict.fromkeys(quota, 0)
-    while True:
-        # Shortest paths from every pattern with words left; steps between patterns and sources are free, also backwards.
-        best = None
-        by_cost = sorted((p for p in patterns if given[p] < max_repeats * patterns[p]), key=lambda p: (given[p] // patterns[p], str(p)))
-        for start in by_cost:
-            if best is not None:
+    senders: dict = {s: {} for s in quota}  # source -> pattern -> words
+    closed: set = set()
+    waiting = [(0, str(p), p) for p in patterns]
+    heapq.heapify(waiting)
+    while waiting:
+        layer, name, start = heapq.heappop(waiting)
+        came: dict = {("p", start): None}
+        queue, end = deque([("p", start)]), None
+        while queue and ("p", start) not in closed:
+            kind, node = at = queue.popleft()
+            if kind == "s" and got[node] < quota[node]:
+                end = at
                 break
-            came: dict = {("p", start): None}
-            queue = deque([("p", start)])
-            while queue and best is None:
-                kind, node = at = queue.popleft()
-                if kind == "s" and got[node] < quota[node]:
-                    best = (start, at, came)
-                    break
-                steps = [("s", s) for s in node if s in quota] if kind == "p" else [("p", p) for p in patterns if node in p and sent[p, node] > 0]
-                for step in steps:
-                    if step not in came:
-                        came[step] = at
-                        queue.append(step)
-        if best is None:
-            return given
-        start, end, came = best
+            for step in [("s", s) for s in node if s in quota] if kind == "p" else [("p", p) for p in senders[node]]:
+                if step not in came and step not in closed:
+                    came[step] = at
+                    queue.append(step)
+        if end is None:
+            closed.update(came)
+            continue
         path = [end]
         while came[path[-1]] is not None:
             path.append(came[path[-1]])
         path.reverse()
-        layer_left = patterns[start] - given[start] % patterns[start]
-        amount = min([layer_left, quota[end[1]] - got[end[1]]] + [sent[b[1], a[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"])
+        room = [(layer + 1) * patterns[start] - given[start], quota[end[1]] - got[end[1]]]
+        amount = min(room + [senders[a[1]][b[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"])
         for a, b in zip(path, path[1:], strict=False):
             if a[0] == "p":
-                sent[a[1], b[1]] += amount
+                senders[b[1]][a[1]] = senders[b[1]].get(a[1], 0) + amount
             else:
-                sent[b[1], a[1]] -= amount
+                senders[a[1]][b[1]] -= amount
+                if not senders[a[1]][b[1]]:
+                    del senders[a[1]][b[1]]
         given[start] += amount
         got[end[1]] += amount
+        layer = given[start] // patterns[start]
+        if layer < max_repeats:
+            heapq.heappush(waiting, (layer, name, start))
+    return given
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships: Column | None = None, seed: int = 7, max_patterns: int = 20_000, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships: Column | None = None, seed: int = 7, max_patterns: int = 200_000, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """docs and the columns size, source_size, target (of the first membership), repeats and taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     docs = without(docs, "source_size", "target", "repeats", "taken")
     member = F.array(F.col("source")) if memberships is None else memberships
-    rows = docs.withColumns({"size": n_words(F.col(text)), "__weft_m": F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("z")))))})
-    rows = rows.withColumns({"__weft_p": F.array_join("__weft_m", "\u0001"), "__weft_h": F.xxhash64(F.lit(seed), F.col(id_col))})
-    rows = rows.withColumn("__weft_cell", F.pmod(F.shiftright("__weft_h", 20), F.lit(CELLS)))
-    in_order = F.struct("__weft_cell", "__weft_h", "size", F.col(id_col).alias("__weft_id"))
-    small = scratch.keep(rows.select("__weft_p", "__weft_m", in_order.alias("__weft_at")), "sizes")
+    coded = F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("z")))))
+    placed = docs.withColumns({"__weft_m": coded, "__weft_h": F.xxhash64(F.lit(seed), F.col(id_col))})
+    placed = placed.withColumn("__weft_h", F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text))).otherwise(F.col("__weft_h")))
+    placed = placed.withColumns({"__weft_p": F.array_join("__weft_m", "\u0001"), "__weft_cell": F.pmod(F.shiftright("__weft_h", 20), F.lit(CELLS))})
+    sized = lambda df: df.withColumn("size", n_words(F.col(text))).withColumn("__weft_at", F.struct("__weft_cell", "__weft_h", "size", F.col(id_col).alias("__weft_id")))
+    small = scratch.keep(sized(placed).select("__weft_p", "__weft_m", "__weft_at"), "sizes")
     cells = small.groupBy("__weft_p", "__weft_m", F.col("__weft_at.__weft_cell").alias("__weft_cell")).agg(F.sum("__weft_at.size").alias("words"))
     small = small.drop("__weft_m")
-    totals = cells.groupBy("__weft_m").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
+    by_pattern = cells.groupBy("__weft_m").agg(F.sum("words").alias("words"))
+    totals = by_pattern.limit(max_patterns + 1).collect()
     if len(totals) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+        kept = scratch.keep(by_pattern.orderBy(F.desc("words"), "__weft_m").limit(max_patterns).select(F.col("__weft_m").alias("__weft_kept")), "patterns")
+        known = docs.withColumn("__weft_m", coded).join(F.broadcast(kept), F.col("__weft_m") == F.col("__weft_kept"), "left")  # max_patterns rows
+        own = F.when(F.col("__weft_kept").isNull(), F.slice("__weft_m", 1, 1)).otherwise(F.col("__weft_m"))
+        fewer = F.transform(own, lambda s: F.when(s != "z", F.substr(s, F.lit(2))))
+        return mix(known, id_col, text, fewer, seed, (1 << 31) - 2, weights, max_repeats)
     name = lambda m: None if m == "z" else m[1:]
     patterns = {tuple(name(m) for m in r["__weft_m"]): r["words"] for r in totals}
     code = {tuple(name(m) for m in r["__weft_m"]): "\u0001".join(r["__weft_m"]) for r in totals}
@@ -130,31 +146,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     given = route({p: n for p, n in patterns.items() if n}, quota, max_repeats)
     plan = [(code[p], given.get(p, 0) // n if n else 0, given.get(p, 0) % n if n else 0, sizes[p[0]], float(quota[p[0]])) for p, n in patterns.items()]
     schema = T.StructType([T.StructField(n, t) for n, t in (("__weft_p", T.StringType()), ("__weft_floor", T.LongType()), ("__weft_rest", T.LongType()), ("source_size", T.LongType()), ("target", T.DoubleType()))])
-    plan_rows = F.broadcast(spark.createDataFrame(plan, schema))  # one row per pattern: at most max_patterns
+    plan_rows = F.broadcast(spark.createDataFrame(plan, schema))  # one row per pattern
     # The cell in which a pattern's rest ends, and the room in it: at most CELLS rows per pattern are looked at.
     running = W.partitionBy("__weft_p").orderBy("__weft_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = cells.withColumn("__weft_upto", F.sum("words").over(running)).join(plan_rows, "__weft_p")
     ends = ends.filter((F.col("__weft_upto") > F.col("__weft_rest")) & (F.col("__weft_upto") - F.col("words") <= F.col("__weft_rest")))
     ends = ends.groupBy("__weft_p").agg(F.min(F.struct("__weft_cell", (F.col("__weft_rest") - (F.col("__weft_upto") - F.col("words"))).alias("__weft_room"))).alias("__weft_e")).select("__weft_p", "__weft_e.*")
-    # Inside that cell, documents in order as long as they fit: the last of them is the threshold for the whole pattern.
+    # Inside that cell different documents in order, each with its number of copies, as long as all of them fit: the last of
+    # them is the threshold for the whole pattern. Of the next one as many copies are taken as fit.
     order = W.partitionBy("__weft_p").orderBy("__weft_at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = small.withColumn("__weft_cell", F.col("__weft_at.__weft_cell")).join(F.broadcast(ends), ["__weft_p", "__weft_cell"]).withColumn("__weft_upto", F.sum("__weft_at.size").over(order))
-    last = last.groupBy("__weft_p").agg(F.max(F.when(F.col("__weft_upto") <= F.col("__weft_room"), F.col("__weft_at"))).alias("__weft_last"), F.coalesce(F.max(F.when(F.col("__weft_upto") <= F.col("__weft_room"), F.col("__weft_upto"))), F.lit(0)).alias("__weft_used"))
-    cut = ends.join(last, "__weft_p", "left").select("__weft_p", F.col("__weft_cell").alias("__weft_end"), "__weft_last", (F.col("__weft_room") - F.coalesce("__weft_used", F.lit(0))).alias("__weft_gap"))
-    # What is still missing goes to the largest document that fits, a few times over.
-    for i in range(FILLS):
-        cut = scratch.keep(cut, f"cut{i}", small=True)  # one row per pattern
-        left = small.join(F.broadcast(cut), "__weft_p").filter(~_before(F.col("__weft_at")) & (F.col("__weft_at.size") > 0) & (F.col("__weft_at.size") <= F.col("__weft_gap")))
-        for k in range(i):
-            left = left.filter(F.col(f"__weft_fill{k}").isNull() | (F.col("__weft_at") != F.col(f"__weft_fill{k}")))
-        fill = left.groupBy("__weft_p").agg(F.max(F.struct(F.col("__weft_at.size").alias("n"), F.col("__weft_at").alias("at"))).alias("f")).select("__weft_p", F.col("f.at").alias(f"__weft_fill{i}"))
-        cut = cut.join(fill, "__weft_p", "left").withColumn("__weft_gap", F.col("__weft_gap") - F.coalesce(F.col(f"__weft_fill{i}.size"), F.lit(0)))
-    cut = scratch.keep(cut, "cut", small=True)
-    rows = rows.withColumn("__weft_at", in_order).join(plan_rows, "__weft_p").join(F.broadcast(cut), "__weft_p", "left")  # cut: one row per pattern
-    extra = _before(F.col("__weft_at"))
-    for i in range(FILLS):
-        extra = extra | F.coalesce(F.col("__weft_at") == F.col(f"__weft_fill{i}"), F.lit(False))
-    rows = rows.withColumn("repeats", F.col("__weft_floor") + F.when(extra, 1).otherwise(0))
+    last = small.withColumn("__weft_cell", F.col("__weft_at.__weft_cell")).join(F.broadcast(ends), ["__weft_p", "__weft_cell"])
+    last = last.groupBy("__weft_p", "__weft_room", "__weft_at").agg(F.count("*").alias("copies")).withColumn("__weft_upto", F.sum(F.col("copies") * F.col("__weft_at.size")).over(order))
+    fits = F.col("__weft_upto") <= F.col("__weft_room")
+    last = last.groupBy("__weft_p").agg(
+        F.max(F.when(fits, F.col("__weft_at"))).alias("__weft_last"), F.coalesce(F.max(F.when(fits, F.col("__weft_upto"))), F.lit(0)).alias("__weft_used"), F.min(F.when(~fits, F.col("__weft_at"))).alias("__weft_next")
+    )
+    cut = ends.join(last, "__weft_p", "left").withColumn("__weft_gap", F.col("__weft_room") - F.coalesce("__weft_used", F.lit(0)))
+    part = F.coalesce(F.floor(F.col("__weft_gap") / F.col("__weft_next.size")), F.lit(0)).cast("bigint")
+    cut = cut.withColumn("__weft_some", part).withColumn("__weft_gap", F.col("__weft_gap") - F.coalesce(F.col("__weft_some") * F.col("__weft_next.size"), F.lit(0)))
+    cut = scratch.keep(cut.select("__weft_p", F.col("__weft_cell").alias("__weft_end"), "__weft_last", "__weft_next", "__weft_some", "__weft_gap"), "cut", small=True)  # one row per pattern
+    # What is still missing goes to up to SPARES documents of each size, from the largest that fit on.
+    left = small.join(F.broadcast(cut), "__weft_p").filter(~_before(F.col("__weft_at")) & (F.col("__weft_at.size") > 0) & (F.col("__weft_at.size") <= F.col("__weft_gap")) & ~F.col("__weft_at").eqNullSafe(F.col("__weft_next")))
+    left = left.groupBy("__weft_p", "__weft_gap", F.col("__weft_at.size").alias("n"), F.pmod("__weft_at.__weft_h", F.lit(SPARES)).alias("spare")).agg(F.min("__weft_at").alias("at"))
+    left = left.groupBy("__weft_p", "__weft_gap").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "at")))).alias("sizes"))  # at most SPARES entries for each number of words up to the gap, which is less than a document
+    chosen = F.aggregate(
+        "sizes",
+        F.struct(F.col("__weft_gap").alias("gap"), F.slice(F.transform("sizes", lambda x: x["at"]), 1, 0).alias("picks")),
+        lambda s, x: F.when(x["n"] <= s["gap"], F.struct((s["gap"] - x["n"]).alias("gap"), F.concat(s["picks"], F.array(x["at"])).alias("picks"))).otherwise(s),
+    )
+    cut = cut.join(left.select("__weft_p", chosen["picks"].alias("__weft_picks")), "__weft_p", "left")
+    single = F.concat(F.when(F.col("__weft_some") > 0, F.array("__weft_next")).otherwise(F.slice(F.array("__weft_next"), 1, 0)), F.coalesce("__weft_picks", F.slice(F.array("__weft_next"), 1, 0)))
+    cut = scratch.keep(cut.withColumn("__weft_single", single).drop("__weft_picks"), "decision", small=True)
+    decided = lambda df: df.join(plan_rows, "__weft_p").join(F.broadcast(cut), "__weft_p", "left")
+    is_single = F.coalesce(F.array_contains("__weft_single", F.col("__weft_at")), F.lit(False))
+    rows = sized(decided(placed))
+    main = rows.filter(~is_single).withColumn("__weft_extra", _before(F.col("__weft_at")))
+    # Rows equal to one of the single documents are numbered: within their partitions, then over all.
+    hashed = F.coalesce(F.exists("__weft_single", lambda x: x["__weft_h"] == F.col("__weft_h")), F.lit(False))
+    equal = scratch.keep(sized(decided(placed).filter(hashed)).filter(is_single).withColumn("__weft_part", F.spark_partition_id()), "equal", small=True)
+    of = ["__weft_p", "__weft_at"]
+    parts = equal.groupBy(*of, "__weft_part").agg(F.count("*").alias("n")).withColumn("__weft_upto", F.sum("n").over(W.partitionBy(*of).orderBy("__weft_part")) - F.col("n")).drop("n")
+    number = F.row_number().over(W.partitionBy(*of, "__weft_part").orderBy("__weft_h")) + F.col("__weft_upto")
+    room = F.when(F.col("__weft_at").eqNullSafe(F.col("__weft_next")), F.col("__weft_some")).otherwise(1)
+    parts = parts.withColumnsRenamed({c: f"{c}_of" for c in (*of, "__weft_part")})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*of, "__weft_part")]
+    equal = equal.join(parts, same).drop(*(f"{c}_of" for c in (*of, "__weft_part"))).withColumn("__weft_extra", number <= room)
+    rows = main.unionByName(equal.drop("__weft_part", "__weft_upto"))
+    rows = rows.withColumn("repeats", F.col("__weft_floor") + F.when(F.col("__weft_extra"), 1).otherwise(0))
     rows = rows.withColumn("taken", F.col("repeats") * F.col("size"))
     return rows.drop(*[c for c in rows.columns if c.startswith("__weft_")])
 
