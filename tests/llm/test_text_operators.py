@@ -120,10 +120,71 @@ def test_language_of_many_copies_is_learned(spark):
     assert len(L.learn(spark.createDataFrame(many, "text string, lang string"), max_fit=80).labels) == 40
 
 
-def test_long_text_is_read_whole():
-    model = L.fit([b"aaaa", b"bbbb"] * 10, ["a", "b"] * 10)
-    x = L._vector(np.frombuffer(b"a" * 100 + b"b" * 4000, np.uint8))
-    assert L.decode(model, (x @ model.weights + model.bias)[None])[0][0] == 1
+def features(*texts):
+    return [L.counts_of(np.frombuffer(t, np.uint8)) for t in texts]
+
+
+def test_long_text_is_read_whole(spark):
+    model = L.fit(features(*[b"aaaa", b"bbbb"] * 10), ["a", "b"] * 10)
+    (seen, share), = features(b"a" * 100 + b"b" * 4000)
+    assert L.decode(model, (share @ model.weights[seen] + model.bias)[None])[0][0] == 1
+    # So is what is learned from: the languages differ only after 10,000 bytes, and in slices of any size.
+    rows = [("x" * 10_000 + t * (200 + k), la) for k in range(10) for t, la in (("der hund ", "de"), ("the cat ", "en"))]
+    learned = L.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert L.identify(spark.createDataFrame(rows, "text string, lang string"), learned).filter("lang_pred <> lang").count() == 0
+
+
+def test_features_by_brute_force(monkeypatch):
+    """Counts of n-grams are those of a plain loop, and slices do not change them."""
+    text = "Der Hund, 12 Ähren\tund\n\nthe CAT!".encode()
+    lowered = [b + 32 if 65 <= b <= 90 else b for b in text]
+    c = [b if 97 <= b <= 122 or b >= 128 else 0 for b in lowered]
+    want: dict = {}
+    for i in range(len(c)):
+        one, two = c[i], c[i] + ((c[i - 1] << 8) if i else 0)
+        three = two + ((c[i - 2] << 16) if i > 1 else 0)
+        for code in (one, two + (1 << 24), three + (1 << 25)):
+            slot = (code * 2654435761 % (1 << 32)) >> 19
+            want[slot] = want.get(slot, 0) + 1
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(L.K, "SLICE", size)
+        (seen, share), = features(text)
+        assert dict(zip(seen.tolist(), np.round(share**2 * len(text)).astype(int).tolist(), strict=True)) == want
+
+
+def test_codes_by_brute_force():
+    """Decoding is the codeword of least weighted loss, by a plain loop; untrusted bits count for nothing."""
+    import math
+
+    rng = np.random.default_rng(5)
+    code = L.codewords(4)
+    model = L.Model(["a", "b", "c", "d"], code, np.zeros((1, 7), np.float32), np.zeros(7, np.float32), rng.random(7).astype(np.float32))
+    margins = rng.normal(size=(50, 7))
+    best, score, gap = L.decode(model, margins)
+    for m, k, s, g in zip(margins, best, score, gap, strict=True):
+        loss = [sum(float(t) * math.log1p(math.exp(-x * c)) for t, x, c in zip(model.trust, m, word, strict=True)) for word in code]
+        assert k == loss.index(min(loss)) and g == pytest.approx(sorted(loss)[1] - min(loss), abs=1e-5)
+        assert s == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), abs=1e-5)
+
+
+def test_trust_comes_from_held_back_documents():
+    """Labels without any relation to the texts: bits are right on what they learned and not on what was held back."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 60).astype(np.uint8)) for _ in range(300)]
+    model = L.fit(features(*texts), [f"l{k}" for k in rng.integers(0, 4, 300)])
+    assert model.trust.max() < 0.5
+    model = L.fit(features(*[b"aaa bbb", b"ccc ddd", b"eee fff"] * 20), ["x", "y", "z"] * 20)
+    assert model.trust.min() == 1
+
+
+def test_held_out_accuracy(spark):
+    """The registered query on documents it has not learned from."""
+    from weftline.llm.queries import op4_language_id
+
+    got = op4_language_id(spark, "/root/testdata/sf0.01").filter("held_out")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+    rows = got.filter("lang_pred <> 'und'").join(docs, "doc_id")
+    assert rows.count() > 100 and rows.filter("lang = lang_pred").count() >= 0.98 * rows.count()
 
 
 # Token ids

@@ -4,9 +4,10 @@ Every language gets a codeword; one binary classifier per bit predicts that bit
 loss-weighted distance to each codeword decides, and a small gap between the two nearest codewords flags ambiguity.
 
 Features: the share of each hashed 1-, 2- and 3-gram of letters (lower-cased ASCII, other bytes as they are; digits,
-punctuation and blanks count as one separator), square-rooted. Classifiers: logistic regression on at most ``max_fit``
-labelled documents of at most ``FIT_BYTES`` bytes each, equally many of each label where there are enough, chosen by a hash
-of the text, so that equal corpora give equal models. Prediction reads whole texts.
+punctuation and blanks count as one separator), square-rooted, over the whole text. Classifiers: logistic regression on at most
+``max_fit`` labelled documents, equally many of each label where there are enough, chosen by a hash of the text, so that equal
+corpora give equal models. One sampled document in ``HOLD`` is left out at first: how often a bit is right on those is
+the weight of its loss; then all are learned from. Tasks turn the sample into features, so that no texts reach the driver.
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; rows without a label are not learned
 from; with a single language the answer is that language, with none it is ``und``; repeated rows are predicted alike;
@@ -33,7 +34,8 @@ from .common import bounded_batches, without
 UNKNOWN = "und"
 WIDTH = 1 << 13
 MAX_FIT = 4000
-FIT_BYTES = 4000
+BATCH = 500
+HOLD = 5
 SPARE = 30  # hashes below a threshold vary in number; with so many more, fewer than the room are as good as never left
 _CLASS = K.LOWERED.copy()
 _CLASS[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 0
@@ -71,34 +73,65 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return ((out * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
 
 
-def _vector(data: np.ndarray) -> np.ndarray:
-    counts = np.bincount(_grams(data).ravel(), minlength=WIDTH).astype(np.float32)
-    return np.sqrt(counts / max(1, len(data)))
+def counts_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features that occur, their square-rooted shares) of a text, summed in slices of bounded size."""
+    total = np.zeros(WIDTH)
+    for i in range(0, len(data), K.SLICE):
+        lead = min(2, i)
+        total += np.bincount(_grams(data[i - lead : i + K.SLICE])[:, lead:].ravel(), minlength=WIDTH)
+    seen = np.flatnonzero(total)
+    return seen, np.sqrt(total[seen] / max(1, len(data)))
 
 
-def fit(texts: list[bytes], labels: list[str], steps: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Logistic regression for every bit at once, by gradient steps with momentum over the whole sample."""
+def _train(features: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rows: np.ndarray, epochs: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of every bit at once, by gradient steps with momentum over batches of ``rows``."""
+    w, b = np.zeros((WIDTH, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    steps = -(-len(rows) // BATCH)
+    for _ in range(-(-epochs // steps) if steps else 0):
+        for k in range(steps):
+            own = rows[k::steps]
+            x = dense(features, own)
+            gap = (1 / (1 + np.exp(-(x @ w + b))) - y[own]) * (weight[own] / weight[own].sum())
+            vw = 0.9 * vw - rate * (x.T @ gap + decay * w)
+            vb = 0.9 * vb - rate * gap.sum(0)
+            w, b = w + vw, b + vb
+    return w, b
+
+
+def dense(features: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(rows), WIDTH), np.float32)
+    for i, r in enumerate(rows):
+        at, value = features[r]
+        x[i, at] = value
+    return x
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """Logistic regression for every bit at once, in at least ``steps`` steps over at most ``BATCH`` documents each."""
     names = sorted(set(labels))
     if len(names) < 2:
         return Model(names, np.ones((len(names), 1), np.int8), np.zeros((WIDTH, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
     code = codewords(len(names))
-    x = np.empty((len(texts), WIDTH), np.float32)
-    for i, t in enumerate(texts):
-        x[i] = _vector(np.frombuffer(t[:FIT_BYTES], np.uint8))
-    of = np.array([names.index(label) for label in labels])
+    of = np.searchsorted(names, labels)
     y = (code[of] > 0).astype(np.float32)
-    share = np.bincount(of, minlength=len(names))
-    weight = (len(of) / (len(names) * share))[of].astype(np.float32)[:, None] / len(of)
-    w, b = np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(steps):
-        gap = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
-        vw = 0.9 * vw - rate * (x.T @ gap + decay * w)
-        vb = 0.9 * vb - rate * gap.sum(0)
-        w, b = w + vw, b + vb
-    right = ((x @ w + b > 0) == (y > 0)).mean(0)
-    # A bit that is often wrong counts for less; one that is no better than chance counts for nothing.
-    return Model(names, code, w, b, np.maximum(2 * right - 1, 0.0).astype(np.float32))
+    weight = (1 / np.bincount(of, minlength=len(names)))[of].astype(np.float32)[:, None]
+    every = np.argsort(of, kind="stable")  # label by label, so that each batch has all of them
+    # Every HOLD-th document of a label is held back to see how far each bit can be trusted.
+    place = np.empty(len(of), np.int64)
+    place[every] = np.arange(len(of)) - np.searchsorted(of[every], of[every])
+    held = place % HOLD == HOLD - 1
+    trust = np.ones(code.shape[1], np.float32)
+    if held.any():
+        w, b = _train(features, y, weight, every[~held[every]], steps, rate, decay)
+        rows = np.flatnonzero(held)
+        right = np.concatenate([(dense(features, part) @ w + b > 0) == (y[part] > 0) for part in np.array_split(rows, -(-len(rows) // BATCH))])
+        # A bit that is often wrong on either of its sides counts for less; one that is no better than chance for nothing.
+        side = np.stack([y[rows] > 0, y[rows] == 0]) * weight[rows]
+        sure = (side * right).sum(1) / np.maximum(side.sum(1), 1e-9)
+        trust = np.maximum(np.where((side.sum(1) > 0).all(0), sure.sum(0) - 1, 2 * sure.max(0) - 1), 0.0).astype(np.float32)
+        trust = trust if trust.any() else np.ones_like(trust)
+    return Model(names, code, *_train(features, y, weight, every, steps, rate, decay), trust)
 
 
 def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,9 +150,10 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
 
     Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. A
     threshold on the hash, from each label's number of different texts, leaves about 1.5 times the room and ``SPARE`` more
-    before rows are put in order, so that what reaches the driver does not grow with the corpus. Copies count once: they are
-    kept or left together.
+    before rows are put in order, so that what reaches the driver does not grow with the corpus: at most six bytes for each
+    feature of a sampled document. Copies count once: they are kept or left together.
     """
+    bounded_batches(labelled.sparkSession)
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
     different = known.select("label", h.alias("h")).distinct()
@@ -129,11 +163,25 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
     room = rooms(counts, max_fit)
     bound = [(name, int(min(1.0, (1.5 * room[name] + SPARE) / n) * (1 << 40)), room[name]) for name, n in counts.items()]
     bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "label string, bound bigint, room int"))  # at most max_labels rows
-    # substring cuts the sample that the classifier is fitted on; prediction reads whole texts.
-    sample = known.withColumn("h", h).join(bounds, "label").filter("h < bound").select("label", "h", "room", F.substring("text", 1, FIT_BYTES).alias("text"))
-    place = F.row_number().over(W.partitionBy("label").orderBy("h", "text"))
-    rows = sample.dropDuplicates(["h", "label"]).withColumn("place", place).filter("place <= room").orderBy("h", "label").collect()
-    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    sample = known.withColumn("h", h).join(bounds, "label").filter("h < bound").select("label", "h", "room", "text")
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(3))
+            made = [counts_of(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            packed = [seen.astype("<u2").tobytes() + share.astype("<f4").tobytes() for seen, share in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["label", "h", "room", "features"])
+
+    # Features are sorted instead of texts: a long text does not travel.
+    made = sample.mapInArrow(featured, "label string, h bigint, room int, features binary")
+    place = F.row_number().over(W.partitionBy("label").orderBy("h", "features"))
+    rows = made.dropDuplicates(["h", "label"]).withColumn("place", place).filter("place <= room").select("h", "label", "features").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    features = []
+    for f in rows.column("features"):
+        raw = f.as_py()
+        n = len(raw) // 6
+        features.append((np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
+    return fit(features, rows.column("label").to_pylist())
 
 
 def rooms(counts: dict[str, int], total: int) -> dict[str, int]:
@@ -157,18 +205,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", min_gap: float =
         m = shared.value
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(at))
-            # Long texts are summed in slices of bounded size.
             margins = np.zeros((len(offsets) - 1, m.weights.shape[1]))
-            for k in range(len(offsets) - 1):
-                a, b = offsets[k], offsets[k + 1]
-                if a == b:
-                    continue
-                counts = np.zeros(WIDTH)
-                for i in range(a, b, K.SLICE):
-                    lead = min(2, i - a)
-                    counts += np.bincount(_grams(data[i - lead : min(b, i + K.SLICE)])[:, lead:].ravel(), minlength=WIDTH)
-                seen = np.flatnonzero(counts)
-                margins[k] = np.sqrt(counts[seen] / (b - a)) @ m.weights[seen] + m.bias
+            for k in np.flatnonzero(np.diff(offsets)):
+                seen, share = counts_of(data[offsets[k] : offsets[k + 1]])
+                margins[k] = share @ m.weights[seen] + m.bias
             letters = pc.fill_null(pc.match_substring_regex(batch.column(at), r"\pL"), False).to_numpy(zero_copy_only=False)
             if m.labels:
                 best, score, gap = decode(m, margins)
