@@ -278,21 +278,53 @@ def test_adpcm():
 
 
 def test_resample():
-    assert A.resample(np.array([0, 10, 20], np.int16)).tolist() == [0, 5, 10, 15, 20, 20]
-    assert A.features(np.zeros(0, np.int16)) == "0:0:0:0:0"
+    got = A.resample(np.array([0, 10, 21, 7, 8], np.int16), np.array([3, 5]))
+    assert got.T.ravel().tolist() == [0, 5, 10, 15, 21, 21, 7, 7, 8, 8]
+
+
+def test_pcm_is_lossless():
+    """PCM that is not interpolated comes back as well; damage is noticed."""
+    rng = np.random.default_rng(4)
+    for factor in (1, 2, 3):
+        phases, ends = rng.integers(-32768, 32768, (factor, 50)).astype(np.int16), np.array([7, 8, 50])
+        stored = A.write_pcm(phases, ends)
+        back, again = A.read_pcm(stored)
+        assert (back == phases).all() and (again == ends).all()
+    with pytest.raises(ValueError):
+        A.read_pcm([stored[0][:-1]])
+
+
+def plain_features(pcm):
+    wide = [int(x) for x in pcm]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:], strict=False))
+    return f"{len(wide)}:{sum(map(abs, wide))}:{sum(x * x for x in wide) // len(wide)}:{max(map(abs, wide))}:{turns}"
 
 
-def test_audio(docs, empty):
-    got = A.read_audio(A.store_audio(docs.select("doc_id", "text", "size", "n_chars")), keep_pcm=True).collect()
-    rows = sorted(((r[0], (r[1] or "").encode()) for r in messy()), key=str)
+def test_audio(spark, docs, empty, tmp_path):
+    """Media, PCM and features of every codec, from the stored files, against plain loops over samples."""
+    A.write_audio(docs.select("doc_id", "text", "size", "n_chars"), str(tmp_path / "audio"))
+    assert {"media", "pcm"} <= set(spark.read.parquet(str(tmp_path / "audio")).columns)
+    got = A.read_stored(spark, str(tmp_path / "audio"), keep_pcm=True).collect()
+    assert len(got) == docs.count() and "size" in got[0]
     by = {}
     for r in got:
         by.setdefault((r["doc_id"], r["n_bytes"]), []).append(r)
-    for doc, raw in rows:
+    codecs = set()
+    for doc, raw in sorted(((r[0], (r[1] or "").encode()) for r in messy()), key=str):
         payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         r = by[doc, len(raw)].pop()
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        media = A.write_au(payload)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-        assert len(r["pcm"]) == 4 * len(payload) and r["feature"].startswith(f"mulaw:{2 * len(payload)}:")
+        codec = zlib.crc32(payload) % 3
+        codecs.add(codec)
+        media = A.write_adpcm(payload) if codec == 2 else A.write_au(payload, (A.MULAW, A.ALAW)[codec])
+        assert (r["media_bytes"], r["media_sha256"], r["codec"]) == (len(media), hashlib.sha256(media).hexdigest(), A.CODECS[codec])
+        if codec == 2:
+            heard = [s for k in range(0, len(payload), 36) for s in adpcm_by_sample(payload[k : k + 36])]
+        else:
+            heard = [int((A.mulaw_table(), A.alaw_table())[codec][x]) for x in payload]
+        pcm = [v for a, b in zip(heard, [*heard[1:], heard[-1]], strict=True) for v in (a, a + (b - a) // 2)]
+        assert np.frombuffer(r["samples"], "<i2").tolist() == pcm and r["pcm_samples"] == len(pcm)
+        assert r["feature"] == f"{A.CODECS[codec]}:{plain_features(pcm)}"
+    assert codecs == {0, 1, 2}
     assert A.read_audio(A.store_audio(empty)).count() == 0
+    assert A.read_audio(A.store_audio(docs.withColumn("media", docs.text).withColumn("Pcm", docs.text).withColumn("feature", docs.text))).count() == docs.count()

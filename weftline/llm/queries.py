@@ -69,9 +69,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "telephony")
-    stored = scratch.keep(telephony.store_audio(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    return telephony.read_audio(stored)
+    path = Scratch(spark, "telephony").path("audio")
+    telephony.write_audio(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return telephony.read_stored(spark, path)
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony)}
