@@ -270,8 +270,33 @@ def test_chat_round_trip(spark):
     assert C.digest(C.format_conversations(C.conversation_events(df.filter("false")))).count() == 0
 
 
+def fold(spark, events):
+    df = spark.createDataFrame(events, "conv_id bigint, message bigint, seq bigint, kind string, role string, text string")
+    return sorted(tuple(r) for r in C.fold_events(df).select("message", "role", "text").collect())
+
+
 def test_chat_events(spark):
     events = [(1, 0, 1, "message", "user", "hi"), (1, 1, 2, "delta", "assistant", "a"), (1, 1, 3, "delta", "assistant", "b"), (1, 1, 4, "regenerate", "assistant", None), (1, 1, 6, "delta", "assistant", "d"), (1, 1, 5, "delta", "assistant", "c"), (1, 0, 7, "edit", "user", "hello"), (1, 2, 8, "message", "user", "gone"), (1, 2, 9, "retract", None, None)]
-    df = spark.createDataFrame(events, "conv_id bigint, message bigint, seq bigint, kind string, role string, text string")
-    got = sorted(tuple(r) for r in C.fold_events(df).select("message", "role", "text").collect())
-    assert got == [(0, "user", "hello"), (1, "assistant", "cd")]
+    assert fold(spark, events) == [(0, "user", "hello"), (1, "assistant", "cd")]
+
+
+def test_chat_odd_events(spark):
+    """Null and tied sequence numbers, unknown kinds, and events after a retraction."""
+    assert fold(spark, [(1, 0, None, "delta", "u", "a"), (1, 0, None, "delta", "u", "b"), (1, 0, 0, None, "u", "c")]) == [(0, "u", "abc")]
+    assert fold(spark, [(1, 0, None, "message", "u", "lost"), (1, 0, 3, "edit", "u", "x"), (1, 0, 3, "delta", "u", "y"), (1, 0, 3, "what", "u", "a")]) == [(0, "u", "xay")]
+    assert fold(spark, [(1, 0, 1, "message", "u", "x"), (1, 0, 2, "retract", None, None), (1, 0, 3, "delta", "u", "y")]) == []
+    assert fold(spark, [(1, 0, 1, "message", "u", "x"), (1, 0, 2, "retract", None, None), (1, 0, 3, "edit", "u", "y")]) == [(0, "u", "y")]
+    assert fold(spark, [(1, 0, 2, "edit", "u", "x"), (1, 0, 2, "retract", "u", None)]) == []
+
+
+def test_chat_log_has_every_kind(spark):
+    """The log of plain turns streams, regenerates and edits them; folding gives the same turns, copies included."""
+    rows = [(k % 3, k % 7, "user" if k % 2 else None, f"{k % 20} 𝄞" * (k % 90) or None) for k in range(200)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4)
+    events = C.conversation_events(df, delta=10)
+    kinds = {r["kind"]: r["n"] for r in events.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "regenerate", "edit"} and kinds["delta"] > 1000
+    got = C.fold_events(events).select("conv_id", "message.turn", "role", "text").collect()
+    assert sorted(tuple(r) for r in got) == sorted((c, t, r or "", x or "") for c, t, r, x in rows)
+    plan = C.format_conversations(events)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(conv_id" in plan and "message" in plan.split("hashpartitioning(conv_id", 2)[2][:60] + plan.split("hashpartitioning(conv_id", 2)[1][:60]

@@ -24,7 +24,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archive")
     warc_archive.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc_archive.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_archive.digest(warc_archive.read_archive(spark, path))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +90,18 @@ FROM p LEFT JOIN f ON p.page_id = f.page_id AND f.k = 1
 """
 
 _WARC_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest, max(page_id) OVER (PARTITION BY sha256(b)) AS owner FROM p)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to
-FROM d
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, url, b, octet_length(b) AS n, sha1(b) AS digest, max(page_id) OVER (PARTITION BY sha256(b)) AS owner, chr(13) || chr(10) AS nl FROM p),
+t AS (SELECT *, CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS kind FROM d),
+r AS (SELECT *, encode('WARC/1.1' || nl || 'WARC-Type: ' || kind || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+        || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || nl
+        || 'WARC-Payload-Digest: sha1:' || digest || nl
+        || CASE WHEN kind = 'revisit' THEN 'WARC-Refers-To: <urn:page:' || owner || '>' || nl
+             || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl || 'Content-Length: 0' || nl
+           ELSE 'Content-Length: ' || n || nl END || nl) || CASE WHEN kind = 'revisit' THEN ''::BLOB ELSE b END || encode(nl || nl) AS record FROM t)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, kind AS record_type,
+       CASE WHEN kind = 'revisit' THEN owner END AS refers_to, CAST(octet_length(record) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256
+FROM r
 """
 
 _CHAT_SQL = r"""

@@ -4,7 +4,7 @@ Two tables: ``payloads`` holds each distinct payload once, under its SHA-256; ``
 record and the address of its payload. Original records come back by a join on the address.
 
 The address is verified twice. While writing, payloads are grouped by SHA-256, SHA-1 and length together, and an address
-with two such groups stops the job. While reading, both digests are taken again from the stored bytes.
+with two such groups stops the job (of payloads below ``min_revisit``, which are never shared, only while reading). While reading, both digests are taken again from the stored bytes.
 
 Records with equal payloads of at least ``min_revisit`` bytes: the one with the largest page id is ``response``, the
 others ``revisit`` it. Nulls and odd input: a null payload is an empty one; a null url leaves Target-URI empty, and CR or
@@ -49,11 +49,13 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", min_revisi
     raw = raw.withColumns({"address": F.sha2("payload", 256), "sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("bigint")})
     once = raw.groupBy("address", "sha1", "n_bytes").agg(F.first("payload").alias("payload"))
     once.select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
-    owners = raw.groupBy("address").agg(F.max("page_id").alias("owner"), F.max(F.struct("sha1", "n_bytes")).alias("hi"), F.min(F.struct("sha1", "n_bytes")).alias("lo"))
+    owners = raw.filter(F.col("n_bytes") >= min_revisit).groupBy("address").agg(F.max("page_id").alias("owner"), F.max(F.struct("sha1", "n_bytes")).alias("hi"), F.min(F.struct("sha1", "n_bytes")).alias("lo"))
     clash = F.assert_true(F.col("hi") == F.col("lo"), F.concat(F.lit("two payloads under address "), F.col("address")))
     owners = owners.select("address", "owner", clash.alias("checked")).filter(F.col("checked").isNull()).drop("checked")
-    shares = F.when(F.col("n_bytes") >= min_revisit, F.col("address"))
-    records = raw.select("page_id", "url", "address", "sha1", "n_bytes", shares.alias("key")).join(owners.withColumnRenamed("address", "key"), "key", "left")
+    records = raw.select("page_id", "url", "address", "sha1", "n_bytes")
+    # Only payloads that can be shared meet their owners; the others need no join, whose keys would all be one.
+    alone = records.filter(F.col("n_bytes") < min_revisit).withColumn("owner", F.lit(None).cast(raw.schema["page_id"].dataType))
+    records = records.filter(F.col("n_bytes") >= min_revisit).join(owners, "address").select(*records.columns, "owner").unionByName(alone)
     revisits = F.coalesce(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.lit(False))
     records = records.withColumns({"record_type": F.when(revisits, "revisit").otherwise("response"), "refers_to": F.when(revisits, F.col("owner"))})
     records.select("address", _header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
@@ -79,3 +81,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     joined = joined.withColumn("agrees", agrees).filter(F.col("agrees").isNull()).drop("agrees", "header_digest")
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.withColumn("record", F.concat(F.encode("header", "UTF-8"), body, F.encode(F.lit(CRLF * 2), "UTF-8")))
+
+
+def digest(archive: DataFrame) -> DataFrame:
+    """Figures of each record; those of the original record are taken from its reconstructed bytes."""
+    return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("bigint").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
