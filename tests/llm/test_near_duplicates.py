@@ -78,7 +78,7 @@ def test_large_groups_in_tiles(spark, monkeypatch, tile, pack):
             own[at] = rng.choice(LOREM)
         rows.append((k, " ".join(own[: rng.choice([150, 140, 120])])))
     whole = J.link_candidates
-    monkeypatch.setattr(J, "link_candidates", lambda d, g, s: whole(d, g, s, tile=tile, pack_words=pack, bloom_bytes=0 if tile == 2 else 1 << 20))
+    monkeypatch.setattr(J, "link_candidates", lambda d, g, s, t: whole(d, g, s, t, tile=tile, pack_words=pack, bloom_bytes=0 if tile == 2 else 1 << 20))
     assert run(spark, rows) == brute(rows)
 
 
@@ -111,6 +111,28 @@ def test_bound_never_cuts_links():
                     assert group[i] == group[j]
 
 
+def test_halves_that_several_classes_share(spark, monkeypatch):
+    """Classes whose ids collide are told apart by the rest of their digest."""
+    whole = J.class_key
+    monkeypatch.setattr(J, "class_key", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    sets = [np.array(x, np.uint64) for x in ([1, 2], [3], [4, 5, 6])]
+    assert len({J.class_id(s, {0, 1, 2, 3, 4}) for s in sets}) == 3 and J.class_id(sets[0], set()) == whole(sets[0])[0] % 5
+
+
+def test_copies_in_many_blocks(spark):
+    """A class that comes from several blocks is counted once."""
+    rows = [(k, " ".join(words(40, 400)[: 400 - 3 * k])) for k in range(20)] + [(100 + k, " ".join(words(40, 400)[: 400 - 3 * k])) for k in range(20)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_hubs(spark, monkeypatch):
+    """Centres of many links are broadcast; the components are the same."""
+    monkeypatch.setattr(C, "FEW", 5)
+    links = [(0, k) for k in range(1, 40)] + [(50, k) for k in range(20, 90)] + [(200 + k, 201 + k) for k in range(9)]
+    got = C.components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "t"), "t")
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(90)} | {(200 + k, 200) for k in range(10)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = C.components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "t"), "t")

@@ -8,16 +8,30 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _to_smallest(links: DataFrame, large: bool) -> DataFrame:
+def _with_least(links: DataFrame, many: int) -> DataFrame:
+    """links (a, b) and m, the smallest b of their a. Nodes of at least ``many`` links, a bounded number of them, are broadcast, so
+    that the links of none meet in one task; the others are joined."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") >= many).select("a", F.col("m").alias("hub")))  # at most links / many rows
+    marked = links.join(hubs, "a", "left")
+    rest = marked.filter(F.col("hub").isNull()).select("a", "b").join(least.filter(F.col("n") < many).select("a", "m"), "a")
+    return rest.unionByName(marked.filter(F.col("hub").isNotNull()).select("a", "b", F.col("hub").alias("m")))
+
+
+def _to_smallest(links: DataFrame, large: bool, many: int) -> DataFrame:
     """One star step over links (a, b). Large: neighbours above a node move to its smallest neighbour; small: those below."""
     if large:
         near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        moved = _with_least(near, many).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        return moved.filter("a <> b").distinct()
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    moved = _with_least(down, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    own = down.groupBy("a").agg(F.min("b").alias("b"))
+    return moved.unionByName(own).filter("a <> b").distinct()
+
+
+#: Nodes whose links are broadcast: at most twice as many, and none with fewer links than ``FEW``.
+HUBS, FEW = 100_000, 200
 
 
 def components(links: DataFrame, scratch: Scratch, label: str, max_rounds: int = 60) -> DataFrame:
@@ -27,9 +41,10 @@ def components(links: DataFrame, scratch: Scratch, label: str, max_rounds: int =
     links are reduced to the smallest one before the shuffle and never gathered.
     """
     now = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0", small=True)
-    mark = None
+    mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     for i in range(1, max_rounds + 1):
-        now = scratch.keep(_to_smallest(_to_smallest(now, True), False), f"{label}-{i}", small=True)
+        many = max(FEW, mark["n"] // HUBS)
+        now = scratch.keep(_to_smallest(_to_smallest(now, True, many), False, many), f"{label}-{i}", small=True)
         scratch.drop(f"{label}-{i - 1}")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:

@@ -17,7 +17,8 @@ The order of shingles decides only how many candidates there are, never which pa
 (``HEAVY_SHARE`` of a block's classes or more) come last in it without being counted exactly; there are at most
 (words per document) / share of them, whatever the corpus, and the list is cut at ``max_heavy``.
 
-Shingles are compared by 64-bit hashes. Texts are scanned three times instead of being shuffled.
+Shingles are compared by 64-bit hashes. Texts are scanned three times instead of being shuffled. A class is known by half of its
+digest; classes that share that half, which is seen from the other half, are known by the other.
 
 Nulls and odd input: a null, empty or blank text has no shingles, is linked with nothing and is its own component; a text
 of fewer than five words is one shingle, its whole sequence; repeated rows are copies; an empty table gives an empty result;
@@ -68,6 +69,12 @@ def class_key(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def class_id(shingles: np.ndarray, twice: set[int]) -> int:
+    """Half of the class's digest; the other half if that is in ``twice``, the halves that several classes share."""
+    first, second = class_key(shingles)
+    return second if first in twice else first
+
+
 def prefix_length(n: int) -> int:
     """Shingles of a set of n of which a similar set must have one."""
     return n - -(-OVER * n // UNDER) + 1
@@ -146,7 +153,7 @@ def _column(t: pa.Table, name: str, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype)
 
 
-def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int = 1_000_000) -> DataFrame:
+def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, twice: set[int], per_bucket: int = 1_000_000) -> DataFrame:
     """(token, cid): the classes that need a partner on one of their rarest shingles, under those shingles.
 
     Two shuffles of packed arrays: shingles to hash buckets of about ``per_bucket`` shingles, where they are counted; those that
@@ -159,7 +166,7 @@ def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int =
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = shared.value
         for _, sets in _blocks(batches, 0):
-            own = {class_key(s)[0]: s for s in sets if len(s)}
+            own = {class_id(s, twice): s for s in sets if len(s)}
             if not own:
                 continue
             cids = np.fromiter(own, np.int64, len(own))
@@ -179,12 +186,10 @@ def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int =
             tokens, of = tokens[~common], of[~common]
             bucket = (tokens >> U(32)) % U(n_buckets)
             order = np.argsort(bucket.astype(np.uint16), kind="stable") if n_buckets < 65536 else np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1).astype(np.uint64))
-            for q in range(n_buckets):
-                at = order[cut[q] : cut[q + 1]]
-                if len(at):
-                    starts, sizes = _runs(of[at])
-                    rows.append(_row(q, 0, cids[of[at[starts]]], sizes.astype(np.uint32), tokens[at].astype(np.uint32), empty))
+            for start, n in zip(*_runs(bucket[order]), strict=True):
+                at = order[start : start + n]
+                starts, sizes = _runs(of[at])
+                rows.append(_row(bucket[at[0]], 0, cids[of[at[starts]]], sizes.astype(np.uint32), tokens[at].astype(np.uint32), empty))
             yield from _rows(rows).to_batches()
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
@@ -192,24 +197,23 @@ def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, per_bucket: int =
         info = table.filter(pc.equal(table.column("kind"), 1))
         rows = [tuple(r.values()) for r in info.to_pylist()]
         own = table.filter(pc.equal(table.column("kind"), 0))
-        cids = np.repeat(_column(own, "cids", np.int64), _column(own, "sizes", np.uint32))
-        tokens = _column(own, "tokens", np.uint32)
+        listed, sizes = _column(own, "cids", np.int64), _column(own, "sizes", np.uint32)
+        # A class comes whole from every block that has it; one of them counts.
+        once = np.zeros(len(listed), bool)
+        once[np.unique(listed, return_index=True)[1]] = True
+        once = np.repeat(once, sizes)
+        cids, tokens = np.repeat(listed, sizes)[once], _column(own, "tokens", np.uint32)[once]
         order = np.lexsort((cids, tokens))
         cids, tokens = cids[order], tokens[order]
-        fresh = np.ones(len(tokens), bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (cids[1:] != cids[:-1])
-        cids, tokens = cids[fresh], tokens[fresh]
         _, times = _runs(tokens)
         times = np.repeat(times, times)
         cids, tokens, times = cids[times > 1], tokens[times > 1], times[times > 1]
         home = (cids.view(np.uint64) % U(n_buckets)).astype(np.int64)
         order = np.lexsort((cids, home))
-        cut = np.searchsorted(home[order], np.arange(n_buckets + 1))
-        for q in range(n_buckets):
-            at = order[cut[q] : cut[q + 1]]
-            if len(at):
-                starts, sizes = _runs(cids[at])
-                rows.append(_row(q, 0, cids[at[starts]], sizes.astype(np.uint32), tokens[at].astype(np.uint64) | U(bucket) << U(32), times[at].astype(np.uint32)))
+        for start, n in zip(*_runs(home[order]), strict=True):
+            at = order[start : start + n]
+            starts, sizes = _runs(cids[at])
+            rows.append(_row(home[at[0]], 0, cids[at[starts]], sizes.astype(np.uint32), tokens[at].astype(np.uint64) | U(bucket) << U(32), times[at].astype(np.uint32)))
         return _rows(rows)
 
     def choose(table: pa.Table) -> pa.Table:
@@ -285,7 +289,7 @@ def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None) -> lis
     return links
 
 
-def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, tile: int = TILE, bloom_bytes: int = 16 << 20, pack_words: int = 400_000) -> DataFrame:
+def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice: set[int], tile: int = TILE, bloom_bytes: int = 16 << 20, pack_words: int = 400_000) -> DataFrame:
     """groups (cid, root) -> links (a, b) between similar classes."""
     spark = docs.sparkSession
     n = groups.count()
@@ -304,7 +308,7 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, tile:
         for _, sets in _blocks(batches, 0):
             found: dict[int, np.ndarray] = {}
             for s in sets:
-                if len(s) and (cid := class_key(s)[0]) not in sent:
+                if len(s) and (cid := class_id(s, twice)) not in sent:
                     p = cid % n_bits
                     if wanted is None or int(wanted.value[p >> 6]) >> (p & 63) & 1:
                         found[cid] = s
@@ -363,15 +367,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     classes, common = classify(docs, scratch)
-    distinct = classes.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    seen = distinct.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).first()
+    by_half = classes.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    seen = by_half.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).first()
+    twice: set[int] = set()
     if seen["clash"]:
-        raise RuntimeError("two shingle sets share a 64-bit class id")
-    found = tiles(docs, heavy_tokens(common, seen["k"]), seen["n"] or 0)
+        # About k * k / 2 ** 65 of k classes: a handful at ten billion.
+        twice = {r["cid"] for r in by_half.filter("lo <> hi").select("cid").collect()}
+        classes = classes.withColumn("cid", F.when(F.col("cid").isin(*twice), F.col("check")).otherwise(F.col("cid")))
+    found = tiles(docs, heavy_tokens(common, seen["k"]), seen["n"] or 0, twice)
     found = scratch.keep(found, "tiles")
     least = found.groupBy("token").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("top > b")
     groups = components(found.join(least, "token").select(F.col("cid").alias("a"), "b"), scratch, "groups").withColumnRenamed("node", "cid")
-    links = scratch.keep(link_candidates(docs, groups, scratch), "links", small=True)
+    links = scratch.keep(link_candidates(docs, groups, scratch, twice), "links", small=True)
     scratch.drop("tiles", "sets")
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
     # Smallest ids by class, then by component of linked classes; a class with a third of all documents is summed up before it
