@@ -16,8 +16,8 @@
 of anchors, segments and cores, fringes byte by byte.
 
 Nulls and odd input: a null text is empty; texts of fewer than 100 bytes lose nothing; of rows repeated with id and text the
-first keeps its bytes; different texts under one id are told apart by 18 bits of their hash; an empty table gives an
-empty result; a text may have up to 1 GB; other columns are ignored. No group is gathered: tasks stream sorted rows, and a core with more than
+first keeps its bytes; different texts under one id are told apart by their 64-bit hash; an empty table gives an
+empty result; a text may have what a row may, 2 GB; other columns are ignored. No group is gathered: tasks stream sorted rows, and a core with more than
 ``CHUNK`` rows is worked off in pieces that pass on hashes of the windows seen.
 """
 
@@ -45,16 +45,18 @@ CHUNK = 30_000
 SHARDS = 4
 U = np.uint64
 _BASES = [pow(K._BASE, 1 << i, 1 << 64) for i in range(4)]
-#: A place packs 18 bits of the text's hash, 31 of the segment's start, 7 of its windows and 7 of the anchor's offset.
+#: A place packs 31 bits of the segment's start, 7 of its windows and 7 of the anchor's offset.
 _WHOLE = 127
+#: Rows of a merge: every one of them may have a core of its own, and symbols have 16 bits.
+MOST = 60_000
 
 
-def _place(tie: np.ndarray, start: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return (tie << 45) | (start << 14) | (n << 7) | offset
+def _place(start: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return (start << 14) | (n << 7) | offset
 
 
 def _unplace(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    return place >> 45, (place >> 14) & 0x7FFFFFFF, (place >> 7) & 127, place & 127
+    return (place >> 14) & 0x7FFFFFFF, (place >> 7) & 127, place & 127
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         grams = grams[:-span] * U(base) + grams[span:]
         span *= 2
     grams = K.mix64(grams)
-    least, span = (grams >> U(30) << U(30)) | np.arange(len(grams), dtype=np.uint64), 1
+    least, span = (grams >> U(31) << U(31)) | np.arange(len(grams), dtype=np.uint64), 1
     while 2 * span <= SPREAD:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -76,7 +78,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         whole[max(a, b - LENGTH + 1) : b] = False
     windows = np.flatnonzero(whole)
-    at = (least[windows] & U((1 << 30) - 1)).astype(np.int64)
+    at = (least[windows] & U((1 << 31) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else none
     last = np.append(first[1:], len(at)) - 1 if len(at) else none
     return at[first], windows[first], windows[last], grams[at[first]]
@@ -90,8 +92,11 @@ def _binary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
+_SEGMENT = ["key", "seg", "doc", "tie", "place"]
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, tie, text) -> segments (key, seg, doc, place), and repeats inside a slice as intervals with offset 127."""
+    """(doc, tie, text) -> segments (key, seg, doc, tie, place), and repeats inside a slice as intervals with offset 127."""
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(2))
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -117,25 +122,25 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = run[begins], run[np.append(np.flatnonzero(begins)[1:], len(run)) - 1]
                 size = hi[b] + LENGTH - lo[a]
                 spread = K.mix64(doc[a].astype(np.uint64) * U(31) + start[a].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (spread, size, doc[a], _place(tie[a], start[a], 0 * size, 0 * size + _WHOLE))], names=["key", "seg", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (spread, size, doc[a], tie[a], _place(start[a], 0 * size, 0 * size + _WHOLE))], names=_SEGMENT)
             f = np.flatnonzero(fresh)
-            made = (key[f].view(np.int64), seg[f].view(np.int64), doc[f], _place(tie[f], start[f], hi[f] - lo[f] + 1, at[f] - lo[f]))
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=["key", "seg", "doc", "place"])
+            made = (key[f].view(np.int64), seg[f].view(np.int64), doc[f], tie[f], _place(start[f], hi[f] - lo[f] + 1, at[f] - lo[f]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=_SEGMENT)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted segments -> (kind, doc, place, size): repeats as intervals (kind 0), first segments of shared anchors (kind 1)."""
-    last = None  # the row before: key, seg, doc, place
-    held = None  # the last first segment, whose neighbour is not known yet: key, doc, place, shared with the one before
+    """Sorted segments -> (kind, doc, tie, place, size): repeats as intervals (kind 0), first segments of shared anchors (kind 1)."""
+    last = None  # the row before: key, seg, doc, tie, place
+    held = None  # the last first segment, whose neighbour is not known yet, and whether it shares its key with the one before
 
-    def out(kind: int, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(place), pa.array(size)], names=["kind", "doc", "place", "size"])
+    def out(kind: int, rows: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), kind, np.int32)), *(pa.array(v) for v in (*rows, size))], names=["kind", "doc", "tie", "place", "size"])
 
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
-        done = (rows[3] & 127) == _WHOLE
+        done = (rows[4] & 127) == _WHOLE
         if done.any():
-            yield out(0, rows[2, done], rows[3, done], rows[1, done])
+            yield out(0, rows[2:, done], rows[1, done])
         rows = rows[:, ~done]
         if not rows.shape[1]:
             continue
@@ -145,28 +150,28 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             equal[:, 0] = False
         last = rows[:, -1:]
         again = equal[0] & equal[1]
-        repeat = again & ~(equal[2] & equal[3])
+        repeat = again & ~(equal[2] & equal[3] & equal[4])
         if repeat.any():
-            n = (rows[3, repeat] >> 7) & 127
-            yield out(0, rows[2, repeat], rows[3, repeat], n - 1 + LENGTH)
+            n = (rows[4, repeat] >> 7) & 127
+            yield out(0, rows[2:, repeat], n - 1 + LENGTH)
         first = rows[:, ~again]
         if not first.shape[1]:
             continue
-        key, doc, place = first[0], first[2], first[3]
+        key = first[0]
         shared = np.zeros(len(key), bool)
         shared[1:] = key[1:] == key[:-1]
         shared[:-1] |= shared[1:]
         if held is not None:
-            joins = held[0] == key[0]
+            joins = held[0][0] == key[0]
             shared[0] |= joins
-            if held[3] or joins:
-                yield out(1, np.array([held[1]]), np.array([held[2]]), np.zeros(1, np.int64))
-        held = (key[-1], doc[-1], place[-1], bool(shared[-1]))
+            if held[1] or joins:
+                yield out(1, held[0][2:, None], np.zeros(1, np.int64))
+        held = (first[:, -1], bool(shared[-1]))
         use = np.flatnonzero(shared[:-1])
         if len(use):
-            yield out(1, doc[use], place[use], np.zeros(len(use), np.int64))
-    if held is not None and held[3]:
-        yield out(1, np.array([held[1]]), np.array([held[2]]), np.zeros(1, np.int64))
+            yield out(1, first[2:, use], np.zeros(len(use), np.int64))
+    if held is not None and held[1]:
+        yield out(1, held[0][2:, None], np.zeros(1, np.int64))
 
 
 def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
@@ -192,12 +197,12 @@ def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their shared segments -> per range of offsets: core, doc, place of the anchor, offsets, fringes."""
+    """Texts and their shared segments -> per range of offsets: core, doc, tie, place of the anchor, offsets, fringes."""
     for data, offsets, text, others, (piece, _, _) in _with_texts(batches):
         if not len(others):
             continue
-        doc = piece.column(0).to_numpy()[others]
-        tie, start, n, off = _unplace(piece.column(2).take(pa.array(others)).to_numpy())
+        doc, tie = piece.column(0).to_numpy()[others], piece.column(1).to_numpy()[others]
+        start, n, off = _unplace(piece.column(2).take(pa.array(others)).to_numpy())
         at = offsets[text] + start + off
         for k in range(SPREAD // RANGE):
             o1, o2 = k * RANGE, (k + 1) * RANGE - 1
@@ -205,13 +210,13 @@ def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = near <= far
             a, near, far = at[use], near[use], far[use]
             core = K.span_hashes(data, a - o1, a - o2 + LENGTH) + U(k)
-            made = [core.view(np.int64), doc[use], _place(tie[use], (start + off)[use], near, far)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in made), _binary(data, a - far, a - o1), _binary(data, a - o2 + LENGTH, a - near + LENGTH)], names=["core", "doc", "place", "left", "right"])
+            made = [core.view(np.int64), doc[use], tie[use], _place((start + off)[use], near, far)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in made), _binary(data, a - far, a - o1), _binary(data, a - o2 + LENGTH, a - near + LENGTH)], names=["core", "doc", "tie", "place", "left", "right"])
 
 
 def _repeats_in(core: np.ndarray, place: np.ndarray, left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, offset, window) of all windows of rows of shared cores; equal windows have equal numbers. Rows lie core by core."""
-    _, _, near, far = _unplace(place)
+    _, near, far = _unplace(place)
     names = np.cumsum(np.concatenate([[True], core[1:] != core[:-1]])) + 256
     (ld, lo), (rd, ro) = K.text_bytes(left), K.text_bytes(right)
     ln, rn = np.diff(lo), np.diff(ro)
@@ -239,7 +244,7 @@ def _repeats_in(core: np.ndarray, place: np.ndarray, left: pa.Array, right: pa.A
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by core, doc and place -> intervals (doc, place, size) of windows that have occurred in an earlier row."""
+    """Rows sorted by core, doc, tie and place -> intervals (doc, tie, place, size) of windows that have occurred in an earlier row."""
     waiting: list[pa.RecordBatch] = []
     seen: tuple[int, np.ndarray] | None = None  # of a core that is worked off in pieces: hashes of windows
 
@@ -253,12 +258,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table.filter(pa.array(~alone))
         core = core[~alone]
         seen = None
-        # The rows of one core share its symbol, so there may be 65,000 cores to a merge.
+        # The rows of one core share its symbol; there are at most MOST rows, so symbols suffice.
         if not len(core):
             return
         table = table.combine_chunks()
         left, right = (table.column(c).combine_chunks() for c in ("left", "right"))
-        doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
+        doc, tie, place = (table.column(c).to_numpy() for c in ("doc", "tie", "place"))
         row, offset, window = _repeats_in(core, place, left, right)
         order = np.lexsort((row, window))
         row, offset, window = row[order], offset[order], window[order]
@@ -267,25 +272,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = row != row[first][np.cumsum(first) - 1]
         if known is not None or unfinished:
             hot = core[row] == (core[0] if known is not None else core[-1])
-            text = [(offset[i], *_window(left[row[i]].as_py(), right[row[i]].as_py(), place[row[i]], offset[i])) for i in np.flatnonzero(hot)]
-            codes = np.array([int.from_bytes(hashlib.blake2b(repr(t).encode(), digest_size=8).digest(), "little") for t in text], np.uint64)
+            codes = _window_codes(left, right, place, row[hot], offset[hot])
             if known is not None:
                 again[np.flatnonzero(hot)[np.isin(codes, known[1])]] = True
                 codes = np.union1d(codes, known[1])
             if unfinished:
                 seen = (int(core[-1]), np.unique(codes))
         row, offset = row[again], offset[again]
-        tie, at, _, _ = _unplace(place[row])
-        start = at - offset
+        start = _unplace(place[row])[0] - offset
         order = np.lexsort((start, row))
-        row, tie, start = row[order], tie[order], start[order]
+        row, start = row[order], start[order]
         if len(row):
             begins = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])
             first = np.flatnonzero(begins)
             n = np.diff(np.append(first, len(row)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(_place(tie[first], start[first], 0 * n, 0 * n + _WHOLE)), pa.array(n - 1 + LENGTH)], names=["doc", "place", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(tie[row[first]]), pa.array(_place(start[first], 0 * n, 0 * n + _WHOLE)), pa.array(n - 1 + LENGTH)], names=["doc", "tie", "place", "size"])
 
-    for batch in batches:
+    for batch in (b.slice(i, MOST - CHUNK) for b in batches for i in range(0, b.num_rows, MOST - CHUNK)):
         waiting.append(batch)
         table = pa.Table.from_batches(waiting)
         if table.num_rows < CHUNK:
@@ -302,15 +305,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(pa.Table.from_batches(waiting), False)
 
 
-def _window(left: bytes, right: bytes, place: int, offset: int) -> tuple[bytes, bytes]:
-    """The parts of a window in its row's fringes."""
-    _, _, near, far = _unplace(np.array([place]))
-    o2 = offset // RANGE * RANGE + RANGE - 1
-    return left[int(far[0]) - offset :], right[: o2 - offset]
+def _window_codes(left: pa.Array, right: pa.Array, place: np.ndarray, row: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the window at each offset of each row: of its parts in the row's fringes, with the offset."""
+    _, _, far = _unplace(place[row])
+    (ld, lo), (rd, ro) = K.text_bytes(left), K.text_bytes(right)
+    before = K.span_hashes(ld, lo[row] + far - offset, lo[row + 1])
+    after = K.span_hashes(rd, ro[row], ro[row] + offset // RANGE * RANGE + RANGE - 1 - offset)
+    return K.mix64(before * U(K._STEP) + after + offset.astype(np.uint64) * U(K._BASE))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their intervals -> figures of each document."""
+    """Texts and their intervals -> figures of each document. Of rows equal in id and text all but the first lose every window."""
     pending: tuple[int, int, bytes, list[tuple[int, int]]] | None = None
 
     def figures(doc: int, text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, int, str]:
@@ -367,7 +372,7 @@ def _sorted_with(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Texts and the rows that belong to them, texts first."""
     texts = docs.select("doc", "tie", F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("size"), "text")
     others = rows.select("doc", "tie", "place", "size", F.lit(None).cast("string").alias("text"))
-    return texts.unionByName(others).repartition("doc").sortWithinPartitions("doc", "tie", F.col("place").asc_nulls_first())
+    return texts.unionByName(others).repartition("doc", "tie").sortWithinPartitions("doc", "tie", F.col("place").asc_nulls_first())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -376,15 +381,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     least = -(2**63)
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 18) - 1)).alias("tie"), text.alias("text"))
-    segments = docs.mapInArrow(_segments, "key bigint, seg bigint, doc bigint, place bigint")
-    settled = segments.repartition("key").sortWithinPartitions("key", "seg", "doc", "place").mapInArrow(_settle, "kind int, doc bigint, place bigint, size bigint")
-    settled = scratch.keep(settled, "settled", ("kind",)).withColumn("tie", F.shiftright("place", 45))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    segments = docs.mapInArrow(_segments, "key bigint, seg bigint, doc bigint, tie bigint, place bigint")
+    settled = segments.repartition("key").sortWithinPartitions("key", "seg", "doc", "tie", "place").mapInArrow(_settle, "kind int, doc bigint, tie bigint, place bigint, size bigint")
+    settled = scratch.keep(settled, "settled", ("kind",))
     shared = settled.filter("kind = 1")
     keys = scratch.keep(shared.select("doc", "tie").distinct(), "shared")
-    cores = _sorted_with(_pick(docs, keys, "left_semi"), shared).mapInArrow(_cores, "core bigint, doc bigint, place bigint, left binary, right binary")
-    merged = cores.repartition("core").sortWithinPartitions("core", "doc", "place").mapInArrow(_merge, "doc bigint, place bigint, size bigint")
-    merged = scratch.keep(merged, "merged").withColumn("tie", F.shiftright("place", 45))
+    cores = _sorted_with(_pick(docs, keys, "left_semi"), shared).mapInArrow(_cores, "core bigint, doc bigint, tie bigint, place bigint, left binary, right binary")
+    merged = cores.repartition("core").sortWithinPartitions("core", "doc", "tie", "place").mapInArrow(_merge, "doc bigint, tie bigint, place bigint, size bigint")
+    merged = scratch.keep(merged, "merged")
     intervals = settled.filter("kind = 0").select("doc", "tie", "place", "size").unionByName(merged.select("doc", "tie", "place", "size"))
     twins = docs.groupBy("doc", "tie").count().filter("count > 1").select("doc", "tie")
     touched = scratch.keep(intervals.select("doc", "tie").unionByName(twins).distinct(), "touched")
