@@ -61,10 +61,18 @@ def test_repeated_words(spark):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "items").collect()), key=str) == brute_hits(rows, items)
 
 
-def test_benchmark_bound(spark, docs):
-    bench = spark.createDataFrame([(1, "x" * 1000)], "item_id bigint, text string")
-    with pytest.raises(ValueError, match="in parts|for each part"):
-        D.decontaminate(docs, bench, max_windows=10)
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_benchmarks_of_any_size(spark, monkeypatch, most):
+    """Windows and results that are too many to be broadcast, and a bitmap that lets nearly everything through."""
+    monkeypatch.setattr(D, "MAX_BROADCAST", most)
+    monkeypatch.setattr(D, "MAX_BITS", 1 << 10)
+    text = words(50, 3000)
+    rows = [(k, " ".join(text[k * 20 : k * 20 + 90])) for k in range(60)] * 2 + [(None, "clean " * 40)]
+    items = [(f"i{k}", " ".join(text[k * 90 : k * 90 + 5 + k])) for k in range(30)] + [(None, " ".join(text[:12])), ("short", text[7]), ("two", " ".join(text[700:702]))]
+    got = D.decontaminate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string"))
+    want = [(d, n, h, [i for i in found if i != "None"]) for d, n, h, found in brute_hits(rows, items)]
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "items").collect()), key=str) == sorted(want, key=str)
+    assert got.filter("contaminated <> (n_hit > 0)").count() == 0
 
 
 # Language identification
@@ -243,6 +251,28 @@ def test_encoder_equals_library():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_other_tokenizer_files(tmp_path):
+    """A file with another way to cut or clean texts is left to the library whole."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weftline.llm import kernels as K
+
+    plain = json.load(open(byte_bpe()))
+    assert T.Encoder(byte_bpe()).by_pieces
+    texts = ["Hello  World 12", "the CAT", "", "one two"]
+    data, offsets = K.text_bytes(pa.array(texts))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}}, {"added_tokens": [{**plain["added_tokens"][0], "content": "CAT"}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**plain, **change}))
+        own, library = T.Encoder(str(path)), Tokenizer.from_file(str(path))
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        ids, sizes = own.encode(data, offsets)
+        assert not own.by_pieces and sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # Telephony audio
 
 

@@ -6,7 +6,8 @@ document ids, their token counts, and the coded ids. Offsets over the whole corp
 
 Encoding goes through a cache of pre-tokens: byte-level BPE never merges across pre-tokens, so a text's ids are those of its
 pre-tokens in order, each of which the tokenizer library encodes once per worker. Texts with characters outside the
-plain set, or with a special token's mark, go to the library whole.
+plain set, or with a special token's mark, go to the library whole, and so do all texts where the tokenizer's file asks for
+anything but plain byte-level BPE.
 
 Nulls and odd input: a null text is an empty one and yields the end id alone; null document ids come first; repeated rows are
 encoded one after the other; an empty table gives an empty dataset; a long text is a segment of its own.
@@ -14,6 +15,7 @@ encoded one after the other; an empty table gives an empty dataset; a long text
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -64,6 +66,15 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.where(space, begins | before_signs, begins & ~blank_before))
 
 
+def _known(file: dict) -> bool:
+    """Whether texts of this tokenizer file are cut as ``piece_starts`` cuts them: plain byte-level BPE with marks in ``<|``."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    by_bytes = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    marked = all("<|" in t["content"] for t in file.get("added_tokens") or [])
+    return model.get("type") == "BPE" and plain and by_bytes and marked and not any(file.get(k) for k in ("normalizer", "truncation", "padding"))
+
+
 class Encoder:
     """Ids of texts, as the tokenizer library gives them. Pre-tokens are looked up by a 64-bit hash of their bytes."""
 
@@ -73,6 +84,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.odd, self.max_cached = re.compile(_ODD), max_cached
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = _known(json.load(f))
         self.forget()
 
     def forget(self) -> None:
@@ -119,6 +132,8 @@ class Encoder:
         if len(self.keys) > self.max_cached:
             self.forget()
         raw, n = data.tobytes(), len(offsets) - 1
+        if not self.by_pieces:
+            return self._library([raw[offsets[k] : offsets[k + 1]].decode() for k in range(n)])
         odd = np.array([self.odd.search(raw, offsets[k], offsets[k + 1]) is not None for k in range(n)], bool)
         if not odd.any():
             return self._plain(data, offsets)
