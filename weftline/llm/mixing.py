@@ -178,19 +178,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", memberships
     single = F.concat(F.when(F.col("__weft_some") > 0, F.array("__weft_next")).otherwise(F.slice(F.array("__weft_next"), 1, 0)), F.coalesce("__weft_picks", F.slice(F.array("__weft_next"), 1, 0)))
     cut = scratch.keep(cut.withColumn("__weft_single", single).drop("__weft_picks"), "decision", small=True)
     decided = lambda df: df.join(plan_rows, "__weft_p").join(F.broadcast(cut), "__weft_p", "left")
+    # Rows with the hash of a single document are few. Those equal to one are numbered: within their partitions, then over all.
     is_single = F.coalesce(F.array_contains("__weft_single", F.col("__weft_at")), F.lit(False))
-    rows = sized(decided(placed))
-    main = rows.filter(~is_single).withColumn("__weft_extra", _before(F.col("__weft_at")))
-    # Rows equal to one of the single documents are numbered: within their partitions, then over all.
     hashed = F.coalesce(F.exists("__weft_single", lambda x: x["__weft_h"] == F.col("__weft_h")), F.lit(False))
-    equal = scratch.keep(sized(decided(placed).filter(hashed)).filter(is_single).withColumn("__weft_part", F.spark_partition_id()), "equal", small=True)
+    main = sized(decided(placed).filter(~hashed)).withColumn("__weft_extra", _before(F.col("__weft_at")))
+    equal = scratch.keep(sized(decided(placed).filter(hashed)).withColumn("__weft_part", F.spark_partition_id()), "equal", small=True)
     of = ["__weft_p", "__weft_at"]
     parts = equal.groupBy(*of, "__weft_part").agg(F.count("*").alias("n")).withColumn("__weft_upto", F.sum("n").over(W.partitionBy(*of).orderBy("__weft_part")) - F.col("n")).drop("n")
     number = F.row_number().over(W.partitionBy(*of, "__weft_part").orderBy("__weft_h")) + F.col("__weft_upto")
     room = F.when(F.col("__weft_at").eqNullSafe(F.col("__weft_next")), F.col("__weft_some")).otherwise(1)
     parts = parts.withColumnsRenamed({c: f"{c}_of" for c in (*of, "__weft_part")})
     same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*of, "__weft_part")]
-    equal = equal.join(parts, same).drop(*(f"{c}_of" for c in (*of, "__weft_part"))).withColumn("__weft_extra", number <= room)
+    equal = equal.join(parts, same).drop(*(f"{c}_of" for c in (*of, "__weft_part"))).withColumn("__weft_extra", F.when(is_single, number <= room).otherwise(_before(F.col("__weft_at"))))
     rows = main.unionByName(equal.drop("__weft_part", "__weft_upto"))
     rows = rows.withColumn("repeats", F.col("__weft_floor") + F.when(F.col("__weft_extra"), 1).otherwise(0))
     rows = rows.withColumn("taken", F.col("repeats") * F.col("size"))
