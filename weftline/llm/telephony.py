@@ -6,8 +6,9 @@ Samples are expanded by lookup tables, ADPCM is decoded with numpy across the bl
 and the result is resampled to 16 kHz and stored as 16-bit PCM beside the media. What a reader reports comes from the stored
 bytes: payload and media from the media, features from the PCM.
 
-Stored PCM is split into phases: the first holds every second sample, the second what the mean of its neighbours does not
-tell of the samples between. Any PCM comes back exactly; where it was interpolated the second phase is zeros and packs well.
+Stored PCM is split into phases, in two columns: ``pcm`` holds every second sample, ``pcm_rest`` what the mean of their
+neighbours does not tell of the samples between. Any PCM comes back exactly; where it was interpolated the rest is zeros, which
+pack well in a column of their own.
 
 The codecs are pure functions of bytes, so equal payloads have equal media and features. Nulls and odd input: a null text
 is an empty one; a payload is padded with byte 255 to a positive multiple of 576, so it is never empty; damaged media or PCM
@@ -143,26 +144,27 @@ def _between(first: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
     return resample(first, ends, factor)[1:]
 
 
-def write_pcm(phases: np.ndarray, ends: np.ndarray, rate: int = TARGET_RATE) -> list[bytes]:
-    """Each clip's stored PCM: a header, its first phase, and the differences of the others from their interpolation."""
+def write_pcm(phases: np.ndarray, ends: np.ndarray, rate: int = TARGET_RATE) -> list[tuple[bytes, bytes]]:
+    """Each clip's stored PCM: a header with its first phase, and the differences of the others from their interpolation."""
     factor = len(phases)
-    rest = phases[1:] - _between(phases[0], ends, factor)  # modulo 2 ** 16, so that nothing is lost
-    whole = np.concatenate([phases[:1], rest]).astype("<i2")
+    first = phases[0].astype("<i2")
+    rest = (phases[1:] - _between(phases[0], ends, factor)).astype("<i2")  # modulo 2 ** 16, so that nothing is lost
     starts = np.concatenate([[0], ends[:-1]])
-    return [_PCM_HEAD.pack(b"PPCM", rate, factor, b - a) + whole[:, a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [(_PCM_HEAD.pack(b"PPCM", rate, factor, b - a) + first[a:b].tobytes(), rest[:, a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def read_pcm(stored: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def read_pcm(stored: list[bytes], rests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(phases of all clips, their ends) of stored PCM of one factor."""
     heads = [_PCM_HEAD.unpack_from(x) for x in stored]
     factor = heads[0][2]
     n = np.array([h[3] for h in heads], np.int64)
-    if any(h[0] != b"PPCM" or h[2] != factor or len(x) != _PCM_HEAD.size + 2 * factor * h[3] for h, x in zip(heads, stored, strict=True)):
+    if any(h[0] != b"PPCM" or h[2] != factor or len(x) != _PCM_HEAD.size + 2 * h[3] or len(r) != 2 * (factor - 1) * h[3] for h, x, r in zip(heads, stored, rests, strict=True)):
         raise ValueError("damaged PCM")
     ends = np.cumsum(n)
     whole = np.empty((factor, ends[-1]), np.int16)
-    for x, k, end in zip(stored, n.tolist(), ends.tolist(), strict=True):
-        whole[:, end - k : end] = np.frombuffer(x, "<i2", offset=_PCM_HEAD.size).reshape(factor, k)
+    for x, r, k, end in zip(stored, rests, n.tolist(), ends.tolist(), strict=True):
+        whole[0, end - k : end] = np.frombuffer(x, "<i2", offset=_PCM_HEAD.size)
+        whole[1:, end - k : end] = np.frombuffer(r, "<i2").reshape(factor - 1, k)
     whole[1:] += _between(whole[0], ends, factor)
     return whole, ends
 
@@ -191,10 +193,10 @@ def pad_all(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, ends
 
 
-def decode_all(data: np.ndarray, ends: np.ndarray, codecs: np.ndarray) -> list[bytes]:
+def decode_all(data: np.ndarray, ends: np.ndarray, codecs: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Stored PCM of payloads that end at ``ends``: all documents of a codec are decoded at once."""
     starts = np.concatenate([[0], ends[:-1]])
-    out: list[bytes] = [b""] * len(ends)
+    out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(ends)
     for codec in np.unique(codecs):
         rows = np.flatnonzero(codecs == codec)
         own = np.concatenate([data[starts[r] : ends[r]] for r in rows])
@@ -221,11 +223,11 @@ def unwrap(media: bytes) -> tuple[bytes, str]:
 
 
 def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, and the columns n_bytes, media (AU or WAV) and pcm (16 kHz, 16 bits, in phases)."""
+    """docs without the text, and the columns n_bytes, media (AU or WAV), pcm and pcm_rest (16 kHz, 16 bits, in phases)."""
     bounded_batches(docs.sparkSession)
-    docs = without(docs, "n_bytes", "media", "pcm")
+    docs = without(docs, "n_bytes", "media", "pcm", "pcm_rest")
     fields = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("pcm", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("pcm", T.BinaryType()), T.StructField("pcm_rest", T.BinaryType())])
     at = docs.columns.index(text)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,18 +241,20 @@ def store_audio(docs: DataFrame, text: str = "text") -> DataFrame:
                 codecs = np.array([zlib.crc32(x) % len(CODECS) for x in each], np.int64)
                 media = [wrap(x, c) for x, c in zip(each, codecs.tolist(), strict=True)]
                 rest = [c.slice(i, j - i) for k, c in enumerate(batch.columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(own)), pa.array(media, pa.binary()), pa.array(decode_all(payloads, ends, codecs), pa.binary())], names=schema.names)
+                pcm = decode_all(payloads, ends, codecs)
+                made = [pa.array(np.diff(own)), pa.array(media, pa.binary()), *(pa.array([p[k] for p in pcm], pa.binary()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*rest, *made], names=schema.names)
 
     return docs.mapInArrow(encode, schema)
 
 
-def write_audio(docs: DataFrame, path: str, text: str = "text", level: int = 6) -> None:
-    """Write ``store_audio`` as Parquet. level: of the compression; PCM gains more from a higher one than texts do."""
-    store_audio(docs, text).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+def write_audio(docs: DataFrame, path: str, text: str = "text", level: int = 12, page_bytes: int = 4 << 20) -> None:
+    """Write ``store_audio`` as Parquet. level, page_bytes: PCM packs the better the more effort and the more samples a page has."""
+    store_audio(docs, text).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).option("parquet.page.size", str(page_bytes)).parquet(path)
 
 
 def read_audio(stored: DataFrame, keep_pcm: bool = False) -> DataFrame:
-    """stored without media and pcm, and what was read back from them.
+    """stored without media, pcm and pcm_rest, and what was read back from them.
 
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, feature, pcm_samples, and with ``keep_pcm``
     the 16-bit samples as ``samples``. ``feature``: codec, samples, sum of sizes, mean square, peak, changes of sign of the PCM.
@@ -259,21 +263,21 @@ def read_audio(stored: DataFrame, keep_pcm: bool = False) -> DataFrame:
     new += [("samples", T.BinaryType())] * keep_pcm
     bounded_batches(stored.sparkSession)
     stored = without(stored, *(n for n, _ in new))
-    schema = T.StructType([*(f for f in stored.schema.fields if f.name not in ("media", "pcm")), *(T.StructField(*n) for n in new)])
-    at_media, at_pcm = stored.columns.index("media"), stored.columns.index("pcm")
+    schema = T.StructType([*(f for f in stored.schema.fields if f.name not in ("media", "pcm", "pcm_rest")), *(T.StructField(*n) for n in new)])
+    at_media, at_pcm, at_rest = (stored.columns.index(c) for c in ("media", "pcm", "pcm_rest"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in K.slices(K.text_bytes(batch.column(at_media))[1], SLICE):
                 part = batch.slice(i, j - i)
                 media = part.column(at_media).to_pylist()
-                phases, ends = read_pcm(part.column(at_pcm).to_pylist())
+                phases, ends = read_pcm(part.column(at_pcm).to_pylist(), part.column(at_rest).to_pylist())
                 starts, rows = np.concatenate([[0], ends[:-1]]), []
                 for raw, said, a, b in zip(media, features(phases, ends), starts.tolist(), ends.tolist(), strict=True):
                     payload, codec = unwrap(raw)
                     row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), codec, f"{codec}:{said}", len(phases) * (b - a))
                     rows.append((*row, phases[:, a:b].T.astype("<i2").tobytes()) if keep_pcm else row)
-                rest = [c for k, c in enumerate(part.columns) if k not in (at_media, at_pcm)]
+                rest = [c for k, c in enumerate(part.columns) if k not in (at_media, at_pcm, at_rest)]
                 made = [pa.array([r[k] for r in rows], type=_arrow(kind)) for k, (_, kind) in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([*rest, *made], names=schema.names)
 
