@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import Scratch, bounded_batches, without
@@ -42,7 +43,6 @@ MAX_BROADCAST = 200_000
 #: A-Z belong to words as well: they are lowered.
 _TABLE = K.ALNUM.copy()
 _TABLE[65:91] = True
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _KEY = ("__weft_h", "__weft_g")
 
 
@@ -143,6 +143,19 @@ def offers(texts: DataFrame, bits: np.ndarray, grams: list[int], size: int = SIZ
     return texts.mapInArrow(offer, "__weft_h bigint, __weft_g bigint, key bigint, at bigint, n_words bigint, before int, near string")
 
 
+def with_word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """docs and the column n_words."""
+    schema, at = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType())]), docs.columns.index(text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(at))
+            n = [np.diff(K.word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _TABLE)[2]) for i, j in K.slices(offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=schema.names)
+
+    return docs.mapInArrow(count, schema)
+
+
 def _bounded(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST else df
 
@@ -183,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     docs = without(docs, "n_words", "n_hit", "items", "contaminated")
     hashes = {_KEY[0]: F.xxhash64(text), _KEY[1]: F.xxhash64(F.lit(1), text)}
     hits = hits_of(docs.select(F.col(text).alias("text"), *(h.alias(k) for k, h in hashes.items())), benchmark, item, item_text, size, scratch)
-    judged = docs.withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("bigint"))
+    judged = with_word_counts(docs, text)
     none = F.array().cast("array<string>")
 
     def finished(rows: DataFrame, n_hit: Column, items: Column) -> DataFrame:
