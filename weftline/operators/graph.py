@@ -128,20 +128,44 @@ def remove_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def subgraph_pairs(nodes: DataFrame, edges: DataFrame, label: str, depth: int, max_paths: int) -> DataFrame:
     """Pairs (start, connected, depth) reached from matching nodes along up to ``depth`` edges, none of them used twice on a path.
 
-    Each level is one join. A pair is kept with its smallest depth; paths carry the edges that they used. At most
-    ``max_paths`` pairs, nearest first.
+    Edges are one for each pair. A pair is kept with its smallest depth; at most ``max_paths`` pairs, nearest first. Levels are
+    joined one by one and stop as soon as there are enough pairs, so that the frontier has fewer than ``max_paths`` pairs
+    and travels as a broadcast: hubs add rows to a level's join, never to the next level. To find the way back to a start, each pair
+    keeps the first steps of its two nearest paths: a closed path ends by another edge than it began with.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
-    seeds = match_label(nodes, label).select(F.col("entity_id").alias("start"), F.col("entity_id").alias("connected"), F.array().cast("array<string>").alias("used"))
-    steps = edges.select(F.concat_ws("\u0001", "src", "tgt").alias("edge"), F.explode(F.array(F.struct(F.col("src").alias("at"), F.col("tgt").alias("to")), F.struct(F.col("tgt").alias("at"), F.col("src").alias("to")))).alias("e")).select("edge", "e.*")
-    reached, paths = None, seeds
-    for level in range(1, depth + 1):
-        paths = paths.join(steps, paths.connected == steps.at).filter(~F.array_contains("used", F.col("edge"))).select("start", F.col("to").alias("connected"), F.array_append("used", F.col("edge")).alias("used"))
-        found = paths.select("start", "connected", F.lit(level).alias("depth"))
-        reached = found if reached is None else reached.unionByName(found)
-    pairs = reached.groupBy("start", "connected").agg(F.min("depth").alias("depth"))
-    return pairs.orderBy("depth", "start", "connected").limit(max_paths)
+    spark = edges.sparkSession
+    steps = both_ways(edges.select("src", "tgt").filter("src <> tgt")).withColumnsRenamed({"entity_id": "at", "neighbour": "to"})
+    seeds = match_label(nodes, label).select(F.col("entity_id").alias("start")).distinct()
+    near = seeds.join(steps, F.col("start") == F.col("at")).select("start", F.col("to").alias("connected")).orderBy("start", "connected").limit(max_paths)
+    pairs = {(r["start"], r["connected"]): 1 for r in near.collect()}  # at most max_paths, as all that is collected below
+    branches = {(s, c): [c] for s, c in pairs}
+    frontier = [(s, c, c) for s, c in pairs]
+    for level in range(2, depth + 1):
+        if len(pairs) >= max_paths or not frontier:
+            break
+        reached = spark.createDataFrame(frontier, "start string, first string, last string")
+        seen = spark.createDataFrame([(s, c, b) for (s, c), firsts in branches.items() for b in firsts], "start string, connected string, first string")
+        full = spark.createDataFrame([(s, c) for (s, c), firsts in branches.items() if len(firsts) > 1], "start string, connected string")
+        known = spark.createDataFrame(list(pairs), "start string, connected string").withColumn("known", F.lit(True))
+        walked = steps.join(F.broadcast(reached), F.col("at") == F.col("last")).select("start", F.col("to").alias("connected"), "first", "last")
+        # Back at the start by the first edge is no path.
+        walked = walked.filter((F.col("connected") != F.col("start")) | (F.col("first") != F.col("last")))
+        walked = walked.join(F.broadcast(seen), ["start", "connected", "first"], "left_anti").join(F.broadcast(full), ["start", "connected"], "left_anti")
+        ends = walked.groupBy("start", "connected").agg(F.min("first").alias("a"), F.max("first").alias("b"))
+        ends = ends.join(F.broadcast(known), ["start", "connected"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        frontier = []
+        # New pairs come first: fewer than max_paths of them, and all known ones, fit in.
+        for r in ends.orderBy("known", "start", "connected").limit(2 * max_paths).collect():
+            pair = (r["start"], r["connected"])
+            pairs.setdefault(pair, level)
+            if pair[0] != pair[1]:
+                firsts = [b for b in dict.fromkeys((r["a"], r["b"]))][: 2 - len(branches.get(pair, []))]
+                branches.setdefault(pair, []).extend(firsts)
+                frontier += [(pair[0], b, pair[1]) for b in firsts]
+    best = sorted(((s, c, n) for (s, c), n in pairs.items()), key=lambda r: (r[2], r[0].encode(), r[1].encode()))
+    return spark.createDataFrame(best[:max_paths], "start string, connected string, depth int")
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, label: str, depth: int = 3, max_nodes: int = MAX_NODES, mode: str = "reachability") -> tuple[DataFrame, DataFrame, bool]:

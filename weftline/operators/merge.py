@@ -53,9 +53,10 @@ def merge_keywords(packed: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda k: F.trim(k)), lambda k: k != ""))), ",")
 
 
-def _in_order(value: str | Column, name: str) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", "ord", value.alias("v")))), lambda x: x["v"]).alias(name)
+def _distinct_in_order(facts: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """key and the distinct values, the first found first. Repeats fall away before the shuffle, so that no list has them."""
+    first = facts.groupBy(*key, F.col(value).alias("v")).agg(F.min(F.struct("chunk_ord", "ord")).alias("at"))
+    return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
 
 
 def type_vote(facts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -72,8 +73,8 @@ def type_vote(facts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def ordered_descriptions(facts: DataFrame, key: list[str]) -> DataFrame:
     """key and descriptions: distinct, by time, then longest first, then first seen."""
-    first = W.partitionBy(*key, "description").orderBy("chunk_ord", "ord")
-    once = facts.filter(F.length(F.trim("description")) > 0).withColumn("__rn", F.row_number().over(first)).filter("__rn = 1")
+    first = facts.filter(F.length(F.trim("description")) > 0).groupBy(*key, "description").agg(F.min(F.struct("chunk_ord", "ord", "timestamp")).alias("at"))
+    once = first.select(*key, "description", "at.*")
     place = F.struct("timestamp", (-F.char_length("description")).alias("shorter"), "chunk_ord", "ord", "description")
     return once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["description"]).alias("descriptions"))
 
@@ -111,7 +112,7 @@ def merge_entities(facts: DataFrame, existing: DataFrame | None = None, max_sour
 
     Entities without any description fall out. ``source_ids`` keeps all ids, ``source_id`` the limited list.
     """
-    grouped = facts.groupBy("name").agg(_in_order("source_id", "new_ids"), _in_order("file_path", "new_paths"))
+    grouped = _distinct_in_order(facts, ["name"], "source_id", "new_ids").join(_distinct_in_order(facts, ["name"], "file_path", "new_paths"), "name")
     merged = grouped.join(type_vote(facts, existing), "name").join(ordered_descriptions(facts, ["name"]), "name", "left")
     none = F.array().cast("array<string>")
     if existing is not None:
@@ -140,7 +141,9 @@ def merge_relations(facts: DataFrame, existing: DataFrame | None = None, max_sou
     low, high = canonical(F.col("source_id"), F.col("target_id"))
     facts = facts.filter("source_id <> target_id").withColumns({"src": low, "tgt": high})
     key = ["src", "tgt"]
-    grouped = facts.groupBy(*key).agg(_in_order("source_chunk_id", "new_ids"), _in_order("file_path", "new_paths"), F.collect_list("keywords").alias("words"), F.sum(F.col("weight").cast("double")).alias("new_weight"))
+    grouped = facts.groupBy(*key).agg(F.collect_set("keywords").alias("words"), F.sum(F.col("weight").cast("double")).alias("new_weight"))
+    for value, name in (("source_chunk_id", "new_ids"), ("file_path", "new_paths")):
+        grouped = grouped.join(_distinct_in_order(facts, key, value, name), key)
     merged = grouped.join(ordered_descriptions(facts, key), key, "left")
     none = F.array().cast("array<string>")
     if existing is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.ids import canonical
 from ..functions.text import unpack
 from ..functions.tokens import token_count
+from ..session import numbered
 from . import graph
 
 
@@ -30,14 +31,14 @@ def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
 
 
 def local_relations(entities: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """Edges at the entities, each once, by rank (sum of degrees), then weight, then ends."""
+    """Edges at the entities, each once, by rank (sum of degrees), then weight, then ends; of any number without a limit."""
     ids = entities.select("entity_id").distinct()
     at = edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").select("src", "tgt")
     near = at.unionByName(edges.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt", "left_semi").select("src", "tgt")).distinct()
     ranks = graph.edge_degrees(edges, near, few=True)
     out = ranks.join(edges, ["src", "tgt"]).withColumn("weight", weight(F.col("weight")))
-    out = out.orderBy(F.desc("rank"), F.desc("weight"), "src", "tgt")
-    return ranked(out.limit(limit) if limit else out, F.desc("rank"), F.desc("weight"), "src", "tgt")
+    order = (F.desc("rank"), F.desc("weight"), "src", "tgt")
+    return ranked(out.orderBy(*order).limit(limit), *order) if limit else numbered(out, *order)
 
 
 def global_relations(hits: DataFrame, edges: DataFrame) -> DataFrame:

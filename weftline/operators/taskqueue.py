@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..session import numbered
 
 PENDING, PROCESSING, COMPLETED, FAILED = "Pending", "Processing", "Completed", "Failed"
 #: Stages in which a document's progress follows its task (fixed values).
@@ -18,8 +19,8 @@ def next_task(tasks: DataFrame) -> DataFrame:
 
 
 def list_tasks(tasks: DataFrame) -> DataFrame:
-    order = W.orderBy("priority", "created_at", "task_id")
-    return tasks.withColumn("pos", F.row_number().over(order) - 1)
+    """All tasks with their place in the queue."""
+    return numbered(tasks, "priority", "created_at", "task_id")
 
 
 def recover(tasks: DataFrame) -> DataFrame:

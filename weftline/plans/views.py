@@ -29,21 +29,21 @@ FROM (SELECT 'nation:' || CAST(n_nationkey AS STRING) AS a, 'region:' || CAST(n_
       UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS STRING), 'nation:' || CAST(s_nationkey AS STRING), 'works in', CAST(2 AS DOUBLE), s_suppkey FROM {{supplier}}
       UNION ALL SELECT 'supplier:' || CAST(l_suppkey AS STRING), 'part:' || CAST(l_partkey AS STRING), 'ships', CAST(count(*) AS DOUBLE), l_suppkey + l_partkey FROM {{lineitem}} GROUP BY l_suppkey, l_partkey) e""",
     "tree_edges": "SELECT * FROM {kg_edges} WHERE keywords <> 'ships'",
-    "ents": "SELECT entity_id, CAST(row_number() OVER (ORDER BY entity_id) - 1 AS BIGINT) AS idx FROM {kg_nodes} WHERE entity_type <> 'part'",
-    "rels": "SELECT src, tgt, CAST(row_number() OVER (ORDER BY src, tgt) - 1 AS BIGINT) AS idx FROM {tree_edges}",
-    "ent_vec": "SELECT e.vec_id, e.embedding, n.entity_id FROM {embeddings} e JOIN {ents} n ON e.vec_id = n.idx",
-    "rel_vec": "SELECT e.vec_id, e.embedding, CASE WHEN idx % 2 = 1 THEN tgt ELSE src END AS src, CASE WHEN idx % 2 = 1 THEN src ELSE tgt END AS tgt FROM {embeddings} e JOIN {rels} r ON e.vec_id = r.idx",
+    "ents": "SELECT entity_id FROM {kg_nodes} WHERE entity_type <> 'part'",
+    # A vector belongs to the customer with its number, or to that customer's edge.
+    "ent_vec": "SELECT e.vec_id, e.embedding, n.entity_id FROM {embeddings} e JOIN {kg_nodes} n ON n.entity_id = 'customer:' || CAST(e.vec_id AS STRING)",
+    "rel_vec": "SELECT e.vec_id, e.embedding, CASE WHEN vec_id % 2 = 1 THEN tgt ELSE src END AS src, CASE WHEN vec_id % 2 = 1 THEN src ELSE tgt END AS tgt FROM {embeddings} e JOIN {tree_edges} r ON r.src = 'customer:' || CAST(e.vec_id AS STRING)",
     "text_chunks": "SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path FROM {documents}",
     "store": "SELECT 'c' || CAST(c_custkey AS STRING) AS id, c_name AS name, c_acctbal AS balance FROM {customer}",
     # Ranked lists, as a search would give them: the first 40 by some order.
-    "rank_a": "SELECT * FROM (SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM {customer}) r WHERE pos < 40",
-    "rank_b": "SELECT * FROM (SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM {customer} WHERE c_acctbal > 6000) r WHERE pos < 40",
-    "rank_rel_a": "SELECT * FROM (SELECT src, tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY description, src, tgt) - 1 AS INT) AS pos FROM {tree_edges}) r WHERE pos < 40",
-    "rank_rel_b": "SELECT * FROM (SELECT tgt AS src, src AS tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY source_id DESC, src, tgt) - 1 AS INT) AS pos FROM {tree_edges} WHERE keywords <> 'lives in' OR source_id < 'd2') r WHERE pos < 40",
-    "rank_ent": "SELECT * FROM (SELECT entity_id, entity_type, description, source_id, CAST(row_number() OVER (ORDER BY source_id, entity_id) - 1 AS INT) AS pos FROM {kg_nodes} WHERE entity_type <> 'part') r WHERE pos < 40",
-    "rank_chunk": "SELECT * FROM (SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS INT) AS pos FROM {documents}) r WHERE pos < 40",
-    "rank_chunk_b": "SELECT * FROM (SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY source, n_chars, doc_id) - 1 AS INT) AS pos FROM {documents} WHERE n_chars < 400) r WHERE pos < 40",
-    "rank_chunk_c": "SELECT * FROM (SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS pos FROM {documents}) r WHERE pos < 40",
+    "rank_a": "SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM (SELECT * FROM {customer} ORDER BY c_acctbal DESC, c_custkey LIMIT 40) r",
+    "rank_b": "SELECT 'customer:' || CAST(c_custkey AS STRING) AS entity_id, c_name AS description, CAST(row_number() OVER (ORDER BY c_nationkey, c_acctbal DESC, c_custkey) - 1 AS INT) AS pos FROM (SELECT * FROM {customer} WHERE c_acctbal > 6000 ORDER BY c_nationkey, c_acctbal DESC, c_custkey LIMIT 40) r",
+    "rank_rel_a": "SELECT src, tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY description, src, tgt) - 1 AS INT) AS pos FROM (SELECT * FROM {tree_edges} ORDER BY description, src, tgt LIMIT 40) r",
+    "rank_rel_b": "SELECT tgt AS src, src AS tgt, keywords, description, source_id, CAST(row_number() OVER (ORDER BY source_id DESC, src, tgt) - 1 AS INT) AS pos FROM (SELECT * FROM {tree_edges} WHERE keywords <> 'lives in' OR source_id < 'd2' ORDER BY source_id DESC, src, tgt LIMIT 40) r",
+    "rank_ent": "SELECT entity_id, entity_type, description, source_id, CAST(row_number() OVER (ORDER BY source_id, entity_id) - 1 AS INT) AS pos FROM (SELECT * FROM {kg_nodes} WHERE entity_type <> 'part' ORDER BY source_id, entity_id LIMIT 40) r",
+    "rank_chunk": "SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS INT) AS pos FROM (SELECT * FROM {documents} ORDER BY n_chars, doc_id LIMIT 40) r",
+    "rank_chunk_b": "SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY source, n_chars, doc_id) - 1 AS INT) AS pos FROM (SELECT * FROM {documents} WHERE n_chars < 400 ORDER BY source, n_chars, doc_id LIMIT 40) r",
+    "rank_chunk_c": "SELECT 'd' || CAST(doc_id AS STRING) AS chunk_id, text AS content, source AS file_path, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS pos FROM (SELECT * FROM {documents} ORDER BY doc_id LIMIT 40) r",
     "distinct_docs": "SELECT 'd' || CAST(min(doc_id) AS STRING) AS full_doc_id, min(source) AS file_path, text AS content FROM {documents} GROUP BY text",
     # Facts as a model would find them: suppliers and what they ship.
     "entity_facts": """

@@ -10,12 +10,13 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
-def settle(rows: DataFrame, label: str) -> DataFrame:
-    """A short list as a table in the cluster's shared folder, so that what follows does not compute it again."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; in a local session without one a temporary folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,11 +24,30 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
         base = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/weftline-{label}-{uuid.uuid4().hex}"
-    rows.coalesce(1).write.parquet(path)
+    return base
+
+
+def settle(rows: DataFrame, label: str, short: bool = True) -> DataFrame:
+    """A list as a table in the cluster's shared folder, so that what follows does not compute it again; one file if ``short``."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    (rows.coalesce(1) if short else rows).write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows of any number with pos, from 0 by the order (which has no ties).
+
+    Rows are sorted by ranges and written once with their place in the range; only one count for each range meets in a task.
+    """
+    place = F.monotonically_increasing_id()
+    kept = settle(rows.orderBy(*order).select("*", F.shiftright(place, 33).alias("__range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")), "numbered", False)
+    counts = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", before.alias("__before"))  # one row for each task of the sort
+    return kept.join(F.broadcast(starts), "__range").withColumn("pos", (F.col("__before") + F.col("__at")).cast("int")).drop("__range", "__at", "__before")
+
+
 _shipped: set[str] = set()
 
 
