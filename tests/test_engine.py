@@ -73,3 +73,118 @@ def test_prompts_and_attempts(spark):
         return x
 
     assert models.with_attempts(fails, 3, 0)(7) == 7 and len(tries) == 3
+
+
+class Counted:
+    """A model and an embedder that leave a line for every call in a file."""
+
+    dimension = 16
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def _note(self, line):
+        with open(self.path, "a") as f:
+            f.write(line + "\n")
+
+    def embed(self, texts):
+        for t in texts:
+            self._note("embed " + t.split("\n")[0].split("\t")[0])
+        from weftline.models import HashingEmbedder
+
+        return HashingEmbedder(16).embed(texts)
+
+    def extract(self, text):
+        from weftline.models import RuleModel
+
+        return RuleModel().extract(text)
+
+    def keywords(self, query):
+        return [query], [query]
+
+    def summarize(self, name, parts):
+        self._note(f"summarize {name} {len(parts)}")
+        return f"{name}: {len(parts)} parts"
+
+    def generate(self, prompt):
+        yield prompt
+
+
+def _graph(e):
+    return [sorted(str({k: v for k, v in r.asDict().items() if k != "created_at"}) for r in e.table(t).collect()) for t in ("nodes", "edges", "entity_vectors", "relation_vectors")]
+
+
+def test_insert_touches_only_new_names(spark, tmp_path):
+    log = tmp_path / "log"
+    said = Counted(log)
+    e = Engine(spark, str(tmp_path / "kb"), Options(chunk_tokens=30, chunk_overlap=5), embedder=said, model=said)
+    put = lambda *texts: e.insert_documents(spark.createDataFrame([(t, f"{i}.md") for i, t in enumerate(texts)], "content string, file_path string"))
+    assert put("Alice met Bob. Bob met Carol.", "Xena met Yuri.") == 2
+    log.write_text("")
+    assert put("Alice met Dora.") == 1
+    embedded = {x[6:] for x in log.read_text().splitlines() if x.startswith("embed ")}
+    assert {"Alice", "Dora"} <= embedded and not embedded & {"Bob", "Carol", "Xena", "Yuri"}
+    one = _graph(e)
+    assert any("Xena" in x for x in one[0]) and any("Dora" in x for x in one[1])
+    e.rebuild_graph()
+    assert _graph(e) == one
+    assert not list((tmp_path / "kb").glob("*/_runs/*"))
+
+
+def test_long_descriptions_are_summarised_in_groups(spark, tmp_path):
+    log = tmp_path / "log"
+    said = Counted(log)
+    e = Engine(spark, str(tmp_path / "kb"), Options(chunk_tokens=500, summary_context=12), embedder=said, model=said)
+    e.insert_documents(spark.createDataFrame([(f"Alice likes dish number {i} today.", f"{i}.md") for i in range(9)], "content string, file_path string"))
+    calls = [x for x in log.read_text().splitlines() if x.startswith("summarize Alice")]
+    # Nine parts of six words: four groups of two and one part; their summaries have three words each and make a group of four.
+    assert sorted(int(x.split()[-1]) for x in calls) == [2, 2, 2, 2, 4]
+    assert [r["description"] for r in e.table("nodes").collect()] == ["Alice: 4 parts<SEP>Alice likes dish number 8 today"]
+
+
+def test_tokenizer_modes_and_release(spark, tmp_path):
+    from weftline import engine as module
+    from weftline.functions.tokens import Vocabulary
+
+    letters = Vocabulary(lambda: (lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids))))
+    e = Engine(spark, str(tmp_path / "kb"), Options(chunk_tokens=20, chunk_overlap=4), tokenizer=letters)
+    assert e.insert_documents(spark.createDataFrame([("Alice met Bob in Paris, said Carol.", "a.md")], "content string, file_path string")) == 1
+    # The last two tokens are a remainder within the overlap: the chunk before gets them once more.
+    assert [r["content"] for r in e.table("text_chunks").orderBy("chunk_order_index").collect()] == ["Alice met Bob in Par", "Paris, said Carol.ol."]
+    module.STRATEGIES["chunks only"] = module.Strategy(False, True, True)
+    try:
+        found = e.retrieve("Alice met Bob", QueryParam(mode="chunks only"))
+        assert found.chunks.count() and list((tmp_path / "kb").glob("*/_runs/*"))
+        found.release()
+        assert not list((tmp_path / "kb").glob("*/_runs/*"))
+    finally:
+        del module.STRATEGIES["chunks only"]
+
+
+def test_broken_swap_is_never_an_empty_table(spark, tmp_path):
+    from weftline.operators import kv
+
+    path = str(tmp_path / "t")
+    kv.replace_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert kv.current_path(spark, path).endswith("t.old")
+    spark.range(5).write.parquet(f"{path}.new")
+    assert spark.read.parquet(kv.current_path(spark, path)).count() == 5
+    kv.replace_table(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and kv.current_path(spark, path) == path
+
+
+def test_folder_with_a_bad_document(spark, tmp_path):
+    class Picky(Counted):
+        def extract(self, text):
+            if "poison" in text:
+                raise ValueError("cannot read this")
+            return super().extract(text)
+
+    for name, text in (("a", "Alice met Bob."), ("b", "a poison text"), ("c", "Carol met Dan."), ("d", "Alice met Bob.")):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "SKILL.md").write_text(text)
+    picky = Picky(tmp_path / "log")
+    e = Engine(spark, str(tmp_path / "kb"), embedder=picky, model=picky)
+    assert e.insert_folder(str(tmp_path / "in")) == {"inserted": 2, "skipped": 1, "failed": 1}
+    assert {"Alice", "Dan"} <= {r["entity_id"] for r in e.table("nodes").collect()}

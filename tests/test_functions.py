@@ -86,3 +86,13 @@ def test_read_folders_and_tables(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"id": "a", "n": 1}\nbroken\n')
     assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "t.json"), "id string, n int").collect()] == [("a", 1)]
     assert files.read_table(spark, str(tmp_path / "none.json"), "id string").count() == 0
+    assert files.read_table(spark, str(tmp_path / "t.json"), "id string, n int", str(tmp_path / "kept")).count() == 1
+    assert spark.read.text(str(tmp_path / "kept")).count() >= 1
+
+
+def test_guessed_encodings():
+    chinese = "\u9019\u662f\u4e00\u500b\u4e2d\u6587\u6a94\u6848\uff0c\u5b83\u7684\u7de8\u78bc\u4e0d\u660e"
+    simple = "\u8fd9\u662f\u4e00\u4e2a\u4e2d\u6587\u6587\u4ef6\uff0c\u5b83\u7684\u7f16\u7801\u4e0d\u660e"
+    for text, name in ((chinese, "big5"), (simple, "gbk"), ("un caf\u00e9 tr\u00e8s fort", "cp1252"), ("plain \u00e9t\u00e9 text", "utf-16-le"), ("plain \u00e9t\u00e9 text", "utf-16-be"), (chinese, "utf-8")):
+        assert files.decode_bytes(text.encode(name)) == text, name
+    assert files.decode_bytes(b"") == ""

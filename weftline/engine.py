@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models, schema
-from .functions.ids import prefixed_md5
-from .functions.text import sanitize_encoding
-from .functions.text import pack
+from .functions.ids import canonical, prefixed_md5
+from .functions.text import SEP, pack, sanitize_encoding
+from .functions.tokens import WORDS, Tokenizer, token_count
 from .operators import chunking, context, extract, graph, kv, merge, retrieve, taskqueue, vector
+from .session import ship_package
+from .sources.files import read_folders
 
-MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
+
+@dataclass(frozen=True)
+class Strategy:
+    """Where a mode looks: entities by low keywords, relations by high keywords, chunks by the question."""
+
+    entities: bool = True
+    relations: bool = True
+    chunks: bool = False
+
+
+#: Modes by name; others can be added. Hybrid, naive and bypass search like mix without chunks by vector.
+STRATEGIES = {"local": Strategy(relations=False), "global": Strategy(entities=False), "hybrid": Strategy(), "naive": Strategy(), "mix": Strategy(chunks=True), "bypass": Strategy()}
 NO_CONTEXT = "There is nothing in the knowledge base that answers this question."
 
 
@@ -31,6 +44,7 @@ class Options:
     max_entities: int = 45
     max_relations: int = 60
     related_chunks: int = 5
+    summary_context: int = 12_000
 
     @classmethod
     def from_dict(cls, values: dict) -> Options:
@@ -54,13 +68,16 @@ class QueryParam:
     threshold: float = vector.THRESHOLD
 
     def __post_init__(self) -> None:
-        if self.mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
+        if self.mode not in STRATEGIES:
+            raise ValueError(f"mode must be one of {tuple(STRATEGIES)}")
 
 
 @dataclass
 class Result:
-    """What a question found: ranked lists, references and the text for a prompt (null if nothing was found)."""
+    """What a question found: ranked lists, references and the text for a prompt (null if nothing was found).
+
+    The lists read tables of this run; ``release`` deletes them when they are no longer needed.
+    """
 
     entities: DataFrame
     relations: DataFrame
@@ -68,6 +85,7 @@ class Result:
     references: DataFrame
     context: str | None
     metadata: dict = field(default_factory=dict)
+    release: Callable[[], None] = lambda: None
 
 
 class Engine:
@@ -78,17 +96,15 @@ class Engine:
         "chunk_vectors": schema.VECTORS, "entity_vectors": schema.VECTORS, "relation_vectors": f"{schema.VECTORS}, src string, tgt string", "llm_cache": "chunk_id string, response string",
     }
 
-    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, model: models.LanguageModel | None = None, workspace: str = "_"):
+    def __init__(self, spark: SparkSession, path: str, options: Options | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, model: models.LanguageModel | None = None, workspace: str = "_", tokenizer: Tokenizer = WORDS):
         # Every workspace has its own folder: a query never reads another one's files.
-        self.spark, self.path, self.options = spark, f"{path.rstrip('/')}/workspace={workspace}", options or Options()
+        self.spark, self.path, self.options, self.tokenizer = spark, f"{path.rstrip('/')}/workspace={workspace}", options or Options(), tokenizer
         self.embedder, self.reranker, self.model = embedder or models.HashingEmbedder(), reranker or models.OverlapReranker(), model or models.RuleModel()
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not p.getFileSystem(conf).exists(p):
-            return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{name}")
+        path = kv.current_path(self.spark, f"{self.path}/{name}")
+        return self.spark.createDataFrame([], self.TABLES[name]) if path is None else self.spark.read.schema(self.TABLES[name]).parquet(path)
 
     def _append(self, name: str, rows: DataFrame) -> None:
         wanted = self.spark.createDataFrame([], self.TABLES[name]).schema
@@ -103,24 +119,33 @@ class Engine:
         rows.write.parquet(f"{self.path}/_runs/{run}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/_runs/{run}/{name}")
 
-    def clear(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in [*self.TABLES, "_runs"]:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(conf).delete(p, True)
+    def _release(self, run: str) -> None:
+        kv.remove(self.spark, f"{self.path}/_runs/{run}")
+
+    def clear(self, *others: str) -> None:
+        """Delete everything that is stored here, and the tables at other paths, such as those of tasks and uploads."""
+        for path in [*(f"{self.path}/{name}{end}" for name in self.TABLES for end in ("", ".new", ".old")), f"{self.path}/_runs", *others]:
+            kv.remove(self.spark, path)
 
     def insert_documents(self, docs: DataFrame, now: int = 0) -> int:
         """docs (content, file_path) -> number of new documents. Known texts are skipped; facts only ever grow.
 
-        Nodes and edges are merged anew from all facts, so that a job that is run again gives the same graph.
+        The names and pairs that the new facts touch are merged anew from all their facts, so that a job that is run again gives the
+        same graph; what they do not touch is neither merged, summarised nor embedded again.
         """
         o = self.options
+        for name in self.TABLES:
+            kv.repair(self.spark, f"{self.path}/{name}")
         docs = docs.select(sanitize_encoding(F.col("content")).alias("content"), "file_path").filter("content <> ''").withColumn("full_doc_id", prefixed_md5("doc-", F.col("content")))
         docs = docs.groupBy("full_doc_id").agg(F.min_by("content", "file_path").alias("content"), F.min("file_path").alias("file_path"))
-        new = docs.join(self.table("full_docs").select("full_doc_id"), "full_doc_id", "left_anti")
-        chunks = chunking.sliding(new, o.chunk_tokens, o.chunk_overlap).withColumnRenamed("id", "chunk_id")
+        run = uuid.uuid4().hex
+        new = self._settle(run, "new", docs.join(self.table("full_docs").select("full_doc_id"), "full_doc_id", "left_anti"))
+        if new.isEmpty():
+            self._release(run)
+            return 0
+        chunks = chunking.sliding(new, o.chunk_tokens, o.chunk_overlap, tokenizer=self.tokenizer).withColumnRenamed("id", "chunk_id")
         # A text that occurs twice in a document is one chunk, at its first place.
-        chunks = chunks.groupBy("full_doc_id", "chunk_id").agg(F.min(F.struct("chunk_order_index", "content", "tokens", "file_path")).alias("c")).select("full_doc_id", "chunk_id", "c.*")
+        chunks = self._settle(run, "chunks", chunks.groupBy("full_doc_id", "chunk_id").agg(F.min(F.struct("chunk_order_index", "content", "tokens", "file_path")).alias("c")).select("full_doc_id", "chunk_id", "c.*"))
         cache = self.table("llm_cache")
         _, misses = extract.probe_cache(chunks, cache)
         self._append("llm_cache", models.extract_responses(misses.dropDuplicates(["chunk_id"]), self.model, ["chunk_id"]))
@@ -132,69 +157,157 @@ class Engine:
         embed = models.embed_column(self.embedder)
         self._append("chunk_vectors", chunks.dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), embed(F.col("content")).alias("vector"), F.col("chunk_id").alias("name")))
         self._append("text_chunks", chunks)
-        self.rebuild_graph(now)
+        own = new.select("full_doc_id")
+        names = self.table("entity_facts").join(own, "full_doc_id", "left_semi").select("name").distinct()
+        pairs = self._links().join(own, "full_doc_id", "left_semi").select("src", "tgt").distinct()
+        self._merge(run, self._settle(run, "names", names), self._settle(run, "pairs", pairs), now)
         lists = chunks.groupBy("full_doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks_list"))
         # Written last: a job that breaks off before is done again.
-        before = self.table("full_docs").count()
         self._append("full_docs", new.join(lists, "full_doc_id").withColumn("chunks_count", F.size("chunks_list")))
-        return self.table("full_docs").count() - before
+        n = lists.count()
+        self._release(run)
+        return n
+
+    def insert_folder(self, path: str, now: int = 0) -> dict[str, int]:
+        """Insert the documents of a folder's sub-folders -> numbers of inserted, skipped (known) and failed ones.
+
+        They are inserted together. Where that fails, the hash range of their names is halved until a bad document fails alone; the
+        number of tries grows with the bad documents, not with the folder.
+        """
+        docs = read_folders(self.spark, path).withColumn("__h", F.xxhash64("file_path"))
+        total, inserted, failed, ranges = docs.count(), 0, 0, [(-(1 << 63), 1 << 63)]
+        while ranges:
+            low, high = ranges.pop()
+            some = docs.filter(F.col("__h").between(low, high - 1))
+            try:
+                inserted += self.insert_documents(some.drop("__h"), now)
+            except Exception:
+                names = some.select("__h").distinct().limit(2).count()
+                if names > 1:
+                    ranges += [((low + high) // 2, high), (low, (low + high) // 2)]
+                else:
+                    failed += some.count()
+        return {"inserted": inserted, "skipped": total - inserted - failed, "failed": failed}
+
+    def _links(self) -> DataFrame:
+        """Relation facts with their pair; self-loops and nameless ends fall out."""
+        low, high = canonical(F.col("source_id"), F.col("target_id"))
+        return self.table("relation_facts").filter("source_id <> '' AND target_id <> '' AND source_id <> target_id").withColumns({"src": low, "tgt": high})
 
     def rebuild_graph(self, now: int = 0) -> None:
-        """Nodes, edges and their vectors from the facts."""
+        """Nodes, edges and their vectors from all facts."""
+        run = uuid.uuid4().hex
+        names, pairs = self.table("entity_facts").select("name").distinct(), self._links().select("src", "tgt").distinct()
+        self._merge(run, self._settle(run, "names", names), self._settle(run, "pairs", pairs), now)
+        self._release(run)
+
+    def _merge(self, run: str, names: DataFrame, pairs: DataFrame, now: int) -> None:
+        """Merge the facts of names (name) and pairs (src, tgt) into nodes, edges and vectors; all other rows stay as they are.
+
+        The lists are settled: they are small beside the graph after an ordinary insert, all of it after a rebuild.
+        """
         o = self.options
-        facts = self.table("entity_facts").dropDuplicates(["source_id", "full_doc_id", "ord"])
-        links = self.table("relation_facts").dropDuplicates(["source_chunk_id", "full_doc_id", "ord"])
-        nodes = merge.merge_entities(facts.filter("name <> ''"), None, o.max_sources, o.limit_method, o.max_paths)
-        edges = merge.merge_relations(links.filter("source_id <> '' AND target_id <> ''"), None, o.max_sources, o.limit_method, o.max_paths)
-        summarize = models.summarize_column(self.model)
-        short = lambda df, name: df.withColumn("description", F.when(F.col("needs_summary"), summarize(name, F.split("description", "<SEP>"))).otherwise(F.col("description")))
-        nodes, edges = short(nodes, F.col("entity_id")), short(edges, F.concat_ws("-", "src", "tgt"))
-        common = {"created_at": F.lit(now), "labels": F.array("entity_type")}
-        self._replace("edges", edges.withColumn("created_at", F.lit(now)))
-        ends = merge.missing_endpoints(self.table("edges"), nodes)
-        every = nodes.withColumns(common).select("entity_id", "entity_type", "description", "source_id", "file_path", "created_at", "truncate", "labels")
-        self._replace("nodes", every.unionByName(ends.withColumns({**common, "truncate": F.lit("")}).drop("has_vector")))
+        facts = self.table("entity_facts").filter("name <> ''").join(names, "name", "left_semi").dropDuplicates(["source_id", "full_doc_id", "ord"])
+        links = self._links().join(pairs, ["src", "tgt"], "left_semi").dropDuplicates(["source_chunk_id", "full_doc_id", "ord"])
+        nodes = self._settle(run, "merged_nodes", merge.merge_entities(facts, None, o.max_sources, o.limit_method, o.max_paths))
+        edges = self._settle(run, "merged_edges", merge.merge_relations(links, None, o.max_sources, o.limit_method, o.max_paths))
+        nodes = self._summarized(run, "nodes", nodes, F.col("entity_id"))
+        edges = self._summarized(run, "edges", edges, F.concat_ws("-", "src", "tgt"))
+        stay = lambda table, gone, key: self.table(table).join(gone, key, "left_anti")
+        like = lambda table, rows: rows.select(*(F.col(f.name).cast(f.dataType) for f in self.table(table).schema))
+        self._replace("edges", stay("edges", pairs, ["src", "tgt"]).unionByName(like("edges", edges.withColumn("created_at", F.lit(now)))))
         embed = models.embed_column(self.embedder)
         # Ends that only relations name have no vector: they are reached through the graph.
-        self._replace("entity_vectors", nodes.select("id", embed(F.concat("entity_id", F.lit("\n"), "description")).alias("vector"), F.col("entity_id").alias("name")))
-        self._replace("relation_vectors", edges.select("id", embed(F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt", F.lit("\n"), "description")).alias("vector"), F.concat_ws("-", "src", "tgt").alias("name"), "src", "tgt"))
+        vectors = nodes.select("id", embed(F.concat("entity_id", F.lit("\n"), "description")).alias("vector"), F.col("entity_id").alias("name"))
+        self._replace("entity_vectors", stay("entity_vectors", names, "name").unionByName(like("entity_vectors", vectors)))
+        vectors = edges.select("id", embed(F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt", F.lit("\n"), "description")).alias("vector"), F.concat_ws("-", "src", "tgt").alias("name"), "src", "tgt")
+        self._replace("relation_vectors", stay("relation_vectors", pairs, ["src", "tgt"]).unionByName(like("relation_vectors", vectors)))
+        # Touched ends without an entity of their own are described anew by all their edges.
+        touched = names.select(F.col("name").alias("entity_id")).unionByName(pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id"))).distinct()
+        known = self.table("entity_vectors").select(F.col("name").alias("entity_id"))
+        bare = touched.join(known, "entity_id", "left_anti")
+        at = lambda end, other: self.table("edges").join(bare.withColumnRenamed("entity_id", end), end, "left_semi").select("src", "tgt", "source_id", "description", "file_path")
+        ends = merge.missing_endpoints(at("src", "tgt").unionByName(at("tgt", "src")).dropDuplicates(["src", "tgt"]), known).join(bare, "entity_id", "left_semi")
+        common = {"created_at": F.lit(now), "labels": F.array("entity_type")}
+        fresh = nodes.withColumns(common).unionByName(ends.withColumns({**common, "truncate": F.lit("")}), allowMissingColumns=True)
+        self._replace("nodes", stay("nodes", touched, "entity_id").unionByName(like("nodes", fresh)))
+
+    def _summarized(self, run: str, what: str, rows: DataFrame, title: Column) -> DataFrame:
+        """rows with a summary as description where one is due.
 
-    def _hits(self, store: str, words: list[str], p: QueryParam) -> DataFrame:
-        return vector.top_k(self.table(store), self.embedder.embed([", ".join(words)])[0], p.top_k, p.threshold)
+        Lists of parts that are too long for one call are cut into groups; groups are summarised as rows of their own, in parallel,
+        and their summaries take the parts' place until they fit. Every round at least halves the longest list.
+        """
+        summarize, n = models.summarize_column(self.model), 0
+        due = rows.filter("needs_summary").select("id", title.alias("title"), F.split("description", SEP).alias("parts"))
+        size = F.aggregate("parts", F.lit(0), lambda s, x: s + token_count(x))
+        fits = (size <= self.options.summary_context) | (F.size("parts") <= 2)
+        done = []
+        while not due.isEmpty():
+            joined, long = merge.join_descriptions(F.col("parts"))
+            # The model is called for filtered rows: a call inside a condition would be made for every row.
+            ready = due.filter(fits).withColumns({"__joined": joined, "__long": long})
+            asked = ready.filter("__long").select("id", summarize(F.col("title"), F.col("parts")).alias("__said"))
+            done.append(self._settle(run, f"{what}_said_{n}", asked.unionByName(ready.filter("not __long").select("id", F.col("__joined").alias("__said")))))
+            groups = due.filter(~fits).select("id", "title", F.posexplode(merge.description_groups(F.col("parts"), self.options.summary_context)).alias("at", "group"))
+            alone = groups.filter(F.size("group") == 1).select("id", "title", "at", F.get("group", F.lit(0)).alias("part"))
+            said = groups.filter(F.size("group") > 1).select("id", "title", "at", summarize(F.col("title"), F.col("group")).alias("part")).unionByName(alone)
+            regrouped = said.groupBy("id", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]).alias("parts"))
+            due, n = self._settle(run, f"{what}_round_{n}", regrouped), n + 1
+        for said in done:
+            rows = rows.join(said, "id", "left").withColumn("description", F.coalesce("__said", "description")).drop("__said")
+        return self._settle(run, f"{what}_summarized", rows) if done else rows
+
+    def _hits(self, store: str, wanted: list[float], p: QueryParam) -> DataFrame:
+        return vector.top_k(self.table(store), wanted, p.top_k, p.threshold)
+
+    def _vectors(self, question: str, high: list[str], low: list[str], way: Strategy) -> dict[str, list[float]]:
+        """The vectors that a search needs, in one call. Without that of the question it goes on, without chunks by vector."""
+        texts = {"low": ", ".join(low)} if way.entities else {}
+        texts |= {"high": ", ".join(high)} if way.relations else {}
+        every = texts | ({"question": question} if way.chunks else {})
+        try:
+            return dict(zip(every, self.embedder.embed(list(every.values())), strict=True))
+        except Exception:
+            if not way.chunks:
+                raise
+            return dict(zip(texts, self.embedder.embed(list(texts.values())), strict=True))
 
     def retrieve(self, question: str, p: QueryParam | None = None) -> Result:
-        """Search by the mode; hybrid, naive and bypass search like mix, but only mix adds chunks by vector."""
+        """Search by the mode's strategy."""
         p = p or QueryParam()
+        way = STRATEGIES[p.mode]
         high, low = (list(p.high_keywords), list(p.low_keywords)) if p.high_keywords or p.low_keywords else self.model.keywords(question)
+        wanted = self._vectors(question, high, low, way)
         nodes, edges, texts = self.table("nodes"), self.table("edges"), self.table("text_chunks").dropDuplicates(["chunk_id"])
         run = uuid.uuid4().hex
         entities = relations = None
-        if p.mode != "global":
-            hits = self._settle(run, "local_hits", self._hits("entity_vectors", low, p).withColumnRenamed("name", "entity_id").select("pos", "entity_id"))
+        if way.entities:
+            hits = self._settle(run, "local_hits", self._hits("entity_vectors", wanted["low"], p).withColumnRenamed("name", "entity_id").select("pos", "entity_id"))
             entities = self._settle(run, "local_entities", retrieve.local_entities(hits, nodes, edges))
             relations = self._settle(run, "local_relations", retrieve.local_relations(entities, edges))
-        if p.mode != "local":
-            hits = self._settle(run, "global_hits", self._hits("relation_vectors", high, p).select("pos", "src", "tgt"))
+        if way.relations:
+            hits = self._settle(run, "global_hits", self._hits("relation_vectors", wanted["high"], p).select("pos", "src", "tgt"))
             found = self._settle(run, "global_relations", retrieve.global_relations(hits, edges))
             ends = self._settle(run, "global_entities", retrieve.global_entities(found, nodes))
             entities = ends if entities is None else self._settle(run, "entities", retrieve.merge_entities(entities, ends))
             relations = found if relations is None else self._settle(run, "relations", retrieve.merge_relations(relations, found))
         near = self.spark.createDataFrame([], "pos int, chunk_id string, content string, file_path string")
-        if p.mode == "mix":
-            near = self._settle(run, "vector_chunks", self._vector_chunks(question, p, texts))
+        if "question" in wanted:
+            near = self._settle(run, "vector_chunks", self._vector_chunks(question, wanted["question"], p, texts))
         from_entities = self._settle(run, "entity_chunks", retrieve.related_chunks_entities(entities, texts, self.options.related_chunks))
         from_relations = self._settle(run, "relation_chunks", retrieve.related_chunks_relations(relations, texts, from_entities, self.options.related_chunks))
         chunks = retrieve.merge_chunks(near, from_entities, from_relations)
-        chunks = self._settle(run, "chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens))
+        chunks = self._settle(run, "chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens, self.tokenizer))
         refs, chunks = retrieve.references(chunks)
         said = None
         if retrieve.empty_gate(entities, relations, chunks, p.mode):
-            budgeted = retrieve.token_budget(entities, context.entity_line(), p.max_entity_tokens), retrieve.token_budget(relations, context.relation_line(), p.max_relation_tokens)
+            budgeted = retrieve.token_budget(entities, context.entity_line(), p.max_entity_tokens, self.tokenizer), retrieve.token_budget(relations, context.relation_line(), p.max_relation_tokens, self.tokenizer)
             said = context.context_string(*budgeted, chunks, refs).first()["context"]
-        return Result(entities, relations, chunks, refs, said, {"mode": p.mode, "high_keywords": high, "low_keywords": low})
+        return Result(entities, relations, chunks, refs, said, {"mode": p.mode, "high_keywords": high, "low_keywords": low}, lambda: self._release(run))
 
-    def _vector_chunks(self, question: str, p: QueryParam, texts: DataFrame) -> DataFrame:
-        hits = vector.top_k(self.table("chunk_vectors"), self.embedder.embed([question])[0], p.chunk_top_k or p.top_k, p.threshold)
+    def _vector_chunks(self, question: str, wanted: list[float], p: QueryParam, texts: DataFrame) -> DataFrame:
+        hits = vector.top_k(self.table("chunk_vectors"), wanted, p.chunk_top_k or p.top_k, p.threshold)
         rows = retrieve.with_content(hits.select("pos", F.col("id").alias("chunk_id")), texts)
         if p.rerank:
             score = models.rerank_column(self.reranker, question)
@@ -212,29 +325,41 @@ class Engine:
         if not question.strip():
             yield NO_CONTEXT
             return
-        said = self.retrieve(question, p).context
+        found = self.retrieve(question, p)
+        said = found.context
+        found.release()
         if said is None:
             yield NO_CONTEXT
             return
         yield from (piece for piece in self.model.generate("\n\n".join(text for _, text in self.prompt(question, p, said))) if piece.strip())
 
     def work(self, tasks_path: str, most: int = 1, now: str = "1970-01-01 00:00:00") -> int:
-        """Take up to ``most`` pending tasks, one after the other, insert their documents and record how they ended."""
-        done = 0
-        while done < most:
-            tasks = self.spark.read.schema(schema.TASKS).parquet(tasks_path)
-            row = taskqueue.next_task(tasks).first()
-            if row is None:
-                break
-            kv.replace_table(taskqueue.update(tasks, row["task_id"], taskqueue.PROCESSING, now), tasks_path)
-            tasks, error = self.spark.read.schema(schema.TASKS).parquet(tasks_path), None
+        """Take up to ``most`` pending tasks, insert their documents together and record how they ended.
+
+        The task table is written twice whatever their number. If the insert fails, they are tried one by one, so that a bad document
+        fails alone.
+        """
+        kv.repair(self.spark, tasks_path)
+        tasks = self.spark.read.schema(schema.TASKS).parquet(tasks_path)
+        ids = [r["task_id"] for r in taskqueue.next_task(tasks, min(most, kv.MAX_KEYS)).select("task_id").collect()]
+        if not ids:
+            return 0
+        changes = lambda rows: self.spark.createDataFrame(rows, "task_id string, status string, error string")
+        kv.replace_table(taskqueue.update(tasks, changes([(i, taskqueue.PROCESSING, None) for i in ids]), now), tasks_path)
+        tasks = self.spark.read.schema(schema.TASKS).parquet(tasks_path)
+        errors: dict[str, str] = {}
+        todo = [ids]
+        while todo:
+            some = todo.pop()
             try:
-                self.insert_documents(self.spark.createDataFrame([(row["content"], row["file_path"])], "content string, file_path string"))
+                self.insert_documents(tasks.join(changes([(i, None, None) for i in some]).select("task_id"), "task_id", "left_semi").select("content", "file_path"))
             except Exception as e:  # the task carries the error; the queue goes on
-                error = str(e)[:2000]
-            kv.replace_table(taskqueue.update(tasks, row["task_id"], taskqueue.FAILED if error else taskqueue.COMPLETED, now, error), tasks_path)
-            done += 1
-        return done
+                if len(some) == 1:
+                    errors[some[0]] = str(e)[:2000]
+                else:
+                    todo += [[i] for i in reversed(some)]
+        kv.replace_table(taskqueue.update(tasks, changes([(i, taskqueue.FAILED if i in errors else taskqueue.COMPLETED, errors.get(i)) for i in ids]), now), tasks_path)
+        return len(ids)
 
     def subgraph(self, label: str = "*", depth: int = 3, max_nodes: int = 1000, mode: str = "reachability") -> tuple[DataFrame, DataFrame, bool]:
         return graph.subgraph(self.table("nodes"), self.table("edges"), label, depth, max_nodes, mode)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import prefixed_md5
 from ..functions.text import strip
-from ..functions.tokens import tokens
+from ..functions.tokens import WORDS, Tokenizer
 
 
 def _check(size: int, overlap: int) -> int:
@@ -16,14 +16,14 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-def sliding(docs: DataFrame, size: int = 1200, overlap: int = 100, content: str = "content", keys: tuple[str, ...] = ("full_doc_id", "file_path"), repeat_tail: bool = True) -> DataFrame:
+def sliding(docs: DataFrame, size: int = 1200, overlap: int = 100, content: str = "content", keys: tuple[str, ...] = ("full_doc_id", "file_path"), repeat_tail: bool = True, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Windows of ``size`` tokens, ``overlap`` of them shared with the next one, as chunks in order.
 
     A remainder of at most ``overlap`` tokens makes no chunk of its own. The chunk before has reached the end already, and
-    gets those tokens once more (``repeat_tail``) or not. Contents are tokens joined by one blank.
+    gets those tokens once more (``repeat_tail``) or not. Contents are what the tokenizer makes of the tokens: words joined by one blank.
     """
     step = _check(size, overlap)
-    cut = docs.select(*keys, tokens(F.col(content)).alias("__t")).filter(F.size("__t") > 0)
+    cut = docs.select(*keys, tokenizer.encode(F.col(content)).alias("__t")).filter(F.size("__t") > 0)
     n = F.size("__t")
     # Starts at which more than the overlap is left, and always the first.
     last = F.greatest(F.lit(0), F.floor((n - 1 - overlap) / step)).cast("int")
@@ -35,14 +35,14 @@ def sliding(docs: DataFrame, size: int = 1200, overlap: int = 100, content: str
         tail = F.slice("__t", start + step + 1, F.greatest(rest, F.lit(1)))
         own = F.when((F.col("chunk_order_index") == F.col("__last")) & (rest > 0) & (rest <= overlap), F.concat(own, tail)).otherwise(own)
     rows = rows.select(*keys, F.col("chunk_order_index"), own.alias("__own"))
-    text = F.array_join("__own", " ")
-    return rows.select(*keys, "chunk_order_index", prefixed_md5("chunk-", text).alias("id"), strip(text).alias("content"), F.size("__own").alias("tokens"))
+    rows = rows.withColumn("__text", tokenizer.decode(F.col("__own")))
+    return rows.select(*keys, "chunk_order_index", prefixed_md5("chunk-", F.col("__text")).alias("id"), strip(F.col("__text")).alias("content"), F.size("__own").alias("tokens"))
 
 
-def by_separator(docs: DataFrame, separator: str, size: int = 1200, overlap: int = 100, strict: bool = False, content: str = "content", keys: tuple[str, ...] = ("full_doc_id", "file_path")) -> DataFrame:
+def by_separator(docs: DataFrame, separator: str, size: int = 1200, overlap: int = 100, strict: bool = False, content: str = "content", keys: tuple[str, ...] = ("full_doc_id", "file_path"), tokenizer: Tokenizer = WORDS) -> DataFrame:
     """Pieces between separators; a piece of more than ``size`` tokens is cut into windows, or is an error with ``strict``."""
     step = _check(size, overlap)
-    pieces = docs.select(*keys, F.posexplode(F.split(F.col(content), F.lit(_quoted(separator)), -1)).alias("piece", "__c")).withColumn("__t", tokens(F.col("__c")))
+    pieces = docs.select(*keys, F.posexplode(F.split(F.col(content), F.lit(_quoted(separator)), -1)).alias("piece", "__c")).withColumn("__t", tokenizer.encode(F.col("__c")))
     n = F.size("__t")
     if strict:
         pieces = pieces.withColumn("__t", F.when(n > size, F.raise_error(F.concat(F.lit("a piece has "), n.cast("string"), F.lit(" tokens")))).otherwise(F.col("__t")))
@@ -50,7 +50,7 @@ def by_separator(docs: DataFrame, separator: str, size: int = 1200, overlap: int
     rows = pieces.select(*keys, "piece", "__c", "__t", F.explode(windows).alias("start"))
     own = F.slice("__t", F.col("start") + 1, F.lit(size))
     whole = F.size("__t") <= size
-    text = F.when(whole, F.col("__c")).otherwise(F.array_join(own, " "))
+    text = F.when(whole, F.col("__c")).otherwise(tokenizer.decode(own))
     rows = rows.select(*keys, "piece", "start", text.alias("__text"), F.when(whole, F.size("__t")).otherwise(F.size(own)).alias("tokens"))
     return rows.select(*keys, "piece", "start", prefixed_md5("chunk-", F.col("__text")).alias("id"), strip(F.col("__text")).alias("content"), "tokens")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -50,13 +50,44 @@ def delete(store: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write a table beside the old one, then swap the folders: readers see the old table or the new one."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    to_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    """Write a table beside the old one, then swap the folders. df must not read what a broken swap left: see ``repair``."""
+    repair(df.sparkSession, path)
+    fs, to_path = _files(df.sparkSession, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    fs = to_path(path).getFileSystem(conf)
     if fs.exists(to_path(path)):
         fs.delete(to_path(f"{path}.old"), True)
         fs.rename(to_path(path), to_path(f"{path}.old"))
     fs.rename(to_path(f"{path}.new"), to_path(path))
     fs.delete(to_path(f"{path}.old"), True)
+
+
+def repair(spark: SparkSession, path: str) -> None:
+    """Finish a swap whose writer was lost. For writers: of those there is one at a time."""
+    fs, to_path = _files(spark, path)
+    left = current_path(spark, path)
+    if left not in (None, path):
+        fs.rename(to_path(left), to_path(path))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, to_path = _files(spark, path)
+    fs.delete(to_path(path), True)
+
+
+def current_path(spark: SparkSession, path: str) -> str | None:
+    """Where a table's rows are: in its folder; between the two renames of a swap in the new one, which is whole by then. None: nowhere.
+
+    The old folder is moved away only after the new one is written, so a missing folder beside a whole new one is never an empty table.
+    """
+    fs, to_path = _files(spark, path)
+    for where, mark in ((path, path), (f"{path}.new", f"{path}.new/_SUCCESS"), (path, path), (f"{path}.old", f"{path}.old")):
+        if fs.exists(to_path(mark)):
+            return where
+    return None
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """(file system, function from a name to its path object)"""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return to_path(path).getFileSystem(conf), to_path

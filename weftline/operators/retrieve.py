@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.ids import canonical
 from ..functions.text import unpack
-from ..functions.tokens import token_count
+from ..functions.tokens import WORDS, Tokenizer
 from ..session import numbered
 from . import graph
 
@@ -80,10 +80,10 @@ def merge_relations(local: DataFrame, global_: DataFrame) -> DataFrame:
     return round_robin([pair(local), pair(global_)], ["__a", "__b"]).drop("__a", "__b")
 
 
-def token_budget(rows: DataFrame, text: Column, budget: int) -> DataFrame:
+def token_budget(rows: DataFrame, text: Column, budget: int, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """The longest prefix of a ranked list whose tokens fit the budget."""
     running = W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("__sum", F.sum(token_count(text)).over(running)).filter(F.col("__sum") <= budget).drop("__sum")
+    return rows.withColumn("__n", tokenizer.count(text)).withColumn("__sum", F.sum("__n").over(running)).drop("__n").filter(F.col("__sum") <= budget).drop("__sum")
 
 
 def chunk_occurrence(items: DataFrame, packed: str = "source_id") -> DataFrame:

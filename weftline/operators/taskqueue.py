@@ -13,9 +13,9 @@ PROGRESS_STAGES = ("ProcessingChunks", "MergingEntities", "MergingRelations")
 MAX_RETRIES = 3
 
 
-def next_task(tasks: DataFrame) -> DataFrame:
-    """The pending task of lowest priority number, the oldest of them."""
-    return tasks.filter(F.col("status") == PENDING).orderBy("priority", "created_at", "task_id").limit(1)
+def next_task(tasks: DataFrame, n: int = 1) -> DataFrame:
+    """The pending task of lowest priority number, the oldest of them; or the first n."""
+    return tasks.filter(F.col("status") == PENDING).orderBy("priority", "created_at", "task_id").limit(n)
 
 
 def list_tasks(tasks: DataFrame) -> DataFrame:
@@ -30,17 +30,18 @@ def recover(tasks: DataFrame) -> DataFrame:
     return out.withColumn("started_at", F.when(running, F.lit(None).cast("timestamp")).otherwise(F.col("started_at"))) if "started_at" in tasks.columns else out
 
 
-def update(tasks: DataFrame, task_id: str, status: str, now: str, error: str | None = None) -> DataFrame:
-    """tasks with the status of one of them, its times and error."""
-    own = F.col("task_id") == task_id
-    at = F.lit(now).cast("timestamp")
-    return tasks.withColumns({
-        "status": F.when(own, status).otherwise(F.col("status")),
-        "progress": F.when(own, 100 if status == COMPLETED else 0).otherwise(F.col("progress")),
-        "started_at": F.when(own & F.lit(status == PROCESSING), at).otherwise(F.col("started_at")),
-        "completed_at": F.when(own & F.lit(status in (COMPLETED, FAILED)), at).otherwise(F.col("completed_at")),
-        "error_message": F.when(own, F.lit(error)).otherwise(F.col("error_message")),
-    })
+def update(tasks: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """tasks after changes (task_id, status, error), one row a task: their status, times and error."""
+    at, new = F.lit(now).cast("timestamp"), F.col("__s")
+    out = tasks.join(changes.select("task_id", F.col("status").alias("__s"), F.col("error").alias("__e")), "task_id", "left")
+    own = new.isNotNull()
+    return out.withColumns({
+        "status": F.coalesce(new, "status"),
+        "progress": F.when(new == COMPLETED, 100).when(own, 0).otherwise(F.col("progress")),
+        "started_at": F.when(new == PROCESSING, at).otherwise(F.col("started_at")),
+        "completed_at": F.when(new.isin(COMPLETED, FAILED), at).otherwise(F.col("completed_at")),
+        "error_message": F.when(own, F.col("__e")).otherwise(F.col("error_message")),
+    }).select(tasks.columns)
 
 
 def _step(s: Column, e: Column) -> Column:

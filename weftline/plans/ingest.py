@@ -112,7 +112,14 @@ def description_join(d: Data) -> DataFrame:
     return merge.ordered_descriptions(d.entity_facts, ["name"]).select("name", said.alias("description"), due.alias("due"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DESC},
+g(name, i, done, cur, n) AS (SELECT name, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM dl
+ UNION ALL SELECT g.name, i + 1, CASE WHEN n + t > 12 AND len(cur) = 1 THEN list_append(done, cur[1] || '+' || x) WHEN n + t > 12 AND len(cur) > 1 THEN list_append(done, array_to_string(cur, '+')) ELSE done END,
+  CASE WHEN n + t > 12 AND len(cur) = 1 THEN CAST([] AS VARCHAR[]) WHEN n + t > 12 AND len(cur) > 1 THEN [x] ELSE list_append(cur, x) END,
+  CASE WHEN n + t > 12 AND len(cur) = 1 THEN 0 WHEN n + t > 12 AND len(cur) > 1 THEN t ELSE n + t END
+ FROM g JOIN (SELECT name, k, parts[k] AS x, len({_words('parts[k]')}) AS t FROM (SELECT name, parts, unnest(range(1, len(parts) + 1)) AS k FROM dl) y) q ON q.name = g.name AND q.k = g.i + 1),
+f AS (SELECT g.name, CASE WHEN len(cur) > 0 THEN list_append(done, array_to_string(cur, '+')) ELSE done END AS all_ FROM g JOIN dl USING (name) WHERE g.i = len(dl.parts))
+SELECT name, CAST(len(all_) AS INT) AS n_groups, array_to_string(all_, '|') AS groups FROM f""")
 def description_groups(d: Data) -> DataFrame:
     groups = merge.description_groups(F.col("descriptions"), 12)
     rows = merge.ordered_descriptions(d.entity_facts, ["name"]).withColumn("g", groups)

@@ -109,3 +109,10 @@ def sse_events(d: Data) -> DataFrame:
 def sse_fold(d: Data) -> DataFrame:
     events = context.sse_events(d.answers.withColumn("error", F.lit(None).cast("string")))
     return context.fold_sse(events).select(F.md5("answer").alias("answer"))
+
+
+@query("""SELECT seq, '{"type":"error","message":"step ' || CAST(seq AS VARCHAR) || '"}' AS data FROM {answers} WHERE seq % 7 = 3
+UNION ALL SELECT seq, '{"type":"text_chunk","content":"' || replace(text, '"', '\\"') || '"}' FROM {answers} WHERE text <> '' AND seq % 7 <> 3 UNION ALL SELECT max(seq) + 1, '{"type":"done"}' FROM {answers}""")
+def sse_errors(d: Data) -> DataFrame:
+    """Pieces with an error become error events, blank or not."""
+    return context.sse_events(d.answers.withColumn("error", F.when(F.col("seq") % 7 == 3, F.concat(F.lit("step "), F.col("seq").cast("string")))))

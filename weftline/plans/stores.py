@@ -223,3 +223,28 @@ w(start, connected, depth, used) AS (SELECT entity_id, entity_id, 0, CAST([] AS
 SELECT start, connected, CAST(min(depth) AS INT) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 1000""")
 def graph_subgraph_all(d: Data) -> DataFrame:
     return graph.subgraph_pairs(d.kg_nodes, d.kg_edges, "region", 3, 1000)
+
+
+@query(f"""SELECT entity_id, CASE entity_type WHEN 'person' THEN '#FF6B6B' ELSE (['#FF6B6B', '#4ECDC4', '#95E1D3', '#F38181', '#AA96DA', '#FCBAD3', '#A8DADC', '#FFD93D', '#6BCB77', '#4D96FF', '#9B59B6'])[CAST(entity_type[7:] AS INT)] END AS color
+FROM (SELECT entity_id, CASE WHEN entity_type = 'customer' THEN 'person' ELSE CASE entity_type WHEN 'part' THEN 'colour9' WHEN 'supplier' THEN 'colour2' WHEN 'nation' THEN 'colour3' ELSE 'colour5' END END AS entity_type FROM {{kg_nodes}}) x""")
+def graph_view_colors(d: Data) -> DataFrame:
+    known = {"customer": "Person", "part": "artifact", "supplier": "ORGANIZATION", "nation": "location", "region": "event"}
+    kinds = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return graph.view(d.kg_nodes.withColumn("entity_type", F.element_at(kinds, F.col("entity_type"))), d.kg_edges).select("entity_id", "color")
+
+
+_WALK = """WITH RECURSIVE b AS (SELECT src AS a, tgt AS b, src || '|' || tgt AS e FROM {kg_edges} UNION ALL SELECT tgt, src, src || '|' || tgt FROM {kg_edges}),
+w(start, connected, depth, used) AS (SELECT entity_id, entity_id, 0, CAST([] AS VARCHAR[]) FROM {kg_nodes} WHERE contains(entity_id, 'region') OR entity_type = 'region'
+ UNION ALL SELECT start, b.b, depth + 1, list_append(used, b.e) FROM w JOIN b ON w.connected = b.a WHERE depth < 2 AND NOT list_contains(used, b.e)),
+p AS (SELECT start, connected, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY 1, 2 ORDER BY 3, 1, 2 LIMIT 40),
+ends AS (SELECT entity_id, min(depth) AS depth FROM (SELECT start AS entity_id, depth FROM p UNION ALL SELECT connected, depth FROM p) x GROUP BY 1),
+kept AS (SELECT entity_id FROM ends ORDER BY depth, entity_id LIMIT 40),
+cut AS (SELECT count(*) > 40 AS is_truncated FROM ends)"""
+
+
+@query(f"""{_WALK} SELECT 'node' AS kind, n.entity_id AS a, '' AS b, is_truncated FROM {{kg_nodes}} n JOIN kept USING (entity_id), cut
+UNION ALL SELECT 'edge', src, tgt, is_truncated FROM {{kg_edges}}, cut WHERE src IN (SELECT entity_id FROM kept) AND tgt IN (SELECT entity_id FROM kept)""")
+def graph_subgraph_assembled(d: Data) -> DataFrame:
+    nodes, edges, cut = graph.subgraph(d.kg_nodes, d.kg_edges, "region", 2, 40, "induced")
+    a = nodes.select(F.lit("node").alias("kind"), F.col("entity_id").alias("a"), F.lit("").alias("b"))
+    return a.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("tgt").alias("b"))).withColumn("is_truncated", F.lit(cut))
