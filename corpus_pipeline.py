@@ -65,7 +65,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("token_ids", token_ids)]
 
-#: The stages learn, join and count beyond SQL. Tests hold their operators against brute force; none runs the whole pipeline yet.
+#: The stages learn, join and count beyond SQL. Tests hold every stage against brute force over its own input.
 ORACLE_SQL = None
 
 
