@@ -132,4 +132,38 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS
 FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL = {"op6_decontaminate": _LEAK_SQL, "op1_url_filter": _URL_SQL, "op3_warc_archive": _WARC_SQL, "op9_chat_format": _CHAT_SQL}
+_NEAR_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM t WHERE len(w) > 0)),
+k AS (SELECT doc_id, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS of FROM s GROUP BY doc_id),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY of) AS cls FROM k),
+cs AS (SELECT s.doc_id AS cls, c.n, s.s FROM s JOIN c ON s.doc_id = c.doc_id AND c.doc_id = c.cls),
+link AS (SELECT a.cls AS a, b.cls AS b FROM cs a JOIN cs b ON a.s = b.s AND a.cls <> b.cls
+         GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(least(c.cls, least_of.b), t.doc_id) AS BIGINT) AS component_id
+FROM t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN least_of ON least_of.a = c.cls
+"""
+
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 599) AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0), 500)) AS o FROM d)),
+win AS (SELECT doc_id, o + i AS i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, o, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM part)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+isl AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM dup)),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM isl GROUP BY doc_id, run),
+cut AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone FROM run GROUP BY doc_id),
+ends AS (SELECT doc_id, a, b FROM run UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM d),
+gap AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS p FROM ends),
+kept AS (SELECT gap.doc_id, sha256(unhex(string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a))) AS sha FROM gap JOIN d USING (doc_id) GROUP BY gap.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, kept.sha AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op1_url_filter": _URL_SQL, "op2_jaccard_join": _NEAR_SQL, "op3_warc_archive": _WARC_SQL, "op5_repeats": _REPEATS_SQL, "op6_decontaminate": _LEAK_SQL,
+    "op9_chat_format": _CHAT_SQL,
+}
