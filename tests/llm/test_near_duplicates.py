@@ -82,6 +82,45 @@ def test_large_groups_in_tiles(spark, monkeypatch, tile, pack):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize(("tile", "pack"), [(1500, 400_000), (3, 100)])
+def test_chains_of_chance_shingles_are_split(spark, monkeypatch, tile, pack):
+    """Texts that hang together by shared halves are one candidate group; lists of one shingle leave the similar ones together."""
+    rows = [(k, " ".join(words(1000 + k, 40) + words(1001 + k, 40))) for k in range(40)]
+    rows += [(100 + k, " ".join(words(1000 + k, 40) + ["other"] * (k % 2) + words(1001 + k, 40))) for k in range(0, 40, 5)]
+    rows += [(200 + k, " ".join(words(1003, 40) + words(1004, 34) + words(3000 + k, 2))) for k in range(8)]
+    whole, sizes = J.split_groups, []
+
+    def split(docs, found, groups, scratch, twice):
+        parts = whole(docs, found, groups, scratch, twice, above=5, tile=tile, pack_words=pack)
+        sizes.extend(g.count() for g in (groups, parts))
+        return parts
+
+    monkeypatch.setattr(J, "split_groups", split)
+    assert run(spark, rows) == brute(rows)
+    assert sizes[0] == 50 and sizes[1] <= 25  # only classes that have a similar one, or nearly, are left
+
+
+@pytest.mark.parametrize("n", [1, 4, 40, 700, 9000])
+def test_narrow_bound_never_cuts_links(n):
+    """16 bits of each shingle link at least what the exact sets link."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+    sets = [np.unique(base)]
+    for k in range(8):
+        own = base.copy()
+        own[rng.integers(0, n, max(1, n // 8))] = rng.integers(0, 1 << 62, max(1, n // 8)).astype(np.uint64)
+        sets.append(np.unique(own[: n - k * n // 40]))
+
+    def groups(links):
+        group = list(range(len(sets)))
+        for a, b in links:
+            group = [group[b] if x == group[a] else x for x in group]
+        return group
+
+    exact, loose = groups(J.similar_in(sets)), groups(J.similar_in([s.astype(np.uint16) for s in sets], None, False))
+    assert all(loose[i] == loose[j] for i in range(len(sets)) for j in range(i) if exact[i] == exact[j])
+
+
 def test_common_shingles(spark, monkeypatch):
     """A passage in all documents, counted as common, neither links them nor hides a link."""
     passage = " ".join(words(9, 60))

@@ -6,7 +6,9 @@
    candidates: shingle -> classes that have it in that prefix.
 3. Classes that share tiles, directly or through others, form candidate groups; every link lies inside one. A group that is
    too large for one task is cut into size-banded tiles (by size, then by hash), and every pair of tiles whose sizes can
-   match is a task of its own, so that no group, however large, meets in one place.
+   match is a task of its own, so that no group, however large, meets in one place. Groups of more than ``SPLIT_ABOVE``
+   classes, which chains of chance shingles can make out of most of a corpus, are split first: in each list of classes under
+   one shingle, bitmaps say which could be similar, and only classes that are connected so stay together.
 4. In a tile pair each class has a bitmap of its hashed shingles. Bits of one bitmap that the other lacks bound the overlap
    from above; pairs that pass get an exact intersection of sorted arrays. Classes are visited along links, and a pair
    whose classes are already connected is not compared again: a group of k copies costs about k comparisons, not k * k, and
@@ -46,6 +48,7 @@ OVER, UNDER = 3, 4
 HEAVY_SHARE = 0.004
 BLOCK_BYTES = 4 << 20
 TILE = 1500
+SPLIT_ABOVE = 20 * TILE
 U = np.uint64
 
 
@@ -247,16 +250,19 @@ def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, twice: set[int],
     return counted.groupBy("bucket").applyInArrow(choose, "token bigint, cid bigint")
 
 
-def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all similar sets, as (later, first) numbers. With sides, only pairs of different sides count."""
+def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None, exact: bool = True) -> list[tuple[int, int]]:
+    """Links that connect all similar sets, as (later, first) numbers. With sides, only pairs of different sides count.
+
+    Not exact: all pairs that can be similar by their bitmaps are linked; the arrays may then hold 16 bits of each shingle.
+    """
     m = len(arrays)
     size = np.array([len(a) for a in arrays])
     width = 256
-    while width < 8 * size.max() and width < 8192:
+    while width < 8 * size.max() and width < (8192 if exact else 65536):
         width *= 2
     flat, start = np.concatenate(arrays), np.cumsum(size) - size
     bits = np.zeros((m, width // 64), np.uint64)
-    at = flat & U(width - 1)
+    at = flat.astype(np.uint64) & U(width - 1)
     np.bitwise_or.at(bits, (np.repeat(np.arange(m), size), (at >> U(6)).astype(np.int64)), U(1) << (at & U(63)))
     left = np.ones(m, bool)
     links: list[tuple[int, int]] = []
@@ -278,26 +284,28 @@ def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None) -> lis
             other, need = other[bound >= need], need[bound >= need]
             if not len(other):
                 continue
-            n = size[other]
-            ends = np.cumsum(n)
-            joined = flat[np.repeat(start[other] - (ends - n), n) + np.arange(ends[-1])]
-            found = np.add.reduceat(_is_in(joined, arrays[x]).astype(np.int64), ends - n)
-            for y in other[found >= need]:
+            if exact:
+                n = size[other]
+                ends = np.cumsum(n)
+                joined = flat[np.repeat(start[other] - (ends - n), n) + np.arange(ends[-1])]
+                found = np.add.reduceat(_is_in(joined, arrays[x]).astype(np.int64), ends - n)
+                other = other[found >= need]
+            for y in other:
                 left[y] = False
                 links.append((int(y), seed))
                 queue.append(y)
     return links
 
 
-def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice: set[int], tile: int = TILE, bloom_bytes: int = 16 << 20, pack_words: int = 400_000) -> DataFrame:
-    """groups (cid, root) -> links (a, b) between similar classes."""
+def class_sets(docs: DataFrame, classes: DataFrame, twice: set[int], bloom_bytes: int = 16 << 20, narrow: bool = False) -> DataFrame:
+    """classes (cid) -> (cid, shingles, n), one row each, and some others. Narrow: the low 16 bits of each shingle, enough for bitmaps."""
     spark = docs.sparkSession
-    n = groups.count()
+    n = classes.count()
     # A filter of the wanted classes (one bit by hash) spares other sets the shuffle; beyond its bound every set is shuffled.
     n_bits = 1 << max(10, (10 * n).bit_length())
     wanted = None
     if n_bits // 8 <= bloom_bytes:
-        rows = groups.select(F.pmod("cid", F.lit(n_bits)).alias("p")).distinct()
+        rows = classes.select(F.pmod("cid", F.lit(n_bits)).alias("p")).distinct()
         words = rows.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
         bits = np.zeros(n_bits // 64, np.uint64)
         bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
@@ -314,11 +322,15 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice:
                         found[cid] = s
             if len(sent) < 1_000_000:
                 sent.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary()), pa.array([len(s) for s in found.values()], pa.int64())], names=["cid", "shingles", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([(s.astype(np.uint16) if narrow else s).tobytes() for s in found.values()], pa.binary()), pa.array([len(s) for s in found.values()], pa.int64())], names=["cid", "shingles", "n"])
 
-    sets = docs.select("text").mapInArrow(arrays, "cid bigint, shingles binary, n bigint").dropDuplicates(["cid"]).join(groups, "cid")
-    sets = scratch.keep(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(UNDER / OVER)) + 1e-9).cast("int")), "sets")
-    per_group = scratch.keep(sets.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("words")), "group-sizes", small=True)
+    return docs.select("text").mapInArrow(arrays, "cid bigint, shingles binary, n bigint").dropDuplicates(["cid"])
+
+
+def meet(sets: DataFrame, scratch: Scratch, label: str, tile: int, pack_words: int, exact: bool = True) -> DataFrame:
+    """sets (root, cid, shingles, n) -> links (a, b) that connect the similar classes of each root; a class can have several roots."""
+    sets = scratch.keep(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(UNDER / OVER)) + 1e-9).cast("int")), label)
+    per_group = scratch.keep(sets.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("words")), f"{label}-sizes", small=True)
     small = per_group.filter((F.col("k") <= tile) & (F.col("words") <= 4 * pack_words))
     large = per_group.join(small, "root", "left_anti").select("root")
     # Small groups share tasks of about pack_words shingles.
@@ -352,7 +364,7 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice:
         for s, k in zip(starts, sizes, strict=True):
             at = order[s : s + k]
             if k > 1:
-                for y, x in similar_in([np.frombuffer(raw[i], np.uint64) for i in at], side[at] if side[at].any() else None):
+                for y, x in similar_in([np.frombuffer(raw[i], np.uint64 if exact else np.uint16) for i in at], side[at] if side[at].any() else None, exact):
                     a.append(cid[at[y]])
                     b.append(cid[at[x]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -360,6 +372,28 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice:
     return in_packs.unionByName(in_tiles).groupBy("unit").applyInArrow(compare, "a bigint, b bigint")
 
 
+def split_groups(docs: DataFrame, found: DataFrame, groups: DataFrame, scratch: Scratch, twice: set[int], above: int = SPLIT_ABOVE, tile: int = TILE, pack_words: int = 400_000) -> DataFrame:
+    """found (token, cid), groups (cid, root) -> groups with those of more than ``above`` classes split; classes that nothing can be similar to are left out.
+
+    Two similar classes share a shingle of ``found`` and pass by their bitmaps, so they meet in its list and stay together.
+    """
+    giant = scratch.keep(groups.groupBy("root").count().filter(F.col("count") > above).select("root"), "giant", small=True)
+    if giant.isEmpty():
+        return groups
+    members = scratch.keep(groups.join(giant, "root", "left_semi").select("cid"), "giant-members")
+    listed = found.join(members, "cid", "left_semi").select("cid", F.col("token").alias("root"))
+    entries = class_sets(docs, members, twice, narrow=True).join(listed, "cid")
+    links = meet(entries, scratch, "lists", tile, pack_words, exact=False)
+    parts = components(links, scratch, "parts").withColumnRenamed("node", "cid")
+    scratch.drop("lists")
+    return scratch.keep(groups.join(giant, "root", "left_anti").select("cid", "root").unionByName(parts.select("cid", "root")), "split-groups")
+
+
+def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice: set[int], tile: int = TILE, bloom_bytes: int = 16 << 20, pack_words: int = 400_000) -> DataFrame:
+    """groups (cid, root) -> links (a, b) between similar classes."""
+    return meet(class_sets(docs, groups.select("cid"), twice, bloom_bytes).join(groups, "cid"), scratch, "sets", tile, pack_words)
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per document."""
     spark: SparkSession = docs.sparkSession
@@ -377,7 +411,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     found = tiles(docs, heavy_tokens(common, seen["k"]), seen["n"] or 0, twice)
     found = scratch.keep(found, "tiles")
     least = found.groupBy("token").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("top > b")
-    groups = components(found.join(least, "token").select(F.col("cid").alias("a"), "b"), scratch, "groups").withColumnRenamed("node", "cid")
+    found = found.join(least, "token")
+    groups = components(found.select(F.col("cid").alias("a"), "b"), scratch, "groups").withColumnRenamed("node", "cid")
+    groups = split_groups(docs, found, groups, scratch, twice)
     links = scratch.keep(link_candidates(docs, groups, scratch, twice), "links", small=True)
     scratch.drop("tiles", "sets")
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
