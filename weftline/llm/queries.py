@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, language_id, mixing, repeats, telephony, token_file, url_filter, warc_archive
+from . import chat_format, decontaminate, hard_negatives, jaccard_join, language_id, mixing, repeats, telephony, token_file, url_filter, warc_archive
 from .common import Scratch, literal_rows, table
 
 #: The rules of the url query.
@@ -74,7 +74,14 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_stored(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.col("label").cast("bigint")
+    rows = hard_negatives.scaled(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+    return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony, op13_hard_negatives)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -163,7 +170,19 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_NEGATIVES_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.k <= 5 AND s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 ORACLE_SQL = {
     "op1_url_filter": _URL_SQL, "op2_jaccard_join": _NEAR_SQL, "op3_warc_archive": _WARC_SQL, "op5_repeats": _REPEATS_SQL, "op6_decontaminate": _LEAK_SQL,
-    "op9_chat_format": _CHAT_SQL,
+    "op9_chat_format": _CHAT_SQL, "op13_hard_negatives": _NEGATIVES_SQL,
 }
