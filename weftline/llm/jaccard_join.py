@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -83,18 +83,18 @@ def prefix_length(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1
 
 
-def needed(a: int, b: np.ndarray) -> np.ndarray:
+def needed(a: int, b: np.ndarray, ratio: tuple[int, int] = (OVER, UNDER)) -> np.ndarray:
     """Common shingles that sets of these sizes need."""
-    return -(-OVER * (a + b) // (OVER + UNDER))
+    return -(-ratio[0] * (a + b) // sum(ratio))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[tuple[pa.RecordBatch, list[np.ndarray]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, k: int = SHINGLE) -> Iterator[list[tuple[pa.RecordBatch, list[np.ndarray]]]]:
     """Batches with their texts' shingle sets, a few MB of text at a time."""
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(text_at))
         for i, j in K.slices(offsets, BLOCK_BYTES):
             part = offsets[i : j + 1]
-            yield batch.slice(i, j - i), list(shingle_sets(data[part[0] : part[-1]], part - part[0]))
+            yield batch.slice(i, j - i), list(shingle_sets(data[part[0] : part[-1]], part - part[0], k))
 
 
 def classify(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -250,12 +250,12 @@ def tiles(docs: DataFrame, heavy: np.ndarray, n_shingles: int, twice: set[int],
     return counted.groupBy("bucket").applyInArrow(choose, "token bigint, cid bigint")
 
 
-def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None, exact: bool = True) -> list[tuple[int, int]]:
+def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None, exact: bool = True, ratio: tuple[int, int] = (OVER, UNDER)) -> list[tuple[int, int]]:
     """Links that connect all similar sets, as (later, first) numbers. With sides, only pairs of different sides count.
 
     Not exact: all pairs that can be similar by their bitmaps are linked; the arrays may then hold 16 bits of each shingle.
     """
-    m = len(arrays)
+    m, (over, under) = len(arrays), ratio
     size = np.array([len(a) for a in arrays])
     width = 256
     while width < 8 * size.max() and width < (8192 if exact else 65536):
@@ -273,12 +273,12 @@ def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None, exact:
         queue = [seed]
         while queue:
             x = queue.pop()
-            other = np.flatnonzero(left & (OVER * size <= UNDER * size[x]) & (UNDER * size >= OVER * size[x]))
+            other = np.flatnonzero(left & (over * size <= under * size[x]) & (under * size >= over * size[x]))
             if sides is not None:
                 other = other[sides[other] != sides[x]]
             if not len(other):
                 continue
-            need = needed(int(size[x]), size[other])
+            need = needed(int(size[x]), size[other], ratio)
             common = np.bitwise_count(bits[other] & ~bits[x]).sum(1, dtype=np.int64)
             bound = np.minimum(size[other] - common, size[x] - np.bitwise_count(bits[x] & ~bits[other]).sum(1, dtype=np.int64))
             other, need = other[bound >= need], need[bound >= need]
@@ -297,7 +297,7 @@ def similar_in(arrays: list[np.ndarray], sides: np.ndarray | None = None, exact:
     return links
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, twice: set[int], bloom_bytes: int = 16 << 20, narrow: bool = False) -> DataFrame:
+def class_sets(docs: DataFrame, classes: DataFrame, twice: set[int], bloom_bytes: int = 16 << 20, narrow: bool = False, k: int = SHINGLE) -> DataFrame:
     """classes (cid) -> (cid, shingles, n), one row each, and some others. Narrow: the low 16 bits of each shingle, enough for bitmaps."""
     spark = docs.sparkSession
     n = classes.count()
@@ -313,7 +313,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, twice: set[int], bloom_bytes
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for _, sets in _blocks(batches, 0):
+        for _, sets in _blocks(batches, 0, k):
             found: dict[int, np.ndarray] = {}
             for s in sets:
                 if len(s) and (cid := class_id(s, twice)) not in sent:
@@ -327,9 +327,9 @@ def class_sets(docs: DataFrame, classes: DataFrame, twice: set[int], bloom_bytes
     return docs.select("text").mapInArrow(arrays, "cid bigint, shingles binary, n bigint").dropDuplicates(["cid"])
 
 
-def meet(sets: DataFrame, scratch: Scratch, label: str, tile: int, pack_words: int, exact: bool = True) -> DataFrame:
+def meet(sets: DataFrame, scratch: Scratch, label: str, tile: int, pack_words: int, exact: bool = True, ratio: tuple[int, int] = (OVER, UNDER)) -> DataFrame:
     """sets (root, cid, shingles, n) -> links (a, b) that connect the similar classes of each root; a class can have several roots."""
-    sets = scratch.keep(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(UNDER / OVER)) + 1e-9).cast("int")), label)
+    sets = scratch.keep(sets.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio[1] / ratio[0])) + 1e-9).cast("int")), label)
     per_group = scratch.keep(sets.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("words")), f"{label}-sizes", small=True)
     small = per_group.filter((F.col("k") <= tile) & (F.col("words") <= 4 * pack_words))
     large = per_group.join(small, "root", "left_anti").select("root")
@@ -364,7 +364,7 @@ def meet(sets: DataFrame, scratch: Scratch, label: str, tile: int, pack_words: i
         for s, k in zip(starts, sizes, strict=True):
             at = order[s : s + k]
             if k > 1:
-                for y, x in similar_in([np.frombuffer(raw[i], np.uint64 if exact else np.uint16) for i in at], side[at] if side[at].any() else None, exact):
+                for y, x in similar_in([np.frombuffer(raw[i], np.uint64 if exact else np.uint16) for i in at], side[at] if side[at].any() else None, exact, ratio):
                     a.append(cid[at[y]])
                     b.append(cid[at[x]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -401,13 +401,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     classes, common = classify(docs, scratch)
-    by_half = classes.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    seen = by_half.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).first()
-    twice: set[int] = set()
-    if seen["clash"]:
-        # About k * k / 2 ** 65 of k classes: a handful at ten billion.
-        twice = {r["cid"] for r in by_half.filter("lo <> hi").select("cid").collect()}
-        classes = classes.withColumn("cid", F.when(F.col("cid").isin(*twice), F.col("check")).otherwise(F.col("cid")))
+    classes, twice, seen = tell_apart(classes)
     found = tiles(docs, heavy_tokens(common, seen["k"]), seen["n"] or 0, twice)
     found = scratch.keep(found, "tiles")
     least = found.groupBy("token").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("top > b")
@@ -416,6 +410,23 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     groups = split_groups(docs, found, groups, scratch, twice)
     links = scratch.keep(link_candidates(docs, groups, scratch, twice), "links", small=True)
     scratch.drop("tiles", "sets")
+    return by_document(classes, links, scratch)
+
+
+def tell_apart(classes: DataFrame) -> tuple[DataFrame, set[int], Row]:
+    """classes (doc_id, n, cid, check, ...) with cids that no two of them share; the halves that several share; k classes of n shingles together."""
+    by_half = classes.filter("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    seen = by_half.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum((F.col("lo") != F.col("hi")).cast("int")).alias("clash")).first()
+    twice: set[int] = set()
+    if seen["clash"]:
+        # About k * k / 2 ** 65 of k classes: a handful at ten billion.
+        twice = {r["cid"] for r in by_half.filter("lo <> hi").select("cid").collect()}
+        classes = classes.withColumn("cid", F.when(F.col("cid").isin(*twice), F.col("check")).otherwise(F.col("cid")))
+    return classes, twice, seen
+
+
+def by_document(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """classes (doc_id, n, cid), links (a, b) between similar ones -> (doc_id, n_shingles, component_id)."""
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
     # Smallest ids by class, then by component of linked classes; a class with a third of all documents is summed up before it
     # is shuffled, and documents meet their class in a plain join, whose large keys Spark can split.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, hard_negatives, jaccard_join, language_id, mixing, repeats, telephony, token_file, url_filter, warc_archive
+from . import chat_format, chosen_path, decontaminate, hard_negatives, jaccard_join, language_id, mixing, repeats, telephony, token_file, url_filter, warc_archive
 from .common import Scratch, literal_rows, table
 
 #: The rules of the url query.
@@ -74,6 +74,10 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.read_stored(spark, path)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     label = F.col("label").cast("bigint")
@@ -81,7 +85,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony, op11_minhash_dedup, op13_hard_negatives)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -154,6 +158,11 @@ SELECT t.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(l
 FROM t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN least_of ON least_of.a = c.cls
 """
 
+_PATHS_SQL = (
+    _NEAR_SQL.replace("least(len(w), 5)", "least(len(w), 2)").replace("len(w) - 5", "len(w) - 2").replace(">= 75 *", ">= 80 *")
+    .replace("AS component_id\n", "AS component_id, CAST(coalesce(least(c.cls, least_of.b), t.doc_id) AS BIGINT) = t.doc_id AS kept\n")
+)
+
 _REPEATS_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 part AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 599) AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0), 500)) AS o FROM d)),
@@ -184,5 +193,5 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 
 ORACLE_SQL = {
     "op1_url_filter": _URL_SQL, "op2_jaccard_join": _NEAR_SQL, "op3_warc_archive": _WARC_SQL, "op5_repeats": _REPEATS_SQL, "op6_decontaminate": _LEAK_SQL,
-    "op9_chat_format": _CHAT_SQL, "op13_hard_negatives": _NEGATIVES_SQL,
+    "op9_chat_format": _CHAT_SQL, "op11_minhash_dedup": _PATHS_SQL, "op13_hard_negatives": _NEGATIVES_SQL,
 }
