@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, chosen_path, decontaminate, hard_negatives, jaccard_join, language_id, mixing, repeats, telephony, token_file, url_filter, warc_archive
+from . import chat_format, chosen_path, decontaminate, hard_negatives, jaccard_join, language_id, mixing, prefix_trie, repeats, telephony, token_file, url_filter, warc_archive
 from .common import Scratch, literal_rows, table
 
 #: The rules of the url query.
@@ -78,6 +78,10 @@ def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     label = F.col("label").cast("bigint")
@@ -85,7 +89,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony, op11_minhash_dedup, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_warc_archive, op4_language_id, op5_repeats, op6_decontaminate, op7_token_ids, op8_mixing, op9_chat_format, op10_telephony, op11_minhash_dedup, op12_prefix_trie, op13_hard_negatives)}
 
 _URL_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -179,9 +183,32 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_TRIE_SQL = """
+WITH RECURSIVE src AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc(conv_id, x, s, left_over) AS (
+  SELECT DISTINCT conv_id, CAST(4294967295 AS BIGINT), 0, CAST(conv_id AS VARCHAR) FROM src
+  UNION ALL SELECT conv_id, CASE WHEN s = 0 THEN xor(x, ascii(left_over)) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+    (s + 1) % 9, CASE WHEN s = 8 THEN substr(left_over, 2) ELSE left_over END FROM crc WHERE left_over <> ''),
+h AS (SELECT conv_id AS c, xor(x, 4294967295) % 9 AS h, conv_id - conv_id % 5 AS base FROM crc WHERE left_over = ''),
+r AS (SELECT c, 0 AS part, pos, role, text FROM h JOIN src ON src.conv_id = h.base AND pos < h
+      UNION ALL SELECT c, 1, pos, role, text FROM h JOIN src ON src.conv_id = h.c AND pos >= h),
+p AS (SELECT c, row_number() OVER w AS d, octet_length(encode(text)) AS b, list(struct_pack(role := role, text := text)) OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+k AS (SELECT c, d, b, sha256(CAST(to_json(path) AS VARCHAR)) AS k FROM p
+      UNION ALL SELECT c, 0, 0, '' FROM h),
+m AS (SELECT c, d, b, k, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) AS n FROM k),
+v AS (SELECT k, d, min(up) AS up, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n, min(b) AS b, string_agg(c, ',' ORDER BY c) FILTER (d = n) AS ids FROM m GROUP BY k, d),
+below AS (SELECT a.k, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * b) AS saved
+          FROM (SELECT DISTINCT x.k, y.k AS u FROM m x JOIN m y ON x.c = y.c AND y.d >= x.d) a JOIN (SELECT *, d = n AS leaf FROM v) z ON z.k = a.u GROUP BY a.k)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, (SELECT count(*) FROM v z WHERE z.up = v.k) AS n_children, below.n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ids, '')) AS ends_sha256
+FROM v JOIN below USING (k) LEFT JOIN v o ON o.k = v.up
+"""
+
 _NEGATIVES_SQL = """
-WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
-           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
       FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
 p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
@@ -193,5 +220,5 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 
 ORACLE_SQL = {
     "op1_url_filter": _URL_SQL, "op2_jaccard_join": _NEAR_SQL, "op3_warc_archive": _WARC_SQL, "op5_repeats": _REPEATS_SQL, "op6_decontaminate": _LEAK_SQL,
-    "op9_chat_format": _CHAT_SQL, "op11_minhash_dedup": _PATHS_SQL, "op13_hard_negatives": _NEGATIVES_SQL,
+    "op9_chat_format": _CHAT_SQL, "op11_minhash_dedup": _PATHS_SQL, "op12_prefix_trie": _TRIE_SQL, "op13_hard_negatives": _NEGATIVES_SQL,
 }
