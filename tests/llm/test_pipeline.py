@@ -76,6 +76,18 @@ def test_stages(spark, tmp_path):
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Texts are judged by id and text: of each group one row stays, and different texts of one id do not share a fate."""
+    x, y, z = words(21, 60), words(22, 60), words(23, 60)
+    near = [*y[:30], "odd", *y[31:]]
+    rows = [(3, " ".join(x)), (7, " ".join(x)), (7, " ".join(y)), (None, " ".join(x)), (None, " ".join(near)), (None, " ".join(z)), (7, " ".join(y)), (9, None), (9, ""), (9, None), (None, None), (7, " ".join(z)), (8, " ".join(words(24, 60))), (8, " ".join(words(25, 60)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "s", "group", "k") for i, t in rows], SCHEMA.replace("Score", "group")).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(3, " ".join(x)), (7, " ".join(y)), (7, " ".join(z)), (9, None), (9, ""), (None, None), *rows[-2:]]
+    assert sorted((tuple(r)[:2] for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("keep", ["nothing", "no text"])
 def test_run_on_odd_tables(spark, tmp_path, keep):
     some = [] if keep == "nothing" else [(1, None, None, None, 0, "9", "x", "k"), (None, "", "en", "a", 0, "9", "x", "k")]

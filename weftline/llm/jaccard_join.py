@@ -97,26 +97,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int, k: int = SHINGLE) -
             yield batch.slice(i, j - i), list(shingle_sets(data[part[0] : part[-1]], part - part[0], k))
 
 
-def classify(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, cid, check), (token, n)): the class of every document, and shingles that are common in some block."""
+def classify(docs: DataFrame, scratch: Scratch, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n, cid, check, carried), (token, n)): the class of every document, and shingles that are common in some block."""
+    more = [docs.schema[c] for c in carried]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "cid", "check"]
+        names = ["kind", "doc_id", "n", "cid", "check", *carried]
         for block, sets in _blocks(batches, 1):
             keys = [class_key(s) if len(s) else (0, 0) for s in sets]
             cid, check = (np.array([k[x] for k in keys], np.int64) for x in (0, 1))
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), block.column(0), pa.array(n), pa.array(cid), pa.array(check)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), block.column(0), pa.array(n), pa.array(cid), pa.array(check), *block.columns[2:]], names=names)
             own = list({k: s for k, s in zip(keys, sets, strict=True)}.values())
             tokens, times = np.unique(np.concatenate(own), return_counts=True)
             common = times >= max(8, HEAVY_SHARE * len(own))
             tokens, times = tokens[common], times[common].astype(np.int64)
             none = pa.nulls(len(tokens), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), none, pa.array(times), pa.array(tokens.view(np.int64)), none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), none, pa.array(times), pa.array(tokens.view(np.int64)), none, *(pa.nulls(len(tokens), c.type) for c in block.columns[2:])], names=names)
 
-    scanned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, "kind int, doc_id bigint, n bigint, cid bigint, check bigint")
+    schema = ", ".join(["kind int, doc_id bigint, n bigint, cid bigint, check bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in more)])
+    scanned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carried).mapInArrow(scan, schema)
     scanned = scratch.keep(scanned, "scan", ("kind",))
-    classes = scanned.filter("kind = 0").select("doc_id", "n", "cid", "check")
+    classes = scanned.filter("kind = 0").select("doc_id", "n", "cid", "check", *carried)
     return classes, scanned.filter("kind = 1").select(F.col("cid").alias("token"), "n")
 
 
@@ -394,13 +396,17 @@ def link_candidates(docs: DataFrame, groups: DataFrame, scratch: Scratch, twice:
     return meet(class_sets(docs, groups.select("cid"), twice, bloom_bytes).join(groups, "cid"), scratch, "sets", tile, pack_words)
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per document."""
+def jaccard_classes(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id), one row per document.
+
+    With ``carried`` columns of docs, these and ``group`` as well: a number for each component, null for a text without shingles. It tells
+    apart what a component's smallest id does not where different texts share an id.
+    """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
+    classes, common = classify(docs, scratch, carried)
     docs = docs.select("doc_id", "text")
-    classes, common = classify(docs, scratch)
     classes, twice, seen = tell_apart(classes)
     found = tiles(docs, heavy_tokens(common, seen["k"]), seen["n"] or 0, twice)
     found = scratch.keep(found, "tiles")
@@ -410,7 +416,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     groups = split_groups(docs, found, groups, scratch, twice)
     links = scratch.keep(link_candidates(docs, groups, scratch, twice), "links", small=True)
     scratch.drop("tiles", "sets")
-    return by_document(classes, links, scratch)
+    return by_document(classes, links, scratch, carried)
 
 
 def tell_apart(classes: DataFrame) -> tuple[DataFrame, set[int], Row]:
@@ -425,16 +431,16 @@ def tell_apart(classes: DataFrame) -> tuple[DataFrame, set[int], Row]:
     return classes, twice, seen
 
 
-def by_document(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """classes (doc_id, n, cid), links (a, b) between similar ones -> (doc_id, n_shingles, component_id)."""
+def by_document(classes: DataFrame, links: DataFrame, scratch: Scratch, carried: tuple[str, ...] = ()) -> DataFrame:
+    """classes (doc_id, n, cid, carried), links (a, b) between similar ones -> (doc_id, n_shingles, component_id), see ``jaccard_classes``."""
     roots = components(links, scratch, "links").withColumnRenamed("node", "cid")
     # Smallest ids by class, then by component of linked classes; a class with a third of all documents is summed up before it
     # is shuffled, and documents meet their class in a plain join, whose large keys Spark can split.
     least = classes.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     linked = scratch.keep(least.join(roots, "cid"), "linked")
     components_least = scratch.keep(linked.groupBy("root").agg(F.min("least").alias("component")), "component-ids")
-    by_class = least.join(linked.select("cid", "root").join(components_least, "root"), "cid", "left").select("cid", F.coalesce("component", "least").alias("component"))
+    by_class = least.join(linked.select("cid", "root").join(components_least, "root"), "cid", "left").select("cid", F.coalesce("component", "least").alias("component"), F.coalesce("root", "cid").alias("group"))
     by_class = scratch.keep(by_class, "class-ids")
     key = F.when(F.col("n") > 0, F.col("cid"))
     out = classes.withColumn("cid", key).join(by_class, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *((*carried, "group") if carried else ()))
