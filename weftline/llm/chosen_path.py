@@ -2,10 +2,11 @@
 
 1. Documents with equal sets are one class. A class has ``COORDS`` minwise values of eight bits; two classes agree in one with the
    chance of their similarity (and 1/256 of the rest).
-2. Trees: every node chooses ``BRANCH`` coordinates by its own hash, and sends each of its classes on to the child for that class's
-   value of each of them. A node with one class ends; one with up to ``LEAF`` classes compares all its pairs by their values. A pair of
-   similarity s stays together in a tree, however deep, with the chance q = 1 - (1 - s q) ** 2 at least: 0.9375 at 0.8. ``TREES``
-   independent trees leave 0.0625 ** 6 = 6e-8 of such pairs apart, fewer where nodes are small.
+2. Trees: every node chooses ``BRANCH`` pairs of coordinates by its own hash, and sends each of its classes on to the child for that
+   class's two values of each. A node with one class ends; one with up to ``LEAF`` classes compares all its pairs by their values. A pair of
+   similarity s stays together in a tree, however deep, with the chance q = 1 - (1 - s * s * q) ** 4 at least: 0.98 at 0.8. ``TREES``
+   independent trees leave 0.02 ** 4 = 2e-7 of such pairs apart. Steps of two coordinates keep unlike texts apart from the first one on, up
+   to some ten million classes, so that rows grow with the classes; beyond, nodes that are too large take further steps.
 3. A node of more classes first looks for pivots, the centres of dense parts of its first ``LEAF`` classes. All its classes are compared
    with them. Similar ones are linked to the pivot as candidates; close ones go no further down, since what is similar to them is linked to
    the pivot itself (distances are metric). So copies of one text cost one link each, and only what is apart branches on.
@@ -15,7 +16,7 @@
    shingles: bitmaps bound the overlap, exact intersections decide; large groups are cut into size-banded tiles.
 5. Connected components of the exact links.
 
-Rounds go down all trees at once; each is one shuffle of rows of 90 bytes, written to the shared folder. What is left after
+Rounds go down all trees at once; each is one shuffle of rows of 90 bytes; what goes on is written to the shared folder. What is left after
 ``ROUNDS`` is linked as candidates without further tests, so nothing falls out. Tests count the recall of the candidates.
 
 Nulls and odd input: a null, empty or blank text has no shingles, is linked with nothing and is its own component; a text of one
@@ -41,11 +42,11 @@ from .components import components
 SHINGLE = 2
 #: Similarity as a fraction of whole numbers: 80 %.
 RATIO = (4, 5)
-COORDS, TREES, BRANCH, LEAF, PIVOTS, ROUNDS = 64, 6, 2, 256, 32, 14
+COORDS, TREES, BRANCH, LEAF, PIVOTS, ROUNDS = 64, 4, 4, 256, 32, 14
 #: Agreeing values, of 64. Similar pairs have 51 on average, 3.2 more or less: 36 and more in a leaf. In larger nodes: linked with a
 #: pivot from 16 on, and ended by it from 40 on, for which 24 values may differ between the ended class and one similar to it.
 NEAR, LINKED, ENDED = 36, 16, 40
-HOT = 500_000
+HOT = 20_000
 U = np.uint64
 _MASK = (1 << 64) - 1
 _TIMES = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1) ^ (i << 33)) & _MASK | 1 for i in range(COORDS)], U)
@@ -85,13 +86,13 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
-    """The next nodes of rows: one array for each chosen coordinate."""
-    out, taken = [], None
+    """The next nodes of rows: one array for each chosen pair of coordinates."""
+    out, row = [], np.arange(len(node))
     for b in range(BRANCH):
         chosen = K.mix64(node ^ U(0x9E3779B97F4A7C15 * (b + 1) & _MASK))
-        at = (chosen % U(COORDS)).astype(np.int64) if taken is None else (taken + 1 + (chosen % U(COORDS - 1)).astype(np.int64)) % COORDS
-        taken = at if taken is None else taken
-        value = (at * 256 + sig[np.arange(len(node)), at]).astype(U)
+        one = (chosen % U(COORDS)).astype(np.int64)
+        two = (one + 1 + ((chosen >> U(32)) % U(COORDS - 1)).astype(np.int64)) % COORDS
+        value = (((b * COORDS + one) * COORDS + two) << 16 | sig[row, one].astype(np.int64) << 8 | sig[row, two]).astype(U)
         out.append(K.mix64(K.mix64(node) + K.mix64(value + U(1))))
     return out
 
@@ -249,16 +250,16 @@ def candidate_links(classes: DataFrame, scratch: Scratch, leaf: int = LEAF, hot:
     """classes (cid, sig) -> (a, b): links whose components hold together all similar pairs, but for what all trees miss."""
     spark = classes.sparkSession
     walk = lambda batches: _walk(batches, leaf)
-    now = scratch.keep(roots(classes), "round-0")
+    now, n = roots(classes), classes.count() * TREES * BRANCH
     links = []
     for i in range(1, rounds + 1):
-        n = now.count()
         if not n:
             break
         # Hot nodes are seen in a 64th of the classes; where the estimate errs, the other way gives the same links.
         many = max(hot, n // 4096)
         share = 64 if many >= 64 * 64 else 1
-        sample = now.filter(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0).groupBy("node").count().filter(F.col("count") >= many // share)
+        seen = roots(classes.filter(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0)) if i == 1 else now.filter(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0)
+        sample = seen.groupBy("node").count().filter(F.col("count") >= many // share)
         at = {r["node"]: r["count"] for r in sample.collect()}  # at most some 4096 nodes
         if at:
             few = F.broadcast(spark.createDataFrame([(k, max(1, c * share // LEAF)) for k, c in at.items()], "node bigint, part bigint"))
@@ -286,8 +287,7 @@ def candidate_links(classes: DataFrame, scratch: Scratch, leaf: int = LEAF, hot:
         step = scratch.keep(step, f"round-{i}", ("kind",))
         links.append(step.filter("kind = 0").select(F.col("node").alias("a"), F.col("cid").alias("b")))
         now = step.filter("kind = 1").select("node", "cid", "sig")
-        if i == 1:
-            scratch.drop("round-0")
+        n = now.count()
     else:
         least = now.groupBy("node").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).filter("top > b")
         links.append(now.join(least, "node").select(F.col("cid").alias("a"), "b"))
@@ -314,7 +314,7 @@ def near_classes(docs: DataFrame, tile: int = J.TILE, pack_words: int = 400_000,
     scratch = Scratch(spark, "paths")
     docs = docs.select("doc_id", "text")
     classes, twice, _ = J.tell_apart(scratch.keep(classify(docs), "scan"))
-    one = classes.filter(F.col("sig").isNotNull()).groupBy("cid").agg(F.first("sig").alias("sig"))
+    one = scratch.keep(classes.filter(F.col("sig").isNotNull()).groupBy("cid").agg(F.first("sig").alias("sig")), "classes")
     candidates = candidate_links(one, scratch, leaf, hot, rounds)
     groups = components(candidates, scratch, "groups").withColumnRenamed("node", "cid")
     sets = J.class_sets(docs, groups.select("cid"), twice, k=SHINGLE).join(groups, "cid")
