@@ -14,7 +14,9 @@ from .functions.ids import canonical, prefixed_md5
 from .functions.text import SEP, pack, sanitize_encoding
 from .functions.tokens import WORDS, Tokenizer, token_count
 from .operators import chunking, context, extract, graph, kv, merge, retrieve, taskqueue, vector
-from .session import ship_package
+from .operators.buckets import BucketStore
+from .operators.vector_index import VectorIndex
+from .session import numbered, ship_package
 from .sources.files import read_folders
 
 
@@ -45,6 +47,7 @@ class Options:
     max_relations: int = 60
     related_chunks: int = 5
     summary_context: int = 12_000
+    buckets: int = 16
 
     @classmethod
     def from_dict(cls, values: dict) -> Options:
@@ -89,12 +92,22 @@ class Result:
 
 
 class Engine:
-    """Tables under ``path``; every write is a table beside the old one and a swap."""
+    """Tables under ``path`` in buckets of their keys: an insert rewrites, and a question opens, the buckets of the keys it touches.
 
+    Edges are stored under both of their ends; the degrees of nodes are kept beside them and changed with them.
+    """
+
+    PAIR = ("least(source_id, target_id)", "greatest(source_id, target_id)")
+    #: Schema, bucket keys, and what a row is known by if that is more.
     TABLES = {
-        "full_docs": schema.FULL_DOCS, "text_chunks": schema.TEXT_CHUNKS, "entity_facts": schema.ENTITY_FACTS, "relation_facts": schema.RELATION_FACTS, "nodes": schema.NODES, "edges": schema.EDGES,
-        "chunk_vectors": schema.VECTORS, "entity_vectors": schema.VECTORS, "relation_vectors": f"{schema.VECTORS}, src string, tgt string", "llm_cache": "chunk_id string, response string",
+        "full_docs": (schema.FULL_DOCS, ("full_doc_id",)), "text_chunks": (schema.TEXT_CHUNKS, ("chunk_id",), ("chunk_id", "full_doc_id")),
+        "entity_facts": (schema.ENTITY_FACTS, ("name",)), "relation_facts": (schema.RELATION_FACTS, PAIR),
+        "nodes": (schema.NODES, ("entity_id",)), "edges": (f"{schema.EDGES}, entity_id string", ("entity_id",), ("entity_id", "src", "tgt")), "degrees": ("entity_id string, degree bigint", ("entity_id",)),
+        "chunk_vectors": (schema.VECTORS, ("id",)), "entity_vectors": (schema.VECTORS, ("name",)), "relation_vectors": (f"{schema.VECTORS}, src string, tgt string", ("src", "tgt")),
+        "llm_cache": ("chunk_id string, response string", ("chunk_id",)),
     }
+    #: The vector tables and the key of their rows, by which an index knows them.
+    VECTOR_KEYS = {"chunk_vectors": "id", "entity_vectors": "name", "relation_vectors": f"concat(src, '{SEP}', tgt)"}
 
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, model: models.LanguageModel | None = None, workspace: str = "_", tokenizer: Tokenizer = WORDS):
         # Every workspace has its own folder: a query never reads another one's files.
@@ -102,17 +115,17 @@ class Engine:
         self.embedder, self.reranker, self.model = embedder or models.HashingEmbedder(), reranker or models.OverlapReranker(), model or models.RuleModel()
         ship_package(spark)
 
-    def table(self, name: str) -> DataFrame:
-        path = kv.current_path(self.spark, f"{self.path}/{name}")
-        return self.spark.createDataFrame([], self.TABLES[name]) if path is None else self.spark.read.schema(self.TABLES[name]).parquet(path)
+    def store(self, name: str) -> BucketStore:
+        return BucketStore(self.spark, f"{self.path}/{name}", *self.TABLES[name], buckets=self.options.buckets)
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        wanted = self.spark.createDataFrame([], self.TABLES[name]).schema
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in wanted)).write.mode("append").parquet(f"{self.path}/{name}")
+    def table(self, name: str) -> DataFrame:
+        """All rows; of edges those under their lower end."""
+        rows = self.store(name).read()
+        return rows.filter("entity_id = src").drop("entity_id") if name == "edges" else rows
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        wanted = self.spark.createDataFrame([], self.TABLES[name]).schema
-        kv.replace_table(rows.select(*(F.col(f.name).cast(f.dataType) for f in wanted)), f"{self.path}/{name}")
+    def near(self, name: str, keys: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+        """Rows by their keys. Edges by ``entity_id``: all at these ends, under each of them."""
+        return self.store(name).near(keys, columns)
 
     def _settle(self, run: str, name: str, rows: DataFrame) -> DataFrame:
         """A short ranked list as a table of its own, so that later steps do not compute it again."""
@@ -124,7 +137,7 @@ class Engine:
 
     def clear(self, *others: str) -> None:
         """Delete everything that is stored here, and the tables at other paths, such as those of tasks and uploads."""
-        for path in [*(f"{self.path}/{name}{end}" for name in self.TABLES for end in ("", ".new", ".old")), f"{self.path}/_runs", *others]:
+        for path in [*(f"{self.path}/{name}" for name in self.TABLES), f"{self.path}/_index", f"{self.path}/_runs", *others]:
             kv.remove(self.spark, path)
 
     def insert_documents(self, docs: DataFrame, now: int = 0) -> int:
@@ -134,36 +147,39 @@ class Engine:
         same graph; what they do not touch is neither merged, summarised nor embedded again.
         """
         o = self.options
-        for name in self.TABLES:
-            kv.repair(self.spark, f"{self.path}/{name}")
         docs = docs.select(sanitize_encoding(F.col("content")).alias("content"), "file_path").filter("content <> ''").withColumn("full_doc_id", prefixed_md5("doc-", F.col("content")))
         docs = docs.groupBy("full_doc_id").agg(F.min_by("content", "file_path").alias("content"), F.min("file_path").alias("file_path"))
         run = uuid.uuid4().hex
-        new = self._settle(run, "new", docs.join(self.table("full_docs").select("full_doc_id"), "full_doc_id", "left_anti"))
+        docs = self._settle(run, "docs", docs)
+        new = self._settle(run, "new", docs.join(self.near("full_docs", docs).select("full_doc_id"), "full_doc_id", "left_anti"))
         if new.isEmpty():
             self._release(run)
             return 0
         chunks = chunking.sliding(new, o.chunk_tokens, o.chunk_overlap, tokenizer=self.tokenizer).withColumnRenamed("id", "chunk_id")
         # A text that occurs twice in a document is one chunk, at its first place.
         chunks = self._settle(run, "chunks", chunks.groupBy("full_doc_id", "chunk_id").agg(F.min(F.struct("chunk_order_index", "content", "tokens", "file_path")).alias("c")).select("full_doc_id", "chunk_id", "c.*"))
-        cache = self.table("llm_cache")
-        _, misses = extract.probe_cache(chunks, cache)
-        self._append("llm_cache", models.extract_responses(misses.dropDuplicates(["chunk_id"]), self.model, ["chunk_id"]))
-        said = chunks.join(self.table("llm_cache").dropDuplicates(["chunk_id"]), "chunk_id")
+        _, misses = extract.probe_cache(chunks, self.near("llm_cache", chunks))
+        self.store("llm_cache").append(models.extract_responses(misses.dropDuplicates(["chunk_id"]), self.model, ["chunk_id"]))
+        said = chunks.join(self.near("llm_cache", chunks).dropDuplicates(["chunk_id"]), "chunk_id")
         keys = ["full_doc_id", "chunk_id", "file_path", "chunk_order_index"]
         stamp = {"timestamp": F.lit(now), "chunk_ord": F.col("chunk_order_index")}
-        self._append("entity_facts", extract.parse_entities(said, keys, o.max_entities).withColumns({**stamp, "source_id": F.col("chunk_id")}))
-        self._append("relation_facts", extract.parse_relations(said, keys, o.max_relations).withColumns({**stamp, "source_chunk_id": F.col("chunk_id")}))
+        entities = self._settle(run, "entity_facts", extract.parse_entities(said, keys, o.max_entities).withColumns({**stamp, "source_id": F.col("chunk_id")}))
+        relations = self._settle(run, "relation_facts", extract.parse_relations(said, keys, o.max_relations).withColumns({**stamp, "source_chunk_id": F.col("chunk_id")}))
+        self.store("entity_facts").append(entities)
+        self.store("relation_facts").append(relations)
+        # A chunk is stored once for each document, and its vector once: also if other documents, or a lost run of this job, brought it before.
+        once = chunks.select(F.col("chunk_id").alias("id"), "content").dropDuplicates(["id"])
+        fresh = self._settle(run, "new_chunks", once.join(self.near("chunk_vectors", once).select("id"), "id", "left_anti"))
         embed = models.embed_column(self.embedder)
-        self._append("chunk_vectors", chunks.dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), embed(F.col("content")).alias("vector"), F.col("chunk_id").alias("name")))
-        self._append("text_chunks", chunks)
-        own = new.select("full_doc_id")
-        names = self.table("entity_facts").join(own, "full_doc_id", "left_semi").select("name").distinct()
-        pairs = self._links().join(own, "full_doc_id", "left_semi").select("src", "tgt").distinct()
+        vectors = self._settle(run, "chunk_vectors", fresh.select("id", embed(F.col("content")).alias("vector"), F.col("id").alias("name")))
+        self.store("chunk_vectors").append(vectors)
+        self._index_rows("chunk_vectors", vectors)
+        self.store("text_chunks").append(chunks.join(self.near("text_chunks", chunks).select("chunk_id", "full_doc_id"), ["chunk_id", "full_doc_id"], "left_anti"))
+        names, pairs = entities.select("name").distinct(), self._links(relations).select("src", "tgt").distinct()
         self._merge(run, self._settle(run, "names", names), self._settle(run, "pairs", pairs), now)
         lists = chunks.groupBy("full_doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks_list"))
         # Written last: a job that breaks off before is done again.
-        self._append("full_docs", new.join(lists, "full_doc_id").withColumn("chunks_count", F.size("chunks_list")))
+        self.store("full_docs").append(new.join(lists, "full_doc_id").withColumn("chunks_count", F.size("chunks_list")))
         n = lists.count()
         self._release(run)
         return n
@@ -189,15 +205,15 @@ class Engine:
                     failed += some.count()
         return {"inserted": inserted, "skipped": total - inserted - failed, "failed": failed}
 
-    def _links(self) -> DataFrame:
+    def _links(self, facts: DataFrame) -> DataFrame:
         """Relation facts with their pair; self-loops and nameless ends fall out."""
         low, high = canonical(F.col("source_id"), F.col("target_id"))
-        return self.table("relation_facts").filter("source_id <> '' AND target_id <> '' AND source_id <> target_id").withColumns({"src": low, "tgt": high})
+        return facts.filter("source_id <> '' AND target_id <> '' AND source_id <> target_id").withColumns({"src": low, "tgt": high})
 
     def rebuild_graph(self, now: int = 0) -> None:
         """Nodes, edges and their vectors from all facts."""
         run = uuid.uuid4().hex
-        names, pairs = self.table("entity_facts").select("name").distinct(), self._links().select("src", "tgt").distinct()
+        names, pairs = self.table("entity_facts").select("name").distinct(), self._links(self.table("relation_facts")).select("src", "tgt").distinct()
         self._merge(run, self._settle(run, "names", names), self._settle(run, "pairs", pairs), now)
         self._release(run)
 
@@ -207,30 +223,79 @@ class Engine:
         The lists are settled: they are small beside the graph after an ordinary insert, all of it after a rebuild.
         """
         o = self.options
-        facts = self.table("entity_facts").filter("name <> ''").join(names, "name", "left_semi").dropDuplicates(["source_id", "full_doc_id", "ord"])
-        links = self._links().join(pairs, ["src", "tgt"], "left_semi").dropDuplicates(["source_chunk_id", "full_doc_id", "ord"])
+        facts = self.near("entity_facts", names).filter("name <> ''").dropDuplicates(["source_id", "full_doc_id", "ord"])
+        links = self._links(self.near("relation_facts", pairs, ("src", "tgt"))).dropDuplicates(["source_chunk_id", "full_doc_id", "ord"])
         nodes = self._settle(run, "merged_nodes", merge.merge_entities(facts, None, o.max_sources, o.limit_method, o.max_paths))
         edges = self._settle(run, "merged_edges", merge.merge_relations(links, None, o.max_sources, o.limit_method, o.max_paths))
         nodes = self._summarized(run, "nodes", nodes, F.col("entity_id"))
         edges = self._summarized(run, "edges", edges, F.concat_ws("-", "src", "tgt"))
-        stay = lambda table, gone, key: self.table(table).join(gone, key, "left_anti")
-        like = lambda table, rows: rows.select(*(F.col(f.name).cast(f.dataType) for f in self.table(table).schema))
-        self._replace("edges", stay("edges", pairs, ["src", "tgt"]).unionByName(like("edges", edges.withColumn("created_at", F.lit(now)))))
+        self._replace_edges(edges.withColumn("created_at", F.lit(now)), pairs)
         embed = models.embed_column(self.embedder)
         # Ends that only relations name have no vector: they are reached through the graph.
-        vectors = nodes.select("id", embed(F.concat("entity_id", F.lit("\n"), "description")).alias("vector"), F.col("entity_id").alias("name"))
-        self._replace("entity_vectors", stay("entity_vectors", names, "name").unionByName(like("entity_vectors", vectors)))
-        vectors = edges.select("id", embed(F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt", F.lit("\n"), "description")).alias("vector"), F.concat_ws("-", "src", "tgt").alias("name"), "src", "tgt")
-        self._replace("relation_vectors", stay("relation_vectors", pairs, ["src", "tgt"]).unionByName(like("relation_vectors", vectors)))
+        vectors = self._settle(run, "entity_vectors", nodes.select("id", embed(F.concat("entity_id", F.lit("\n"), "description")).alias("vector"), F.col("entity_id").alias("name")))
+        self.store("entity_vectors").replace(vectors, names)
+        self._index_rows("entity_vectors", vectors, names)
+        vectors = self._settle(run, "relation_vectors", edges.select("id", embed(F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt", F.lit("\n"), "description")).alias("vector"), F.concat_ws("-", "src", "tgt").alias("name"), "src", "tgt"))
+        self.store("relation_vectors").replace(vectors, pairs)
+        self._index_rows("relation_vectors", vectors, pairs)
         # Touched ends without an entity of their own are described anew by all their edges.
-        touched = names.select(F.col("name").alias("entity_id")).unionByName(pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id"))).distinct()
-        known = self.table("entity_vectors").select(F.col("name").alias("entity_id"))
-        bare = touched.join(known, "entity_id", "left_anti")
-        at = lambda end, other: self.table("edges").join(bare.withColumnRenamed("entity_id", end), end, "left_semi").select("src", "tgt", "source_id", "description", "file_path")
-        ends = merge.missing_endpoints(at("src", "tgt").unionByName(at("tgt", "src")).dropDuplicates(["src", "tgt"]), known).join(bare, "entity_id", "left_semi")
+        touched = self._settle(run, "touched", names.select(F.col("name").alias("entity_id")).unionByName(pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id"))).distinct())
+        known = self.near("entity_vectors", touched, ("entity_id",)).select(F.col("name").alias("entity_id"))
+        bare = self._settle(run, "bare", touched.join(known, "entity_id", "left_anti"))
+        at = self.near("edges", bare).select("src", "tgt", "source_id", "description", "file_path").dropDuplicates(["src", "tgt"])
+        ends = merge.missing_endpoints(at, known).join(bare, "entity_id", "left_semi")
         common = {"created_at": F.lit(now), "labels": F.array("entity_type")}
         fresh = nodes.withColumns(common).unionByName(ends.withColumns({**common, "truncate": F.lit("")}), allowMissingColumns=True)
-        self._replace("nodes", stay("nodes", touched, "entity_id").unionByName(like("nodes", fresh)))
+        self.store("nodes").replace(self._settle(run, "fresh_nodes", fresh), touched)
+
+    def _replace_edges(self, edges: DataFrame, pairs: DataFrame) -> None:
+        """Put edges in the place of those of the pairs (src, tgt), and count the degrees of their ends in the buckets that this rewrites.
+
+        Counted, not added up: a job that is lost between edges and degrees puts both right when it is run again.
+        """
+        under = lambda rows: rows.withColumn("entity_id", F.explode(F.array("src", "tgt")))
+        self.store("edges").replace(under(edges), under(pairs.select("src", "tgt")))
+        ends = under(pairs.select("src", "tgt")).select("entity_id").distinct()
+        self.store("degrees").replace(self.near("edges", ends).groupBy("entity_id").agg(F.count("*").alias("degree")), ends)
+
+    def remove_edges(self, pairs: DataFrame) -> None:
+        """Delete the edges of unordered pairs (src, tgt), and their vectors."""
+        run = uuid.uuid4().hex
+        low, high = canonical(F.col("src"), F.col("tgt"))
+        pairs = self._settle(run, "pairs", pairs.select(low.alias("src"), high.alias("tgt")).distinct())
+        self._replace_edges(self.table("edges").limit(0), pairs)
+        self.store("relation_vectors").replace(self.table("relation_vectors").limit(0), pairs)
+        self._index_rows("relation_vectors", self.table("relation_vectors").limit(0), pairs)
+        self._release(run)
+
+    def delete_nodes(self, ids: DataFrame) -> None:
+        """Delete nodes (entity_id), their edges, and the vectors of both."""
+        run = uuid.uuid4().hex
+        ids = self._settle(run, "ids", ids.select("entity_id").distinct())
+        self.remove_edges(self.near("edges", ids).select("src", "tgt").distinct())
+        names = ids.select(F.col("entity_id").alias("name"))
+        self.store("entity_vectors").replace(self.table("entity_vectors").limit(0), names)
+        self._index_rows("entity_vectors", self.table("entity_vectors").limit(0), names)
+        self.store("nodes").replace(self.table("nodes").limit(0), ids)
+        self._release(run)
+
+    def build_index(self, name: str, **settings) -> VectorIndex:
+        """An approximate index over a vector table. Inserts keep it up from then on, and questions use it."""
+        rows = self.table(name).select(F.expr(self.VECTOR_KEYS[name]).alias("id"), "vector")
+        return VectorIndex.build(rows, f"{self.path}/_index/{name}", **settings)
+
+    def _index(self, name: str) -> VectorIndex | None:
+        path = f"{self.path}/_index/{name}"
+        return VectorIndex(self.spark, path) if kv.current_path(self.spark, f"{path}/model") else None
+
+    def _index_rows(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        index, key = self._index(name), F.expr(self.VECTOR_KEYS[name]).alias("id")
+        if index is not None:
+            if gone is not None:
+                index.delete(gone.select(key))
+            index = self._index(name)
+            if not rows.isEmpty():
+                index.upsert(rows.select(key, "vector"))
 
     def _summarized(self, run: str, what: str, rows: DataFrame, title: Column) -> DataFrame:
         """rows with a summary as description where one is due.
@@ -258,8 +323,15 @@ class Engine:
             rows = rows.join(said, "id", "left").withColumn("description", F.coalesce("__said", "description")).drop("__said")
         return self._settle(run, f"{what}_summarized", rows) if done else rows
 
-    def _hits(self, store: str, wanted: list[float], p: QueryParam) -> DataFrame:
-        return vector.top_k(self.table(store), wanted, p.top_k, p.threshold)
+    def _hits(self, name: str, wanted: list[float], p: QueryParam, k: int) -> DataFrame:
+        """The k nearest rows of a vector table, by its index if there is one."""
+        index = self._index(name)
+        if index is None:
+            return vector.top_k(self.table(name), wanted, k, p.threshold)
+        found = index.search(self.spark.createDataFrame([(0, [float(x) for x in wanted])], "query_id int, vector array<float>"), k, p.threshold).select(F.col("id").alias("__key"), "score", "pos")
+        parts = F.split("__key", SEP)
+        keys = found.select(F.get(parts, F.lit(0)).alias("src"), F.get(parts, F.lit(1)).alias("tgt")) if name == "relation_vectors" else found.select(F.col("__key").alias(self.VECTOR_KEYS[name]))
+        return self.near(name, keys).withColumn("__key", F.expr(self.VECTOR_KEYS[name])).join(F.broadcast(found), "__key").drop("__key")  # k rows
 
     def _vectors(self, question: str, high: list[str], low: list[str], way: Strategy) -> dict[str, list[float]]:
         """The vectors that a search needs, in one call. Without that of the question it goes on, without chunks by vector."""
@@ -279,24 +351,27 @@ class Engine:
         way = STRATEGIES[p.mode]
         high, low = (list(p.high_keywords), list(p.low_keywords)) if p.high_keywords or p.low_keywords else self.model.keywords(question)
         wanted = self._vectors(question, high, low, way)
-        nodes, edges, texts = self.table("nodes"), self.table("edges"), self.table("text_chunks").dropDuplicates(["chunk_id"])
         run = uuid.uuid4().hex
         entities = relations = None
         if way.entities:
-            hits = self._settle(run, "local_hits", self._hits("entity_vectors", wanted["low"], p).withColumnRenamed("name", "entity_id").select("pos", "entity_id"))
-            entities = self._settle(run, "local_entities", retrieve.local_entities(hits, nodes, edges))
-            relations = self._settle(run, "local_relations", retrieve.local_relations(entities, edges))
+            hits = self._settle(run, "local_hits", self._hits("entity_vectors", wanted["low"], p, p.top_k).withColumnRenamed("name", "entity_id").select("pos", "entity_id"))
+            entities = self._settle(run, "local_entities", retrieve.local_entities(hits, self.near("nodes", hits), degrees=self.near("degrees", hits)))
+            at = self._settle(run, "edges_at", self.near("edges", entities).drop("entity_id").dropDuplicates(["src", "tgt"]))
+            ends = at.select(F.explode(F.array("src", "tgt")).alias("entity_id")).distinct()
+            found = self._settle(run, "ranked_edges", retrieve.edges_at(entities, at, self.near("degrees", ends)))
+            relations = self._settle(run, "local_relations", numbered(found, F.desc("rank"), F.desc("weight"), "src", "tgt", stored=True))
         if way.relations:
-            hits = self._settle(run, "global_hits", self._hits("relation_vectors", wanted["high"], p).select("pos", "src", "tgt"))
-            found = self._settle(run, "global_relations", retrieve.global_relations(hits, edges))
-            ends = self._settle(run, "global_entities", retrieve.global_entities(found, nodes))
+            hits = self._settle(run, "global_hits", self._hits("relation_vectors", wanted["high"], p, p.top_k).select("pos", "src", "tgt"))
+            low = hits.select(F.least("src", "tgt").alias("entity_id"))
+            found = self._settle(run, "global_relations", retrieve.global_relations(hits, self.near("edges", low).filter("entity_id = src").drop("entity_id")))
+            ends = self._settle(run, "global_entities", retrieve.global_entities(found, self.near("nodes", found.select(F.explode(F.array("src", "tgt")).alias("entity_id")))))
             entities = ends if entities is None else self._settle(run, "entities", retrieve.merge_entities(entities, ends))
             relations = found if relations is None else self._settle(run, "relations", retrieve.merge_relations(relations, found))
         near = self.spark.createDataFrame([], "pos int, chunk_id string, content string, file_path string")
         if "question" in wanted:
-            near = self._settle(run, "vector_chunks", self._vector_chunks(question, wanted["question"], p, texts))
-        from_entities = self._settle(run, "entity_chunks", retrieve.related_chunks_entities(entities, texts, self.options.related_chunks))
-        from_relations = self._settle(run, "relation_chunks", retrieve.related_chunks_relations(relations, texts, from_entities, self.options.related_chunks))
+            near = self._settle(run, "vector_chunks", self._vector_chunks(question, wanted["question"], p))
+        from_entities = self._settle(run, "entity_chunks", retrieve.related_chunks_entities(entities, self._texts, self.options.related_chunks))
+        from_relations = self._settle(run, "relation_chunks", retrieve.related_chunks_relations(relations, self._texts, from_entities, self.options.related_chunks))
         chunks = retrieve.merge_chunks(near, from_entities, from_relations)
         chunks = self._settle(run, "chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens, self.tokenizer))
         refs, chunks = retrieve.references(chunks)
@@ -306,9 +381,13 @@ class Engine:
             said = context.context_string(*budgeted, chunks, refs).first()["context"]
         return Result(entities, relations, chunks, refs, said, {"mode": p.mode, "high_keywords": high, "low_keywords": low}, lambda: self._release(run))
 
-    def _vector_chunks(self, question: str, wanted: list[float], p: QueryParam, texts: DataFrame) -> DataFrame:
-        hits = vector.top_k(self.table("chunk_vectors"), wanted, p.chunk_top_k or p.top_k, p.threshold)
-        rows = retrieve.with_content(hits.select("pos", F.col("id").alias("chunk_id")), texts)
+    def _texts(self, chosen: DataFrame) -> DataFrame:
+        """The chosen chunks (chunk_id) with their texts, each once: that of the first of its documents."""
+        return self.near("text_chunks", chosen).groupBy("chunk_id").agg(F.min(F.struct("full_doc_id", "content", "file_path")).alias("c")).select("chunk_id", "c.content", "c.file_path")
+
+    def _vector_chunks(self, question: str, wanted: list[float], p: QueryParam) -> DataFrame:
+        hits = self._hits("chunk_vectors", wanted, p, p.chunk_top_k or p.top_k)
+        rows = retrieve.with_content(hits.select("pos", F.col("id").alias("chunk_id")), self._texts)
         if p.rerank:
             score = models.rerank_column(self.reranker, question)
             rows = retrieve.ranked(rows.withColumn("score", score(F.col("content"))).drop("pos"), F.desc("score"), "chunk_id").filter(F.col("pos") < (p.chunk_top_k or p.top_k)).drop("score")

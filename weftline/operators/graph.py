@@ -50,9 +50,9 @@ def node_degrees(edges: DataFrame, ids: DataFrame, few: bool = False) -> DataFra
     return ids.select("entity_id").distinct().join(degrees(edges, ids if few else None), "entity_id", "left").select("entity_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def edge_degrees(edges: DataFrame, pairs: DataFrame, few: bool = False) -> DataFrame:
-    """pairs (src, tgt) with rank, the sum of both ends' degrees. ``few``: the pairs are a short list."""
-    deg = degrees(edges, pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id")) if few else None)
+def edge_degrees(edges: DataFrame, pairs: DataFrame, few: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """pairs (src, tgt) with rank, the sum of both ends' degrees. ``few``: the pairs are a short list; ``known``: degrees that are kept."""
+    deg = known if known is not None else degrees(edges, pairs.select(F.explode(F.array("src", "tgt")).alias("entity_id")) if few else None)
     out = pairs.join(deg.withColumnsRenamed({"entity_id": "src", "degree": "__a"}), "src", "left").join(deg.withColumnsRenamed({"entity_id": "tgt", "degree": "__b"}), "tgt", "left")
     return out.select("src", "tgt", (F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).alias("rank"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +15,10 @@ from ..session import numbered
 from . import graph
 
 
+#: Text chunks (chunk_id, content, file_path), or a function that looks up those of a list (chunk_id).
+Texts = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
     """df with pos by the order. For lists that a limit has bounded: the window has one partition."""
     return df.withColumn("pos", F.row_number().over(W.orderBy(*order)) - 1)
@@ -23,22 +29,33 @@ def weight(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(1.0))
 
 
-def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """hits (pos, entity_id) of the entity store with their node and degree (rank); hits without a node or id fall out."""
-    found = hits.filter(F.length("entity_id") > 0).select("pos", "entity_id").join(nodes, "entity_id")
-    deg = graph.node_degrees(edges, found, few=True)
+def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
+    """hits (pos, entity_id) of the entity store with their node and degree (rank); hits without a node or id fall out.
+
+    Degrees (entity_id, degree) are counted over the edges if they are not given. Where a node has no description, type or path, those
+    of the hit count, if the store has them; a description and a type are empty at the least.
+    """
+    shared = [c for c in ("description", "entity_type", "file_path") if c in hits.columns and c in nodes.columns]
+    found = hits.filter(F.length("entity_id") > 0).select("pos", "entity_id", *(F.col(c).alias(f"__hit_{c}") for c in shared)).join(nodes, "entity_id")
+    found = found.withColumns({c: F.coalesce(c, f"__hit_{c}", *([] if c == "file_path" else [F.lit("")])) for c in shared}).drop(*(f"__hit_{c}" for c in shared))
+    deg = graph.node_degrees(edges, found, few=True) if degrees is None else degrees.select("entity_id", "degree")
     return found.join(deg, "entity_id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
 def local_relations(entities: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Edges at the entities, each once, by rank (sum of degrees), then weight, then ends; of any number without a limit."""
+    out = edges_at(entities, edges)
+    order = (F.desc("rank"), F.desc("weight"), "src", "tgt")
+    return ranked(out.orderBy(*order).limit(limit), *order) if limit else numbered(out, *order)
+
+
+def edges_at(entities: DataFrame, edges: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+    """Edges at the entities, each once, with weight and rank. ``degrees`` (entity_id, degree) of their ends, if they are kept."""
     ids = entities.select("entity_id").distinct()
     at = edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").select("src", "tgt")
     near = at.unionByName(edges.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt", "left_semi").select("src", "tgt")).distinct()
-    ranks = graph.edge_degrees(edges, near, few=True)
-    out = ranks.join(edges, ["src", "tgt"]).withColumn("weight", weight(F.col("weight")))
-    order = (F.desc("rank"), F.desc("weight"), "src", "tgt")
-    return ranked(out.orderBy(*order).limit(limit), *order) if limit else numbered(out, *order)
+    ranks = graph.edge_degrees(edges, near, few=True, known=degrees)
+    return ranks.join(edges, ["src", "tgt"]).withColumn("weight", weight(F.col("weight")))
 
 
 def global_relations(hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,16 +144,17 @@ def weighted_polling(chunks: DataFrame, most: int, least: int = 1) -> DataFrame:
     return ranked(first, "at").drop("at")
 
 
-def with_content(chosen: DataFrame, text_chunks: DataFrame) -> DataFrame:
+def with_content(chosen: DataFrame, text_chunks: Texts) -> DataFrame:
     """Chosen chunks (pos, chunk_id) with content and file path; a chunk that is not stored falls out."""
-    return ranked(chosen.join(text_chunks.select("chunk_id", "content", "file_path"), "chunk_id").withColumnRenamed("pos", "__pos"), "__pos").drop("__pos")
+    texts = text_chunks(chosen) if callable(text_chunks) else text_chunks
+    return ranked(chosen.join(texts.select("chunk_id", "content", "file_path"), "chunk_id").withColumnRenamed("pos", "__pos"), "__pos").drop("__pos")
 
 
-def related_chunks_entities(entities: DataFrame, text_chunks: DataFrame, most: int = 5) -> DataFrame:
+def related_chunks_entities(entities: DataFrame, text_chunks: Texts, most: int = 5) -> DataFrame:
     return with_content(weighted_polling(item_chunks(entities, "source_id"), most), text_chunks)
 
 
-def related_chunks_relations(relations: DataFrame, text_chunks: DataFrame, entity_chunks: DataFrame, most: int = 5) -> DataFrame:
+def related_chunks_relations(relations: DataFrame, text_chunks: Texts, entity_chunks: DataFrame, most: int = 5) -> DataFrame:
     return with_content(weighted_polling(item_chunks(relations, "source_id", entity_chunks, True), most), text_chunks)
 
 

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -43,21 +44,40 @@ def top_k(corpus: DataFrame, query: list[float], k: int, threshold: float = THRE
 
 
 def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, threshold: float = THRESHOLD, vector: str = "vector", tie: str = "id", query_id: str = "query_id") -> DataFrame:
-    """For a stated set of at most MAX_QUERIES queries (query_id, vector): (query_id, id, score, pos).
+    """For a stated set of queries (query_id, vector): (query_id, id, score, pos).
 
-    The query block goes to every task, which multiplies it with its rows and keeps k rows per query; a window over those picks
-    the k best.
+    Queries are taken in blocks of at most MAX_QUERIES. A block goes to every task, which multiplies it with its rows and keeps k rows
+    per query; a window over those picks the k best.
     """
-    rows = queries.select(query_id, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
+    found = None
+    for schema, rows in query_blocks(queries.select(query_id, vector), MAX_QUERIES):
+        part = _top_k_block(corpus, schema, rows, k, threshold, vector, tie, query_id)
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), tie)) - 1
+    return found.withColumn("pos", rank).filter(F.col("pos") < k)
+
+
+def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[T.StructType, list[Row]]]:
+    """Queries in blocks of at most ``most``, by ranges of their hash; one block if there are none."""
+    rows = queries.limit(most + 1).collect()
+    if len(rows) <= most:
+        yield queries.schema, rows
+        return
+    parts = -(-queries.count() * 5 // (4 * most))
+    key = F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(parts))
+    for i in range(parts):
+        rows = queries.filter(key == i).collect()
+        for at in range(0, len(rows), most):  # repeated ids share a hash
+            yield queries.schema, rows[at : at + most]
+
+
+def _top_k_block(corpus: DataFrame, schema: T.StructType, rows: list[Row], k: int, threshold: float, vector: str, tie: str, query_id: str) -> DataFrame:
     block = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
     length = np.linalg.norm(block, axis=1, keepdims=True)
     names = [r[0] for r in rows]
     block = block / np.where(length > 0, length, np.nan)
-    id_type, query_type = corpus.schema[tie].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-
-    query_arrow = to_arrow_type(queries.schema[query_id].dataType)
+    id_type, query_type = corpus.schema[tie].dataType.simpleString(), schema[query_id].dataType.simpleString()
+    query_arrow = to_arrow_type(schema[query_id].dataType)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,6 +94,4 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int, threshold: float
                     at = at[s[at] >= np.partition(s[at], -k)[-k]]
                 yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(at), query_arrow), own.column(0).take(pa.array(at)), pa.array(s[at])], names=[query_id, tie, "score"])
 
-    found = corpus.select(tie, vector).mapInArrow(nearest, f"{query_id} {query_type}, {tie} {id_type}, score double")
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), tie)) - 1
-    return found.withColumn("pos", rank).filter(F.col("pos") < k)
+    return corpus.select(tie, vector).mapInArrow(nearest, f"{query_id} {query_type}, {tie} {id_type}, score double")

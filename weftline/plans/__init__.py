@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest, queue, retrieval, stores
+from . import indexed, ingest, queue, retrieval, stores
 
-QUERIES = stores.QUERIES | retrieval.QUERIES | ingest.QUERIES | queue.QUERIES
-ORACLE_SQL = stores.SQL | retrieval.SQL | ingest.SQL | queue.SQL
+QUERIES = stores.QUERIES | retrieval.QUERIES | ingest.QUERIES | queue.QUERIES | indexed.QUERIES
+ORACLE_SQL = stores.SQL | retrieval.SQL | ingest.SQL | queue.SQL | indexed.SQL

@@ -35,11 +35,17 @@ def settle(rows: DataFrame, label: str, short: bool = True) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """rows of any number with pos, from 0 by the order (which has no ties).
+#: Rows up to which a list that is stored already is numbered in one task.
+SHORT = 10_000
+
+
+def numbered(rows: DataFrame, *order: Column | str, stored: bool = False) -> DataFrame:
+    """rows of any number with pos, from 0 by the order (which has no ties). ``stored``: rows are a table, so that counting them is cheap.
 
     Rows are sorted by ranges and written once with their place in the range; only one count for each range meets in a task.
     """
+    if stored and rows.count() <= SHORT:
+        return rows.withColumn("pos", (F.row_number().over(W.orderBy(*order)) - 1).cast("int"))
     place = F.monotonically_increasing_id()
     kept = settle(rows.orderBy(*order).select("*", F.shiftright(place, 33).alias("__range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")), "numbered", False)
     counts = kept.groupBy("__range").agg(F.count("*").alias("__n"))
