@@ -258,6 +258,15 @@ class Engine:
         ends = under(pairs.select("src", "tgt")).select("entity_id").distinct()
         self.store("degrees").replace(self.near("edges", ends).groupBy("entity_id").agg(F.count("*").alias("degree")), ends)
 
+    def put_edges(self, edges: DataFrame, now: int = 0) -> None:
+        """Write edges (src, tgt, description, keywords, weight, source_id, file_path), one for each unordered pair, in the place of those there are."""
+        run = uuid.uuid4().hex
+        low, high = canonical(F.col("src"), F.col("tgt"))
+        edges = edges.withColumns({"src": low, "tgt": high, "created_at": F.lit(now), "truncate": F.lit("")})
+        edges = self._settle(run, "edges", edges)
+        self._replace_edges(edges, edges.select("src", "tgt"))
+        self._release(run)
+
     def remove_edges(self, pairs: DataFrame) -> None:
         """Delete the edges of unordered pairs (src, tgt), and their vectors."""
         run = uuid.uuid4().hex
@@ -329,9 +338,7 @@ class Engine:
         if index is None:
             return vector.top_k(self.table(name), wanted, k, p.threshold)
         found = index.search(self.spark.createDataFrame([(0, [float(x) for x in wanted])], "query_id int, vector array<float>"), k, p.threshold).select(F.col("id").alias("__key"), "score", "pos")
-        parts = F.split("__key", SEP)
-        keys = found.select(F.get(parts, F.lit(0)).alias("src"), F.get(parts, F.lit(1)).alias("tgt")) if name == "relation_vectors" else found.select(F.col("__key").alias(self.VECTOR_KEYS[name]))
-        return self.near(name, keys).withColumn("__key", F.expr(self.VECTOR_KEYS[name])).join(F.broadcast(found), "__key").drop("__key")  # k rows
+        return self.near(name, self._keys_of(name, found)).withColumn("__key", F.expr(self.VECTOR_KEYS[name])).join(F.broadcast(found), "__key").drop("__key")  # k rows
 
     def _vectors(self, question: str, high: list[str], low: list[str], way: Strategy) -> dict[str, list[float]]:
         """The vectors that a search needs, in one call. Without that of the question it goes on, without chunks by vector."""
@@ -381,6 +388,72 @@ class Engine:
             said = context.context_string(*budgeted, chunks, refs).first()["context"]
         return Result(entities, relations, chunks, refs, said, {"mode": p.mode, "high_keywords": high, "low_keywords": low}, lambda: self._release(run))
 
+    def retrieve_many(self, questions: DataFrame, p: QueryParam | None = None) -> DataFrame:
+        """questions (question_id, question), of any number -> (question_id, context), null where nothing was found.
+
+        One job: every list, quota and budget is kept by question. Questions share the parameters; keywords come from the model, or from
+        columns ``high`` and ``low`` (arrays) if there are any. Chunks by vector keep their order: reranking is for single questions.
+        """
+        p = p or QueryParam()
+        way, run, by, o = STRATEGIES[p.mode], uuid.uuid4().hex, ("question_id",), self.options
+        keep = lambda name, rows: self._settle(run, name, rows)
+        asked = questions.select("question_id", "question", *([] if "low" not in questions.columns else ["high", "low"])).dropDuplicates(["question_id"])
+        if "low" not in asked.columns:
+            asked = asked.withColumn("k", models.keywords_column(self.model)(F.col("question"))).select("question_id", "question", "k.high", "k.low")
+        embed = models.embed_column(self.embedder)
+        texts = asked.select("question_id", F.explode(F.create_map(F.lit("low"), F.array_join("low", ", "), F.lit("high"), F.array_join("high", ", "), F.lit("question"), F.col("question"))).alias("kind", "text"))
+        wanted = [kind for kind, on in (("low", way.entities), ("high", way.relations), ("question", way.chunks)) if on]
+        vectors = keep("vectors", texts.filter(F.col("kind").isin(wanted)).select("question_id", "kind", embed(F.col("text")).alias("vector")))
+        of = lambda kind: vectors.filter(F.col("kind") == kind).select("question_id", "vector")
+        entities = relations = None
+        if way.entities:
+            hits = keep("local_hits", self._hits_many("entity_vectors", of("low"), p, p.top_k).withColumnRenamed("name", "entity_id").select("question_id", "pos", "entity_id"))
+            entities = keep("local_entities", retrieve.local_entities(hits, self.near("nodes", hits), degrees=self.near("degrees", hits), by=by))
+            at = keep("edges_at", self.near("edges", entities).drop("entity_id").dropDuplicates(["src", "tgt"]))
+            ends = at.select(F.explode(F.array("src", "tgt")).alias("entity_id")).distinct()
+            relations = keep("local_relations", retrieve.local_relations(entities, at, degrees=self.near("degrees", ends), by=by))
+        if way.relations:
+            hits = keep("global_hits", self._hits_many("relation_vectors", of("high"), p, p.top_k).select("question_id", "pos", "src", "tgt"))
+            low = hits.select(F.least("src", "tgt").alias("entity_id"))
+            found = keep("global_relations", retrieve.global_relations(hits, self.near("edges", low).filter("entity_id = src").drop("entity_id"), by))
+            ends = keep("global_entities", retrieve.global_entities(found, self.near("nodes", found.select(F.explode(F.array("src", "tgt")).alias("entity_id"))), by))
+            entities = ends if entities is None else keep("entities", retrieve.merge_entities(entities, ends, by))
+            relations = found if relations is None else keep("relations", retrieve.merge_relations(relations, found, by))
+        near = asked.limit(0).select("question_id", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("chunk_id", "content", "file_path")))
+        if way.chunks:
+            hits = self._hits_many("chunk_vectors", of("question"), p, p.chunk_top_k or p.top_k).select("question_id", "pos", F.col("id").alias("chunk_id"))
+            near = keep("vector_chunks", retrieve.with_content(keep("chunk_hits", hits), self._texts, by))
+        nothing = near.limit(0)
+        from_entities = nothing if entities is None else keep("entity_chunks", retrieve.related_chunks_entities(entities, self._texts, o.related_chunks, by))
+        from_relations = nothing if relations is None else keep("relation_chunks", retrieve.related_chunks_relations(relations, self._texts, from_entities, o.related_chunks, by))
+        chunks = retrieve.merge_chunks(near, from_entities, from_relations, by)
+        chunks = keep("chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens, self.tokenizer, by))
+        refs, chunks = retrieve.references(chunks, by)
+        if entities is None:
+            entities = asked.limit(0).select("question_id", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("entity_id", "entity_type", "description")))
+        if relations is None:
+            relations = asked.limit(0).select("question_id", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("src", "tgt", "keywords", "description")))
+        budgeted = retrieve.token_budget(entities, context.entity_line(), p.max_entity_tokens, self.tokenizer, by), retrieve.token_budget(relations, context.relation_line(), p.max_relation_tokens, self.tokenizer, by)
+        said = context.context_string(*budgeted, chunks, refs, by)
+        # Chunks alone are an answer in the mode mix only.
+        enough = entities.select("question_id").unionByName(relations.select("question_id"))
+        enough = enough.unionByName(chunks.select("question_id")) if p.mode == "mix" else enough
+        return asked.select("question_id").join(said.join(enough.distinct(), "question_id", "left_semi"), "question_id", "left")
+
+    def _hits_many(self, name: str, queries: DataFrame, p: QueryParam, k: int) -> DataFrame:
+        """The k nearest rows of a vector table for each query (question_id, vector)."""
+        index, key = self._index(name), F.expr(self.VECTOR_KEYS[name])
+        if index is not None:
+            found = index.search(queries, k, p.threshold, query_id="question_id")
+        else:
+            found = vector.top_k_batch(self.table(name).withColumn("id", key), queries, k, p.threshold, query_id="question_id")
+        found = found.withColumnRenamed("id", "__key")
+        return self.near(name, self._keys_of(name, found)).withColumn("__key", key).join(found, "__key").drop("__key")
+
+    def _keys_of(self, name: str, found: DataFrame) -> DataFrame:
+        parts = F.split("__key", SEP)
+        return found.select(F.get(parts, F.lit(0)).alias("src"), F.get(parts, F.lit(1)).alias("tgt")) if name == "relation_vectors" else found.select(F.col("__key").alias(self.VECTOR_KEYS[name]))
+
     def _texts(self, chosen: DataFrame) -> DataFrame:
         """The chosen chunks (chunk_id) with their texts, each once: that of the first of its documents."""
         return self.near("text_chunks", chosen).groupBy("chunk_id").agg(F.min(F.struct("full_doc_id", "content", "file_path")).alias("c")).select("chunk_id", "c.content", "c.file_path")

@@ -133,6 +133,16 @@ def extract_responses(chunks: DataFrame, model: LanguageModel, keys: list[str])
     return chunks.select(*keys, read(F.col("content")).alias("response"))
 
 
+def keywords_column(model: LanguageModel) -> Callable[[Column], Column]:
+    """A function of a text column: (high, low) keywords of each question."""
+
+    @F.pandas_udf("high array<string>, low array<string>")
+    def keywords(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.keywords(t) for t in texts.fillna("")], columns=["high", "low"])
+
+    return keywords
+
+
 def summarize_column(model: LanguageModel) -> Column:
     @F.pandas_udf("string")
     def summarize(names: pd.Series, parts: pd.Series) -> pd.Series:

@@ -34,22 +34,23 @@ def reference_line() -> Column:
     return F.when(is_url, F.concat(F.lit("["), file_name(path), F.lit("]("), path, F.lit(")"))).otherwise(F.concat(F.lit("["), file_name(path), F.lit("] "), path))
 
 
-def context_string(entities: DataFrame, relations: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row, ``context``: sections that have rows, parted by a blank line. The lists are bounded by token budgets."""
+def context_string(entities: DataFrame, relations: DataFrame, chunks: DataFrame, refs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, ``context``: sections that have rows, parted by a blank line. The lists are bounded by token budgets. With ``by`` one row for
+    each question that has any."""
     parts = [
-        entities.select(F.lit(0).alias("section"), F.col("pos").cast("bigint").alias("at"), entity_line().alias("line")),
-        relations.select(F.lit(1).alias("section"), F.col("pos").cast("bigint").alias("at"), relation_line().alias("line")),
-        chunks.select(F.lit(2).alias("section"), F.col("pos").cast("bigint").alias("at"), chunk_block().alias("line")),
-        refs.select(F.lit(3).alias("section"), F.col("reference_id").cast("bigint").alias("at"), reference_line().alias("line")),
+        entities.select(*by, F.lit(0).alias("section"), F.col("pos").cast("bigint").alias("at"), entity_line().alias("line")),
+        relations.select(*by, F.lit(1).alias("section"), F.col("pos").cast("bigint").alias("at"), relation_line().alias("line")),
+        chunks.select(*by, F.lit(2).alias("section"), F.col("pos").cast("bigint").alias("at"), chunk_block().alias("line")),
+        refs.select(*by, F.lit(3).alias("section"), F.col("reference_id").cast("bigint").alias("at"), reference_line().alias("line")),
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
     title = F.get(F.array(*(F.lit(t) for t in TITLES)), F.col("section"))
-    sections = rows.groupBy("section").agg(lines.alias("lines"))
-    sections = sections.select("section", F.concat(title, F.lit(":\n\n```\n"), F.when(F.col("section") == 2, F.array_join("lines", "\n\n")).otherwise(F.array_join("lines", "\n")), F.lit("\n```")).alias("body"))
-    return sections.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda x: x["body"]), "\n\n").alias("context"))
+    sections = rows.groupBy(*by, "section").agg(lines.alias("lines"))
+    sections = sections.select(*by, "section", F.concat(title, F.lit(":\n\n```\n"), F.when(F.col("section") == 2, F.array_join("lines", "\n\n")).otherwise(F.array_join("lines", "\n")), F.lit("\n```")).alias("body"))
+    return (sections.groupBy(*by) if by else sections.groupBy()).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda x: x["body"]), "\n\n").alias("context"))
 
 
 def chat_history(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Retrieval: ranked lists of entities, relations and chunks. Every ranked DataFrame carries ``pos``, from 0."""
+"""Retrieval: ranked lists of entities, relations and chunks. Every ranked DataFrame carries ``pos``, from 0.
+
+``by`` names the columns of a question's id, where lists of many questions are worked on at once: every list, quota and budget is then
+one for each question, and windows are dealt by question.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +19,14 @@ from ..session import numbered
 from . import graph
 
 
+By = tuple[str, ...]
 #: Text chunks (chunk_id, content, file_path), or a function that looks up those of a list (chunk_id).
 Texts = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df with pos by the order. For lists that a limit has bounded: the window has one partition."""
-    return df.withColumn("pos", F.row_number().over(W.orderBy(*order)) - 1)
+def ranked(df: DataFrame, *order: Column | str, by: By = ()) -> DataFrame:
+    """df with pos by the order. For lists that a limit has bounded: the window has one partition, or one for each question."""
+    return df.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
 
 
 def weight(c: Column) -> Column:
@@ -29,52 +34,60 @@ def weight(c: Column) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(1.0))
 
 
-def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, degrees: DataFrame | None = None) -> DataFrame:
+def local_entities(hits: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, degrees: DataFrame | None = None, by: By = ()) -> DataFrame:
     """hits (pos, entity_id) of the entity store with their node and degree (rank); hits without a node or id fall out.
 
     Degrees (entity_id, degree) are counted over the edges if they are not given. Where a node has no description, type or path, those
     of the hit count, if the store has them; a description and a type are empty at the least.
     """
     shared = [c for c in ("description", "entity_type", "file_path") if c in hits.columns and c in nodes.columns]
-    found = hits.filter(F.length("entity_id") > 0).select("pos", "entity_id", *(F.col(c).alias(f"__hit_{c}") for c in shared)).join(nodes, "entity_id")
+    found = hits.filter(F.length("entity_id") > 0).select(*by, "pos", "entity_id", *(F.col(c).alias(f"__hit_{c}") for c in shared)).join(nodes, "entity_id")
     found = found.withColumns({c: F.coalesce(c, f"__hit_{c}", *([] if c == "file_path" else [F.lit("")])) for c in shared}).drop(*(f"__hit_{c}" for c in shared))
     deg = graph.node_degrees(edges, found, few=True) if degrees is None else degrees.select("entity_id", "degree")
     return found.join(deg, "entity_id", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
 
-def local_relations(entities: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+def local_relations(entities: DataFrame, edges: DataFrame, limit: int | None = None, degrees: DataFrame | None = None, by: By = ()) -> DataFrame:
     """Edges at the entities, each once, by rank (sum of degrees), then weight, then ends; of any number without a limit."""
-    out = edges_at(entities, edges)
+    out = edges_at(entities, edges, degrees, by)
     order = (F.desc("rank"), F.desc("weight"), "src", "tgt")
+    if by:
+        rows = ranked(out, *order, by=by)
+        return rows.filter(F.col("pos") < limit) if limit else rows
     return ranked(out.orderBy(*order).limit(limit), *order) if limit else numbered(out, *order)
 
 
-def edges_at(entities: DataFrame, edges: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
+def edges_at(entities: DataFrame, edges: DataFrame, degrees: DataFrame | None = None, by: By = ()) -> DataFrame:
     """Edges at the entities, each once, with weight and rank. ``degrees`` (entity_id, degree) of their ends, if they are kept."""
-    ids = entities.select("entity_id").distinct()
-    at = edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").select("src", "tgt")
-    near = at.unionByName(edges.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt", "left_semi").select("src", "tgt")).distinct()
-    ranks = graph.edge_degrees(edges, near, few=True, known=degrees)
+    ids = entities.select(*by, "entity_id").distinct()
+    if by:
+        pairs = edges.select("src", "tgt")
+        near = pairs.join(ids.withColumnRenamed("entity_id", "src"), "src").unionByName(pairs.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt")).distinct()
+        ranks = near.join(graph.edge_degrees(edges, near.select("src", "tgt").distinct(), known=degrees), ["src", "tgt"])
+    else:
+        at = edges.join(ids.withColumnRenamed("entity_id", "src"), "src", "left_semi").select("src", "tgt")
+        near = at.unionByName(edges.join(ids.withColumnRenamed("entity_id", "tgt"), "tgt", "left_semi").select("src", "tgt")).distinct()
+        ranks = graph.edge_degrees(edges, near, few=True, known=degrees)
     return ranks.join(edges, ["src", "tgt"]).withColumn("weight", weight(F.col("weight")))
 
 
-def global_relations(hits: DataFrame, edges: DataFrame) -> DataFrame:
+def global_relations(hits: DataFrame, edges: DataFrame, by: By = ()) -> DataFrame:
     """hits (pos, src, tgt) of the relation store with their edge, in the hit's order and orientation; rank 0."""
     low, high = canonical(F.col("src"), F.col("tgt"))
-    asked = hits.filter((F.length("src") > 0) & (F.length("tgt") > 0)).select("pos", F.col("src").alias("hit_src"), F.col("tgt").alias("hit_tgt"), low.alias("src"), high.alias("tgt"))
+    asked = hits.filter((F.length("src") > 0) & (F.length("tgt") > 0)).select(*by, "pos", F.col("src").alias("hit_src"), F.col("tgt").alias("hit_tgt"), low.alias("src"), high.alias("tgt"))
     found = asked.join(edges, ["src", "tgt"]).drop("src", "tgt").withColumnsRenamed({"hit_src": "src", "hit_tgt": "tgt"})
     return found.withColumns({"weight": weight(F.col("weight")), "rank": F.lit(0).cast("bigint")})
 
 
-def global_entities(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+def global_entities(relations: DataFrame, nodes: DataFrame, by: By = ()) -> DataFrame:
     """Ends of ranked relations, first seen first (source before target), with their node; rank 0."""
-    ends = relations.select("pos", F.posexplode(F.array("src", "tgt")).alias("side", "entity_id"))
-    first = ends.groupBy("entity_id").agg(F.min(F.struct("pos", "side")).alias("at"))
+    ends = relations.select(*by, "pos", F.posexplode(F.array("src", "tgt")).alias("side", "entity_id"))
+    first = ends.groupBy(*by, "entity_id").agg(F.min(F.struct("pos", "side")).alias("at"))
     found = first.join(nodes, "entity_id")
-    return ranked(found, "at").drop("at").withColumn("rank", F.lit(0).cast("bigint"))
+    return ranked(found, "at", by=by).drop("at").withColumn("rank", F.lit(0).cast("bigint"))
 
 
-def round_robin(lists: list[DataFrame], key: list[str]) -> DataFrame:
+def round_robin(lists: list[DataFrame], key: list[str], by: By = ()) -> DataFrame:
     """Merge ranked lists by turns: at each place the first list's row, then the second's; the first row of a key stays."""
     every = None
     for i, rows in enumerate(lists):
@@ -82,24 +95,24 @@ def round_robin(lists: list[DataFrame], key: list[str]) -> DataFrame:
         every = own if every is None else every.unionByName(own, allowMissingColumns=True)
     for k in key:
         every = every.filter(F.length(k) > 0)
-    first = W.partitionBy(*key).orderBy("pos", "__list")
+    first = W.partitionBy(*by, *key).orderBy("pos", "__list")
     once = every.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1")
-    return ranked(once.withColumnRenamed("pos", "__pos"), "__pos", "__list").drop("__pos", "__list", "__rn")
+    return ranked(once.withColumnRenamed("pos", "__pos"), "__pos", "__list", by=by).drop("__pos", "__list", "__rn")
 
 
-def merge_entities(local: DataFrame, global_: DataFrame) -> DataFrame:
-    return round_robin([local, global_], ["entity_id"])
+def merge_entities(local: DataFrame, global_: DataFrame, by: By = ()) -> DataFrame:
+    return round_robin([local, global_], ["entity_id"], by)
 
 
-def merge_relations(local: DataFrame, global_: DataFrame) -> DataFrame:
+def merge_relations(local: DataFrame, global_: DataFrame, by: By = ()) -> DataFrame:
     """Relations are one whatever their orientation; the first seen keeps its own."""
     pair = lambda df: df.withColumns(dict(zip(("__a", "__b"), canonical(F.col("src"), F.col("tgt")), strict=True)))
-    return round_robin([pair(local), pair(global_)], ["__a", "__b"]).drop("__a", "__b")
+    return round_robin([pair(local), pair(global_)], ["__a", "__b"], by).drop("__a", "__b")
 
 
-def token_budget(rows: DataFrame, text: Column, budget: int, tokenizer: Tokenizer = WORDS) -> DataFrame:
+def token_budget(rows: DataFrame, text: Column, budget: int, tokenizer: Tokenizer = WORDS, by: By = ()) -> DataFrame:
     """The longest prefix of a ranked list whose tokens fit the budget."""
-    running = W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("__n", tokenizer.count(text)).withColumn("__sum", F.sum("__n").over(running)).drop("__n").filter(F.col("__sum") <= budget).drop("__sum")
 
 
@@ -108,66 +121,65 @@ def chunk_occurrence(items: DataFrame, packed: str = "source_id") -> DataFrame:
     return items.select(F.explode(unpack(F.col(packed))).alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
-def item_chunks(items: DataFrame, packed: str, exclude: DataFrame | None = None, first_owner: bool = False) -> DataFrame:
+def item_chunks(items: DataFrame, packed: str, exclude: DataFrame | None = None, first_owner: bool = False, by: By = ()) -> DataFrame:
     """(item, chunk_id, k): each item's chunks, the most named first, then in the item's order.
 
     ``exclude`` (chunk_id) takes chunks away before counting. A chunk counts once in an item; with ``first_owner`` it belongs
     to the first item alone.
     """
-    named = items.select(F.col("pos").alias("item"), F.posexplode(unpack(F.col(packed))).alias("at", "chunk_id"))
+    named = items.select(*by, F.col("pos").alias("item"), F.posexplode(unpack(F.col(packed))).alias("at", "chunk_id"))
     if exclude is not None:
-        named = named.join(exclude.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    n = named.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    owner = W.partitionBy("chunk_id") if first_owner else W.partitionBy("item", "chunk_id")
+        named = named.join(exclude.select(*by, "chunk_id").distinct(), [*by, "chunk_id"], "left_anti")
+    n = named.groupBy(*by, "chunk_id").agg(F.count("*").alias("n"))
+    owner = W.partitionBy(*by, "chunk_id") if first_owner else W.partitionBy(*by, "item", "chunk_id")
     once = named.withColumn("__rn", F.row_number().over(owner.orderBy("item", "at"))).filter("__rn = 1")
-    order = W.partitionBy("item").orderBy(F.desc("n"), "at")
-    return once.join(n, "chunk_id").withColumn("k", F.row_number().over(order)).select("item", "chunk_id", "k")
+    order = W.partitionBy(*by, "item").orderBy(F.desc("n"), "at")
+    return once.join(n, [*by, "chunk_id"]).withColumn("k", F.row_number().over(order)).select(*by, "item", "chunk_id", "k")
 
 
-def weighted_polling(chunks: DataFrame, most: int, least: int = 1) -> DataFrame:
+def weighted_polling(chunks: DataFrame, most: int, least: int = 1, by: By = ()) -> DataFrame:
     """(item, chunk_id, k) -> the chosen chunks (pos, chunk_id), each once.
 
     Quotas fall in a line from ``most`` for the first item to ``least`` for the last, rounded half to even. What items leave
     goes to the earliest item with chunks to spare.
     """
-    sizes = chunks.groupBy("item").agg(F.count("*").alias("size"))
-    place = W.orderBy("item")
-    every = W.partitionBy()
+    sizes = chunks.groupBy(*by, "item").agg(F.count("*").alias("size"))
+    place, every = W.partitionBy(*by).orderBy("item"), W.partitionBy(*by)
     sizes = sizes.withColumns({"i": F.row_number().over(place) - 1, "items": F.count("*").over(every)})
     line = F.lit(float(most)) - F.col("i").cast("double") / (F.col("items") - 1) * float(most - least)
     sizes = sizes.withColumn("quota", F.when(F.col("items") == 1, most).otherwise(F.bround(line)).cast("int"))
     sizes = sizes.withColumn("spare", F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("size"))).over(every))
-    rows = chunks.join(sizes, "item")
-    late = rows.filter(F.col("k") > F.col("quota")).withColumn("turn", F.row_number().over(W.orderBy("i", "k"))).filter((F.col("turn") <= F.col("spare")) & (F.col("items") > 1))
-    chosen = rows.filter(F.col("k") <= F.col("quota")).select(F.lit(0).alias("round"), "i", "k", "chunk_id").unionByName(late.select(F.lit(1).alias("round"), "i", "k", "chunk_id"))
-    first = chosen.groupBy("chunk_id").agg(F.min(F.struct("round", "i", "k")).alias("at"))
-    return ranked(first, "at").drop("at")
+    rows = chunks.join(sizes, [*by, "item"])
+    late = rows.filter(F.col("k") > F.col("quota")).withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy("i", "k"))).filter((F.col("turn") <= F.col("spare")) & (F.col("items") > 1))
+    chosen = rows.filter(F.col("k") <= F.col("quota")).select(*by, F.lit(0).alias("round"), "i", "k", "chunk_id").unionByName(late.select(*by, F.lit(1).alias("round"), "i", "k", "chunk_id"))
+    first = chosen.groupBy(*by, "chunk_id").agg(F.min(F.struct("round", "i", "k")).alias("at"))
+    return ranked(first, "at", by=by).drop("at")
 
 
-def with_content(chosen: DataFrame, text_chunks: Texts) -> DataFrame:
+def with_content(chosen: DataFrame, text_chunks: Texts, by: By = ()) -> DataFrame:
     """Chosen chunks (pos, chunk_id) with content and file path; a chunk that is not stored falls out."""
     texts = text_chunks(chosen) if callable(text_chunks) else text_chunks
-    return ranked(chosen.join(texts.select("chunk_id", "content", "file_path"), "chunk_id").withColumnRenamed("pos", "__pos"), "__pos").drop("__pos")
+    return ranked(chosen.join(texts.select("chunk_id", "content", "file_path"), "chunk_id").withColumnRenamed("pos", "__pos"), "__pos", by=by).drop("__pos")
 
 
-def related_chunks_entities(entities: DataFrame, text_chunks: Texts, most: int = 5) -> DataFrame:
-    return with_content(weighted_polling(item_chunks(entities, "source_id"), most), text_chunks)
+def related_chunks_entities(entities: DataFrame, text_chunks: Texts, most: int = 5, by: By = ()) -> DataFrame:
+    return with_content(weighted_polling(item_chunks(entities, "source_id", by=by), most, by=by), text_chunks, by)
 
 
-def related_chunks_relations(relations: DataFrame, text_chunks: Texts, entity_chunks: DataFrame, most: int = 5) -> DataFrame:
-    return with_content(weighted_polling(item_chunks(relations, "source_id", entity_chunks, True), most), text_chunks)
+def related_chunks_relations(relations: DataFrame, text_chunks: Texts, entity_chunks: DataFrame, most: int = 5, by: By = ()) -> DataFrame:
+    return with_content(weighted_polling(item_chunks(relations, "source_id", entity_chunks, True, by), most, by=by), text_chunks, by)
 
 
-def merge_chunks(vector: DataFrame, entity: DataFrame, relation: DataFrame) -> DataFrame:
-    return round_robin([vector, entity, relation], ["chunk_id"])
+def merge_chunks(vector: DataFrame, entity: DataFrame, relation: DataFrame, by: By = ()) -> DataFrame:
+    return round_robin([vector, entity, relation], ["chunk_id"], by)
 
 
-def references(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def references(chunks: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:
     """(references, chunks): file paths by number of chunks, then first place, numbered from 1; chunks get their reference_id."""
     known = chunks.filter((F.length("file_path") > 0) & (F.col("file_path") != "unknown_source"))
-    paths = known.groupBy("file_path").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    refs = paths.select(F.row_number().over(W.orderBy(F.desc("n"), "first")).cast("string").alias("reference_id"), "file_path")
-    numbered = chunks.join(refs, "file_path", "left").withColumn("reference_id", F.coalesce("reference_id", F.lit("")))
+    paths = known.groupBy(*by, "file_path").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    refs = paths.select(*by, F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "first")).cast("string").alias("reference_id"), "file_path")
+    numbered = chunks.join(refs, [*by, "file_path"], "left").withColumn("reference_id", F.coalesce("reference_id", F.lit("")))
     return refs, numbered
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context, documents, taskqueue
+from ..operators.chats import ChatHistory
+from ..operators.taskstates import TaskStates
+from ..session import shared_folder
 from ..streaming import progress
 from .views import Data, register
 
@@ -59,8 +62,7 @@ def task_progress(d: Data) -> DataFrame:
 def task_progress_stream(d: Data) -> DataFrame:
     """The same fold over a stream of the events' file, run until it is read."""
     spark = d.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-stream-")
-    run = f"{base}/weftline-progress-{spark.sql('SELECT uuid()').first()[0]}"
+    run = f"{shared_folder(spark)}/weftline-progress-{uuid.uuid4().hex}"
     source = f"{run}/events"
     d.state_events.repartition(4).write.parquet(source)
     events = progress.read_events(spark, source, d.state_events.schema, 1)
@@ -116,3 +118,43 @@ UNION ALL SELECT seq, '{"type":"text_chunk","content":"' || replace(text, '"', '
 def sse_errors(d: Data) -> DataFrame:
     """Pieces with an error become error events, blank or not."""
     return context.sse_events(d.answers.withColumn("error", F.when(F.col("seq") % 7 == 3, F.concat(F.lit("step "), F.col("seq").cast("string")))))
+
+
+_STATES = "task_id string, document_id int, status string, current_stage string, progress int, priority int, created_at timestamp"
+_FAILED = "current_stage = 'Persisting' AND status = 'Processing'"
+
+
+@query(f"""SELECT task_id, CASE WHEN {_FAILED} THEN 'Failed' ELSE status END AS status, current_stage, CASE WHEN {_FAILED} THEN 0 ELSE progress END AS progress
+FROM {{tasks}} WHERE NOT (status = 'Pending' AND progress < 30)""")
+def task_states(d: Data) -> DataFrame:
+    """The store of task states after a save of all, a save of some and a deletion."""
+    states = _changed_states(d)
+    return states.load().select("task_id", "status", "current_stage", "progress")
+
+
+@query(f"""SELECT number, status, deleted, count(*) AS n FROM (SELECT 1 AS number, status, FALSE AS deleted FROM {{tasks}} UNION ALL SELECT 2, 'Failed', FALSE FROM {{tasks}} WHERE {_FAILED} UNION ALL SELECT 3, NULL, TRUE FROM {{tasks}} WHERE status = 'Pending' AND progress < 30) x GROUP BY ALL""")
+def task_state_changes(d: Data) -> DataFrame:
+    """The log of the same changes, by save."""
+    return _changed_states(d).changes().groupBy("number", "status", "deleted").agg(F.count("*").alias("n"))
+
+
+def _changed_states(d: Data) -> TaskStates:
+    states = TaskStates(d.spark, f"{shared_folder(d.spark)}/weftline-states-{uuid.uuid4().hex}", _STATES)
+    states.save(d.tasks)
+    states.save(d.tasks.filter(_FAILED).withColumns({"status": F.lit("Failed"), "progress": F.lit(0)}))
+    states.delete(d.tasks.filter("status = 'Pending' AND progress < 30").select("task_id"))
+    return states
+
+
+@query("""WITH m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn >= 2, turn, role, text) - 1 AS nth FROM {conversations} WHERE conv_id % 7 <> 0 OR turn >= 2)
+SELECT CAST(conv_id AS VARCHAR) AS chat_id, count(*) AS n_messages, md5(string_agg(role || ':' || text, chr(10) ORDER BY nth)) AS messages FROM m GROUP BY conv_id""")
+def chat_history_store(d: Data) -> DataFrame:
+    """Histories after two additions; those of every seventh chat were cleared in between."""
+    history = ChatHistory(d.spark, f"{shared_folder(d.spark)}/weftline-chats-{uuid.uuid4().hex}")
+    rows = d.conversations.select(F.col("conv_id").cast("string").alias("chat_id"), "conv_id", "turn", "role", "text")
+    history.add(rows.filter("turn < 2"))
+    history.clear(rows.filter("conv_id % 7 = 0"))
+    history.add(rows.filter("turn >= 2"))
+    line = F.struct("at", F.concat("role", F.lit(":"), "text").alias("line"))
+    packed = history.snapshot().groupBy("chat_id").agg(F.array_sort(F.collect_list(line)).alias("m"), F.count("*").alias("n_messages"))
+    return packed.select("chat_id", "n_messages", F.md5(F.array_join(F.transform("m", lambda x: x["line"]), "\n")).alias("messages"))

@@ -28,8 +28,8 @@ le AS (SELECT eh.pos, n.entity_id, n.entity_type, n.description, n.source_id, co
 lr AS (SELECT CAST(row_number() OVER (ORDER BY rank DESC, weight DESC, src, tgt) - 1 AS INT) AS pos, * FROM (
   SELECT e.src, e.tgt, e.keywords, e.description, e.source_id, e.weight, coalesce(a.degree, 0) + coalesce(b.degree, 0) AS rank
   FROM {{kg_edges}} e LEFT JOIN deg a ON a.entity_id = e.src LEFT JOIN deg b ON b.entity_id = e.tgt WHERE e.src IN (SELECT entity_id FROM le) OR e.tgt IN (SELECT entity_id FROM le)) x)"""
-_GLOBAL = f"""rh AS ({_hit_sql("rel_vec", "src, tgt", 1, 20)}),
-gr AS (SELECT rh.pos, rh.src, rh.tgt, e.keywords, e.description, e.source_id, e.weight, CAST(0 AS BIGINT) AS rank FROM rh JOIN {{kg_edges}} e ON e.src = least(rh.src, rh.tgt) AND e.tgt = greatest(rh.src, rh.tgt)),
+_GLOBAL = f"""rh AS MATERIALIZED ({_hit_sql("rel_vec", "src, tgt", 1, 20)}),
+gr AS MATERIALIZED (SELECT rh.pos, rh.src, rh.tgt, e.keywords, e.description, e.source_id, e.weight, CAST(0 AS BIGINT) AS rank FROM rh JOIN {{kg_edges}} e ON e.src = least(rh.src, rh.tgt) AND e.tgt = greatest(rh.src, rh.tgt)),
 ge AS (SELECT CAST(row_number() OVER (ORDER BY nth) - 1 AS INT) AS pos, n.entity_id, n.entity_type, n.description, n.source_id, CAST(0 AS BIGINT) AS rank
   FROM (SELECT entity_id, min(nth) AS nth FROM (SELECT src AS entity_id, pos * 2 AS nth FROM gr UNION ALL SELECT tgt, pos * 2 + 1 FROM gr) x GROUP BY entity_id) f JOIN {{kg_nodes}} n USING (entity_id))"""
 
@@ -257,3 +257,16 @@ def retrieve_empty_gate(d: Data) -> DataFrame:
     none = d.rank_ent.filter("false")
     rows = [(m, retrieve.empty_gate(none, d.rank_rel_a.filter("false"), d.rank_chunk, m)) for m in ("local", "global", "hybrid", "mix")]
     return d.spark.createDataFrame(rows, "mode string, answers boolean")
+
+
+_DEFAULTS = "SELECT entity_id, CASE WHEN entity_type = 'customer' THEN NULL ELSE entity_type END AS entity_type, CASE WHEN length(description) % 2 = 0 THEN NULL ELSE description END AS description, CASE WHEN source_id < 'd2' THEN NULL ELSE file_path END AS file_path FROM {kg_nodes}"
+_HITS = "SELECT CAST(vec_id AS INT) AS pos, entity_id, 'hit type' AS entity_type, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 'hit ' || entity_id END AS description, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 'hit.md' END AS file_path FROM {ent_vec}"
+
+
+@query(f"""WITH n AS ({_DEFAULTS}), h AS ({_HITS}), {_DEG}
+SELECT h.pos, h.entity_id, coalesce(n.entity_type, h.entity_type, '') AS entity_type, coalesce(n.description, h.description, '') AS description, coalesce(n.file_path, h.file_path) AS file_path, coalesce(degree, 0) AS rank
+FROM h JOIN n USING (entity_id) LEFT JOIN deg USING (entity_id)""")
+def entity_defaults(d: Data) -> DataFrame:
+    """Hits whose nodes lack a description, a type or a path: those of the hit fill in."""
+    nodes, hits = d.spark.sql(_DEFAULTS, kg_nodes=d.kg_nodes), d.spark.sql(_HITS, ent_vec=d.ent_vec)
+    return retrieve.local_entities(hits, nodes, d.kg_edges).select("pos", "entity_id", "entity_type", "description", "file_path", "rank")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import kv, taskqueue
+from ..operators import taskqueue
+from ..operators.buckets import BucketStore
 
 EVENTS = "doc_id string, seq bigint, stage string, current bigint, total bigint"
 
@@ -28,27 +29,25 @@ def run_to_table(events: DataFrame, path: str, checkpoint: str, available_now: b
     The table keeps for each document the number and value of the last stage and of the last known percent.
     """
     percent = taskqueue.percent(F.col("current"), F.col("total"))
+    store = _store(events.sparkSession, path)
 
     def fold(batch: DataFrame, _: int) -> None:
-        new = batch.groupBy("doc_id").agg(F.max(F.struct("seq", "stage")).alias("s"), F.max(F.when(percent.isNotNull(), F.struct("seq", percent.alias("progress")))).alias("p"))
-        spark = batch.sparkSession
-        old = _stored(spark, path, new)
-        both = new if old is None else new.unionByName(old)
-        kv.replace_table(both.groupBy("doc_id").agg(F.max("s").alias("s"), F.max("p").alias("p")), path)
+        new = batch.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("seq", "stage")).alias("s"), F.max(F.when(percent.isNotNull(), F.struct("seq", percent.alias("progress")))).alias("p"))
+        both = new.unionByName(store.near(new)).groupBy("doc_id").agg(F.max("s").alias("s"), F.max("p").alias("p"))
+        store.replace(both)
 
     writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(like.schema).parquet(path) if p.getFileSystem(conf).exists(p) else None
+def _store(spark: SparkSession, path: str) -> BucketStore:
+    """Progress in buckets of documents: a batch rewrites the buckets of its documents, and one that is lost has changed nothing."""
+    return BucketStore(spark, path, "doc_id string, s struct<seq:bigint,stage:string>, p struct<seq:bigint,progress:int>", ("doc_id",))
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, stage, progress)."""
-    return spark.read.parquet(path).select("doc_id", F.col("s.stage").alias("stage"), F.coalesce("p.progress", F.lit(0)).alias("progress"))
+    return _store(spark, path).read().select("doc_id", F.col("s.stage").alias("stage"), F.coalesce("p.progress", F.lit(0)).alias("progress"))
 
 
 def watch(events: DataFrame, call: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds") -> StreamingQuery:
