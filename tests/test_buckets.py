@@ -96,3 +96,23 @@ def test_files_have_bloom_filters_and_order(spark, tmp_path):
     assert keys == sorted(keys) and len(keys) == 1000
     # A bloom filter of the key column stands in each row group.
     assert all(pq.ParquetFile(f).metadata.row_group(0).column(0).statistics.has_min_max for f in files(tmp_path))
+
+
+def test_label_index(spark, tmp_path):
+    from weftline.operators.labels import LabelIndex
+
+    names = ["Alice", "alibi", "Bob", "", "ali", "aliali", "日本語テキスト", "本語", None, "x%y_z"]
+    nodes = spark.createDataFrame([(n, "person" if i % 2 else None) for i, n in enumerate(names)], "entity_id string, entity_type string")
+    index = LabelIndex(spark, str(tmp_path / "labels"), 4)
+    index.build(nodes)
+    ids = lambda label: sorted(r["entity_id"] for r in index.match(label).collect())
+    kept = [n for n in names if n is not None]
+    for label in ("ali", "alia", "lice", "本語テ", "本", "person", "%y_", "zzz", "B", "perso"):
+        assert ids(label) == sorted(n for i, n in enumerate(names) if n is not None and (label in n or (i % 2 and label == "person"))), label
+    assert ids("*") == sorted(kept)
+    index.put(spark.createDataFrame([("alibi", "thing"), ("malice", "person")], "entity_id string, entity_type string"))
+    assert ids("ali") == ["ali", "aliali", "alibi", "malice"] and "alibi" not in ids("person") and ids("thing") == ["alibi"]
+    index.remove(spark.createDataFrame([("alibi",), ("nobody",)], "entity_id string"))
+    assert ids("ali") == ["ali", "aliali", "malice"] and ids("thing") == [] and "alibi" not in ids("*")
+    opened = index.match("lice").inputFiles()
+    assert 0 < len(opened) < len(index.store.read().inputFiles())

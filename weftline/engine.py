@@ -16,7 +16,7 @@ from .functions.tokens import WORDS, Tokenizer, token_count
 from .operators import chunking, context, extract, graph, kv, merge, retrieve, taskqueue, vector
 from .operators.buckets import BucketStore
 from .operators.vector_index import VectorIndex
-from .session import numbered, ship_package
+from .session import SHORT, numbered, ship_package
 from .sources.files import read_folders
 
 
@@ -48,6 +48,7 @@ class Options:
     related_chunks: int = 5
     summary_context: int = 12_000
     buckets: int = 16
+    limits: models.Limits = field(default_factory=models.Limits)
 
     @classmethod
     def from_dict(cls, values: dict) -> Options:
@@ -158,8 +159,10 @@ class Engine:
         chunks = chunking.sliding(new, o.chunk_tokens, o.chunk_overlap, tokenizer=self.tokenizer).withColumnRenamed("id", "chunk_id")
         # A text that occurs twice in a document is one chunk, at its first place.
         chunks = self._settle(run, "chunks", chunks.groupBy("full_doc_id", "chunk_id").agg(F.min(F.struct("chunk_order_index", "content", "tokens", "file_path")).alias("c")).select("full_doc_id", "chunk_id", "c.*"))
-        _, misses = extract.probe_cache(chunks, self.near("llm_cache", chunks))
-        self.store("llm_cache").append(models.extract_responses(misses.dropDuplicates(["chunk_id"]), self.model, ["chunk_id"]))
+        failed = models.ask(chunks, "chunk_id", "content", self.model.extract, self.store("llm_cache"), o.limits)
+        first = failed.first()
+        if first is not None:  # what was answered is stored: the next run asks for the rest only
+            raise RuntimeError(f"no response for {failed.count()} chunks; {first['chunk_id']}: {first['error']}")
         said = chunks.join(self.near("llm_cache", chunks).dropDuplicates(["chunk_id"]), "chunk_id")
         keys = ["full_doc_id", "chunk_id", "file_path", "chunk_order_index"]
         stamp = {"timestamp": F.lit(now), "chunk_ord": F.col("chunk_order_index")}
@@ -312,7 +315,7 @@ class Engine:
         Lists of parts that are too long for one call are cut into groups; groups are summarised as rows of their own, in parallel,
         and their summaries take the parts' place until they fit. Every round at least halves the longest list.
         """
-        summarize, n = models.summarize_column(self.model), 0
+        summarize, n = models.summarize_column(self.model, self.options.limits), 0
         due = rows.filter("needs_summary").select("id", title.alias("title"), F.split("description", SEP).alias("parts"))
         size = F.aggregate("parts", F.lit(0), lambda s, x: s + token_count(x))
         fits = (size <= self.options.summary_context) | (F.size("parts") <= 2)
@@ -373,18 +376,20 @@ class Engine:
             found = self._settle(run, "global_relations", retrieve.global_relations(hits, self.near("edges", low).filter("entity_id = src").drop("entity_id")))
             ends = self._settle(run, "global_entities", retrieve.global_entities(found, self.near("nodes", found.select(F.explode(F.array("src", "tgt")).alias("entity_id")))))
             entities = ends if entities is None else self._settle(run, "entities", retrieve.merge_entities(entities, ends))
-            relations = found if relations is None else self._settle(run, "relations", retrieve.merge_relations(relations, found))
+            relations = found if relations is None else self._settle(run, "relations", retrieve.merge_relations(relations, found, long=relations.count() > SHORT))
         near = self.spark.createDataFrame([], "pos int, chunk_id string, content string, file_path string")
         if "question" in wanted:
             near = self._settle(run, "vector_chunks", self._vector_chunks(question, wanted["question"], p))
+        # Relations at the entities have no limit: a hub brings all of its edges.
+        long = relations.count() > SHORT
         from_entities = self._settle(run, "entity_chunks", retrieve.related_chunks_entities(entities, self._texts, self.options.related_chunks))
-        from_relations = self._settle(run, "relation_chunks", retrieve.related_chunks_relations(relations, self._texts, from_entities, self.options.related_chunks))
-        chunks = retrieve.merge_chunks(near, from_entities, from_relations)
-        chunks = self._settle(run, "chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens, self.tokenizer))
+        from_relations = self._settle(run, "relation_chunks", retrieve.related_chunks_relations(relations, self._texts, from_entities, self.options.related_chunks, long=long))
+        chunks = retrieve.merge_chunks(near, from_entities, from_relations, long=long)
+        chunks = self._settle(run, "chunks", retrieve.token_budget(chunks, F.col("content"), p.max_total_tokens - p.max_entity_tokens - p.max_relation_tokens, self.tokenizer, long=long))
         refs, chunks = retrieve.references(chunks)
         said = None
         if retrieve.empty_gate(entities, relations, chunks, p.mode):
-            budgeted = retrieve.token_budget(entities, context.entity_line(), p.max_entity_tokens, self.tokenizer), retrieve.token_budget(relations, context.relation_line(), p.max_relation_tokens, self.tokenizer)
+            budgeted = retrieve.token_budget(entities, context.entity_line(), p.max_entity_tokens, self.tokenizer), retrieve.token_budget(relations, context.relation_line(), p.max_relation_tokens, self.tokenizer, long=long)
             said = context.context_string(*budgeted, chunks, refs).first()["context"]
         return Result(entities, relations, chunks, refs, said, {"mode": p.mode, "high_keywords": high, "low_keywords": low}, lambda: self._release(run))
 

@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -17,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .operators.buckets import BucketStore
+from .session import settle
+
 
 class Embedder(Protocol):
     dimension: int
@@ -102,6 +106,60 @@ def with_attempts(call: Callable, attempts: int = 3, wait: float = 0.5) -> Calla
     return tried
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a service allows: calls at a time and calls a second over the whole job, tries of a call, and calls of one wave, after which
+    the responses are stored."""
+
+    in_flight: int = 10
+    per_second: float = float("inf")
+    attempts: int = 3
+    wait: float = 0.5
+    wave: int = 2000
+
+
+def in_lanes(rows: DataFrame, keys: list[str], text: str, call: Callable[[str], str], limits: Limits) -> DataFrame:
+    """keys, response and error of a call for each row. Rows are dealt to ``in_flight`` tasks that call one after the other, each
+    with its share of the calls a second; a call that fails for good gives an error in its row, and the others go on."""
+    tried, gap = with_attempts(call, limits.attempts, limits.wait), limits.in_flight / limits.per_second
+
+    def lane(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free = 0.0
+        for batch in batches:
+            said: list[str | None] = []
+            failed: list[str | None] = []
+            for value in batch[text].fillna(""):
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = max(free, time.monotonic()) + gap
+                try:
+                    said.append(tried(value))
+                    failed.append(None)
+                except Exception as e:
+                    said.append(None)
+                    failed.append(f"{type(e).__name__}: {e}"[:2000])
+            yield batch[keys].assign(response=said, error=failed)
+
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, text).repartition(limits.in_flight).mapInPandas(lane, f"{types}, response string, error string")
+
+
+def ask(rows: DataFrame, key: str, text: str, call: Callable[[str], str], store: BucketStore, limits: Limits) -> DataFrame:
+    """Calls for the rows whose key the store (key, response) has not; responses are stored wave by wave -> (key, error) of the calls that failed.
+
+    A job that is lost, or run again after failures, calls only what is not stored.
+    """
+    missing = rows.select(key, text).dropDuplicates([key])
+    missing = settle(missing.join(store.near(missing).select(key), key, "left_anti"), "asked", False)
+    waves = max(1, -(-missing.count() // limits.wave))
+    failed = None
+    for wave in range(waves):
+        said = settle(in_lanes(missing.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave), [key], text, call, limits), "said", False)
+        store.append(said.filter(F.col("error").isNull()).select(key, "response"))
+        own = said.filter(F.col("error").isNotNull()).select(key, "error")
+        failed = own if failed is None else failed.unionByName(own)
+    return failed
+
+
 def embed_column(model: Embedder, batch: int = 10) -> Column:
     """A function of a text column. ``batch`` texts go to the model at a time."""
 
@@ -143,9 +201,10 @@ def keywords_column(model: LanguageModel) -> Callable[[Column], Column]:
     return keywords
 
 
-def summarize_column(model: LanguageModel) -> Column:
+def summarize_column(model: LanguageModel, limits: Limits = Limits()) -> Column:  # noqa: B008
     @F.pandas_udf("string")
     def summarize(names: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([model.summarize(n, list(p)) for n, p in zip(names, parts, strict=True)])
+        tried = with_attempts(model.summarize, limits.attempts, limits.wait)
+        return pd.Series([tried(n, list(p)) for n, p in zip(names, parts, strict=True)])
 
     return summarize

@@ -95,9 +95,12 @@ class BucketStore:
         m = self.manifest()
         asked = keys.select(*(F.col(c).cast(t).alias(c) for c, t in zip(names, self._key_types, strict=True))).dropna().distinct()
         few = asked.limit(FEW + 1).collect()
+        if not few or not m["data"]:
+            return self._open(m, [])
         if len(few) <= FEW:
             asked = self.spark.createDataFrame(few, asked.schema)
-        touched = [r["b"] for r in asked.select(self.bucket_of(*names, buckets=m["buckets"]).alias("b")).distinct().collect()]  # at most one row a bucket
+        in_bucket = asked.select(self.bucket_of(*names, buckets=m["buckets"]).alias("b"))
+        touched = [r["b"] for r in (in_bucket if len(few) <= FEW else in_bucket.distinct()).collect()]  # FEW rows, or one for each bucket
         rows = self._open(m, touched)
         on = [F.expr(k) == F.col(f"__k{i}") for i, k in enumerate(self.keys)]
         if len(few) <= FEW:

@@ -1,7 +1,8 @@
 """Retrieval: ranked lists of entities, relations and chunks. Every ranked DataFrame carries ``pos``, from 0.
 
 ``by`` names the columns of a question's id, where lists of many questions are worked on at once: every list, quota and budget is then
-one for each question, and windows are dealt by question.
+one for each question, and windows are dealt by question. ``long`` marks lists without a limit: what is summed or numbered along them is then
+worked out in blocks, so that no window holds a whole list.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from ..functions.ids import canonical
 from ..functions.text import unpack
 from ..functions.tokens import WORDS, Tokenizer
-from ..session import numbered
+from ..session import BLOCK, numbered, running
 from . import graph
 
 
@@ -29,6 +30,23 @@ def ranked(df: DataFrame, *order: Column | str, by: By = ()) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def block(c: str, size: int | None = None) -> Column:
+    """The block of a place in a list."""
+    return F.floor(F.col(c) / (size or BLOCK))
+
+
+def _along(rows: DataFrame, name: str, value: Column, order: list[str], blocks: list[Column] | None, by: By) -> DataFrame:
+    """rows with the running sum of a value along the order; by blocks where they are given."""
+    if blocks is not None:
+        return running(rows, value, blocks, [F.col(c) for c in order], by, name)
+    return rows.withColumn(name, F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _renumbered(rows: DataFrame, order: list[str], blocks: list[Column] | None, by: By) -> DataFrame:
+    """rows with pos by the order, which has no ties."""
+    return _along(rows, "pos", F.lit(1), order, blocks, by).withColumn("pos", (F.col("pos") - 1).cast("int"))
+
+
 def weight(c: Column) -> Column:
     """An edge's weight as a number, 1 where it is none."""
     return F.coalesce(c.try_cast("double"), F.lit(1.0))
@@ -87,7 +105,7 @@ def global_entities(relations: DataFrame, nodes: DataFrame, by: By = ()) -> Data
     return ranked(found, "at", by=by).drop("at").withColumn("rank", F.lit(0).cast("bigint"))
 
 
-def round_robin(lists: list[DataFrame], key: list[str], by: By = ()) -> DataFrame:
+def round_robin(lists: list[DataFrame], key: list[str], by: By = (), long: bool = False) -> DataFrame:
     """Merge ranked lists by turns: at each place the first list's row, then the second's; the first row of a key stays."""
     every = None
     for i, rows in enumerate(lists):
@@ -97,23 +115,23 @@ def round_robin(lists: list[DataFrame], key: list[str], by: By = ()) -> DataFram
         every = every.filter(F.length(k) > 0)
     first = W.partitionBy(*by, *key).orderBy("pos", "__list")
     once = every.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1")
-    return ranked(once.withColumnRenamed("pos", "__pos"), "__pos", "__list", by=by).drop("__pos", "__list", "__rn")
+    return _renumbered(once.withColumnRenamed("pos", "__pos"), ["__pos", "__list"], [block("__pos")] if long else None, by).drop("__pos", "__list", "__rn")
 
 
 def merge_entities(local: DataFrame, global_: DataFrame, by: By = ()) -> DataFrame:
     return round_robin([local, global_], ["entity_id"], by)
 
 
-def merge_relations(local: DataFrame, global_: DataFrame, by: By = ()) -> DataFrame:
+def merge_relations(local: DataFrame, global_: DataFrame, by: By = (), long: bool = False) -> DataFrame:
     """Relations are one whatever their orientation; the first seen keeps its own."""
     pair = lambda df: df.withColumns(dict(zip(("__a", "__b"), canonical(F.col("src"), F.col("tgt")), strict=True)))
-    return round_robin([pair(local), pair(global_)], ["__a", "__b"], by).drop("__a", "__b")
+    return round_robin([pair(local), pair(global_)], ["__a", "__b"], by, long).drop("__a", "__b")
 
 
-def token_budget(rows: DataFrame, text: Column, budget: int, tokenizer: Tokenizer = WORDS, by: By = ()) -> DataFrame:
+def token_budget(rows: DataFrame, text: Column, budget: int, tokenizer: Tokenizer = WORDS, by: By = (), long: bool = False) -> DataFrame:
     """The longest prefix of a ranked list whose tokens fit the budget."""
-    running = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("__n", tokenizer.count(text)).withColumn("__sum", F.sum("__n").over(running)).drop("__n").filter(F.col("__sum") <= budget).drop("__sum")
+    counted = rows.withColumn("__n", tokenizer.count(text))
+    return _along(counted, "__sum", F.col("__n"), ["pos"], [block("pos")] if long else None, by).filter(F.col("__sum") <= budget).drop("__n", "__sum")
 
 
 def chunk_occurrence(items: DataFrame, packed: str = "source_id") -> DataFrame:
@@ -131,47 +149,59 @@ def item_chunks(items: DataFrame, packed: str, exclude: DataFrame | None = None,
     if exclude is not None:
         named = named.join(exclude.select(*by, "chunk_id").distinct(), [*by, "chunk_id"], "left_anti")
     n = named.groupBy(*by, "chunk_id").agg(F.count("*").alias("n"))
-    owner = W.partitionBy(*by, "chunk_id") if first_owner else W.partitionBy(*by, "item", "chunk_id")
-    once = named.withColumn("__rn", F.row_number().over(owner.orderBy("item", "at"))).filter("__rn = 1")
+    # A chunk that very many items name is reduced to its first place before the shuffle.
+    owner = [*by, "chunk_id"] if first_owner else [*by, "chunk_id", "item"]
+    once = named.groupBy(*owner).agg(F.min(F.struct("item", "at")).alias("__first")).select(*by, "chunk_id", "__first.*")
     order = W.partitionBy(*by, "item").orderBy(F.desc("n"), "at")
     return once.join(n, [*by, "chunk_id"]).withColumn("k", F.row_number().over(order)).select(*by, "item", "chunk_id", "k")
 
 
-def weighted_polling(chunks: DataFrame, most: int, least: int = 1, by: By = ()) -> DataFrame:
+def weighted_polling(chunks: DataFrame, most: int, least: int = 1, by: By = (), long: bool = False) -> DataFrame:
     """(item, chunk_id, k) -> the chosen chunks (pos, chunk_id), each once.
 
     Quotas fall in a line from ``most`` for the first item to ``least`` for the last, rounded half to even. What items leave
-    goes to the earliest item with chunks to spare.
+    goes to the earliest item with chunks to spare. What is summed up is one row for each item, not the chunks.
     """
+    if not by:
+        return weighted_polling(chunks.withColumn("__all", F.lit(0)), most, least, ("__all",), long).drop("__all")
     sizes = chunks.groupBy(*by, "item").agg(F.count("*").alias("size"))
-    place, every = W.partitionBy(*by).orderBy("item"), W.partitionBy(*by)
-    sizes = sizes.withColumns({"i": F.row_number().over(place) - 1, "items": F.count("*").over(every)})
+    sizes = _along(sizes, "i", F.lit(1), ["item"], [block("item")] if long else None, by).withColumn("i", F.col("i") - 1)
+    items = sizes.groupBy(*by).agg(F.count("*").alias("items"))
+    sizes = sizes.join(items, list(by))
     line = F.lit(float(most)) - F.col("i").cast("double") / (F.col("items") - 1) * float(most - least)
     sizes = sizes.withColumn("quota", F.when(F.col("items") == 1, most).otherwise(F.bround(line)).cast("int"))
-    sizes = sizes.withColumn("spare", F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("size"))).over(every))
+    spare = sizes.groupBy(*by).agg(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("size"))).alias("spare"))
+    sizes = sizes.join(spare, list(by))
+    # Chunks beyond the quotas take their turn by item: the first of an item comes after all those of earlier items.
+    over = F.greatest(F.lit(0), F.col("size") - F.col("quota"))
+    sizes = _along(sizes, "upto", over, ["i"], [block("i")] if long else None, by).withColumn("earlier", F.col("upto") - over)
     rows = chunks.join(sizes, [*by, "item"])
-    late = rows.filter(F.col("k") > F.col("quota")).withColumn("turn", F.row_number().over(W.partitionBy(*by).orderBy("i", "k"))).filter((F.col("turn") <= F.col("spare")) & (F.col("items") > 1))
+    late = rows.filter((F.col("k") > F.col("quota")) & (F.col("earlier") + F.col("k") - F.col("quota") <= F.col("spare")) & (F.col("items") > 1))
     chosen = rows.filter(F.col("k") <= F.col("quota")).select(*by, F.lit(0).alias("round"), "i", "k", "chunk_id").unionByName(late.select(*by, F.lit(1).alias("round"), "i", "k", "chunk_id"))
-    first = chosen.groupBy(*by, "chunk_id").agg(F.min(F.struct("round", "i", "k")).alias("at"))
-    return ranked(first, "at", by=by).drop("at")
+    first = chosen.groupBy(*by, "chunk_id").agg(F.min(F.struct("round", "i", "k")).alias("at")).select(*by, "chunk_id", "at.*")
+    return _renumbered(first, ["round", "i", "k"], [F.col("round"), block("i")] if long else None, by).drop("round", "i", "k")
 
 
-def with_content(chosen: DataFrame, text_chunks: Texts, by: By = ()) -> DataFrame:
+def with_content(chosen: DataFrame, text_chunks: Texts, by: By = (), long: bool = False) -> DataFrame:
     """Chosen chunks (pos, chunk_id) with content and file path; a chunk that is not stored falls out."""
     texts = text_chunks(chosen) if callable(text_chunks) else text_chunks
-    return ranked(chosen.join(texts.select("chunk_id", "content", "file_path"), "chunk_id").withColumnRenamed("pos", "__pos"), "__pos", by=by).drop("__pos")
+    found = chosen.join(texts.select("chunk_id", "content", "file_path"), "chunk_id")
+    if long:  # texts last: only keys go through the numbering
+        known = chosen.join(texts.select("chunk_id"), "chunk_id", "left_semi").withColumnRenamed("pos", "__pos")
+        return _renumbered(known, ["__pos"], [block("__pos")], by).drop("__pos").join(texts.select("chunk_id", "content", "file_path"), "chunk_id")
+    return _renumbered(found.withColumnRenamed("pos", "__pos"), ["__pos"], None, by).drop("__pos")
 
 
-def related_chunks_entities(entities: DataFrame, text_chunks: Texts, most: int = 5, by: By = ()) -> DataFrame:
-    return with_content(weighted_polling(item_chunks(entities, "source_id", by=by), most, by=by), text_chunks, by)
+def related_chunks_entities(entities: DataFrame, text_chunks: Texts, most: int = 5, by: By = (), long: bool = False) -> DataFrame:
+    return with_content(weighted_polling(item_chunks(entities, "source_id", by=by), most, by=by, long=long), text_chunks, by, long)
 
 
-def related_chunks_relations(relations: DataFrame, text_chunks: Texts, entity_chunks: DataFrame, most: int = 5, by: By = ()) -> DataFrame:
-    return with_content(weighted_polling(item_chunks(relations, "source_id", entity_chunks, True, by), most, by=by), text_chunks, by)
+def related_chunks_relations(relations: DataFrame, text_chunks: Texts, entity_chunks: DataFrame, most: int = 5, by: By = (), long: bool = False) -> DataFrame:
+    return with_content(weighted_polling(item_chunks(relations, "source_id", entity_chunks, True, by), most, by=by, long=long), text_chunks, by, long)
 
 
-def merge_chunks(vector: DataFrame, entity: DataFrame, relation: DataFrame, by: By = ()) -> DataFrame:
-    return round_robin([vector, entity, relation], ["chunk_id"], by)
+def merge_chunks(vector: DataFrame, entity: DataFrame, relation: DataFrame, by: By = (), long: bool = False) -> DataFrame:
+    return round_robin([vector, entity, relation], ["chunk_id"], by, long)
 
 
 def references(chunks: DataFrame, by: By = ()) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..operators import vector
 from ..operators.buckets import BucketStore
+from ..operators.labels import LabelIndex
 from ..operators.vector_index import VectorIndex
 from ..session import shared_folder
 from .views import Data, register
@@ -82,3 +83,20 @@ def degrees_kept(d: Data) -> DataFrame:
     engine.put_edges(d.kg_edges.filter("weight > 1"))
     engine.remove_edges(d.lineitem.filter("l_returnflag = 'R'").select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("tgt")))
     return engine.table("degrees")
+
+
+_LABELS = ("er:1", "part", "supplier:12", ":9", "nation", "customer:77", "no such")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS label, entity_id, CASE WHEN entity_id LIKE 'supplier:%3' THEN 'moved' ELSE entity_type END AS entity_type FROM {{kg_nodes}} WHERE (entity_id LIKE '%{x}%' OR (entity_type = '{x}' AND NOT entity_id LIKE 'supplier:%3')) AND NOT entity_id LIKE 'customer:%7'" for x in _LABELS))
+def label_index(d: Data) -> DataFrame:
+    """Nodes by substrings of their ids and by their types, from posting lists, after nodes were changed and removed."""
+    index = LabelIndex(d.spark, _folder(d, "labels"))
+    index.build(d.kg_nodes)
+    index.put(d.kg_nodes.filter("entity_id LIKE 'supplier:%3'").withColumn("entity_type", F.lit("moved")))
+    index.remove(d.kg_nodes.filter("entity_id LIKE 'customer:%7'").select("entity_id"))
+    out = None
+    for label in _LABELS:
+        rows = index.match(label).select(F.lit(label).alias("label"), "entity_id", "entity_type")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -54,6 +54,27 @@ def numbered(rows: DataFrame, *order: Column | str, stored: bool = False) -> Dat
     return kept.join(F.broadcast(starts), "__range").withColumn("pos", (F.col("__before") + F.col("__at")).cast("int")).drop("__range", "__at", "__before")
 
 
+#: Places of a list that are one block of a running sum.
+BLOCK = 4096
+
+
+def running(rows: DataFrame, value: Column, block: list[Column], order: list[Column], by: tuple[str, ...] = (), name: str = "upto") -> DataFrame:
+    """rows with the sum of ``value`` up to each of them in the order, the row included, for each value of ``by``.
+
+    Two levels: sums within blocks, and before each block those of the blocks before it. ``block`` are columns that grow with the order; only one
+    row for each block meets in a task, and ties of the order share a block.
+    """
+    keys = [f"__b{i}" for i in range(len(block))]
+    marked = rows.withColumns({**dict(zip(keys, block, strict=True)), "__v": value})
+    sums = marked.groupBy(*by, *keys).agg(F.sum("__v").alias("__of"))
+    before = F.sum("__of").over(W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(c).alias(f"__s{i}") for i, c in enumerate((*by, *keys))), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate((*by, *keys))]
+    out = marked.join(sums, same).drop(*(f"__s{i}" for i in range(len(by) + len(keys))))
+    own = F.sum("__v").over(W.partitionBy(*by, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return out.withColumn(name, own + F.col("__before")).drop(*keys, "__v", "__before")
+
+
 _shipped: set[str] = set()
 
 
