@@ -99,6 +99,36 @@ def _directions(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ok, np.int64)[good], rows[good] / length[good, None]
 
 
+class _Best:
+    """The rows with the highest scores for each query, over all that a task reads; with ``ties`` also those equal to the last."""
+
+    def __init__(self, most: int, ties: float | None = None):
+        self.most, self.ties = most, ties
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.count: dict[int, int] = {}
+
+    def add(self, i: int, lists: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.setdefault(i, []).append((lists, ids, scores))
+        self.count[i] = self.count.get(i, 0) + len(scores)
+        if self.count[i] > 4 * self.most:
+            self._cut(i)
+
+    def _cut(self, i: int) -> None:
+        lists, ids, scores = (np.concatenate(x) for x in zip(*self.held[i], strict=True))
+        if len(scores) > self.most:
+            last = np.partition(scores, len(scores) - self.most)[len(scores) - self.most]
+            at = np.flatnonzero(scores >= last - (self.ties or 0.0))
+            at = at if self.ties is not None else at[np.argsort(-scores[at], kind="stable")[: self.most]]
+            lists, ids, scores = lists[at], ids[at], scores[at]
+        self.held[i], self.count[i] = [(lists, ids, scores)], len(scores)
+
+    def batches(self, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for i in sorted(self.held):
+            self._cut(i)
+            lists, ids, scores = self.held[i][0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), i, np.int32)), pa.array(lists.astype(np.int32)), pa.array(ids.tolist(), id_type), pa.array(scores.astype(float))], names=["q", "list", "id", "score"])
+
+
 class VectorIndex:
     """An index over rows (id, vector) in the folder ``path``."""
 
@@ -270,8 +300,9 @@ class VectorIndex:
         names_type = schema[query_id].dataType
         ok, q = _directions(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())), self.settings.width)
         names = [rows[i][query_id] for i in ok]
-        short = rerank or max(200, 30 * k)
-        probed = self.lists_for(q, probes)
+        # For an exact search a few lists are enough: they only give a bound.
+        short = rerank or (5 * k if exact else max(200, 30 * k))
+        probed = self.lists_for(q, probes or (min(4, self.settings.probes) if exact else None))
         wanted: dict[int, list[int]] = {}
         for i, own in enumerate(probed):
             for x in own:
@@ -303,16 +334,16 @@ class VectorIndex:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, tables, wanted = shared.value
+            best = _Best(short)
             for batch in batches:
                 lists, codes = batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
+                ids = batch.column(1).to_numpy(zero_copy_only=False)
                 for x in np.unique(lists):
                     rows = np.flatnonzero(lists == x)
                     near = q[wanted[int(x)]] @ centres[x]
                     for i, base in zip(wanted[int(x)], near, strict=True):
-                        s = base + tables[i][np.arange(codes.shape[1])[:, None], codes[rows].T].sum(0)
-                        at = rows if len(rows) <= short else rows[np.argpartition(-s, short)[:short]]
-                        s = s if len(rows) <= short else s[np.argpartition(-s, short)[:short]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(lists[at]), batch.column(1).take(pa.array(at)).cast(id_arrow), pa.array(s.astype(float))], names=["q", "list", "id", "score"])
+                        best.add(i, lists[rows], ids[rows], base + tables[i][np.arange(codes.shape[1])[:, None], codes[rows].T].sum(0))
+            yield from best.batches(id_arrow)
 
         rows = self._live(sorted(wanted)).select("list", "id", "code").mapInArrow(score, f"q int, list int, id {self.settings.id_type}, score double")
         return self._first(rows, short).select("q", "list", "id")
@@ -334,25 +365,26 @@ class VectorIndex:
         return self._first(pairs.mapInArrow(exact, f"q int, id {self.settings.id_type}, score double").filter(F.col("score") >= threshold), k)
 
     def _scan(self, q: np.ndarray, wanted: dict[int, list[int]], k: int, floor: np.ndarray) -> DataFrame:
-        """Rows of lists by exact cosines, at least ``floor`` for each query: no more than the k best of a batch and those equal to the last."""
+        """Rows of lists by exact cosines, at least ``floor`` for each query: no more than the k best of a task and those equal to the last."""
         shared = self.spark.sparkContext.broadcast((q, wanted, floor))
-        width = self.settings.width
+        width, id_arrow = self.settings.width, to_arrow_type(self._read([]).schema["id"].dataType)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, wanted, floor = shared.value
+            best = _Best(k, 1e-12)
             for batch in batches:
-                lists = batch.column(0).to_numpy()
+                lists, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
                 v = _unit(batch.column(2).flatten().to_numpy().reshape(len(batch), width).astype(float))
                 for x in np.unique(lists):
                     rows, own = np.flatnonzero(lists == x), np.array(wanted[int(x)])
-                    scores = q[own] @ v[rows].T
-                    for i, s in zip(own, scores, strict=True):
+                    for i, s in zip(own, q[own] @ v[rows].T, strict=True):
                         at = np.flatnonzero(s >= floor[i])
-                        if len(at) > k:
-                            at = at[s[at] >= np.partition(s[at], -k)[-k] - 1e-12]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), batch.column(1).take(pa.array(rows[at])), pa.array(s[at])], names=["q", "id", "score"])
+                        if len(at):
+                            best.add(int(i), lists[rows[at]], ids[rows[at]], s[at])
+            yield from best.batches(id_arrow)
 
-        return self._live(sorted(wanted)).select("list", "id", "vector").mapInArrow(scan, f"q int, id {self.settings.id_type}, score double")
+        found = self._live(sorted(wanted)).select("list", "id", "vector").mapInArrow(scan, f"q int, list int, id {self.settings.id_type}, score double")
+        return found.select("q", "id", "score")
 
 
 def _save(spark: SparkSession, path: str, settings: Settings, centres: np.ndarray, books: list[np.ndarray]) -> None:
