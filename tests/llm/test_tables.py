@@ -153,8 +153,10 @@ def by_hand(sizes):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 10}, {"a": 1, "b": 1000, None: 5}, {"b": 0, "a": 7, "é": 9, "z": 100, None: 3}, {}])
-def test_targets(sizes):
-    assert M.targets(sizes) == pytest.approx(by_hand(sizes) if sizes else {})
+def test_targets(spark, sizes):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    sources = spark.createDataFrame([(s, sizes[s], i) for i, s in enumerate(order)], "s string, words bigint, pos int")
+    assert {r["s"]: r["target"] for r in M.targets(sources).collect()} == pytest.approx(by_hand(sizes) if sizes else {})
 
 
 def test_route_overlap():
@@ -225,12 +227,56 @@ def test_mix_by_brute_force(spark):
         assert {k: got[k]["repeats"] for k in own} == {k: floor + (k in more) for k in own}
 
 
-def test_mix_of_more_patterns_than_are_held(spark):
-    rows = [(k, " ".join(["w"] * 5), [f"s{j}" for j in range(4) if (k >> j) & 1] or ["s0"]) for k in range(320)]
+def test_mix_does_not_depend_on_how_the_plan_is_joined(spark):
+    """Many patterns or few, broadcast or not: sizes, targets and choices are those of full memberships."""
+    rows = [(k, " ".join(["w"] * (1 + k % 9)), [f"s{j}" for j in range(4) if (k >> j) & 1]) for k in range(320)] + [(1000 + k, "a b c", ["lone"]) for k in range(9)] + [(2000, "x y", None), (2001, None, ["s1", None])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, own array<string>")
-    for most in (3, 1000):
-        got = M.mix(df, memberships=F.col("own"), max_patterns=most).collect()
-        assert len(got) == 320 and abs(sum(r["taken"] for r in got) - 1600) <= 40 and all(r["taken"] <= 15 for r in got)
+    few, many = (sorted(map(tuple, M.mix(df, memberships=F.col("own"), max_patterns=most).select("doc_id", "size", "source_size", "target", "repeats", "taken").collect())) for most in (3, 1000))
+    assert few == many and len(few) == len(rows)
+    sizes: dict = {}
+    for _, t, own in rows:
+        for s in own or []:
+            sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want, total = by_hand(sizes), sum(len((t or "").split()) for _, t, own in rows if own)
+    scale = total / sum(sizes.values())
+    told = {k: own for k, _, own in rows}
+    for k, size, source_size, target, _, taken in few:
+        if not told[k]:
+            assert (source_size, target, taken) == (None, None, 0)
+        else:
+            first = min(told[k], key=lambda s: (s is None, s or ""))
+            assert source_size == sizes[first] and target == pytest.approx(want[first] * scale) and taken <= 3 * size
+    assert abs(sum(r[5] for r in few) - total) <= 60
+
+
+def test_mix_flow_of_parts_is_the_flow_of_all(spark):
+    """What patterns give, part by part, equals one flow over everything."""
+    import random
+
+    rng = random.Random(5)
+    patterns = {tuple(sorted(rng.sample(range(10 * g, 10 * g + 6), rng.choice([1, 2, 3])))): rng.randrange(1, 60) for g in range(4) for _ in range(25)} | {(99,): 7}
+    quotas = {s: float(rng.randrange(20, 200)) for p in patterns for s in p}
+    whole = M.route(patterns, quotas)
+    made = spark.createDataFrame([("-".join(map(str, p)), [str(s) for s in p], n) for p, n in patterns.items()], "__weft_p string, __weft_m array<string>, words bigint")
+    sources = spark.createDataFrame([(str(s), s, q) for s, q in quotas.items()], "s string, pos int, target double")
+    got = {r["__weft_p"]: r["given"] for r in M._given(made, sources, Scratch(spark, "flow"), 3).collect()}
+    assert got == {"-".join(map(str, p)): n for p, n in whole.items()}
+
+
+def test_mix_of_sources_with_odd_names(spark):
+    """Names that look like the join of two others are sources of their own."""
+    rows = [(1, "a b", ["a", "b"]), (2, "a b c", ["a\u0001sb"]), (3, "d", ["z"]), (4, "e f", [None])]
+    got = M.mix(spark.createDataFrame(rows, "doc_id bigint, text string, own array<string>"), memberships=F.col("own")).collect()
+    assert {r["doc_id"]: r["source_size"] for r in got} == {1: 2, 2: 3, 3: 1, 4: 2} and len(got) == 4
+
+
+def test_mix_of_many_sources(spark):
+    """Thousands of sources: targets by the same shares as by hand, and every source near its own."""
+    df = spark.range(30_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 23 AS INT)) AS text", "CAST(pow(id, 0.85) AS STRING) AS source")
+    got = M.mix(df, max_patterns=100).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t"), F.sum("size").alias("size")).collect()
+    want = by_hand({r["source"]: r["size"] for r in got})
+    assert len(got) > 5000
+    assert all(r["t"] == pytest.approx(want[r["source"]]) and abs(r["n"] - r["t"]) < 24 for r in got)
 
 
 def test_route_of_many_patterns():

@@ -110,8 +110,25 @@ def test_rare_labels_are_learned(spark):
     rows = [(f"the house of cats number {chr(97 + k % 26)} {k}", "en") for k in range(2000)] + [(f"perché gli zoccoli {chr(97 + k)}", "it") for k in range(6)]
     model = L.learn(spark.createDataFrame(rows, "text string, lang string"), max_fit=40)
     assert model.labels == ["en", "it"]
-    with pytest.raises(ValueError, match="labels"):
-        L.learn(spark.createDataFrame(rows, "text string, lang string"), max_labels=1)
+
+
+def test_more_labels_than_are_fitted(spark):
+    """Any number of labels is accepted: those with most different texts are learned, ties by name, and texts are given one of them."""
+    rows = [(f"word{chr(97 + k)} text{chr(97 + k)} {chr(97 + k) * 9} {j}", f"l{k:02d}") for k in range(24) for j in range(2 if k % 2 else 1)] + [("shared", "l00")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = L.learn(docs, max_fit=10)
+    assert model.labels == ["l00", "l01", "l03", "l05", "l07", "l09", "l11", "l13", "l15", "l17"]
+    assert {r[0] for r in L.identify(docs, model).select("lang_pred").distinct().collect()} <= set(model.labels)
+    assert len(L.learn(docs, max_fit=100).labels) == 24
+
+
+@pytest.mark.parametrize("n", [7, 40, 300])
+def test_codewords_are_far_apart(n):
+    code = L.codewords(n).astype(int)
+    apart = (code[:, None, :] != code[None, :, :]).sum(2) + 1000 * np.eye(n, dtype=int)
+    assert code.shape[0] == n and apart.min() >= 2
+
+
 
 
 def test_language_of_many_copies_is_learned(spark):

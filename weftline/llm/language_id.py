@@ -10,7 +10,7 @@ corpora give equal models. One sampled document in ``HOLD`` is left out at first
 the weight of its loss; then all are learned from. Tasks turn the sample into features, so that no texts reach the driver.
 
 Nulls and odd input: a null text, or one without a letter, is ``und`` with score 0; rows without a label are not learned
-from; with a single language the answer is that language, with none it is ``und``; repeated rows are predicted alike;
+from; texts whose two nearest codewords are equally near take the language that is first by name, with score and gap of the tie; with a single language the answer is that language, with none it is ``und``; repeated rows are predicted alike;
 an empty table gives an empty result; other columns are kept and never used, but
 for columns named like the new ones, which are replaced.
 """
@@ -56,7 +56,11 @@ def codewords(n: int, bits: int | None = None, seed: int = 11) -> np.ndarray:
         return np.array([[1 if i == 0 or (m >> (i - 1)) & 1 == 0 else -1 for m in range(1, 1 << (n - 1))] for i in range(n)], np.int8)
     rng, width = np.random.default_rng(seed), bits or max(15, 6 * int(np.ceil(np.log2(n))))
     tried = [rng.choice(np.array([-1, 1], np.int8), (n, width)) for _ in range(50)]
-    apart = [np.min((width - c.astype(int) @ c.T.astype(int)) + 2 * width * np.eye(n, dtype=int)) for c in tried]
+    apart = []
+    for c in tried:
+        same = c.astype(np.float32) @ c.T.astype(np.float32)  # whole numbers, so exact
+        np.fill_diagonal(same, -width)
+        apart.append(width - same.max())
     return tried[int(np.argmax(apart))]
 
 
@@ -145,10 +149,11 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, score, second - loss.min(1)
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit: int = MAX_FIT, max_labels: int = 1000) -> Model:
+def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit: int = MAX_FIT) -> Model:
     """Fit on at most ``max_fit`` labelled documents with different texts, for each label those of smallest text hash.
 
-    Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. A
+    Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. Of more labels than ``max_fit``
+    the ``max_fit`` with most different texts are learned (ties by name), with one document each. A
     threshold on the hash, from each label's number of different texts, leaves about 1.5 times the room and ``SPARE`` more
     before rows are put in order, so that what reaches the driver does not grow with the corpus: at most six bytes for each
     feature of a sampled document. Copies count once: they are kept or left together.
@@ -157,12 +162,10 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
     different = known.select("label", h.alias("h")).distinct()
-    counts = {r["label"]: r["n"] for r in different.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()}
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    counts = {r["label"]: r["n"] for r in different.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_fit).collect()}
     room = rooms(counts, max_fit)
     bound = [(name, int(min(1.0, (1.5 * room[name] + SPARE) / n) * (1 << 40)), room[name]) for name, n in counts.items()]
-    bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "label string, bound bigint, room int"))  # at most max_labels rows
+    bounds = F.broadcast(labelled.sparkSession.createDataFrame(bound, "label string, bound bigint, room int"))  # at most max_fit rows
     sample = known.withColumn("h", h).join(bounds, "label").filter("h < bound").select("label", "h", "room", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
