@@ -11,7 +11,7 @@ from ..operators import context, documents, taskqueue
 from ..operators.chats import ChatHistory
 from ..operators.taskstates import TaskStates
 from ..session import shared_folder
-from ..streaming import progress
+from ..streaming import progress, tasks
 from .views import Data, register
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def queue_list(d: Data) -> DataFrame:
     return taskqueue.list_tasks(d.tasks).select("task_id", "priority", "pos")
 
 
-@query("""WITH RECURSIVE e AS (SELECT task_id, op, arg, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS n FROM {task_log}),
+_FOLD = """WITH RECURSIVE e AS (SELECT task_id, op, arg, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS n FROM {task_log}),
 s(task_id, n, status, progress, priority, retries) AS (
  SELECT DISTINCT task_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT) FROM e
  UNION ALL SELECT s.task_id, e.n,
@@ -39,11 +39,25 @@ s(task_id, n, status, progress, priority, retries) AS (
   CASE WHEN op = 'enqueue' AND status IS NULL OR op = 'reorder' AND status IS NOT NULL THEN arg ELSE priority END,
   CASE WHEN op = 'enqueue' AND status IS NULL THEN 0 WHEN op = 'retry' AND status = 'Failed' AND retries < 3 THEN retries + 1 ELSE retries END
  FROM s JOIN e ON e.task_id = s.task_id AND e.n = s.n + 1)
-SELECT task_id, status, progress, priority, retries FROM s WHERE n = (SELECT max(n) FROM e WHERE e.task_id = s.task_id) AND status IS NOT NULL""")
+SELECT task_id, status, progress, priority, retries FROM s WHERE n = (SELECT max(n) FROM e WHERE e.task_id = s.task_id) AND status IS NOT NULL"""
+
+
+@query(_FOLD)
 def queue_state_fold(d: Data) -> DataFrame:
     return taskqueue.fold_events(d.task_log)
 
 
+@query(_FOLD)
+def queue_state_stream(d: Data) -> DataFrame:
+    """The same states from a stream whose micro-batches bring each task's events in any order, kept in state per task."""
+    run = f"{shared_folder(d.spark)}/weftline-tasks-{uuid.uuid4().hex}"
+    log = d.task_log
+    log.repartition(4, F.xxhash64("seq")).write.parquet(f"{run}/events")
+    events = progress.read_events(d.spark, f"{run}/events", log.schema, 2)
+    tasks.run_to_table(tasks.states(events), f"{run}/table", f"{run}/checkpoint").awaitTermination()
+    return tasks.read_states(d.spark, f"{run}/table")
+
+
 @query("SELECT task_id, CASE WHEN status = 'Processing' THEN 'Pending' ELSE status END AS status FROM {tasks}")
 def queue_recover(d: Data) -> DataFrame:
     return taskqueue.recover(d.tasks).select("task_id", "status")
