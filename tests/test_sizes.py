@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark import TaskContext
 
+from weftline.operators import merge
 from weftline.session import settle
 
 
@@ -21,3 +22,16 @@ def test_short_lists_are_computed_in_many_tasks(spark):
     kept = settle(spark.range(0, 8000, 1, 8).mapInArrow(pick, "id bigint, task bigint"), "test")
     assert {r["task"] for r in kept.collect()} == set(range(8))
     assert len(kept.inputFiles()) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_missing_endpoints_gather_each_edge_once(spark):
+    """One list for each end, instead of one for each column with the pair in each of them."""
+    edges = spark.createDataFrame([("a", "b", "s1", "d1", "f1"), ("a", "c", "s1", "d2", ""), ("b", "c", "", "d1", None)], "src string, tgt string, source_id string, description string, file_path string")
+    found = merge.missing_endpoints(edges, spark.createDataFrame([("a",)], "entity_id string"))
+    assert _plan(found).count("collect_list(") == 1
+    got = {r["entity_id"]: (r["description"], r["source_id"], r["file_path"]) for r in found.collect()}
+    assert got == {"b": ("d1", "s1", "f1"), "c": ("d2<SEP>d1", "s1", "")}

@@ -165,11 +165,13 @@ def merge_relations(facts: DataFrame, existing: DataFrame | None = None, max_sou
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes for ends of edges that have none: type UNKNOWN, the edges' distinct sources, descriptions and paths in order of the pair."""
-    order = F.struct("src", "tgt")
-    ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_id"), order.alias("at"), "source_id", "description", "file_path")
+    ends = edges.select(F.explode(F.array("src", "tgt")).alias("entity_id"), F.struct("src", "tgt").alias("at"), "source_id", "description", "file_path")
     ends = ends.join(nodes.select("entity_id"), "entity_id", "left_anti")
-    distinct = lambda c: F.array_distinct(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]), lambda v: v != ""))
-    out = ends.groupBy("entity_id").agg(distinct("source_id").alias("s"), distinct("description").alias("d"), distinct("file_path").alias("f"))
+    # One list for each end carries all that its edges say: what is gathered and sorted is each pair once,
+    # not once for each column. sort_array compares rows by itself; array_sort would call a function for each comparison.
+    every = ends.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("at", "source_id", "description", "file_path"))).alias("__of"))
+    distinct = lambda c: F.array_distinct(F.filter(F.transform(F.sort_array(F.transform("__of", lambda x: F.struct(x["at"].alias("at"), x[c].alias("v")))), lambda x: x["v"]), lambda v: v != ""))
+    out = every.select("entity_id", distinct("source_id").alias("s"), distinct("description").alias("d"), distinct("file_path").alias("f"))
     return out.select("entity_id", F.lit(UNKNOWN).alias("entity_type"), F.when(F.size("d") > 0, pack(F.col("d"))).otherwise(F.col("entity_id")).alias("description"), pack(F.col("s")).alias("source_id"), pack(F.col("f")).alias("file_path"), F.lit(False).alias("has_vector"))
 
 
