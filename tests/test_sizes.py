@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark import TaskContext
+from pyspark.sql import functions as F
 
+from weftline import plans
+from weftline.functions.ids import relation_id
 from weftline.operators import merge
 from weftline.session import settle
 
+SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_short_lists_are_computed_in_many_tasks(spark):
     """One task writes a short list; the rows that it is picked from do not all go through that task."""
@@ -35,3 +42,17 @@ def test_missing_endpoints_gather_each_edge_once(spark):
     assert _plan(found).count("collect_list(") == 1
     got = {r["entity_id"]: (r["description"], r["source_id"], r["file_path"]) for r in found.collect()}
     assert got == {"b": ("d1", "s1", "f1"), "c": ("d2<SEP>d1", "s1", "")}
+
+
+def test_replaced_vectors_are_found_in_one_pass(spark):
+    """The store and the relations are each computed once: the graph's edges come from lineitem twice, not three times or more."""
+    got = plans.QUERIES["merge_relation_vector_replace_all"](spark, SMALL)
+    assert _plan(got).count("Aggregate [l_suppkey") == 2
+
+
+def test_replaced_vectors_with_repeated_and_null_ids(spark):
+    gone = spark.createDataFrame([("a", "b")], "src string, tgt string")
+    ids = [r[0] for r in gone.select(relation_id(F.col("tgt"), F.col("src"))).collect()] * 2 + ["other", None]
+    left, stale = merge.replace_relation_vectors(spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int"), gone)
+    assert left.columns == ["id", "n"] and sorted(r["n"] for r in left.collect()) == [2, 3]
+    assert [r["id"] for r in stale.collect()] == ids[:1]

@@ -175,11 +175,16 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("entity_id", F.lit(UNKNOWN).alias("entity_type"), F.when(F.size("d") > 0, pack(F.col("d"))).otherwise(F.col("entity_id")).alias("description"), pack(F.col("s")).alias("source_id"), pack(F.col("f")).alias("file_path"), F.lit(False).alias("has_vector"))
 
 
+def stale_relation_vectors(store: DataFrame, relations: DataFrame) -> DataFrame:
+    """store (id, ...) with ``stale``: whether it is a vector of one of the relations, in either direction."""
+    ids = relations.select(F.explode(F.array(relation_id(F.col("src"), F.col("tgt")), relation_id(F.col("tgt"), F.col("src")))).alias("id")).distinct()
+    return store.join(ids.withColumn("__stale", F.lit(True)), "id", "left").withColumn("stale", F.coalesce("__stale", F.lit(False))).drop("__stale")
+
+
 def replace_relation_vectors(store: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(store without vectors of the relations in either direction, the ids (id) that were there)."""
-    ids = relations.select(F.explode(F.array(relation_id(F.col("src"), F.col("tgt")), relation_id(F.col("tgt"), F.col("src")))).alias("id")).distinct()
-    stale = ids.join(store.select("id"), "id", "left_semi")
-    return store.join(stale, "id", "left_anti"), stale
+    marked = stale_relation_vectors(store, relations)
+    return marked.filter("not stale").drop("stale"), marked.filter("stale").select("id").distinct()
 
 
 def document_index(entity_facts: DataFrame, relation_facts: DataFrame) -> DataFrame:

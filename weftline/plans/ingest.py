@@ -191,8 +191,7 @@ _STORE = "SELECT 'rel--' || md5(CASE WHEN k % 2 = 0 THEN src || tgt ELSE tgt ||
 @query(f"WITH s AS ({_STORE}), r AS (SELECT src, tgt FROM {{tree_edges}} WHERE keywords = 'lives in'), g AS (SELECT 'rel--' || md5(src || tgt) AS id FROM r UNION SELECT 'rel--' || md5(tgt || src) FROM r) SELECT id, id IN (SELECT id FROM g) AS removed FROM s")
 def merge_relation_vector_replace(d: Data) -> DataFrame:
     store = d.spark.sql(_STORE, tree_edges=d.tree_edges)
-    left, stale = merge.replace_relation_vectors(store, d.tree_edges.filter("keywords = 'lives in'"))
-    return left.select("id", F.lit(False).alias("removed")).unionByName(stale.select("id", F.lit(True).alias("removed")))
+    return merge.stale_relation_vectors(store, d.tree_edges.filter("keywords = 'lives in'")).select("id", F.col("stale").alias("removed"))
 
 
 _STORE_ALL = "SELECT 'rel--' || md5(CASE WHEN length(src || tgt) % 2 = 0 THEN src || tgt ELSE tgt || src END) AS id FROM {kg_edges}"
@@ -202,8 +201,7 @@ _STORE_ALL = "SELECT 'rel--' || md5(CASE WHEN length(src || tgt) % 2 = 0 THEN sr
 def merge_relation_vector_replace_all(d: Data) -> DataFrame:
     # merge_relation_vector_replace over the whole graph, the edges that its own SQL leaves out among them.
     store = d.spark.sql(_STORE_ALL, kg_edges=d.kg_edges)
-    left, stale = merge.replace_relation_vectors(store, d.kg_edges.filter("keywords = 'ships'"))
-    return left.select("id", F.lit(False).alias("removed")).unionByName(stale.select("id", F.lit(True).alias("removed")))
+    return merge.stale_relation_vectors(store, d.kg_edges.filter("keywords = 'ships'")).select("id", F.col("stale").alias("removed"))
 
 
 @query("""SELECT name, source_id, count(*) AS n FROM {entity_facts} f WHERE (name, source_id) IN (SELECT name, source_id FROM {entity_facts} WHERE ord % 2 = 0) OR (name, source_id) IN (SELECT entity_id, 'd60' FROM {old_nodes}) GROUP BY 1, 2""")
