@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline import plans
 from weftline.functions.ids import relation_id
 from weftline.operators import merge
+from weftline.operators.buckets import BucketStore
 from weftline.session import settle
 
 SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -56,3 +57,24 @@ def test_replaced_vectors_with_repeated_and_null_ids(spark):
     left, stale = merge.replace_relation_vectors(spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, n int"), gone)
     assert left.columns == ["id", "n"] and sorted(r["n"] for r in left.collect()) == [2, 3]
     assert [r["id"] for r in stale.collect()] == ids[:1]
+
+
+def test_counts_of_many_keys_are_made_before_they_are_picked(spark, tmp_path):
+    """A store's rows are counted where they lie; what is joined with the keys is one row for each key."""
+    store = BucketStore(spark, f"{tmp_path}/t", "k string, v bigint", ("k",), ("k", "v"), buckets=4)
+    row = spark.range(3000).select(F.concat(F.lit("k"), F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    store.replace(row)
+    store.replace(row.filter("v < 10"))
+    count = lambda rows: rows.groupBy("k").agg(F.count("*").alias("n"))
+    many = spark.range(500, 1500).select(F.concat(F.lit("k"), "id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many keys
+    try:
+        found = store.near(many, made=count)
+        assert "Join LeftSemi" in _plan(found).split("Aggregate [k")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r["k"], r["n"]) for r in found.collect()) == sorted((f"k{i}", 3) for i in range(500, 1000))
+    few = spark.createDataFrame([("k5",), ("none",)], "k string")
+    assert [tuple(r) for r in store.near(few, made=count).collect()] == [("k5", 3)]
+    assert store.near(few.filter("false"), made=count).columns == ["k", "n"]
+    assert store.read().count() == 3000

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,22 +87,23 @@ class BucketStore:
     def read(self) -> DataFrame:
         return self._open(self.manifest())
 
-    def near(self, keys: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    def near(self, keys: DataFrame, columns: tuple[str, ...] | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """The rows with the given keys (columns named as in ``columns``, or as the key columns), from their buckets only.
 
-        A few keys are named in the scan's filter, where row groups are left out by their range and bloom filter.
+        A few keys are named in the scan's filter, where row groups are left out by their range and bloom filter. ``made``: an aggregate of the rows by
+        their keys, which is then what the keys pick from, so that many rows are counted where they lie instead of being joined.
         """
         names = list(columns or self.keys)
         m = self.manifest()
         asked = keys.select(*(F.col(c).cast(t).alias(c) for c, t in zip(names, self._key_types, strict=True))).dropna().distinct()
         few = asked.limit(FEW + 1).collect()
         if not few or not m["data"]:
-            return self._open(m, [])
+            return made(self._open(m, [])) if made else self._open(m, [])
         if len(few) <= FEW:
             asked = self.spark.createDataFrame(few, asked.schema)
         in_bucket = asked.select(self.bucket_of(*names, buckets=m["buckets"]).alias("b"))
         touched = [r["b"] for r in (in_bucket if len(few) <= FEW else in_bucket.distinct()).collect()]  # FEW rows, or one for each bucket
-        rows = self._open(m, touched)
+        rows = made(self._open(m, touched)) if made else self._open(m, touched)
         on = [F.expr(k) == F.col(f"__k{i}") for i, k in enumerate(self.keys)]
         if len(few) <= FEW:
             for i, k in enumerate(self.keys):
@@ -144,12 +146,13 @@ class BucketStore:
         out = same(rows).select(*(f.name for f in known))
         if gone is not None:
             out = out.unionByName(gone.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in known)))
-        out = out.distinct()
         touched = [r["b"] for r in out.select(self.bucket_of(*(F.expr(k) for k in self.keys), buckets=n).alias("b")).distinct().collect()]
         if not touched:
             return
-        left = self._open(m, touched).join(out, [f.name for f in known], "left_anti")
-        version, made = self._write(same(left).unionByName(same(rows)), n)
+        every = same(rows)
+        if any(str(b) in m["data"] for b in touched):  # else there is nothing that could stay
+            every = same(self._open(m, touched).join(out, [f.name for f in known], "left_anti")).unionByName(every)
+        version, made = self._write(every, n)
         data = dict(m["data"]) | {str(b): [version] if b in made else [] for b in touched}
         self._publish(m, n, data)
 
