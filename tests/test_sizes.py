@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import plans
 from weftline.functions.ids import relation_id
-from weftline.operators import merge
+from weftline.operators import merge, vector
 from weftline.operators.buckets import BucketStore
 from weftline.session import settle
 
@@ -78,3 +78,13 @@ def test_counts_of_many_keys_are_made_before_they_are_picked(spark, tmp_path):
     assert [tuple(r) for r in store.near(few, made=count).collect()] == [("k5", 3)]
     assert store.near(few.filter("false"), made=count).columns == ["k", "n"]
     assert store.read().count() == 3000
+
+
+def test_scores_of_a_few_rows_at_once(spark, monkeypatch):
+    """However few rows a task scores at once, each query has the same nearest rows, ties included."""
+    rows = spark.range(0, 300, 1, 2).select("id", F.array(*(F.hash("id", F.lit(i)).cast("double") % 3 for i in range(4))).alias("vector"))
+    asked = rows.filter("id % 30 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = lambda: sorted((r["query_id"], r["pos"], r["id"], round(r["score"], 9)) for r in vector.top_k_batch(rows, asked, 7).collect())
+    whole = found()
+    monkeypatch.setattr(vector, "SCORES", 50)
+    assert found() == whole
