@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,9 +33,11 @@ def run_to_table(events: DataFrame, path: str, checkpoint: str, available_now: b
     store = _store(events.sparkSession, path)
 
     def fold(batch: DataFrame, _: int) -> None:
-        new = batch.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("seq", "stage")).alias("s"), F.max(F.when(percent.isNotNull(), F.struct("seq", percent.alias("progress")))).alias("p"))
-        both = new.unionByName(store.near(new)).groupBy("doc_id").agg(F.max("s").alias("s"), F.max("p").alias("p"))
-        store.replace(both)
+        new = batch.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("seq", "stage")).alias("s"), F.max(F.when(percent.isNotNull(), F.struct("seq", percent.alias("progress")))).alias("p")).persist(StorageLevel.DISK_ONLY)
+        try:  # the batch is folded once, however often the store reads it
+            store.replace(new.unionByName(store.near(new)).groupBy("doc_id").agg(F.max("s").alias("s"), F.max("p").alias("p")))
+        finally:
+            new.unpersist()
 
     writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -154,11 +155,14 @@ def run_to_table(found: DataFrame, path: str, checkpoint: str, available_now: bo
 
 
 def newest(rows: DataFrame, store: BucketStore) -> None:
-    """Put states into the store, unless it has a newer one of their task."""
+    """Put states into the store, unless it has a newer one of their task. The rows are worked out once, however often the store reads them."""
     task = F.max_by(F.struct("status", "progress", "priority", "retries"), "version").alias("t")
-    own = rows.groupBy("task_id").agg(F.max("version").alias("version"), task).select("task_id", "version", "t.*")
-    both = own.unionByName(store.near(own)).groupBy("task_id").agg(F.max("version").alias("version"), task)
-    store.replace(both.select("task_id", "version", "t.*"))
+    own = rows.groupBy("task_id").agg(F.max("version").alias("version"), task).select("task_id", "version", "t.*").persist(StorageLevel.DISK_ONLY)
+    try:
+        both = own.unionByName(store.near(own)).groupBy("task_id").agg(F.max("version").alias("version"), task)
+        store.replace(both.select("task_id", "version", "t.*"))
+    finally:
+        own.unpersist()
 
 
 def _store(spark: SparkSession, path: str) -> BucketStore:
