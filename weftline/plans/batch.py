@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import context, retrieve, vector
+from ..functions.ids import canonical
+from ..operators import context, graph, retrieve, vector
 from ..session import settle
 from .views import Data, register
 
@@ -54,13 +55,29 @@ def _hits(d: Data, store: DataFrame, k: int, *columns: str) -> DataFrame:
 
 
 def _lists(d: Data) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of every question, merged from the local and the global search."""
+    """(entities, relations) of every question, merged from the local and the global search.
+
+    The graph is gone through twice, whatever the number of lists: for the edges that the hits name, and for the degrees of their ends.
+    """
     e, r = ["question_id", "pos", *_EC.split(", ")], ["question_id", "pos", *_RC.split(", ")]
-    local = settle(retrieve.local_entities(_hits(d, d.ent_vec, TOP_K, "entity_id"), d.kg_nodes, d.kg_edges, by=BY).select(e), "entities", False)
-    near = settle(retrieve.local_relations(local, d.kg_edges, by=BY).select(r), "relations", False)
-    found = settle(retrieve.global_relations(_hits(d, d.rel_vec, TOP_K, "src", "tgt"), d.kg_edges, BY).select(r), "found", False)
+    of_entities, of_relations = _hits(d, d.ent_vec, TOP_K, "entity_id"), _hits(d, d.rel_vec, TOP_K, "src", "tgt")
+    near = settle(_named(d.kg_edges, of_entities, of_relations), "edges", False)
+    degrees = settle(graph.degrees(d.kg_edges, near.select(F.explode(F.array("src", "tgt")).alias("entity_id"))), "degrees", False)
+    local = settle(retrieve.local_entities(of_entities, d.kg_nodes, degrees=degrees, by=BY).select(e), "entities", False)
+    at = settle(retrieve.local_relations(local, near, degrees=degrees, by=BY).select(r), "relations", False)
+    found = settle(retrieve.global_relations(of_relations, near, BY).select(r), "found", False)
     ends = retrieve.global_entities(found, d.kg_nodes, BY).select(e)
-    return settle(retrieve.merge_entities(local, ends, BY), "entities", False), settle(retrieve.merge_relations(near, found, BY), "relations", False)
+    return settle(retrieve.merge_entities(local, ends, BY), "entities", False), settle(retrieve.merge_relations(at, found, BY), "relations", False)
+
+
+def _named(edges: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges at the entities (entity_id) or of the pairs (src, tgt), in one pass over the edges. Both lists are stored and short beside the edges."""
+    low, high = canonical(F.col("src"), F.col("tgt"))
+    ids, asked = entities.select("entity_id").distinct(), pairs.select(low.alias("src"), high.alias("tgt")).distinct()
+    marked = edges.join(ids.select(F.col("entity_id").alias("src"), F.lit(True).alias("__src")), "src", "left")
+    marked = marked.join(ids.select(F.col("entity_id").alias("tgt"), F.lit(True).alias("__tgt")), "tgt", "left")
+    marked = marked.join(asked.withColumn("__pair", F.lit(True)), ["src", "tgt"], "left")
+    return marked.filter("__src OR __tgt OR __pair").select(edges.columns)
 
 
 @query(f"WITH {_LISTS} SELECT question_id, 'entity' AS kind, pos, entity_id AS a, '' AS b, rank FROM me UNION ALL SELECT question_id, 'relation', pos, src, tgt, rank FROM mr")
