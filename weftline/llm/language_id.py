@@ -17,6 +17,7 @@ for columns named like the new ones, which are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,8 +156,8 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
     Every label has the same room, so that a rare one is learned as well; room that rare labels leave goes to the others. Of more labels than ``max_fit``
     the ``max_fit`` with most different texts are learned (ties by name), with one document each. A
     threshold on the hash, from each label's number of different texts, leaves about 1.5 times the room and ``SPARE`` more
-    before rows are put in order, so that what reaches the driver does not grow with the corpus: at most six bytes for each
-    feature of a sampled document. Copies count once: they are kept or left together.
+    before rows are put in order. One task fits the sample, of at most six bytes for each feature of a sampled document, and the driver gets
+    the model alone. Copies count once: they are kept or left together.
     """
     bounded_batches(labelled.sparkSession)
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
@@ -178,13 +179,21 @@ def learn(labelled: DataFrame, text: str = "text", label: str = "lang", max_fit:
     # Features are sorted instead of texts: a long text does not travel.
     made = sample.mapInArrow(featured, "label string, h bigint, room int, features binary")
     place = F.row_number().over(W.partitionBy("label").orderBy("h", "features"))
-    rows = made.dropDuplicates(["h", "label"]).withColumn("place", place).filter("place <= room").select("h", "label", "features").toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    features = []
-    for f in rows.column("features"):
-        raw = f.as_py()
-        n = len(raw) // 6
-        features.append((np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
-    return fit(features, rows.column("label").to_pylist())
+    rows = made.dropDuplicates(["h", "label"]).withColumn("place", place).filter("place <= room").select("h", "label", "features")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (taken := list(batches)):
+            return
+        table = pa.Table.from_batches(taken).sort_by([("h", "ascending"), ("label", "ascending")])
+        features = []
+        for f in table.column("features"):
+            raw = f.as_py()
+            n = len(raw) // 6
+            features.append((np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<f4", n, 2 * n)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(features, table.column("label").to_pylist()))], pa.binary())], names=["model"])
+
+    made_model = rows.repartition(1).mapInArrow(fitted, "model binary").first()  # at most max_fit rows
+    return pickle.loads(made_model["model"]) if made_model else fit([], [])
 
 
 def rooms(counts: dict[str, int], total: int) -> dict[str, int]:
